@@ -1,4 +1,4 @@
-"""Notation to spoken words, as one chain of built-in replacements."""
+"""Notation to spoken words, with built-in replacements only."""
 
 from __future__ import annotations
 
@@ -14,15 +14,13 @@ from avsync.functions.text import SPACE, strip
 FLAGS = "(?dU)"
 
 
-def rules(spaced: bool = False) -> list[tuple[str, str, bool]]:
+def rules() -> list[tuple[str, str, bool]]:
     """(pattern or text, replacement, is_pattern) in the order they apply."""
-    out = [(p, r, True) for p, r in [*fixed.MATH_PATTERNS]]
+    out = [(p, r, True) for p, r in fixed.MATH_PATTERNS]
     for symbol, spoken in fixed.MATH_SYMBOLS:
         out.append((rf"\b{symbol}\b", spoken, True) if symbol.isalpha() else (symbol, spoken, False))
     out.append((*fixed.MATH_CALL, True))
-    for symbol, spoken in fixed.MATH_OPERATORS:
-        out.append((symbol, f" {spoken} " if spaced and len(symbol) == 1 else spoken, False))
-    return out
+    return out + [(f, p, False) for f, p in fixed.MATH_OPERATORS]
 
 
 def _touched() -> str:
@@ -34,22 +32,52 @@ def _touched() -> str:
     return rf"{FLAGS}[{''.join(re.escape(m) for m in sorted(marks))}]|\b(?:{words})\b|{phrases}"
 
 
+def _regex(text: Column, find: str, put: str) -> Column:
+    return F.regexp_replace(text, FLAGS + find, re.sub(r"\\(\d)", r"$\1", put))
+
+
+def _replace_in_order(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Replace literal texts one after the other; alphabetic ones as whole words only.
+
+    One fold over a literal list: the text so far is a bound value, and a symbol that
+    does not occur costs one byte search.
+    """
+    table = F.array(
+        *[
+            F.struct(F.lit(f).alias("find"), F.lit(p).alias("put"), F.lit(f.isalpha()).alias("word"))
+            for f, p in pairs
+        ]
+    )
+    return F.aggregate(
+        table,
+        text,
+        lambda acc, r: F.when(~F.contains(acc, r["find"]), acc)
+        .when(r["word"], F.regexp_replace(acc, F.concat(F.lit(FLAGS + r"\b"), r["find"], F.lit(r"\b")), r["put"]))
+        .otherwise(F.replace(acc, r["find"], r["put"])),
+    )
+
+
 def linearize_math(text: Column, spaced: bool = False) -> Column:
     """Text with notation spoken; NULL gives '', a blank text stays as it is.
 
     ``spaced`` puts spaces around the words for = + - * /.
     """
     out = text
-    for find, put, is_pattern in rules(spaced):
-        if is_pattern:
-            out = F.regexp_replace(out, FLAGS + find, re.sub(r"\\(\d)", r"$\1", put))
-        else:
-            out = F.replace(out, F.lit(find), F.lit(put))
+    for find, put in fixed.MATH_PATTERNS:
+        out = _regex(out, find, put)
+    out = _replace_in_order(out, fixed.MATH_SYMBOLS)
+    out = _regex(out, *fixed.MATH_CALL)
+    for find, put in _operators(spaced):
+        out = F.replace(out, F.lit(find), F.lit(put))
     out = F.when(text.rlike(_touched()), out).otherwise(text)
     out = strip(F.regexp_replace(out, SPACE, " "))
     return F.when(text.isNull(), "").when(strip(text) == "", text).otherwise(out)
 
 
+def _operators(spaced: bool) -> list[tuple[str, str]]:
+    return [(f, f" {p} " if spaced and len(f) == 1 else p) for f, p in fixed.MATH_OPERATORS]
+
+
 def linearize_snapshot(snapshot: Column, fields: list[str], spaced: bool = False) -> Column:
     """Linearise the text fields of a snapshot struct and the texts of its elements.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def _object(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)^\s*\{"), F.try_parse_json(text))
 
 
+def _bound(clean: Column, make: Callable[[Column, Column], Column], obj: Column | None = None) -> Column:
+    """``make(clean text, object)`` with both worked out once per row."""
+    pair = F.struct(clean.alias("text"), (_object(clean) if obj is None else obj).alias("obj"))
+    return F.get(F.transform(F.array(pair), lambda p: make(p["text"], p["obj"])), F.lit(0))
+
+
 def _has(obj: Column, key: str) -> Column:
     return F.try_variant_get(obj, f"$.{key}", "variant").isNotNull()
 
@@ -83,8 +91,10 @@ def _or_default(obj: Column, key: str, default: Column) -> Column:
 
 
 def _strict(text: Column) -> Column:
-    clean = drop_trailing_commas(strip_fences(text))
-    obj = _object(clean)
+    return _bound(drop_trailing_commas(strip_fences(text)), _strict_answer)
+
+
+def _strict_answer(clean: Column, obj: Column) -> Column:
     ok = obj.isNotNull()
     listed = _get(obj, "detected_types", "array<string>")
     some = F.coalesce(F.size(listed) > 0, F.lit(False))
@@ -105,7 +115,10 @@ def _strict(text: Column) -> Column:
 
 def _braces(text: Column, asked: Column) -> Column:
     clean = drop_trailing_commas(F.coalesce(outermost_braces(text), text), lists=True)
-    obj = _object(clean)
+    return _bound(clean, lambda _, obj: _braces_answer(text, obj, asked))
+
+
+def _braces_answer(text: Column, obj: Column, asked: Column) -> Column:
     ok = obj.isNotNull()
     raw = F.coalesce(F.nullif(text, F.lit("")), F.lit("JSON parse error"))
     listed = F.when(_has(obj, "detected_types"), _get(obj, "detected_types", "array<string>"))
@@ -128,6 +141,10 @@ def _braces(text: Column, asked: Column) -> Column:
 def _retry(text: Column, asked: Column) -> Column:
     clean = drop_trailing_commas(strip_fences(text))
     obj = F.coalesce(_object(clean), _object(outermost_braces(clean)))
+    return _bound(clean, lambda _, o: _retry_answer(text, o, asked), obj)
+
+
+def _retry_answer(text: Column, obj: Column, asked: Column) -> Column:
     ok = obj.isNotNull()
     none = F.array().cast("array<string>")
 
@@ -137,7 +154,8 @@ def _retry(text: Column, asked: Column) -> Column:
     elements = F.when(
         ok,
         F.coalesce(
-            _get(obj, "elements_found", "array<string>"), F.array(_or_default(obj, "elements_found", F.lit("[MISSING: elements_found]")))
+            _get(obj, "elements_found", "array<string>"),
+            F.array(_or_default(obj, "elements_found", F.lit("[MISSING: elements_found]"))),
         ),
     ).otherwise(none)
     return F.struct(

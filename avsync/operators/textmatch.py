@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from avsync.functions.text import strip
 
+GRAM = 12
+WINDOW = 8
+MULTIPLIER = np.uint64(6364136223846793005)
+MIXER = np.uint64(0x9E3779B97F4A7C15)
+
 
 def clean(text: Column) -> Column:
     return F.lower(strip(text))
@@ -17,34 +27,98 @@ def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
 
 
+def marks(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and 0-based place of the smallest gram of k characters in every run of w grams.
+
+    The leftmost of equal grams counts. A text shorter than one run has one run.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n = len(codes) - k + 1
+    grams = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        grams = grams * MULTIPLIER + codes[j : j + n]
+    grams ^= grams >> np.uint64(29)
+    grams *= MIXER
+    if w > 1:
+        runs = np.lib.stride_tricks.sliding_window_view(grams, min(w, n))
+        places = np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
+    else:
+        places = np.arange(n)
+    return grams[places].view(np.int64), places
+
+
+def _with_marks(rows: DataFrame, text: str) -> DataFrame:
+    """One row per mark of ``text`` for the row's _k and _w, the text itself left out."""
+    kept = [f for f in rows.schema.fields if f.name != text]
+    out = T.StructType([*kept, T.StructField("_hash", T.LongType()), T.StructField("_pos", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                marks(x, k, w)
+                for x, k, w in zip(
+                    batch[text].to_pylist(), batch["_k"].to_pylist(), batch["_w"].to_pylist(), strict=True
+                )
+            ]
+            if not found:
+                continue
+            which = pa.array(np.repeat(np.arange(len(found)), [len(h) for h, _ in found]))
+            cols = [batch[f.name].take(which) for f in kept]
+            cols.append(pa.array(np.concatenate([h for h, _ in found])))
+            cols.append(pa.array(np.concatenate([p for _, p in found]), pa.int32()))
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out.fields])
+
+    return rows.mapInArrow(run, out)
+
+
 def find_segment_by_text(asked: DataFrame, segments: DataFrame, text: str = "text") -> DataFrame:
     """``asked`` (video_id, text) with seg_idx: lowest idx whose text equals or holds it, else 0.
 
-    Texts are compared trimmed and lower-cased. A video's segments are cut into all
-    parts of the lengths that are asked for in it; the lowest idx per part is kept
-    before the shuffle and met by equality, so no text is paired with every segment.
+    Texts are compared trimmed and lower-cased. A text is looked up by one of its short
+    grams: a segment that holds the text holds that gram at a known offset. Only the
+    distinct (gram, offset, length) of a video meet its segments; the part at that place
+    is hashed, the lowest idx per part kept, and the texts met by equality. So no text is
+    paired with every segment, and equal texts are looked up once.
     """
     asked = asked.withColumn("_clean", clean(F.coalesce(text, F.lit(""))))
-    wanted = asked.select("video_id", "_clean").distinct()
-    wanted = wanted.select("video_id", "_clean", F.length("_clean").alias("_len"))
-    lengths = wanted.select("video_id", "_len").distinct()
+    wanted = asked.select("video_id", "_clean").distinct().withColumn("_len", F.length("_clean"))
     held = segments.select("video_id", F.col("idx").cast("long").alias("idx"), clean(F.col("text")).alias("_text"))
-    cut = held.join(lengths, "video_id").where(F.length("_text") >= F.col("_len"))
-    starts = F.when(F.col("_len") == 0, F.array(F.lit(1))).otherwise(
-        F.sequence(F.lit(1), F.greatest(F.length("_text") - F.col("_len") + 1, F.lit(1)))
+
+    sized = wanted.where("_len > 0").withColumns(
+        {
+            "_k": F.least(F.col("_len"), F.lit(GRAM)),
+            "_w": F.when(F.col("_len") >= GRAM + WINDOW - 1, F.lit(WINDOW)).otherwise(F.lit(1)),
+        }
     )
-    parts = cut.select(
-        "video_id",
-        "_len",
-        "idx",
-        F.explode(
-            F.array_distinct(F.transform(starts, lambda i: _key(F.substr(F.col("_text"), i, F.col("_len")))))
-        ).alias("_key"),
+    head = F.substr(F.col("_clean"), F.lit(1), F.col("_k") + F.col("_w") - 1)
+    shapes = (
+        _with_marks(sized.select("video_id", "_len", "_k", "_w", head.alias("_head")), "_head")
+        .withColumnRenamed("_pos", "_off")
+        .distinct()
+    )
+    kinds = sized.select("video_id", "_k", "_w").distinct()
+    marked = held.join(kinds, "video_id").where(F.length("_text") >= F.col("_k"))
+    marked = _with_marks(marked.select("video_id", "idx", "_k", "_w", "_text"), "_text")
+    places = (
+        marked.join(shapes, ["video_id", "_k", "_w", "_hash"])
+        .select("video_id", "idx", (F.col("_pos") - F.col("_off") + 1).alias("_from"), "_len")
+        .where("_from >= 1")
+        .distinct()
+    )
+    parts = (
+        places.join(held, ["video_id", "idx"])
+        .where(F.length("_text") >= F.col("_from") + F.col("_len") - 1)
+        .select("video_id", "_len", "idx", _key(F.substr(F.col("_text"), F.col("_from"), F.col("_len"))).alias("_key"))
     )
     first = parts.groupBy("video_id", "_len", "_key").agg(F.min("idx").alias("seg_idx"))
-    found = wanted.withColumn("_key", _key(F.col("_clean"))).join(first, ["video_id", "_len", "_key"])
+    found = sized.select("video_id", "_clean", "_len", _key(F.col("_clean")).alias("_key")).join(
+        first, ["video_id", "_len", "_key"]
+    )
+    # an empty text is held by the first segment
+    empty = wanted.where("_len = 0").join(held.groupBy("video_id").agg(F.min("idx").alias("seg_idx")), "video_id")
+    found = found.select("video_id", "_clean", "seg_idx").unionByName(empty.select("video_id", "_clean", "seg_idx"))
     return (
-        asked.join(found.select("video_id", "_clean", "seg_idx"), ["video_id", "_clean"], "left")
+        asked.join(found, ["video_id", "_clean"], "left")
         .withColumn("seg_idx", F.coalesce("seg_idx", F.lit(0)))
         .drop("_clean")
     )
