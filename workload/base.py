@@ -233,13 +233,14 @@ def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     """The query with the bindings it names in front."""
     known = {**CTES, **(extra or {})}
     needed: list[str] = []
+    seen: set[str] = set()
 
     def add(text: str) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 add(known[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     add(sql)
     parts = [f"{n} AS ({known[n]})" for n in needed]

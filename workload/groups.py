@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from avsync import fixed
 from avsync.functions import text
-from avsync.operators import aggregates, folds, library, ordered, vectors
-from avsync.operators.ordered import find_cuts
+from avsync.operators import aggregates, folds, library, vectors
 from avsync.operators.timejoin import joined_text, window_rows
 from avsync.functions.lexicon import concepts_in
 from workload.base import long, query, r6
@@ -377,12 +376,10 @@ def _(t):
 
 @query(
     "H7_segments_with_interventions",
-    """SELECT s.video_id, s.idx, arg_min(n.snapshot_id, (abs(n.t - s.start), -n.ord)) AS snapshot_id, count(n.ord) > 0 AS is_intervention
+    """SELECT s.video_id, s.idx, arg_min(n.snapshot_id, (abs(n.t - s.start), n.ord)) AS snapshot_id, count(n.ord) > 0 AS is_intervention
     FROM segments s LEFT JOIN snapshots n ON n.video_id = s.video_id AND abs(n.t - s.start) <= 1.5
     AND n.ord = (SELECT max(x.ord) FROM snapshots x WHERE x.video_id = n.video_id AND x.t = n.t)
-    GROUP BY s.video_id, s.idx""".replace(
-        "(abs(n.t - s.start), -n.ord)", "(abs(n.t - s.start), n.ord)"
-    ),
+    GROUP BY s.video_id, s.idx""",
 )
 def _(t):
     rows = library.segments_with_interventions(t.segments, t.snapshots, 1.5)
@@ -405,5 +402,3 @@ def _(t):
     )
     return one.unionByName(every)
 
-
-assert ordered and find_cuts
