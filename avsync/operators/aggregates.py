@@ -120,7 +120,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def topic_timeline(
-    segments: DataFrame, topics: dict[str, list[str]] | None = None, max_rows: int | None = None
+    segments: DataFrame, topics: dict[str, list[str]] | None = None, max_rows: float | None = None
 ) -> DataFrame:
     """Topic at each segment start, the last known one carried on, 'unknown' before any.
 
@@ -134,7 +134,7 @@ def topic_timeline(
     )
 
 
-def prev_next(points: DataFrame, point_id: str = "id", order: str = "ord", max_rows: int | None = None) -> DataFrame:
+def prev_next(points: DataFrame, point_id: str = "id", order: str = "ord", max_rows: float | None = None) -> DataFrame:
     """Points with the ids of their neighbours in time."""
     cuts = find_cuts(points, ["video_id"], ["t", order], max_rows)
     return ordered.scan(
@@ -143,7 +143,7 @@ def prev_next(points: DataFrame, point_id: str = "id", order: str = "ord", max_r
 
 
 def sequence_no(
-    rows: DataFrame, order: list[str], name: str = "seq", keys: list[str] | None = None, max_rows: int | None = None
+    rows: DataFrame, order: list[str], name: str = "seq", keys: list[str] | None = None, max_rows: float | None = None
 ) -> DataFrame:
     """0-based position of each row in its video."""
     cuts = find_cuts(rows, keys or ["video_id"], order, max_rows)
@@ -155,7 +155,7 @@ def slice_rows(rows: DataFrame, order: list[str], start: int, end: int, **kw) ->
     return sequence_no(rows, order, "_pos", **kw).where((F.col("_pos") >= start) & (F.col("_pos") < end)).drop("_pos")
 
 
-def head_with_rest(segments: DataFrame, shown: int = 20, max_rows: int | None = None) -> DataFrame:
+def head_with_rest(segments: DataFrame, shown: int = 20, max_rows: float | None = None) -> DataFrame:
     """First rows of each transcript, with the number of rows left out and all characters."""
     totals = segments.groupBy("video_id").agg(
         F.greatest(F.count(F.lit(1)) - shown, F.lit(0)).alias("remaining"),

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avsync.operators import ordered
-from avsync.operators.ordered import CHUNK, Cuts, find_cuts
-from avsync.session import new_dir
+from avsync.operators.ordered import CHUNK, Cuts, find_cuts, row_limit
+from avsync.session import settle
 
 REDUNDANCY_SECONDS = 5.0
 MIN_SCENE_GAP = 4.0
@@ -112,7 +112,7 @@ def accept_chain(
     gap: float,
     cover_gap: float = 0.0,
     start: float | None = None,
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Accepted (video_id, t) of items (video_id, t[, cover]), t distinct per video.
 
@@ -187,13 +187,14 @@ def accept_chain(
 
 
 def suppress_close(
-    rows: DataFrame, gap: float = REDUNDANCY_SECONDS, order: str = "ord", max_rows: int | None = None
+    rows: DataFrame, gap: float = REDUNDANCY_SECONDS, order: str = "ord", max_rows: float | None = None
 ) -> DataFrame:
     """Keep a row unless it is within ``gap`` seconds of the last kept row of its video.
 
     Rows with equal times are tried in ``order``: only the first of them can be kept,
     so one row per distinct time goes on.
     """
+    max_rows = row_limit(rows, max_rows=max_rows)
     rest = [c for c in rows.columns if c not in ("video_id", "t")]
     firsts = rows.groupBy("video_id", "t").agg(
         F.min_by(F.struct(*rest), F.struct(order)).alias("r")
@@ -206,13 +207,14 @@ def suppress_close(
 
 
 def scene_boundaries(
-    flagged: DataFrame, min_gap: float = MIN_SCENE_GAP, order: str = "ord", max_rows: int | None = None
+    flagged: DataFrame, min_gap: float = MIN_SCENE_GAP, order: str = "ord", max_rows: float | None = None
 ) -> DataFrame:
     """(video_id, t, order) of rows that begin a scene.
 
     ``flagged`` is (video_id, t, order, changed): the first row begins one, later
     rows do if ``changed`` and at least ``min_gap`` seconds after the last beginning.
     """
+    max_rows = row_limit(flagged, max_rows=max_rows)
     firsts = flagged.groupBy("video_id").agg(F.min(F.struct("t", order)).alias("r")).select("video_id", "r.*")
     marks = flagged.where("changed").select("video_id", "t", order).unionByName(firsts)
     marks = marks.groupBy("video_id", "t").agg(F.min(order).alias(order))
@@ -221,7 +223,7 @@ def scene_boundaries(
 
 
 def assign_scenes(
-    frames: DataFrame, boundaries: DataFrame, order: str = "ord", cuts: Cuts | None = None, max_rows: int | None = None
+    frames: DataFrame, boundaries: DataFrame, order: str = "ord", cuts: Cuts | None = None, max_rows: float | None = None
 ) -> DataFrame:
     """Frames with scene_id, 0-based in time order."""
     marked = frames.join(
@@ -245,12 +247,13 @@ def select_per_scene(
     max_gap: float = MAX_FRAME_GAP,
     min_complexity: float = MIN_EDU_COMPLEXITY,
     order: str = "ord",
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Best frame per scene, spaced by ``min_gap``; non-educational ones only for coverage.
 
     ``frames`` has video_id, scene_id, t, order, complexity, is_educational and more.
     """
+    max_rows = row_limit(frames, max_rows=max_rows)
     rest = F.struct(*[c for c in frames.columns if c not in ("video_id", "scene_id")])
     rank = F.struct("complexity", -F.col("t"), -F.col(order))
     useful = F.col("is_educational") & (F.col("complexity") > min_complexity)
@@ -277,7 +280,7 @@ def fill_to_minimum(
     candidates: DataFrame,
     spacing: float = MIN_SCENE_GAP / 2,
     order: str = "ord",
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """(video_id, t, order) added so that each video has ``target_min`` rows.
 
@@ -296,10 +299,7 @@ def fill_to_minimum(
         return _fill(chosen, cand, spacing, order)
     ranked = ordered.scan(cand, cuts, _rank=ordered.row_number())
     ranked = ranked.withColumn("_slice", F.floor((F.col("_rank") - 1) / F.lit(max_rows)))
-    spark = cand.sparkSession
-    path = new_dir(spark, "fill-ranked")
-    ranked.write.parquet(path)
-    ranked = spark.read.parquet(path)
+    ranked = settle(ranked, "fill-ranked")
     slices = ranked.agg(F.max("_slice")).first()[0] or 0
     added = None
     for number in range(slices + 1):
@@ -319,9 +319,7 @@ def fill_to_minimum(
             spacing,
             order,
         )
-        step = new_dir(spark, "fill-step")
-        new.write.parquet(step)
-        new = spark.read.parquet(step)
+        new = settle(new, "fill-step")
         if new.isEmpty() and short.isEmpty():
             break
         added = new if added is None else added.unionByName(new)
@@ -360,7 +358,7 @@ def _fill(chosen: DataFrame, cand: DataFrame, spacing: float, order: str) -> Dat
 
 
 def trim_to_maximum(
-    rows: DataFrame, limit: Column, score: str = "complexity", order: str = "ord", max_rows: int | None = None
+    rows: DataFrame, limit: Column, score: str = "complexity", order: str = "ord", max_rows: float | None = None
 ) -> DataFrame:
     """The ``limit`` best rows of each video; equal scores go by time."""
     ranked = rows.withColumn("_down", -F.col(score))
@@ -374,7 +372,7 @@ def change_point_sample(
     threshold: float = SAMPLE_THRESHOLD,
     min_gap: int = SAMPLE_MIN_GAP,
     max_gap: int = SAMPLE_MAX_GAP,
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Kept (video_id, idx) of frames (video_id, idx, embedding).
 
@@ -471,7 +469,7 @@ def change_point_sample(
 
 
 def redundancy_flag(
-    rows: DataFrame, threshold: float = REDUNDANT_SIMILARITY, order: str = "ord", max_rows: int | None = None
+    rows: DataFrame, threshold: float = REDUNDANT_SIMILARITY, order: str = "ord", max_rows: float | None = None
 ) -> DataFrame:
     """Rows with their similarity to the previous row; the flag drops nothing."""
     from avsync.operators.vectors import dot

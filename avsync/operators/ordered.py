@@ -51,8 +51,25 @@ class Cuts:
         )
 
 
+def row_limit(*tables: DataFrame, keys: list[str] | None = None, max_rows: float | None = None) -> float:
+    """``max_rows``, or infinity if no key has more rows than that in all tables together.
+
+    One count over the key columns. Infinity tells later steps on parts of these rows
+    that no key is long, so they need not look again.
+    """
+    max_rows = max_rows or MAX_ROWS
+    if max_rows == math.inf:
+        return max_rows
+    keys = keys or ["video_id"]
+    rows = tables[0].select(*keys)
+    for other in tables[1:]:
+        rows = rows.unionAll(other.select(*keys))
+    over = rows.groupBy(*keys).count().where(F.col("count") > max_rows)
+    return math.inf if over.isEmpty() else max_rows
+
+
 def find_cuts(
-    df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None, min_width: float = 0.0
+    df: DataFrame, keys: list[str], order: list[str], max_rows: float | None = None, min_width: float = 0.0
 ) -> Cuts:
     """Find the long keys and sampled cut points in them.
 
@@ -61,9 +78,11 @@ def find_cuts(
     ``min_width`` keeps that distance between cuts on the first order column.
     """
     max_rows = max_rows or MAX_ROWS
+    plain = Cuts(tuple(keys), tuple(order))
+    if max_rows == math.inf:
+        return plain
     narrow = df.select(*keys, *[c for c in order if c not in keys])
     long_keys = narrow.groupBy(*keys).count().where(F.col("count") > max_rows).collect()
-    plain = Cuts(tuple(keys), tuple(order))
     if not long_keys:
         return plain
     spark = df.sparkSession

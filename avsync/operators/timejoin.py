@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avsync.operators import ordered
-from avsync.operators.ordered import find_cuts, last_known, next_known, next_min, running_sum
+from avsync.operators.ordered import find_cuts, last_known, next_known, next_min, row_limit, running_sum
 
 MATCH_WINDOW = 30.0
 SNAPSHOT_WINDOW = 30.0
@@ -21,7 +21,7 @@ BUCKET_SECONDS = 60.0
 
 
 def match_segment(
-    points: DataFrame, segments: DataFrame, limit: float | None = MATCH_WINDOW, max_rows: int | None = None
+    points: DataFrame, segments: DataFrame, limit: float | None = MATCH_WINDOW, max_rows: float | None = None
 ) -> DataFrame:
     """Points with the segment that holds t, else the nearest within ``limit``.
 
@@ -40,13 +40,13 @@ def match_segment(
     return points.join(found, ["video_id", "t"], "left")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, max_rows: int | None = None) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, max_rows: float | None = None) -> DataFrame:
     """``match_segment`` without a distance limit."""
     return match_segment(points, segments, None, max_rows)
 
 
 def match_times(
-    times: DataFrame, segments: DataFrame, limit: float | None = MATCH_WINDOW, max_rows: int | None = None
+    times: DataFrame, segments: DataFrame, limit: float | None = MATCH_WINDOW, max_rows: float | None = None
 ) -> DataFrame:
     """(video_id, t, seg_idx) for each distinct time, seg_idx NULL without a match.
 
@@ -55,6 +55,7 @@ def match_times(
     it is the answer. If it has not, the counts of starts and ends tell whether any
     other segment holds t; only those times go through ``_sweep``.
     """
+    max_rows = row_limit(times, segments, segments, max_rows=max_rows)
     seg = segments.select("video_id", F.col("idx").cast("long").alias("idx"), "start", "end")
     begun = F.when(F.col("end") >= F.col("start"), F.lit(1)).otherwise(F.lit(0))
     ends = seg.select(
@@ -121,13 +122,13 @@ def _side(dist: Column, idx: Column) -> Column:
     return F.struct(dist.alias("dist"), idx.alias("idx"))
 
 
-def _out_of_order(seg: DataFrame, max_rows: int | None) -> bool:
+def _out_of_order(seg: DataFrame, max_rows: float | None) -> bool:
     cuts = find_cuts(seg, ["video_id"], ["idx"], max_rows)
     seen = ordered.scan(seg, cuts, prev=ordered.lag(F.col("start")))
     return not seen.where("start < prev").select("video_id").isEmpty()
 
 
-def _sweep(times: DataFrame, seg: DataFrame, max_rows: int | None) -> DataFrame:
+def _sweep(times: DataFrame, seg: DataFrame, max_rows: float | None) -> DataFrame:
     """Lowest idx holding each time, for segments listed in any order."""
     seg = seg.where("end >= start")
     marks = times.unionByName(seg.select("video_id", F.col("start").alias("t"))).unionByName(
@@ -193,12 +194,13 @@ def nearest_row(
     value: str,
     limit: float | None = SNAPSHOT_WINDOW,
     order: str = "ord",
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Points with ``value`` of the other row nearest in time.
 
     ``others`` is (video_id, t, order, value); on equal distance the lower ``order`` wins.
     """
+    max_rows = row_limit(points, others, max_rows=max_rows)
     spots = others.groupBy("video_id", "t").agg(F.min(F.struct(order, F.col(value).alias("v"))).alias("spot"))
     asked = points.select("video_id", "t").where("t IS NOT NULL").withColumn("asked", F.lit(True))
     line = (

@@ -26,7 +26,7 @@ def dot(left: str | Column, right: str | Column) -> Column:
 
 
 def neighbour_similarity(
-    frames: DataFrame, order: str = "ord", cuts: Cuts | None = None, max_rows: int | None = None
+    frames: DataFrame, order: str = "ord", cuts: Cuts | None = None, max_rows: float | None = None
 ) -> DataFrame:
     """Frames with the similarity to the frame before; NULL if either embedding is missing."""
     cuts = cuts or find_cuts(frames, ["video_id"], ["t", order], max_rows)

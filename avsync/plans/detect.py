@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from avsync.functions import scoring
 from avsync.functions.text import format_mmss
+from avsync.operators.ordered import row_limit
 from avsync.operators.folds import REDUNDANCY_SECONDS, suppress_close
 from avsync.operators.timejoin import MATCH_WINDOW, match_segment
 
@@ -17,7 +18,7 @@ def scored_frames(
     limit: float | None = MATCH_WINDOW,
     deictic: list[str] | None = None,
     negative: list[str] | None = None,
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Keyframes (video_id, t, ord, complexity, ...) with seg_text, score, trigger_reason, confidence."""
     matched = match_segment(keyframes, segments, limit, max_rows)
@@ -39,12 +40,13 @@ def detect_interventions(
     gap: float = REDUNDANCY_SECONDS,
     deictic: list[str] | None = None,
     negative: list[str] | None = None,
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Qualifying frames at least ``gap`` seconds apart, with transcript_context.
 
     ``keyframes`` has video_id, t, ord and complexity; further columns are kept.
     """
+    max_rows = row_limit(keyframes, segments, segments, max_rows=max_rows)
     scored = scored_frames(keyframes, segments, limit, deictic, negative, max_rows)
     kept = suppress_close(
         scored.where(scoring.is_intervention(F.col("score"), F.col("complexity"))), gap, max_rows=max_rows

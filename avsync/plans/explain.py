@@ -14,6 +14,7 @@ from avsync.operators.library import explanation_queue
 from avsync.operators.timejoin import nearest_segment
 from avsync.plans.context import build_context
 from avsync.plans.infer import Loader, infer
+from avsync.session import settle
 
 
 def prepare_explanations(
@@ -25,7 +26,7 @@ def prepare_explanations(
     knowledge: Knowledge,
     templates: dict[str, str] | None = None,
     policy: str = "strict",
-    max_rows: int | None = None,
+    max_rows: float | None = None,
     **lexicons,
 ) -> DataFrame:
     """One row per request without an explanation, with its prompt.
@@ -45,17 +46,18 @@ def prepare_explanations(
     )
     spoken = nearest_segment(todo, segments, max_rows).withColumn("transcript_context", F.coalesce("seg_text", F.lit("")))
     spoken = spoken.drop("seg_idx", "seg_start", "seg_end", "seg_text").withColumn("mode", F.col("output_mode"))
+    # read by the text match, by the context and by the answers
+    context = build_context(settle(spoken, "spoken"), segments, **lexicons)
     snap = parse_model_json(F.col("answer"), policy, F.col("content_type"))
-    seen = spoken.join(snapshots, "intervention_id", "left").withColumn("snapshot", snap).drop("answer")
+    seen = context.join(snapshots, "intervention_id", "left").withColumn("snapshot", snap).drop("answer")
     missing = scoring.illegible_gate(
         F.col("snapshot.missing_elements"), F.col("snapshot.text_readout"), F.col("content_type")
     )
     only_speech = scoring.missing_gate(missing) | scoring.mismatch_flag(
         F.col("content_type"), F.col("snapshot.text_readout")
     )
-    context = build_context(seen.withColumn("use_model", ~only_speech), segments, **lexicons)
-    return context.withColumn(
-        "cross_domain", cross_domain_text(F.col("previous_concepts"), knowledge)
+    return seen.withColumns(
+        {"use_model": ~only_speech, "cross_domain": cross_domain_text(F.col("previous_concepts"), knowledge)}
     ).withColumn("prompt", render_prompt(F.col("output_mode"), _fields(), templates))
 
 
@@ -87,6 +89,7 @@ def write_explanations(prepared: DataFrame, load: Loader) -> DataFrame:
     The model runs only on rows that may use it.
     """
     keep = ["intervention_id", "output_mode", "transcript_context", "prompt"]
+    prepared = settle(prepared.select(*keep, "use_model"), "prompts")
     asked = infer(prepared.where("use_model").select(*keep), "prompt", load, "generated")
     plain = prepared.where("NOT use_model").select(*keep).withColumn("generated", F.lit(None).cast("string"))
     text = scoring.explanation_or_transcript(F.col("generated"), F.col("transcript_context"))

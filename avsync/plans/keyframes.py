@@ -9,7 +9,8 @@ from avsync.functions.scoring import frame_targets, is_blank, keyframe_confidenc
 from avsync.functions.text import format_mmss, frame_name
 from avsync.operators import folds, vectors
 from avsync.operators.aggregates import sequence_no
-from avsync.operators.ordered import find_cuts
+from avsync.operators.ordered import find_cuts, row_limit
+from avsync.session import settle
 
 
 def scenes_of(
@@ -17,14 +18,18 @@ def scenes_of(
     min_gap: float = folds.MIN_SCENE_GAP,
     floor: float = vectors.SIMILARITY_FLOOR,
     weight: float = vectors.STD_WEIGHT,
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
-    """Frames (video_id, t, ord, embedding, ...) with scene_id; one look for long videos."""
+    """Frames (video_id, t, ord, embedding, ...) with scene_id, the embedding left out.
+
+    Embeddings are read once: what follows works on the narrow rows written here.
+    """
+    max_rows = row_limit(frames, max_rows=max_rows)
     cuts = find_cuts(frames, ["video_id"], ["t", "ord"], max_rows)
-    similar = vectors.neighbour_similarity(frames, cuts=cuts)
+    similar = settle(vectors.neighbour_similarity(frames, cuts=cuts).drop("embedding"), "similar")
     flags = vectors.change_flags(similar.select("video_id", "t", "ord", "similarity"), floor, weight)
     begins = folds.scene_boundaries(flags, min_gap, max_rows=max_rows)
-    return folds.assign_scenes(frames, begins, cuts=cuts)
+    return settle(folds.assign_scenes(similar.drop("similarity"), begins, cuts=cuts), "scenes")
 
 
 def select_keyframes(
@@ -34,16 +39,17 @@ def select_keyframes(
     max_gap: float = folds.MAX_FRAME_GAP,
     floor: float = vectors.SIMILARITY_FLOOR,
     weight: float = vectors.STD_WEIGHT,
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Keyframes (video_id, idx, timestamp, t, frame_path, content_type, complexity, clip_confidence, ord).
 
     ``frames`` is (video_id, t, ord, embedding, complexity, is_educational, label), blank
     ones already dropped; ``videos`` is (video_id, duration_seconds).
     """
+    max_rows = row_limit(frames, max_rows=max_rows)
     small = ["video_id", "t", "ord", "complexity", "is_educational", "label"]
     scenes = scenes_of(frames, min_gap, floor, weight, max_rows).select(*small, "scene_id")
-    first = folds.select_per_scene(scenes, min_gap, max_gap, max_rows=max_rows).select(*small)
+    first = settle(folds.select_per_scene(scenes, min_gap, max_gap, max_rows=max_rows).select(*small), "picked")
 
     targets = videos.select("video_id", frame_targets(F.col("duration_seconds")).alias("_n")).select("video_id", "_n.*")
     counted = targets.join(first.groupBy("video_id").agg(F.count(F.lit(1)).alias("_have")), "video_id", "left")

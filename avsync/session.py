@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only; memory, cores and shuffle width belong to the cluster.
 SETTINGS = {
@@ -43,3 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the shared one (not created)."""
     return f"{shared_dir(spark).rstrip('/')}/avsync/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a table that several later steps read, and go on from the file.
+
+    It lies in the shared folder, so a lost executor does not bring the work back.
+    """
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

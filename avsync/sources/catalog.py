@@ -25,6 +25,15 @@ def create_tables(spark: SparkSession, database: str = "default", buckets: int =
     return made
 
 
+def append_rows(spark: SparkSession, table: str, rows: DataFrame) -> None:
+    """Append by column name; columns that are missing stay NULL."""
+    wanted = spark.table(table).schema
+    have = set(rows.columns)
+    rows.select(
+        *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+    ).write.insertInto(table)
+
+
 def count_tables(spark: SparkSession, database: str = "default") -> DataFrame:
     from avsync.operators.aggregates import table_counts
 

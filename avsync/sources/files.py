@@ -80,12 +80,11 @@ def read_interventions(spark: SparkSession, path: str, multi_line: bool = True)
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Model answers: video_id and id8 from the path, the whole answer as VARIANT."""
-    raw = spark.read.text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
-    where = r"([^/]+)/interventions/([^/]+)/[^/]+$"
+    raw = _whole_texts(spark, path, "video_id string, id8 string")
     snap = F.try_parse_json("value")
     return raw.select(
-        F.regexp_extract("_path", where, 1).alias("video_id"),
-        F.regexp_extract("_path", where, 2).alias("id8"),
+        _folder("video_id", r"([^/]+)/interventions/[^/]+/[^/]+$"),
+        _folder("id8", r"/interventions/([^/]+)/[^/]+$"),
         snap.alias("snapshot"),
         F.try_variant_get(snap, "$._error", "string").alias("error"),
     )
@@ -93,14 +92,28 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def read_explanations(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, id8, mode, text) of texts stored by video, short id and mode."""
-    raw = spark.read.text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
-    where = r"([^/]+)/interventions/([^/]+)/([^/]+)\.txt$"
+    raw = _whole_texts(spark, path, "video_id string, id8 string, mode string")
     return raw.select(
-        *[F.regexp_extract("_path", where, i + 1).alias(n) for i, n in enumerate(("video_id", "id8", "mode"))],
+        _folder("video_id", r"([^/]+)/interventions/[^/]+/[^/]+$"),
+        _folder("id8", r"/interventions/([^/]+)/[^/]+$"),
+        _folder("mode", r"/interventions/[^/]+/([^/]+)\.txt$"),
         F.col("value").alias("text"),
     )
 
 
+def _whole_texts(spark: SparkSession, path: str, folders: str) -> DataFrame:
+    """One row per file; what ``write_by_folder`` put at the end of a text is taken off."""
+    raw = spark.read.schema(f"value string, {folders}").text(path, wholetext=True)
+    return raw.withColumns(
+        {"_path": F.col("_metadata.file_path"), "value": F.regexp_replace("value", "\u0000$", "")}
+    )
+
+
+def _folder(name: str, pattern: str) -> Column:
+    """Part of the path: from name=value folders where there are such, else by the pattern."""
+    return F.coalesce(name, F.regexp_extract("_path", pattern, 1)).alias(name)
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines that are neither blank nor comments."""
     return (

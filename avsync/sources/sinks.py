@@ -178,15 +178,18 @@ def write_batch_report(report: DataFrame, path: str) -> None:
     write_json(report, path)
 
 
-def write_artifacts(texts: DataFrame, path: str, text: str = "text") -> None:
-    """Texts below video, short id and mode folders."""
-    rows = texts.select(
-        "video_id", F.substring("id", 1, 8).alias("id8"), "mode", F.col(text).alias("value")
-    )
-    rows.write.partitionBy("video_id", "id8", "mode").option("lineSep", "\u0000").text(path)
+def write_by_folder(rows: DataFrame, path: str, by: list[str]) -> None:
+    """One text file per row (value) below its folders.
 
+    Rows of one video go to one writer at a time, salted by the last folder, so a
+    writer holds few folders and a long video is written by many.
+    """
+    salt = F.pmod(F.xxhash64(by[-1]), F.lit(64))
+    spread = rows.select(*by, "value").repartition(*by[:1], salt).sortWithinPartitions(*by)
+    spread.write.partitionBy(*by).option("lineSep", "\u0000").text(path)
 
-def read_artifacts(spark, path: str) -> DataFrame:
-    """(video_id, id8, mode, text) of ``write_artifacts``."""
-    rows = spark.read.schema("value string, video_id string, id8 string, mode string").option("lineSep", "\u0000").text(path)
-    return rows.select("video_id", "id8", "mode", F.col("value").alias("text"))
+
+def write_artifacts(texts: DataFrame, path: str, text: str = "text") -> None:
+    """Texts below video, short id and mode folders."""
+    rows = texts.select("video_id", F.substring("id", 1, 8).alias("id8"), "mode", F.col(text).alias("value"))
+    write_by_folder(rows, path, ["video_id", "id8", "mode"])

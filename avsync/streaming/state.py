@@ -40,7 +40,7 @@ def stall_detect(stream: DataFrame, seconds: float = 30.0, lateness: str = "10 m
     )
 
 
-def stall_gaps(rows: DataFrame, seconds: float = 30.0, order: str = "ord", max_rows: int | None = None) -> DataFrame:
+def stall_gaps(rows: DataFrame, seconds: float = 30.0, order: str = "ord", max_rows: float | None = None) -> DataFrame:
     """Batch form: pairs of neighbouring rows more than ``seconds`` apart."""
     from avsync.operators import ordered
     from avsync.operators.ordered import find_cuts

@@ -29,7 +29,9 @@ class Tables:
     def stream(self, name: str) -> DataFrame:
         """The same table as a file stream."""
         path = f"{self.folder}/{name}.parquet"
-        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{self.folder}/{name}*.parquet")
+        rows = self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{self.folder}/{name}*.parquet")
+        # event time must carry a zone; the files hold UTC
+        return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
     def new_dir(self, name: str) -> str:
         return new_dir(self.spark, name)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from avsync.operators import folds, vectors
 from avsync.plans import context, detect, explain, infer, keyframes, manifest
+from avsync.session import settle
 from avsync.streaming import state
 from workload.base import long, query, r6
 from workload.groups import _SIM
@@ -101,7 +102,7 @@ def _(t):
 @query("F5_fill_to_minimum", "SELECT video_id, t FROM final_t EXCEPT SELECT video_id, t FROM first_pick", _LOW)
 def _(t):
     frames = t.frames
-    first = folds.select_per_scene(keyframes.scenes_of(frames, floor=-1.0)).select("video_id", "t", "ord")
+    first = settle(folds.select_per_scene(keyframes.scenes_of(frames, floor=-1.0)).select("video_id", "t", "ord"))
     want = F.greatest(F.lit(5), F.floor(F.col("duration_seconds") / 60 * 1.5)).alias("target_min")
     chosen = t.video_durations.select("video_id", want).join(first, "video_id", "left")
     rest = frames.where("is_educational").join(first, ["video_id", "t", "ord"], "left_anti")
