@@ -32,29 +32,40 @@ def _touched() -> str:
     return rf"{FLAGS}[{''.join(re.escape(m) for m in sorted(marks))}]|\b(?:{words})\b|{phrases}"
 
 
-def _regex(text: Column, find: str, put: str) -> Column:
-    return F.regexp_replace(text, FLAGS + find, re.sub(r"\\(\d)", r"$\1", put))
+def _bound(value: Column, make) -> Column:
+    """``make(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
-def _replace_in_order(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Replace literal texts one after the other; alphabetic ones as whole words only.
+def _where_seen(text: Column, mark: str, find: str, put: str) -> Column:
+    """Replace a pattern in texts that hold ``mark``, without which it cannot match."""
+    put = re.sub(r"\\(\d)", r"$\1", put)
+    return _bound(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, find, put)).otherwise(t))
 
-    One fold over a literal list: the text so far is a bound value, and a symbol that
-    does not occur costs one byte search.
-    """
-    table = F.array(
-        *[
-            F.struct(F.lit(f).alias("find"), F.lit(p).alias("put"), F.lit(f.isalpha()).alias("word"))
-            for f, p in pairs
-        ]
-    )
-    return F.aggregate(
-        table,
-        text,
-        lambda acc, r: F.when(~F.contains(acc, r["find"]), acc)
-        .when(r["word"], F.regexp_replace(acc, F.concat(F.lit(FLAGS + r"\b"), r["find"], F.lit(r"\b")), r["put"]))
-        .otherwise(F.replace(acc, r["find"], r["put"])),
-    )
+
+def _mark(pattern: str) -> str:
+    """A piece of text that every match of a notation pattern holds."""
+    return next(m for m in ("∫", "/", "_", "^", "(") if m in pattern.replace("[^", "").replace(r"\(", "("))
+
+
+def _chain(text: Column, spaced: bool, ascii_only: bool) -> Column:
+    """All rules in order; an ASCII text skips the rules for other symbols, and needs no Unicode classes."""
+    flags = "" if ascii_only else FLAGS
+    out = text
+    for find, put in fixed.MATH_PATTERNS:
+        if not ascii_only or find.isascii():
+            out = _where_seen(out, _mark(find), flags + find, put)
+    for symbol, spoken in fixed.MATH_SYMBOLS:
+        if ascii_only and not symbol.isascii():
+            continue
+        if symbol.isalpha():
+            out = _where_seen(out, symbol, rf"{flags}\b{symbol}\b", spoken)
+        else:
+            out = F.replace(out, F.lit(symbol), F.lit(spoken))
+    out = _where_seen(out, "(", flags + fixed.MATH_CALL[0], fixed.MATH_CALL[1])
+    for find, put in fixed.MATH_OPERATORS:
+        out = F.replace(out, F.lit(find), F.lit(f" {put} " if spaced and len(find) == 1 else put))
+    return out
 
 
 def linearize_math(text: Column, spaced: bool = False) -> Column:
@@ -62,20 +73,18 @@ def linearize_math(text: Column, spaced: bool = False) -> Column:
 
     ``spaced`` puts spaces around the words for = + - * /.
     """
-    out = text
-    for find, put in fixed.MATH_PATTERNS:
-        out = _regex(out, find, put)
-    out = _replace_in_order(out, fixed.MATH_SYMBOLS)
-    out = _regex(out, *fixed.MATH_CALL)
-    for find, put in _operators(spaced):
-        out = F.replace(out, F.lit(find), F.lit(put))
-    out = F.when(text.rlike(_touched()), out).otherwise(text)
-    out = strip(F.regexp_replace(out, SPACE, " "))
-    return F.when(text.isNull(), "").when(strip(text) == "", text).otherwise(out)
-
-
-def _operators(spaced: bool) -> list[tuple[str, str]]:
-    return [(f, f" {p} " if spaced and len(f) == 1 else p) for f, p in fixed.MATH_OPERATORS]
+
+    def speak(t: Column) -> Column:
+        spoken = (
+            F.when(~t.rlike(_touched()), t)
+            .when(F.length(t) == F.octet_length(t), _chain(t, spaced, True))
+            .otherwise(_chain(t, spaced, False))
+        )
+        tidy = strip(F.regexp_replace(spoken, SPACE, " "))
+        # only a blank text has nothing left
+        return F.when(t.isNull(), "").otherwise(_bound(tidy, lambda y: F.when(y == "", t).otherwise(y)))
+
+    return _bound(text, speak)
 
 
 def linearize_snapshot(snapshot: Column, fields: list[str], spaced: bool = False) -> Column:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from avsync.operators import ordered
 from avsync.operators.ordered import CHUNK, Cuts, find_cuts, row_limit
@@ -114,38 +115,38 @@ def accept_chain(
     start: float | None = None,
     max_rows: float | None = None,
 ) -> DataFrame:
-    """Accepted (video_id, t) of items (video_id, t[, cover]), t distinct per video.
+    """Accepted rows of items (video_id, t[, cover], ...), t distinct per video.
 
     In time order an item is accepted if t - last >= gap and, where ``cover`` is not
     NULL, cover - last >= cover_gap. ``start`` is the first ``last``; None accepts
-    the first item.
+    the first item. The rows keep their other columns.
     """
+    out = T.StructType([f for f in items.schema.fields if f.name != "cover"])
+    names = out.names
     if "cover" not in items.columns:
         items = items.withColumn("cover", F.lit(None).cast("double"))
-    items = items.select("video_id", "t", "cover")
-    video = items.schema["video_id"].dataType.simpleString()
     cuts = find_cuts(items, ["video_id"], ["t"], max_rows, min_width=2 * max(gap, cover_gap))
 
+    def numbers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return table["t"].to_numpy(), table["cover"].to_numpy(zero_copy_only=False).astype(float)
+
     def walk(table: pa.Table) -> pa.Table:
         table = table.sort_by("t")
-        t = table["t"].to_numpy()
-        cover = table["cover"].to_numpy(zero_copy_only=False).astype(float)
         last = start
         if "entry" in table.column_names:
             last = table["entry"][0].as_py()
             last = start if last is None else last
-        return table.take(pa.array(_walk(t, cover, last, gap, cover_gap))).select(["video_id", "t"])
+        return table.take(pa.array(_walk(*numbers(table), last, gap, cover_gap))).select(names)
 
-    schema = f"video_id {video}, t double"
     if not cuts.any:
-        return items.groupBy("video_id").applyInArrow(walk, schema)
+        return items.groupBy("video_id").applyInArrow(walk, out)
 
-    chunked = cuts.chunked(items)
+    video = items.schema["video_id"].dataType.simpleString()
+    chunked = settle(cuts.chunked(items), "chain")  # read for the step tables and for the walk
 
     def steps(table: pa.Table) -> pa.Table:
         table = table.sort_by("t")
-        t = table["t"].to_numpy()
-        cover = table["cover"].to_numpy(zero_copy_only=False).astype(float)
+        t, cover = numbers(table)
         kept = _steps(t, cover, gap, cover_gap)
         first = _walk(t, cover, start, gap, cover_gap)
         return pa.table(
@@ -162,7 +163,8 @@ def accept_chain(
     step_schema = (
         f"video_id {video}, {CHUNK} int, at array<double>, cover array<double>, exit array<double>, first_exit double"
     )
-    tables = chunked.where("_long").groupBy(*cuts.group).applyInArrow(steps, step_schema)
+    narrow = chunked.where("_long").select(*cuts.group, "t", "cover")
+    tables = narrow.groupBy(*cuts.group).applyInArrow(steps, step_schema)
 
     def follow(table: pa.Table) -> pa.Table:
         table = table.sort_by(CHUNK)
@@ -183,7 +185,7 @@ def accept_chain(
     # one small row per chunk of a long video
     entries = tables.groupBy("video_id").applyInArrow(follow, f"video_id {video}, {CHUNK} int, entry double")
     entered = chunked.join(F.broadcast(entries), cuts.group, "left")
-    return entered.select(*cuts.group, "t", "cover", "entry").groupBy(*cuts.group).applyInArrow(walk, schema)
+    return entered.drop("_long").groupBy(*cuts.group).applyInArrow(walk, out)
 
 
 def suppress_close(
@@ -196,11 +198,8 @@ def suppress_close(
     """
     max_rows = row_limit(rows, max_rows=max_rows)
     rest = [c for c in rows.columns if c not in ("video_id", "t")]
-    firsts = rows.groupBy("video_id", "t").agg(
-        F.min_by(F.struct(*rest), F.struct(order)).alias("r")
-    )
-    kept = accept_chain(firsts.select("video_id", "t"), gap, max_rows=max_rows)
-    return firsts.join(kept, ["video_id", "t"]).select("video_id", "t", "r.*")
+    firsts = rows.groupBy("video_id", "t").agg(F.min_by(F.struct(*rest), F.struct(order)).alias("r"))
+    return accept_chain(firsts.select("video_id", "t", "r.*"), gap, max_rows=max_rows)
 
 
 # --- scenes -----------------------------------------------------------------
@@ -219,7 +218,7 @@ def scene_boundaries(
     marks = flagged.where("changed").select("video_id", "t", order).unionByName(firsts)
     marks = marks.groupBy("video_id", "t").agg(F.min(order).alias(order))
     # at the first time of a video its first row wins over a flagged row of equal time
-    return marks.join(accept_chain(marks, min_gap, max_rows=max_rows), ["video_id", "t"]).select("video_id", "t", order)
+    return accept_chain(marks, min_gap, max_rows=max_rows)
 
 
 def assign_scenes(
@@ -269,7 +268,7 @@ def select_per_scene(
         F.when(F.col("_edu").isNull(), F.col("_start")).alias("cover"),
     ).withColumn("t", F.col("best.t"))
     kept = accept_chain(best, min_gap, max_gap, start=-min_gap, max_rows=max_rows)
-    return best.drop("cover").join(kept, ["video_id", "t"]).select("video_id", "scene_id", "best.*")
+    return kept.select("video_id", "scene_id", "best.*")
 
 
 # --- fill and sample --------------------------------------------------------

@@ -73,7 +73,7 @@ def find_cuts(
 ) -> Cuts:
     """Find the long keys and sampled cut points in them.
 
-    ``order`` columns are ascending, not NULL, and distinct as a tuple within a key.
+    ``order`` columns are ascending and not NULL. Rows of equal order stay in one chunk.
     The driver receives one row per long key and a bounded sample, never a group.
     ``min_width`` keeps that distance between cuts on the first order column.
     """
@@ -117,7 +117,7 @@ def find_cuts(
 class Scan:
     """One running value. ``value`` is an expression over the input columns."""
 
-    kind: str  # lag, lead, row_number, sum, last, next, next_min
+    kind: str  # lag, lead, row_number, sum, last, next, max, next_min
     value: Column | None = None
 
 
@@ -149,8 +149,13 @@ def next_known(value: Column) -> Scan:
     return Scan("next", value)
 
 
+def max_so_far(value: Column) -> Scan:
+    """Largest non-NULL value up to the row and rows of equal order."""
+    return Scan("max", value)
+
+
 def next_min(value: Column) -> Scan:
-    """Smallest non-NULL value from the row on."""
+    """Smallest non-NULL value from the row and rows of equal order on."""
     return Scan("next_min", value)
 
 
@@ -170,7 +175,8 @@ def scan(df: DataFrame, cuts: Cuts, **scans: Scan) -> DataFrame:
             "sum": lambda: F.sum(s.value).over(up.rowsBetween(*so_far)),
             "last": lambda: F.last(s.value, ignorenulls=True).over(up.rowsBetween(*so_far)),
             "next": lambda: F.last(s.value, ignorenulls=True).over(down.rowsBetween(*so_far)),
-            "next_min": lambda: F.min(s.value).over(down.rowsBetween(*so_far)),
+            "max": lambda: F.max(s.value).over(up.rangeBetween(*so_far)),
+            "next_min": lambda: F.min(s.value).over(down.rangeBetween(*so_far)),
         }[s.kind]()
         rows = rows.withColumn(name, local)
     if not cuts.any:
@@ -188,6 +194,7 @@ def scan(df: DataFrame, cuts: Cuts, **scans: Scan) -> DataFrame:
             if s.kind == "sum"
             else None,
             "last": F.coalesce(F.col(name), carry) if s.kind in ("last", "next") else None,
+            "max": F.greatest(F.col(name), carry) if s.kind == "max" else None,
             "next_min": F.least(F.col(name), carry) if s.kind == "next_min" else None,
         }[{"lead": "lag", "next": "last"}.get(s.kind, s.kind)]
     return rows.withColumns(out).drop(CHUNK, "_long", *[f"_c_{n}" for n in scans])
@@ -208,6 +215,7 @@ def _carry(cuts: Cuts, rows: DataFrame, scans: dict[str, Scan], boxed: dict[str,
             "sum": lambda: F.sum(s.value),
             "last": lambda: F.max_by(s.value, known),
             "next": lambda: F.min_by(s.value, known),
+            "max": lambda: F.max(s.value),
             "next_min": lambda: F.min(s.value),
         }[s.kind]()
         summary.append(part.alias(f"_s_{name}"))
@@ -219,6 +227,7 @@ def _carry(cuts: Cuts, rows: DataFrame, scans: dict[str, Scan], boxed: dict[str,
             "sum": lambda: F.sum(col).over(before),
             "last": lambda: F.last(col, ignorenulls=True).over(before),
             "next": lambda: F.last(col, ignorenulls=True).over(after),
+            "max": lambda: F.max(col).over(before),
             "next_min": lambda: F.min(col).over(after),
         }[s.kind]()
     return rows.groupBy(*cuts.group).agg(*summary).withColumns(between).select(*cuts.group, *between)

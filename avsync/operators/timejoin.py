@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avsync.operators import ordered
-from avsync.operators.ordered import find_cuts, last_known, next_known, next_min, row_limit, running_sum
+from avsync.operators.ordered import find_cuts, max_so_far, next_min, row_limit
 
 MATCH_WINDOW = 30.0
 SNAPSHOT_WINDOW = 30.0
@@ -50,67 +50,50 @@ def match_times(
 ) -> DataFrame:
     """(video_id, t, seg_idx) for each distinct time, seg_idx NULL without a match.
 
-    One row per distinct time of queries and segment ends. Read from the row on, the
-    smallest idx among later ends is the first segment not over by t; if it has begun
-    it is the answer. If it has not, the counts of starts and ends tell whether any
-    other segment holds t; only those times go through ``_sweep``.
+    Distinct times of queries and segment ends lie on one line per video. Seen from the
+    row on, the smallest idx among later ends is the first segment not over by t; if it
+    has begun by t it is the answer. If it has not, no segment holds t as long as starts
+    rise with idx; where they do not, those times go through ``_sweep``.
     """
     max_rows = row_limit(times, segments, segments, max_rows=max_rows)
     seg = segments.select("video_id", F.col("idx").cast("long").alias("idx"), "start", "end")
-    begun = F.when(F.col("end") >= F.col("start"), F.lit(1)).otherwise(F.lit(0))
-    ends = seg.select(
-        "video_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("start").alias("t"), F.lit(False).alias("is_end"), begun.alias("n")),
-                F.struct(F.col("end").alias("t"), F.lit(True).alias("is_end"), begun.alias("n")),
-            )
-        ).alias("e"),
-        "idx",
-        "start",
-    ).select("video_id", "e.*", "idx", "start")
-    queries = times.select("video_id", "t").where("t IS NOT NULL").withColumn("asked", F.lit(True))
-    line = (
-        ends.unionByName(queries, allowMissingColumns=True)
+    ends = (
+        seg.select("video_id", "idx", "start", F.explode(F.array("start", "end")).alias("t"), "end")
         .groupBy("video_id", "t")
         .agg(
             F.min("idx").alias("near"),
-            F.min(F.when(F.col("is_end"), F.struct("idx", "start"))).alias("ending"),
-            F.coalesce(F.sum(F.when(~F.col("is_end"), F.col("n"))), F.lit(0)).alias("starts"),
-            F.coalesce(F.sum(F.when(F.col("is_end"), F.col("n"))), F.lit(0)).alias("over"),
-            F.bool_or("asked").alias("asked"),
+            F.min(F.when(F.col("t") == F.col("end"), F.struct("idx", "start"))).alias("ending"),
         )
     )
+    asked = times.select("video_id", "t").where("t IS NOT NULL").distinct().withColumn("asked", F.lit(True))
+    line = ends.unionByName(asked, allowMissingColumns=True)
     cuts = find_cuts(line, ["video_id"], ["t"], max_rows)
-    spot = F.when(F.col("near").isNotNull(), F.struct("t", F.col("near").alias("idx")))
+    known = F.col("near").isNotNull()
     line = ordered.scan(
         line,
         cuts,
-        before=last_known(spot),
-        after=next_known(spot),
+        before=max_so_far(F.when(known, F.struct("t", (-F.col("near")).alias("neg")))),
+        after=next_min(F.when(known, F.struct("t", F.col("near").alias("idx")))),
         first_open=next_min(F.col("ending")),
-        n_started=running_sum(F.col("starts")),
-        n_over=running_sum(F.col("over")),
     ).where("asked")
-    # segments over strictly before t
-    running = F.col("n_started") - F.col("n_over") + F.col("over")
-    holds = F.col("first_open.start") <= F.col("t")
+    holds = F.coalesce(F.col("first_open.start") <= F.col("t"), F.lit(False))
     sides = F.array_compact(
         F.array(
-            F.when(F.col("before").isNotNull(), _side(F.col("t") - F.col("before.t"), F.col("before.idx"))),
+            F.when(F.col("before").isNotNull(), _side(F.col("t") - F.col("before.t"), -F.col("before.neg"))),
             F.when(F.col("after").isNotNull(), _side(F.col("after.t") - F.col("t"), F.col("after.idx"))),
         )
     )
-    best = F.array_min(sides)
-    near = best["idx"] if limit is None else F.when(best["dist"] <= F.lit(float(limit)), best["idx"])
+    line = line.select("video_id", "t", "first_open", holds.alias("holds"), F.array_min(sides).alias("best"))
+    near = F.col("best.idx")
+    if limit is not None:
+        near = F.when(F.col("best.dist") <= F.lit(float(limit)), near)
     line = line.select(
         "video_id",
         "t",
-        F.when(holds, F.col("first_open.idx")).otherwise(near).alias("seg_idx"),
-        ((~F.coalesce(holds, F.lit(False))) & (running > 0)).alias("unsure"),
+        F.when(F.col("holds"), F.col("first_open.idx")).otherwise(near).alias("seg_idx"),
+        (~F.col("holds") & F.col("first_open").isNotNull()).alias("unsure"),
     )
     if not _out_of_order(seg, max_rows):
-        # starts rise with idx: a segment later in the list cannot hold t
         return line.drop("unsure")
     held = _sweep(line.where("unsure").select("video_id", "t"), seg, max_rows)
     return line.join(held, ["video_id", "t"], "left").select(
@@ -202,15 +185,11 @@ def nearest_row(
     """
     max_rows = row_limit(points, others, max_rows=max_rows)
     spots = others.groupBy("video_id", "t").agg(F.min(F.struct(order, F.col(value).alias("v"))).alias("spot"))
-    asked = points.select("video_id", "t").where("t IS NOT NULL").withColumn("asked", F.lit(True))
-    line = (
-        spots.unionByName(asked, allowMissingColumns=True)
-        .groupBy("video_id", "t")
-        .agg(F.min("spot").alias("spot"), F.bool_or("asked").alias("asked"))
-    )
+    asked = points.select("video_id", "t").where("t IS NOT NULL").distinct().withColumn("asked", F.lit(True))
+    line = spots.unionByName(asked, allowMissingColumns=True)
     cuts = find_cuts(line, ["video_id"], ["t"], max_rows)
     spot = F.when(F.col("spot").isNotNull(), F.struct("t", "spot"))
-    line = ordered.scan(line, cuts, before=last_known(spot), after=next_known(spot)).where("asked")
+    line = ordered.scan(line, cuts, before=max_so_far(spot), after=next_min(spot)).where("asked")
     sides = F.array_compact(
         F.array(
             *[
