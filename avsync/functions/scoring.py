@@ -19,20 +19,33 @@ def phrase_hit(text: Column, phrases: list[str]) -> Column:
     return F.coalesce(F.exists(words(phrases), lambda p: F.contains(low, p)), F.lit(False))
 
 
-def fired_rules(
-    text: Column, complexity: Column, deictic: list[str] | None = None, negative: list[str] | None = None
-) -> dict[str, Column]:
-    """The score rules, in the order their names are reported."""
-    complexity = F.coalesce(complexity, F.lit(0.0))
-    high = complexity > fixed.COMPLEX_ABOVE
+def text_rules(text: Column, deictic: list[str] | None = None, negative: list[str] | None = None) -> dict[str, Column]:
+    """The parts of the score rules that depend on the spoken text only."""
     return {
         "deictic": phrase_hit(text, deictic or fixed.DEICTIC),
         "negative": phrase_hit(text, negative or fixed.NEGATIVE_DEICTIC),
-        "silent": F.coalesce(F.length(strip(text)) < fixed.SILENT_CHARS, F.lit(False)) & high,
+        "brief": F.length(strip(text)) < fixed.SILENT_CHARS,
+    }
+
+
+def frame_rules(said: dict[str, Column], complexity: Column) -> dict[str, Column]:
+    """The score rules of a frame, in the order their names are reported; no text fires none of its rules."""
+    high = F.coalesce(complexity, F.lit(0.0)) > fixed.COMPLEX_ABOVE
+    heard = {n: F.coalesce(c, F.lit(False)) for n, c in said.items()}
+    return {
+        "deictic": heard["deictic"],
+        "negative": heard["negative"],
+        "silent": heard["brief"] & high,
         "complex": high,
     }
 
 
+def fired_rules(
+    text: Column, complexity: Column, deictic: list[str] | None = None, negative: list[str] | None = None
+) -> dict[str, Column]:
+    return frame_rules(text_rules(text, deictic, negative), complexity)
+
+
 RULE_NAMES = {
     "deictic": "Deictic",
     "negative": "Negative Deictic",

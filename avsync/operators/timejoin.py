@@ -25,17 +25,11 @@ def match_segment(
 ) -> DataFrame:
     """Points with the segment that holds t, else the nearest within ``limit``.
 
-    Adds seg_idx, seg_start, seg_end, seg_text (NULL without a match). The lowest
-    idx wins among holders and among equally near segments.
+    Adds the segment's columns with seg_ before their names (NULL without a match). The
+    lowest idx wins among holders and among equally near segments.
     """
     found = match_times(points.select("video_id", "t"), segments, limit, max_rows)
-    texts = segments.select(
-        "video_id",
-        F.col("idx").alias("seg_idx"),
-        F.col("start").alias("seg_start"),
-        F.col("end").alias("seg_end"),
-        F.col("text").alias("seg_text"),
-    )
+    texts = segments.select("video_id", *[F.col(c).alias(f"seg_{c}") for c in segments.columns if c != "video_id"])
     found = found.where("seg_idx IS NOT NULL").join(texts, ["video_id", "seg_idx"])
     return points.join(found, ["video_id", "t"], "left")
 
@@ -101,6 +95,11 @@ def match_times(
     )
 
 
+def without_segment(rows: DataFrame) -> DataFrame:
+    """Drop the columns that ``match_segment`` added."""
+    return rows.drop(*[c for c in rows.columns if c.startswith("seg_")])
+
+
 def _side(dist: Column, idx: Column) -> Column:
     return F.struct(dist.alias("dist"), idx.alias("idx"))
 

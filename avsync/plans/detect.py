@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from avsync.functions import scoring
 from avsync.functions.text import format_mmss
-from avsync.operators.ordered import row_limit
 from avsync.operators.folds import REDUNDANCY_SECONDS, suppress_close
-from avsync.operators.timejoin import MATCH_WINDOW, match_segment
+from avsync.operators.ordered import row_limit
+from avsync.operators.timejoin import MATCH_WINDOW, match_segment, without_segment
 
 
 def scored_frames(
@@ -21,8 +21,11 @@ def scored_frames(
     max_rows: float | None = None,
 ) -> DataFrame:
     """Keyframes (video_id, t, ord, complexity, ...) with seg_text, score, trigger_reason, confidence."""
-    matched = match_segment(keyframes, segments, limit, max_rows)
-    rules = scoring.fired_rules(F.col("seg_text"), F.col("complexity"), deictic, negative)
+    # phrases are looked for once per segment, not once per frame
+    said = scoring.text_rules(F.col("text"), deictic, negative)
+    spoken = segments.select("video_id", "idx", "start", "end", "text", *[c.alias(n) for n, c in said.items()])
+    matched = match_segment(keyframes, spoken, limit, max_rows)
+    rules = scoring.frame_rules({n: F.col(f"seg_{n}") for n in said}, F.col("complexity"))
     score = scoring.intervention_score(rules)
     return matched.withColumns(
         {
@@ -51,9 +54,7 @@ def detect_interventions(
     kept = suppress_close(
         scored.where(scoring.is_intervention(F.col("score"), F.col("complexity"))), gap, max_rows=max_rows
     )
-    return kept.withColumn("transcript_context", F.coalesce("seg_text", F.lit(""))).drop(
-        "seg_text", "seg_idx", "seg_start", "seg_end"
-    )
+    return without_segment(kept.withColumn("transcript_context", F.coalesce("seg_text", F.lit(""))))
 
 
 def intervention_rows(points: DataFrame) -> DataFrame:

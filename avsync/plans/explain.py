@@ -11,7 +11,7 @@ from avsync.functions.math_speech import linearize_math
 from avsync.functions.model_json import parse_model_json
 from avsync.functions.prompts import render_prompt
 from avsync.operators.library import explanation_queue
-from avsync.operators.timejoin import nearest_segment
+from avsync.operators.timejoin import nearest_segment, without_segment
 from avsync.plans.context import build_context
 from avsync.plans.infer import Loader, infer
 from avsync.session import settle
@@ -45,7 +45,7 @@ def prepare_explanations(
         "intervention_id",
     )
     spoken = nearest_segment(todo, segments, max_rows).withColumn("transcript_context", F.coalesce("seg_text", F.lit("")))
-    spoken = spoken.drop("seg_idx", "seg_start", "seg_end", "seg_text").withColumn("mode", F.col("output_mode"))
+    spoken = without_segment(spoken).withColumn("mode", F.col("output_mode"))
     # read by the text match, by the context and by the answers
     context = build_context(settle(spoken, "spoken"), segments, **lexicons)
     snap = parse_model_json(F.col("answer"), policy, F.col("content_type"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from avsync.operators.library import segments_with_interventions
-from avsync.operators.timejoin import nearest_frame, nearest_segment
+from avsync.operators.timejoin import nearest_frame, nearest_segment, without_segment
 from avsync.sources.sinks import interventions_manifest_documents, manifest_documents
 
 
@@ -49,7 +49,7 @@ def interventions_rows(
 ) -> DataFrame:
     """Snapshots (video_id, t, ord, snapshot_id, content_type) with spoken text, frame and explanation."""
     spoken = nearest_segment(snapshots, segments).withColumn("transcript_context", F.coalesce("seg_text", F.lit("")))
-    spoken = spoken.drop("seg_idx", "seg_start", "seg_end", "seg_text")
+    spoken = without_segment(spoken)
     framed = nearest_frame(spoken, frames, existing).drop("distance")
     told = framed.join(explanations.select("snapshot_id", "explanation"), "snapshot_id", "left")
     return told.withColumn("explanation", F.coalesce("explanation", "transcript_context"))
