@@ -80,7 +80,7 @@ def read_interventions(spark: SparkSession, path: str, multi_line: bool = True)
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Model answers: video_id and id8 from the path, the whole answer as VARIANT."""
-    raw = _whole_texts(spark, path, "video_id string, id8 string")
+    raw = _whole_texts(spark, path)
     snap = F.try_parse_json("value")
     return raw.select(
         _folder("video_id", r"([^/]+)/interventions/[^/]+/[^/]+$"),
@@ -92,7 +92,7 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def read_explanations(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, id8, mode, text) of texts stored by video, short id and mode."""
-    raw = _whole_texts(spark, path, "video_id string, id8 string, mode string")
+    raw = _whole_texts(spark, path)
     return raw.select(
         _folder("video_id", r"([^/]+)/interventions/[^/]+/[^/]+$"),
         _folder("id8", r"/interventions/([^/]+)/[^/]+$"),
@@ -101,9 +101,9 @@ def read_explanations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _whole_texts(spark: SparkSession, path: str, folders: str) -> DataFrame:
+def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; what ``write_by_folder`` put at the end of a text is taken off."""
-    raw = spark.read.schema(f"value string, {folders}").text(path, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return raw.withColumns(
         {"_path": F.col("_metadata.file_path"), "value": F.regexp_replace("value", "\u0000$", "")}
     )
@@ -111,7 +111,8 @@ def _whole_texts(spark: SparkSession, path: str, folders: str) -> DataFrame:
 
 def _folder(name: str, pattern: str) -> Column:
     """Part of the path: from name=value folders where there are such, else by the pattern."""
-    return F.coalesce(name, F.regexp_extract("_path", pattern, 1)).alias(name)
+    named = F.nullif(F.regexp_extract("_path", f"/{name}=([^/]+)/", 1), F.lit(""))
+    return F.url_decode(F.coalesce(named, F.regexp_extract("_path", pattern, 1))).alias(name)
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
