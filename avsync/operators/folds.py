@@ -286,43 +286,77 @@ def fill_to_minimum(
     ``chosen`` is (video_id, t, order, target_min), one row at least per video that
     wants filling (t NULL if none is chosen yet); ``candidates`` is (video_id, t, order,
     complexity) without the chosen rows. Candidates are tried from the most complex
-    on and taken when no taken row is closer than ``spacing``. A video with more than
-    ``max_rows`` candidates is tried slice by slice, best slice first.
+    on and taken when no taken row is closer than ``spacing``.
     """
-    max_rows = max_rows or ordered.MAX_ROWS
-    cand = candidates.withColumn("_down", -F.col("complexity"))
-    order_cols = ["_down", "t", order]
-    cuts = find_cuts(cand, ["video_id"], order_cols, max_rows)
+    cand = candidates.withColumn("_down", -F.col("complexity")).select("video_id", "t", order, "_down")
     chosen = chosen.select("video_id", "t", order, "target_min")
+    spots = cand.select("video_id", "t").unionByName(chosen.where("t IS NOT NULL").select("video_id", "t"))
+    cuts = find_cuts(spots, ["video_id"], ["t"], max_rows, min_width=4 * spacing)
     if not cuts.any:
         return _fill(chosen, cand, spacing, order)
-    ranked = ordered.scan(cand, cuts, _rank=ordered.row_number())
-    ranked = ranked.withColumn("_slice", F.floor((F.col("_rank") - 1) / F.lit(max_rows)))
-    ranked = settle(ranked, "fill-ranked")
-    slices = ranked.agg(F.max("_slice")).first()[0] or 0
+    # who is taken depends on near rows only; the number wanted just ends the list early
+    need = chosen.groupBy("video_id").agg((F.max("target_min") - F.count("t")).alias("_need"))
+    taken = _take_apart(chosen.where("t IS NOT NULL"), cand, spacing, order, cuts)
+    ranks = find_cuts(taken, ["video_id"], ["_down", "t", order], max_rows)
+    ranked = ordered.scan(taken, ranks, _rank=ordered.row_number()).join(need, "video_id")
+    return ranked.where(F.col("_rank") <= F.col("_need")).select("video_id", "t", order)
+
+
+def _take_apart(chosen: DataFrame, cand: DataFrame, spacing: float, order: str, cuts: Cuts) -> DataFrame:
+    """All candidates that are taken, best first, chunk by chunk of time.
+
+    A chunk also sees its neighbours' rows closer than ``spacing``. It decides a row as
+    soon as all better rows near it are decided; rows that wait for another chunk go on
+    to the next round. The best waiting row never waits again, so rounds end.
+    """
+    columns = ["video_id", "t", order, "_down"]
+    video = cand.schema["video_id"].dataType.simpleString()
+    ord_type = cand.schema[order].dataType.simpleString()
+    schema = f"video_id {video}, t double, {order} {ord_type}, _down double, taken boolean"
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_down", "ascending"), ("t", "ascending"), (order, "ascending")])
+        known = table["taken"].to_numpy(zero_copy_only=False).astype(bool)
+        t = table["t"].to_numpy()
+        own = table["_own"].to_numpy(zero_copy_only=False).astype(bool)
+        taken, waiting = sorted(t[known].tolist()), []
+        kept, fate = [], []
+        for i in np.flatnonzero(~known):
+            if _is_near(taken, t[i], spacing):
+                continue
+            waits = not own[i] or _is_near(waiting, t[i], spacing)
+            bisect.insort(waiting if waits else taken, float(t[i]))
+            if own[i]:
+                kept.append(i)
+                fate.append(not waits)
+        out = table.take(pa.array(kept, pa.int64())).select(columns)
+        return out.append_column("taken", pa.array(fate, pa.bool_()))
+
+    def at(rows: DataFrame, shift: float, name: str) -> DataFrame:
+        moved = rows.withColumn("_t", F.col("t")).withColumn("t", F.col("t") + F.lit(shift))
+        placed = cuts.chunked(moved).withColumnRenamed(CHUNK, name)
+        return placed.drop("t", "_long").withColumnRenamed("_t", "t")
+
+    waiting = cand.select(*columns).withColumn("taken", F.lit(False))
+    known = chosen.select("video_id", "t", order, F.lit(0.0).alias("_down"), F.lit(True).alias("taken"))
     added = None
-    for number in range(slices + 1):
-        now = chosen if added is None else chosen.unionByName(
-            added.join(chosen.groupBy("video_id").agg(F.max("target_min").alias("target_min")), "video_id")
-        )
-        # only videos still short; a video has at most target_min chosen rows to carry
-        short = (
-            now.groupBy("video_id")
-            .agg(F.count("t").alias("n"), F.max("target_min").alias("m"))
-            .where("n < m")
-            .select("video_id")
-        )
-        new = _fill(
-            now.join(short, "video_id", "left_semi"),
-            ranked.where(F.col("_slice") == number).join(short, "video_id", "left_semi"),
-            spacing,
-            order,
-        )
-        new = settle(new, "fill-step")
-        if new.isEmpty() and short.isEmpty():
-            break
+    while True:
+        rows = at(at(at(waiting.unionByName(known), -spacing, "_a"), spacing, "_b"), 0.0, "_home")
+        rows = rows.withColumn(CHUNK, F.explode(F.array_distinct(F.array("_a", "_home", "_b"))))
+        rows = rows.withColumn("_own", F.col(CHUNK) == F.col("_home"))
+        rows = rows.select(*cuts.group, "t", order, "_down", "taken", "_own")
+        done = settle(rows.groupBy(*cuts.group).applyInArrow(decide, schema), "fill")
+        new = done.where("taken")
         added = new if added is None else added.unionByName(new)
-    return added
+        known = known.unionByName(new)
+        waiting = done.where("NOT taken")
+        if waiting.isEmpty():
+            return added.select(*columns)
+
+
+def _is_near(times: list[float], t: float, spacing: float) -> bool:
+    at = bisect.bisect_left(times, t)
+    return any(abs(t - x) < spacing for x in times[max(at - 1, 0) : at + 1])
 
 
 def _fill(chosen: DataFrame, cand: DataFrame, spacing: float, order: str) -> DataFrame:
@@ -339,10 +373,8 @@ def _fill(chosen: DataFrame, cand: DataFrame, spacing: float, order: str) -> Dat
         for i, t in enumerate(right["t"].to_numpy()):
             if len(picked) >= wanted:
                 break
-            at = bisect.bisect_left(taken, t)
-            near = taken[max(at - 1, 0) : at + 1]
-            if all(abs(t - x) >= spacing for x in near):
-                taken.insert(at, float(t))
+            if not _is_near(taken, t, spacing):
+                bisect.insort(taken, float(t))
                 picked.append(i)
         return right.take(pa.array(picked, pa.int64())).select(["video_id", "t", order])
 
