@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_ROWS = 1_000_000
-SAMPLES_PER_CHUNK = 32
+SAMPLES_PER_CHUNK = 8
 CHUNK = "_chunk"
 
 
