@@ -83,17 +83,16 @@ def _(t):
     return folds.select_per_scene(keyframes.scenes_of(t.frames)).select("video_id", "t")
 
 
-@query(
-    "F4_change_point_sample",
-    """SELECT video_id, idx FROM sampled WHERE kept""",
-    {
-        "rowed": "SELECT video_id, ord % 50 AS idx, embedding FROM frames",
-        "sampled": """SELECT video_id, idx, true AS kept, idx AS last, embedding AS vec FROM rowed WHERE idx = 0 UNION ALL
-            SELECT r.video_id, r.idx, c.hit, CASE WHEN c.hit THEN r.idx ELSE s.last END, CASE WHEN c.hit THEN r.embedding ELSE s.vec END
-            FROM sampled s JOIN rowed r ON r.video_id = s.video_id AND r.idx = s.idx + 1,
-            LATERAL (SELECT r.idx - s.last >= 15 OR (r.idx - s.last >= 2 AND list_inner_product(s.vec, r.embedding) < -0.1) AS hit) c""",
-    },
-)
+_F4 = {
+    "rowed": "SELECT video_id, ord % 50 AS idx, embedding FROM frames",
+    "sampled": """SELECT video_id, idx, true AS kept, idx AS last, embedding AS vec FROM rowed WHERE idx = 0 UNION ALL
+        SELECT r.video_id, r.idx, c.hit, CASE WHEN c.hit THEN r.idx ELSE s.last END, CASE WHEN c.hit THEN r.embedding ELSE s.vec END
+        FROM sampled s JOIN rowed r ON r.video_id = s.video_id AND r.idx = s.idx + 1,
+        LATERAL (SELECT r.idx - s.last >= 15 OR (r.idx - s.last >= 2 AND list_inner_product(s.vec, r.embedding) < -0.1) AS hit) c""",
+}
+
+
+@query("F4_change_point_sample", "SELECT video_id, idx FROM sampled WHERE kept", _F4)
 def _(t):
     rows = t.frames.select("video_id", (F.col("ord") % 50).alias("idx"), "embedding")
     return folds.change_point_sample(rows, threshold=-0.1, min_gap=2)
@@ -346,15 +345,33 @@ def _timed(t):
     )
 
 
-@query("I1_sample_rate")
+_EPOCH = "CAST(floor(epoch(ts)) AS BIGINT)"
+
+
+@query(
+    "I1_sample_rate",
+    f"""SELECT video_id, hour, arg_min(event_id, (ts, event_id)) AS ord FROM (SELECT user_id % 100 AS video_id, {_EPOCH} // 3600 AS hour,
+    ts, event_id FROM events) WHERE to_timestamp((hour + 1) * 3600) AT TIME ZONE 'UTC' <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+    GROUP BY video_id, hour""",
+)
 def _(t):
+    # the windows that the watermark has closed when the table is through
     rows = drained(t, state.sample_rate(_timed(t), 3600.0), "sampled")
-    return rows.select("video_id", "window_start", "ord")
+    return rows.select("video_id", F.floor(F.unix_timestamp("window_start") / 3600).alias("hour"), "ord")
 
 
-@query("I2_stall_detect")
+@query(
+    "I2_stall_detect",
+    f"""SELECT video_id, min(s) AS first_s, max(s) AS last_s, count(*) AS n_rows FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END)
+    OVER (PARTITION BY video_id ORDER BY ts, event_id) AS run FROM (SELECT user_id % 100 AS video_id, ts, event_id, {_EPOCH} AS s,
+    coalesce(ts - lag(ts) OVER (PARTITION BY user_id % 100 ORDER BY ts, event_id) > INTERVAL 2 HOUR, true) AS gap FROM events))
+    GROUP BY video_id, run HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
 def _(t):
-    return drained(t, state.stall_detect(_timed(t), 7200.0), "stalls")
+    rows = drained(t, state.stall_detect(_timed(t), 7200.0), "stalls")
+    return rows.select(
+        "video_id", F.unix_timestamp("first_row").alias("first_s"), F.unix_timestamp("last_row").alias("last_s"), "n_rows"
+    )
 
 
 @query("I3_suppress_close_stream", "SELECT video_id, t FROM kept", _F1)
@@ -363,7 +380,7 @@ def _(t):
     return drained(t, state.suppress_close_stream(stream), "kept").select("video_id", "t")
 
 
-@query("I4_change_point_stream")
+@query("I4_change_point_stream", "SELECT video_id, idx FROM sampled WHERE kept", _F4)
 def _(t):
     e = t.stream("embeddings")
     rows = e.select(
