@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from avsync import fixed
 from avsync.functions.scoring import words
+from avsync.functions.text import first_case, strip
 
 MAX_ENTRIES = 10_000
 
@@ -44,11 +45,12 @@ def principles_of(concepts: Column, table: dict[str, list[str]] | None = None) -
 def topic_of(text: Column, topics: dict[str, list[str]] | None = None) -> Column:
     """First topic with a keyword in the text; NULL without any."""
     low = F.lower(text)
-    out = F
-    for name, terms in (fixed.TOPICS if topics is None else topics).items():
-        if name != "unknown":
-            out = out.when(F.exists(words(terms), lambda t: F.contains(low, t)), name)
-    return out.otherwise(F.lit(None).cast("string"))
+    cases = [
+        (F.exists(words(terms), lambda t: F.contains(low, t)), F.lit(name))
+        for name, terms in (fixed.TOPICS if topics is None else topics).items()
+        if name != "unknown"
+    ]
+    return first_case(cases, F.lit(None).cast("string"))
 
 
 def knowledge_entries(knowledge: Knowledge) -> Column:
@@ -61,7 +63,7 @@ def knowledge_entries(knowledge: Knowledge) -> Column:
 
 
 def _norm(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"(?U)^\s+|\s+$", ""))
+    return F.lower(strip(word))
 
 
 def _alike(entry: Column, concept: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from avsync import fixed
-from avsync.functions.text import SPACE, strip
+from avsync.functions.text import SPACE, bound, strip
 
 # (?d): a dot stops at \n only; (?U): digits, spaces and word edges of all scripts
 FLAGS = "(?dU)"
@@ -32,15 +32,10 @@ def _touched() -> str:
     return rf"{FLAGS}[{''.join(re.escape(m) for m in sorted(marks))}]|\b(?:{words})\b|{phrases}"
 
 
-def _bound(value: Column, make) -> Column:
-    """``make(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
-
-
 def _where_seen(text: Column, mark: str, find: str, put: str) -> Column:
     """Replace a pattern in texts that hold ``mark``, without which it cannot match."""
     put = re.sub(r"\\(\d)", r"$\1", put)
-    return _bound(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, find, put)).otherwise(t))
+    return bound(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, find, put)).otherwise(t))
 
 
 def _mark(pattern: str) -> str:
@@ -82,9 +77,9 @@ def linearize_math(text: Column, spaced: bool = False) -> Column:
         )
         tidy = strip(F.regexp_replace(spoken, SPACE, " "))
         # only a blank text has nothing left
-        return F.when(t.isNull(), "").otherwise(_bound(tidy, lambda y: F.when(y == "", t).otherwise(y)))
+        return F.when(t.isNull(), "").otherwise(bound(tidy, lambda y: F.when(y == "", t).otherwise(y)))
 
-    return _bound(text, speak)
+    return bound(text, speak)
 
 
 def linearize_snapshot(snapshot: Column, fields: list[str], spaced: bool = False) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from avsync.functions.text import bound
+
 TEXT_FIELDS = ["layout", "text_readout", "spatial_map", "colors_styles"]
 
 
@@ -33,7 +35,7 @@ def _object(text: Column) -> Column:
 def _bound(clean: Column, make: Callable[[Column, Column], Column], obj: Column | None = None) -> Column:
     """``make(clean text, object)`` with both worked out once per row."""
     pair = F.struct(clean.alias("text"), (_object(clean) if obj is None else obj).alias("obj"))
-    return F.get(F.transform(F.array(pair), lambda p: make(p["text"], p["obj"])), F.lit(0))
+    return bound(pair, lambda p: make(p["text"], p["obj"]))
 
 
 def _has(obj: Column, key: str) -> Column:

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from avsync.functions.text import first_case
+
 COMMON = (
     "Types on screen: {detected_types}\nVisual data: {visual_analysis}\nStructure: {structural_description}\n"
     "Hints: {conceptual_hints}\nSpoken now: {transcript_context}\nEarlier concepts: {previous_concepts}\n"
@@ -65,11 +67,8 @@ def render_prompt(mode: Column, fields: dict[str, Column], templates: dict[str,
     for name in f:
         f[name] = F.coalesce(f[name].cast("string"), F.lit(""))
     templates = MODE_TEMPLATES if templates is None else templates
-    out = F
-    for name, template in templates.items():
-        if name:
-            out = out.when(mode == name, fill(template, f))
-    return out.otherwise(fill(templates[""], f))
+    named = [(mode == name, fill(template, f)) for name, template in templates.items() if name]
+    return first_case(named, fill(templates[""], f))
 
 
 def render_vision_prompt(

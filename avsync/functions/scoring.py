@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from avsync import fixed
-from avsync.functions.text import strip
+from avsync.functions.text import first_case, strip
 
 
 def words(terms: list[str]) -> Column:
@@ -82,10 +82,8 @@ def gate_content_type(content_type: Column, confidence_proxy: Column, minimum: f
 
 def category_of(content_type: Column) -> Column:
     low = F.lower(content_type)
-    out = F
-    for part, name in fixed.CATEGORY_LADDER:
-        out = out.when(F.contains(low, F.lit(part)), name)
-    return out.otherwise("unknown")
+    ladder = [(F.contains(low, F.lit(part)), F.lit(name)) for part, name in fixed.CATEGORY_LADDER]
+    return first_case(ladder, F.lit("unknown"))
 
 
 def subject_of(content_type: Column) -> Column:
@@ -130,14 +128,14 @@ def keyframe_confidence(is_educational: Column, complexity: Column) -> Column:
 def mismatch_flag(content_type: Column, text_readout: Column, table: dict[str, list[str]] | None = None,
                   whole_word: bool = False) -> Column:
     """A word that does not belong to this content type occurs in the text."""
-    out = F
+    cases = []
     for name, terms in (fixed.MISMATCHES if table is None else table).items():
         if whole_word:
             hit = F.lower(text_readout).rlike(r"(?U)\b(?:" + "|".join(terms) + r")\b")
         else:
             hit = phrase_hit(text_readout, terms)
-        out = out.when(content_type == name, hit)
-    return F.coalesce(out.otherwise(F.lit(False)), F.lit(False))
+        cases.append((content_type == name, hit))
+    return F.coalesce(first_case(cases, F.lit(False)), F.lit(False))
 
 
 def missing_gate(missing_elements: Column) -> Column:

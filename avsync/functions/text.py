@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,19 @@ SPACE = r"(?U)\s+"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with the value worked out once per row."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def first_case(cases: list[tuple[Column, Column]], default: Column) -> Column:
+    """Value of the first condition that holds, else the default."""
+    out = None
+    for condition, value in cases:
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return default if out is None else out.otherwise(default)
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
     return F.regexp_replace(text, EDGE_SPACE, "")

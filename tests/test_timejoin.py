@@ -67,9 +67,9 @@ def test_nearest_row_equals_loop(spark, max_rows):
     rng = random.Random(5)
     others = [("v", round(rng.uniform(0, 300)), i, f"s{i}") for i in range(30)]
     points = sorted({round(rng.uniform(-50, 350), 1) for _ in range(60)})
-    o = spark.createDataFrame(others, "video_id string, t double, ord int, snapshot_id string") if False else (
-        spark.createDataFrame([(v, float(t), i, s) for v, t, i, s in others],
-                              "video_id string, t double, ord int, snapshot_id string"))
+    o = spark.createDataFrame(
+        [(v, float(t), i, s) for v, t, i, s in others], "video_id string, t double, ord int, snapshot_id string"
+    )
     p = spark.createDataFrame([("v", t) for t in points], "video_id string, t double")
     got = {r.t: r.snapshot_id for r in timejoin.nearest_snapshot(p, o, 9.0, max_rows=max_rows).collect()}
     for t in points:

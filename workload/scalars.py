@@ -315,12 +315,12 @@ REASON_SQL = """coalesce(nullif(concat_ws(' + ', CASE WHEN dei THEN 'Deictic' EN
 _RULED = {
     "ruled": "SELECT video_id, idx, "
     + ", ".join(f"{v} AS {k}" for k, v in RULES_SQL.items())
-    + " FROM (SELECT video_id, idx, left(text, 6 + CAST(idx AS INTEGER) * 40) AS x, (idx % 5) / 10.0::DOUBLE AS c FROM segments)"
+    + " FROM (SELECT video_id, idx, CASE WHEN idx % 4 = 0 THEN ' so' || chr(10) ELSE text END AS x, (idx % 5) / 10.0::DOUBLE AS c FROM segments)"
 }
 
 
 def _rules(t):
-    x = F.substring("text", F.lit(1), (F.lit(6) + F.col("idx") * 40).cast("int"))
+    x = F.when(F.col("idx") % 4 == 0, " so\n").otherwise(F.col("text"))
     return t.segments, scoring.fired_rules(x, F.col("idx") % 5 / 10.0, DEICTIC, NEGATIVE)
 
 
@@ -443,10 +443,11 @@ def _(t):
     "B30_illegible_ratio",
     """SELECT video_id, idx, round(n / nullif(r, 0), 6) AS ratio, CASE WHEN r > 0 AND n / r > 0.2 AND idx % 2 = 0
     THEN 'OCR fallback required' END AS missing_elements FROM (SELECT video_id, idx, CAST(idx AS DOUBLE) AS n,
-    length(regexp_replace(left(text, 30), '^\\s+|\\s+$', '', 'g')) AS r FROM segments)""",
+    length(regexp_replace(CASE WHEN idx % 3 = 2 THEN 'x = 2' ELSE text END, '^\\s+|\\s+$', '', 'g')) AS r FROM segments)""",
 )
 def _(t):
-    x = F.concat(F.expr("repeat('[ILLEGIBLE]', cast(idx as int))"), F.substring("text", 1, 30))
+    rest = F.when(F.col("idx") % 3 == 2, "x = 2").otherwise(F.col("text"))
+    x = F.concat(F.expr("repeat('[ILLEGIBLE]', cast(idx as int))"), rest)
     kind = F.when(F.col("idx") % 2 == 0, "Equation").otherwise("graph")
     none = F.lit(None).cast("string")
     return t.segments.select(
