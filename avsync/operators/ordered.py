@@ -17,20 +17,28 @@ from pyspark.sql import types as T
 
 MAX_ROWS = 1_000_000
 SAMPLES_PER_CHUNK = 8
+FAN = 256  # cut points a row is compared with at a time
 CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Cut points inside long keys; ``table`` is None when no key is long."""
+    """Cut points inside long keys; ``coarse`` is None when no key is long.
+
+    ``coarse`` has one row per long key with every FAN-th cut, ``fine`` one per run of
+    FAN cuts, so a row never carries a long array.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    table: DataFrame | None = None
+    coarse: DataFrame | None = None
+    fine: DataFrame | None = None
+    fan: int = FAN
+    longest: int = 0
 
     @property
     def any(self) -> bool:
-        return self.table is not None
+        return self.coarse is not None
 
     @property
     def group(self) -> list[str]:
@@ -41,14 +49,24 @@ class Cuts:
         if not self.any:
             return df
         here = F.struct(*[F.col(c).alias(c) for c in self.order])
-        number = F.size(F.filter("_cuts", lambda c: c <= here))
-        # the table has one row per long key, so at most rows / max_rows rows
-        return (
-            df.join(F.broadcast(self.table), list(self.keys), "left")
-            .withColumn(CHUNK, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(number))
-            .withColumn("_long", F.col("_cuts").isNotNull())
-            .drop("_cuts")
-        )
+        # both tables hold two cuts per max_rows rows of long keys at most
+        rows = df.join(F.broadcast(self.coarse), list(self.keys), "left").withColumn("_long", F.col("_coarse").isNotNull())
+        run = _at_or_below(F.col("_coarse"), here, self.longest)
+        rows = rows.withColumn("_run", F.when(F.col("_long"), run).otherwise(F.lit(0))).drop("_coarse")
+        rows = rows.join(F.broadcast(self.fine), [*self.keys, "_run"], "left")
+        number = F.col("_run") * F.lit(self.fan) + _at_or_below(F.col("_cuts"), here, self.fan)
+        return rows.withColumn(CHUNK, F.when(F.col("_long"), number).otherwise(F.lit(0))).drop("_run", "_cuts")
+
+
+def _at_or_below(cuts: Column, here: Column, longest: int) -> Column:
+    """How many of the sorted cuts are at or below a place, by halving."""
+    steps = [2**k for k in range(max(longest, 1).bit_length() - 1, -1, -1)]
+
+    def step(pos: Column, s: Column) -> Column:
+        on = (pos + s <= F.size(cuts)) & (F.get(cuts, pos + s - 1) <= here)
+        return F.when(on, pos + s).otherwise(pos)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
 def row_limit(*tables: DataFrame, keys: list[str] | None = None, max_rows: float | None = None) -> float:
@@ -108,9 +126,22 @@ def find_cuts(
             rows.append((*key, picked))
     if not rows:
         return plain
-    cut_type = T.StructType([T.StructField(c, narrow.schema[c].dataType) for c in order])
-    schema = T.StructType([*key_schema.fields, T.StructField("_cuts", T.ArrayType(cut_type))])
-    return Cuts(tuple(keys), tuple(order), spark.createDataFrame(rows, schema))
+    cut_type = T.ArrayType(T.StructType([T.StructField(c, narrow.schema[c].dataType) for c in order]))
+    coarse = [(*key, picked[FAN::FAN]) for *key, picked in rows]
+    fine = [
+        (*key, i // FAN, picked[i : i + FAN]) for *key, picked in rows for i in range(0, len(picked), FAN)
+    ]
+    return Cuts(
+        tuple(keys),
+        tuple(order),
+        spark.createDataFrame(coarse, T.StructType([*key_schema.fields, T.StructField("_coarse", cut_type)])),
+        spark.createDataFrame(
+            fine,
+            T.StructType([*key_schema.fields, T.StructField("_run", T.IntegerType()), T.StructField("_cuts", cut_type)]),
+        ),
+        FAN,
+        max(len(c[-1]) for c in coarse),
+    )
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,16 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from avsync.operators import ordered
 from avsync.operators.ordered import find_cuts
 
 
-def test_cut_scans_equal_plain_scans(spark):
+@pytest.mark.parametrize("fan", [256, 3])
+def test_cut_scans_equal_plain_scans(spark, monkeypatch, fan):
+    monkeypatch.setattr(ordered, "FAN", fan)
     rng = random.Random(1)
     rows = []
     for v, n in (("hot", 400), ("warm", 60), ("one", 1)):
@@ -23,10 +26,13 @@ def test_cut_scans_equal_plain_scans(spark):
         e=ordered.last_known(F.col("x")),
         f=ordered.next_known(F.col("x")),
         g=ordered.next_min(F.col("x")),
+        h=ordered.max_so_far(F.col("x")),
     )
     plain = ordered.scan(df, find_cuts(df, ["video_id"], ["t", "ord"]), **scans)
     cuts = find_cuts(df, ["video_id"], ["t", "ord"], max_rows=40)
     assert cuts.any
+    chunks = cuts.chunked(df).groupBy("video_id", ordered.CHUNK).count().collect()
+    assert sum(r.video_id == "hot" for r in chunks) > 6 and max(r["count"] for r in chunks if r.video_id == "hot") < 150
     cut = ordered.scan(df, cuts, **scans)
     assert sorted(plain.columns) == sorted(cut.columns)
     cols = plain.columns
