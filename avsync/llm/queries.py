@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from avsync.llm import exact_dedup
+from avsync.llm import exact_dedup, mixing, sharding
 from avsync.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +32,16 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_plan(documents(spark, folder))
+
+
+ORACLE["op4_mix_sources"] = mixing.SQL
+
+
+@query
+def op10_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, folder))
