@@ -67,27 +67,23 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-
-def hash_words(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case (other letters as they are)."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def batches(rows: Iterator, most: int, column: int) -> Iterator:
-    """Arrow batches cut so that the texts of one piece are about ``most`` bytes at most.
-
-    A single text over that size is a piece of its own.
-    """
-    for batch in rows:
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()], np.int64)
-        start, total = 0, 0
-        for i, size in enumerate(sizes):
-            if total and total + size > most:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += size
-        yield batch.slice(start)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def word_slices(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words between ASCII white space, of a slice at a time: a very long text never
+    stands in memory as one list of words."""
+    at = 0
+    while len(raw) - at > size:
+        end = at + size
+        while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield raw[at:end].split()
+        at = end
+    yield raw[at:].split()
+
+
+def lower_raw(text: str | None) -> bytes:
+    """UTF-8 with A-Z in lower case, other letters as they are; null is empty."""
+    return text.encode("utf-8").lower() if text else b""

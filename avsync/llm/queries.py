@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import exact_dedup, mixing, sharding
+from avsync.llm import exact_dedup, mixing, sharding, token_output
 from avsync.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ ORACLE["op4_mix_sources"] = mixing.SQL
 @query
 def op10_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, folder))
+
+
+@query
+def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output.token_output(documents(spark, folder))
