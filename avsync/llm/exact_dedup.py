@@ -76,8 +76,9 @@ def exact_dedup(
         maybe = maybe & _bit_set(F.col("bitmap"), _probe(digest, k))
     asked = settle(asked.select("order_key", "digest", "row_key", F.coalesce(maybe, F.lit(False)).alias("maybe")), "asked")
     suspects = asked.filter("maybe").drop("maybe")
-    groups = suspects.groupBy("digest").agg(
-        F.max(F.struct("order_key", "row_key")).alias("best"), F.count("*").alias("group_size")
+    # written, so that the join below is one of two plain tables, whose hot keys Spark splits
+    groups = settle(
+        suspects.groupBy("digest").agg(F.max(F.struct("order_key", "row_key")).alias("best"), F.count("*").alias("group_size")), "groups"
     )
     out = lambda d, keep, size, kept: d.select(
         F.col("order_key").alias(order), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256")
