@@ -15,8 +15,12 @@ from avsync.session import settle, tune
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{folder}/documents.parquet")
+    return table(spark, folder, "documents")
 
 
 def width(spark: SparkSession) -> int:

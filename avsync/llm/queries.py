@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import exact_dedup, mixing, sharding, token_output
-from avsync.llm.common import documents
+from avsync.llm import decontamination, exact_dedup, mixing, sharding, token_output
+from avsync.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,11 @@ def op10_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.token_output(documents(spark, folder))
+
+
+@query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+ORACLE["op7_decontaminate"] = decontamination.SQL
