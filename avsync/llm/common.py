@@ -60,6 +60,51 @@ def numbered(df: DataFrame, *order: Column, name: str = "row_no") -> DataFrame:
     return rows.withColumn(name, pick(first, part) + F.col("__id").bitwiseAND(F.lit(low))).drop("__id")
 
 
+FILTER_BITS = 1 << 26
+BLOCK_BITS = 32_768  # bits of one bitmap of bitmap_construct_agg
+
+
+def bit_set(bitmap: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, position % 8) == 1
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key may be among ``ids`` (its first column): a one-bit filter of at most
+    ``bits`` bits (8 MB), which is what is broadcast. No row whose key is there is lost; a
+    join that follows sorts out the rest, which are few unless the ids fill the filter.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bitmaps = (
+        ids.select(at(F.col(ids.columns[0])).alias("__at"))
+        .groupBy(F.floor(F.col("__at") / BLOCK_BITS).alias("__block"))
+        .agg(F.bitmap_construct_agg(F.col("__at") % BLOCK_BITS).alias("__bitmap"))
+    )
+    asked = df.withColumn("__at", at(F.col(key))).withColumn("__block", F.floor(F.col("__at") / BLOCK_BITS))
+    return asked.join(F.broadcast(bitmaps), "__block").filter(bit_set(F.col("__bitmap"), F.col("__at") % BLOCK_BITS)).select(*df.columns)
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node that links reach. ``links`` should be written already.
+
+    Each round takes the smallest label of a node's neighbours and then the label of its
+    label, so long chains halve; one count a round comes to the driver.
+    """
+    both = settle(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b), F.col(a))).distinct(), "edges")
+    labels = settle(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        lower = settle(lower, "lower")
+        up = lower.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        jumped = lower.join(up, "label").select("node", F.col("higher").alias("label"), (F.col("higher") != F.col("was")).alias("moved"))
+        jumped = settle(jumped, "labels")
+        moved = jumped.filter("moved").count()
+        labels = jumped.drop("moved")
+        if not moved:
+            return labels.select("node", F.col("label").alias("component"))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while there is room (words are bytes)."""
 

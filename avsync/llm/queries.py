@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import decontamination, exact_dedup, mixing, quality, sharding, token_output
+from avsync.llm import decontamination, exact_dedup, mixing, ngram_join, quality, sharding, token_output
 from avsync.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = quality.fit(docs, quality.ratings_of(table(spark, folder, "labels")))
     return quality.grade_documents(docs, model)
+
+
+@query
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, folder))
