@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import decontamination, exact_dedup, mixing, ngram_join, quality, sharding, token_output
+from avsync.llm import decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, sharding, token_output
 from avsync.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, folder))
+
+
+@query
+def op1_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm_score.score_texts(documents(spark, folder))
