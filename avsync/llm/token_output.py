@@ -45,10 +45,12 @@ class WordEncoder:
     Such a tokenizer gives a text the ids of its words one after another, so each different
     word goes through the library once while there is room to remember it. Words are kept in
     lower case, as the normaliser would make them, except near the marks of special tokens,
-    which are told apart by case.
+    which are told apart by case. A comma or full stop after an ASCII letter or digit begins
+    a token of its own, so such a word is learnt without it.
     """
 
-    ROOM = 800_000
+    ROOM = 1_200_000
+    _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
     _of: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
@@ -67,12 +69,19 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.ids) > self.ROOM:
-            self.ids.clear()
-        new = [w for w in words if w not in self.ids]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+            # short words come again more often
+            self.ids = {w: x for w, x in self.ids.items() if len(w) <= 10}
+            if len(self.ids) > self.ROOM // 2:
+                self.ids.clear()
+        new = words.difference(self.ids)
+        ended = {w for w in new if w[-1] in b",." and len(w) > 1 and w[-2] in self._ALNUM}
+        plain = list(((new - ended) | {w[:-1] for w in ended} | {b",", b"."}).difference(self.ids))
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.ids[word] = np.array(e.ids, "<u4").tobytes()
+        for word in ended:
+            self.ids[word] = self.ids[word[:-1]] + self.ids[word[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without an end id."""
