@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, sharding, token_output
+from avsync.llm import decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, secret_scan, separator_scan, sharding, token_output
 from avsync.llm.common import documents, table
+from avsync.session import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +76,14 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_score.score_texts(documents(spark, folder))
+
+
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return separator_scan.token_counts(docs, new_dir(spark, "flat"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, folder))

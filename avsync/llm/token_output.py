@@ -51,21 +51,22 @@ class WordEncoder:
 
     ROOM = 1_200_000
     _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-    _of: dict[str, WordEncoder] = {}
+    _of: dict[tuple[str, bool], WordEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = literal
         self.ids: dict[bytes, bytes] = {}
 
     @classmethod
-    def at(cls, path: str) -> WordEncoder:
-        """One per Python worker, kept over tasks."""
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
+    def at(cls, path: str, literal: bool = False) -> WordEncoder:
+        """One per Python worker, kept over tasks. ``literal``: the names of special tokens are ordinary text."""
+        if (path, literal) not in cls._of:
+            cls._of[path, literal] = cls(path, literal)
+        return cls._of[path, literal]
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.ids) > self.ROOM:
