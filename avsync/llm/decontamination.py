@@ -372,9 +372,15 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return " ".join(p for p in parts if p)
 
 
-def remove_spans(df: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The same rows and columns, with the words of found passages cut out of the text."""
+def remove_spans(df: DataFrame, items: DataFrame, text: str = "text", drop_emptied: bool = False, **options) -> DataFrame:
+    """The same rows and columns, with the words of found passages cut out of the text.
+
+    ``drop_emptied``: rows that had words and have none left go; rows without words stay.
+    """
     found = find_spans(df, items, text=text, **options)
+    if drop_emptied:
+        one = F.element_at("_found.runs", 1)
+        found = found.filter((F.size("_found.runs") == 0) | (one["begin"] > 0) | (one["end"] < F.col("_found.n_words")))
     at, last = df.columns.index(text), len(df.columns)
 
     def clean(rows):

@@ -30,9 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of the benchmark out of the texts; a document of nothing else goes."""
-    clean = decontamination.remove_spans(docs, table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    had_words = F.coalesce(F.col("n_chars") > 0, F.lit(False))
-    return clean.filter(had_words)
+    clean = decontamination.remove_spans(docs, table(spark, sf_dir, "benchmark"), drop_emptied=True)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
