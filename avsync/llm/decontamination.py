@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avsync.llm.common import word_slices
+from avsync.llm.common import free_name, word_slices
 
 WINDOW = 10
 #: words are runs of ASCII letters and digits (A-Z taken as a-z) and of anything beyond ASCII
@@ -273,14 +273,14 @@ def find_spans(
     shard_words: int = 1 << 20,
     length: int = WINDOW,
 ) -> DataFrame:
-    """All columns of ``df`` and a struct ``_found``: n_words, runs (word positions from, to), items.
+    """All columns of ``df`` and a last one, a struct ``_found``: n_words, runs (word positions from, to), items.
 
     An FM-index is built over each shard of training text inside the task that reads it;
     the windows of the items are searched backwards in it and located by sampled
     positions. Items are taken in blocks of ``block_items``, which is what a task holds of
     them; with several blocks the text is passed as often, and runs and items are joined.
     No row moves. A null or empty text has no words; null items neither. An item without id
-    hits words and is not listed. Column names of ``df`` may be any but ``_found``.
+    hits words and is not listed. If ``df`` has a column ``_found``, the new one is called otherwise.
     """
     found_type = T.StructType(
         [
@@ -289,7 +289,7 @@ def find_spans(
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    out = df.withColumn("_found", F.lit(None).cast(found_type))
+    out = df.withColumn(free_name(df, "_found"), F.lit(None).cast(found_type))
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(found_type)
@@ -308,7 +308,7 @@ def find_spans(
             done, current = [], None
 
             def close(batch, done):
-                last = batch.schema.names.index("_found")
+                last = batch.num_columns - 1
                 new = []
                 for old, (n, spans, names) in zip(batch.column(last).to_pylist(), done, strict=True):
                     if old and old["n_words"] is not None:
@@ -379,8 +379,9 @@ def remove_spans(df: DataFrame, items: DataFrame, text: str = "text", drop_empti
     """
     found = find_spans(df, items, text=text, **options)
     if drop_emptied:
-        one = F.element_at("_found.runs", 1)
-        found = found.filter((F.size("_found.runs") == 0) | (one["begin"] > 0) | (one["end"] < F.col("_found.n_words")))
+        here = found[found.columns[-1]]
+        one = F.element_at(here["runs"], 1)
+        found = found.filter((F.size(here["runs"]) == 0) | (one["begin"] > 0) | (one["end"] < here["n_words"]))
     at, last = df.columns.index(text), len(df.columns)
 
     def clean(rows):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from avsync.llm.common import WORD, numbered
+from avsync.llm.common import WORD, free_name, numbered
 from avsync.session import settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -103,9 +103,10 @@ def mix_plan(
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **plan) -> DataFrame:
     """The documents themselves, each as often as ``mix_plan`` says. ``doc_id`` must tell rows apart."""
-    copies = mix_plan(df, text, source, doc_id, **plan).filter("copies > 0").select(F.col("doc_id").alias("__doc"), F.col("copies").alias("__n"))
-    taken = df.join(copies, df[doc_id].eqNullSafe(copies["__doc"]))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[df[c] for c in df.columns])
+    copies = mix_plan(df, text, source, doc_id, **plan).filter("copies > 0")
+    copies = copies.select(F.col("doc_id").alias(free_name(df, "_doc")), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(free_name(df, "_copies")))
+    taken = df.join(copies, df[doc_id].eqNullSafe(copies[copies.columns[0]]))
+    return taken.select(*[df[c] for c in df.columns], F.explode(copies[copies.columns[1]]).alias(free_name(df, "_copy"))).select(*df.columns)
 
 
 #: the same plan as SQL text: the level by running sums over sources in order of cap / weight

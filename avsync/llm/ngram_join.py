@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from avsync.llm.common import WordHashes, components, lower_raw, maybe_in, width, word_slices
+from avsync.llm.common import WordHashes, components, free_name, lower_raw, maybe_in, width, word_slices
 from avsync.session import settle
 
 WORDS = 5
@@ -388,5 +388,5 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay: of each component the document of smallest doc_id. Rows without doc_id stay."""
     found = near_duplicates(df, doc_id, text)
-    gone = found.filter(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("__gone")).distinct()
-    return df.join(gone, df[doc_id] == gone["__gone"], "left_anti")
+    gone = found.filter(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias(free_name(df, "_gone"))).distinct()
+    return df.join(gone, df[doc_id] == gone[gone.columns[0]], "left_anti")

@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avsync.llm.common import word_slices
+from avsync.llm.common import free_name, word_slices
 
 BITS = 20
 _PIECES = regex.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
@@ -174,10 +174,13 @@ def fit(
 
 
 def _with_tails(df: DataFrame, model: Ordinal, text: str) -> DataFrame:
-    """All columns and ``_tails``: score, and P(grade > k) for each k."""
+    """All columns and two more at the end: the score, and P(grade > k) for each k."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
-    out = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_tails", T.ArrayType(T.DoubleType()))])
+    out = T.StructType(
+        [*df.schema.fields, T.StructField(free_name(df, "_score"), T.DoubleType()), T.StructField(free_name(df, "_tails"), T.ArrayType(T.DoubleType()))]
+    )
+    names = out.names
 
     def score(batches: Iterator[pa.RecordBatch]):
         model = shipped.value
@@ -187,14 +190,9 @@ def _with_tails(df: DataFrame, model: Ordinal, text: str) -> DataFrame:
             tails = model.tails(scores).tolist() if len(scores) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.float64()))], names)
 
-    names = [f.name for f in out.fields]
     return df.mapInArrow(score, out)
 
 
-def _good(tails: str = "_tails") -> Column:
-    return F.element_at(tails, -1)
-
-
 def grade_documents(df: DataFrame, model: Ordinal, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """Per document: doc_id, score, expected_grade, p_top (the chance of the highest grade), kept.
 
@@ -203,12 +201,14 @@ def grade_documents(df: DataFrame, model: Ordinal, doc_id: str = "doc_id", text:
     """
     rows = _with_tails(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, "text")
     expected = F.aggregate("_tails", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("doc_id", F.col("_score").alias("score"), expected.alias("expected_grade"), _good().alias("p_top"), (_good() >= least).alias("kept"))
+    top = F.element_at("_tails", -1)
+    return rows.select("doc_id", F.col("_score").alias("score"), expected.alias("expected_grade"), top.alias("p_top"), (top >= least).alias("kept"))
 
 
 def keep_good(df: DataFrame, model: Ordinal, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose chance of the highest grade is ``least`` or more, with their columns as they were."""
-    return _with_tails(df, model, text).filter(_good() >= least).select(*df.columns)
+    rows = _with_tails(df, model, text)
+    return rows.filter(F.element_at(rows[rows.columns[-1]], -1) >= least).select(*df.columns)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
