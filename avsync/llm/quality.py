@@ -92,7 +92,7 @@ class Ordinal:
 
 
 def fit_ordinal(
-    features: list[np.ndarray], grades: np.ndarray, bits: int = BITS, l1: float = 5.0, rate: float = 0.1, epochs: int = 12, block: int = 64, least: int = 4
+    features: list[np.ndarray], grades: np.ndarray, bits: int = BITS, l1: float = 8.0, rate: float = 0.5, epochs: int = 12, block: int = 64, least: int = 4
 ) -> Ordinal:
     """Maximum likelihood with a lasso penalty, by follow-the-regularised-leader steps on blocks of rows.
 
