@@ -116,7 +116,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, kept while there is room (words are bytes)."""
 
-    ROOM = 1 << 20
+    ROOM = 1 << 19
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.ROOM:

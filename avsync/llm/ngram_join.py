@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +63,19 @@ def groups_of(n: int) -> int:
     return g
 
 
-def count_vector(tokens: np.ndarray) -> np.ndarray:
-    """How many shingles of the set fall into each hashed group: the point that the tree holds."""
+def count_vector(tokens: np.ndarray) -> bytes:
+    """How many shingles of the set fall into each hashed group: the point that the tree holds.
+
+    One byte a group, or four where a count needs them.
+    """
     g = groups_of(len(tokens))
-    return np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g).astype("<u2")
+    counts = np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def as_vector(raw: bytes, n: int) -> np.ndarray:
+    """The count vector of a set of ``n`` shingles, wide enough to add up."""
+    return np.frombuffer(raw, "u1" if len(raw) == groups_of(n) else "<u4").astype(np.int32)
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -85,72 +94,104 @@ def needed(total: np.ndarray) -> np.ndarray:
 # -- rows for documents ------------------------------------------------------------------
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that make up over 1/HOT_BOUND of all: at most HOT_BOUND, sorted.
+def _described(docs: DataFrame) -> DataFrame:
+    """One pass that gives two kinds of rows: doc_id, n, digest of each document, and token, n
+    of shingles that a task saw again and again (with the number of all it saw, once).
 
-    Each task counts a few million shingles at a time and reports those seen again and
-    again; what it misses only makes the order of shingles less good. Any list is right.
+    Each task counts a few million shingles at a time; what it misses only makes the order
+    of shingles less good.
     """
 
-    def count(rows: Iterator[pa.RecordBatch]):
-        hashes, held, size = WordHashes(), [], 0
+    def describe(rows: Iterator[pa.RecordBatch]):
+        hashes, held, size, kind = WordHashes(), [], 0, None
 
-        def report(total):
-            names, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(3, 2 * total // HOT_BOUND)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(names[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(often.sum(), np.int64), total))], ["token", "n", "total"])
+        def batch_of(ids, sizes, digests, tokens):
+            columns = [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        def report():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= max(3, 2 * size // HOT_BOUND)
+            tokens, n = found[often].view(np.int64).tolist(), n[often].tolist()
+            return batch_of([None] * (len(n) + 1), [*n, size], [None] * (len(n) + 1), [*tokens, None])
 
         for batch in rows:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, hashes))
-                size += len(held[-1])
-                if size > 1 << 22:
-                    yield report(size)
+            kind = batch.schema.field(0).type
+            sizes, digests = [], []
+            for text in batch.column(1).to_pylist():
+                tokens = shingles(text, hashes)
+                sizes.append(len(tokens))
+                digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                held.append(tokens)
+                size += len(tokens)
+                if size > 1 << 21:
+                    yield report()
                     held, size = [], 0
+            yield batch_of(batch.column(0), sizes, digests, [None] * len(sizes))
         if size:
-            yield report(size)
+            yield report()
+
+    names = ["doc_id", "n", "digest", "token"]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("token", T.LongType())])
+    return docs.select("doc_id", "text").mapInArrow(describe, schema)
 
-    counts = settle(docs.select("text").mapInArrow(count, "token long, n long, total long"), "frequent")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    hot = counts.filter("n > 0").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > max(8, total // HOT_BOUND)).select("token")
-    return np.sort(np.array(hot.toArrow().column("token").to_numpy(), np.int64).view(np.uint64))
 
+def _frequent(described: DataFrame) -> np.ndarray:
+    """Shingles that make up over 1/HOT_BOUND of all: at most HOT_BOUND, sorted. Any list is right."""
+    total = described.filter("digest is null and token is null").agg(F.sum("n")).first()[0] or 0
+    counts = described.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
+    hot = counts.filter(F.col("n") > max(8, total // HOT_BOUND)).select("token")
+    return np.sort(hot.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
 
-def _fingerprints(docs: DataFrame, hot: np.ndarray | None) -> DataFrame:
-    """doc_id, n, digest of the set, and with a list of frequent shingles the prefix: the
-    first shingles in the order (frequent last, by hash)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
+
+def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """doc_id, digest and the first shingles in the order (frequent last, by hash)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(hot)
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes, table = WordHashes(), shipped.value if shipped else None
+        hashes, table = WordHashes(), shipped.value
         for batch in rows:
-            sizes, digests, prefixes = [], [], []
+            digests, prefixes = [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, hashes)
-                sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                if table is not None:
-                    k = prefix_length(len(tokens)) if len(tokens) else 0
-                    first = tokens[:k]
-                    if len(table) and k:
-                        at = np.minimum(np.searchsorted(table, tokens), len(table) - 1)
-                        frequent = table[at] == tokens
-                        first = np.concatenate([tokens[~frequent], tokens[frequent]])[:k]
-                    prefixes.append(first.view(np.int64))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
-            if table is not None:
-                columns.append(pa.array(prefixes, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    fields = [docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
-    if hot is not None:
-        fields.append(T.StructField("prefix", T.ArrayType(T.LongType())))
+                k = prefix_length(len(tokens)) if len(tokens) else 0
+                first = tokens[:k]
+                if len(table) and k:
+                    at = np.minimum(np.searchsorted(table, tokens), len(table) - 1)
+                    frequent = table[at] == tokens
+                    first = np.concatenate([tokens[~frequent], tokens[frequent]])[:k]
+                prefixes.append(first.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names)
+
+    fields = [docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     names = [f.name for f in fields]
     return docs.select("doc_id", "text").mapInArrow(describe, T.StructType(fields))
 
 
 def _points(docs: DataFrame) -> DataFrame:
-    """set (the doc_id), n, digest, vector, shingles."""
+    """set (the doc_id), n, digest, vector."""
+
+    def describe(rows: Iterator[pa.RecordBatch]):
+        hashes = WordHashes()
+        for batch in rows:
+            found = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(t) for t in found], pa.int64()),
+                    pa.array([hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in found], pa.binary()),
+                    pa.array([count_vector(t) for t in found], pa.binary()),
+                ],
+                ["set", "n", "digest", "vector"],
+            )
+
+    schema = T.StructType([T.StructField("set", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("vector", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(describe, schema)
+
+
+def _shingled(docs: DataFrame) -> DataFrame:
+    """set (the doc_id), n, digest and the shingles themselves."""
 
     def describe(rows: Iterator[pa.RecordBatch]):
         hashes = WordHashes()
@@ -161,23 +202,22 @@ def _points(docs: DataFrame) -> DataFrame:
                     batch.column(0),
                     pa.array([len(t) for t in found], pa.int64()),
                     pa.array([hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in found], pa.binary()),
-                    pa.array([count_vector(t).tobytes() for t in found], pa.binary()),
                     pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64())),
                 ],
-                ["set", "n", "digest", "vector", "shingles"],
+                ["set", "n", "digest", "shingles"],
             )
 
-    schema = T.StructType([T.StructField("set", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("vector", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("set", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     return docs.select("doc_id", "text").mapInArrow(describe, schema)
 
 
 # -- pairs ---------------------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets are linked, by the sets themselves."""
-    ids = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    sets = maybe_in(points.select("set", "n", "shingles"), "set", ids)
+def _verified(pairs: DataFrame, docs: DataFrame, unique: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Those pairs (a, b) whose sets are linked, by the sets themselves; only texts of pairs are shingled again."""
+    ids = settle(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "ids")
+    sets = settle(unique(_shingled(maybe_in(docs, "doc_id", ids))).select("set", "n", "shingles"), "shingled")
     left = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -196,8 +236,8 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for batch in rows:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             may = []
-            for total, x, y in zip(n, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+            vectors = [[as_vector(v, k) for v, k in zip(batch.column(4 + i).to_pylist(), batch.column(2 + i).to_pylist(), strict=True)] for i in (0, 1)]
+            for total, x, y in zip(n, *vectors, strict=True):
                 g = min(len(x), len(y))
                 may.append(int(np.minimum(fold(x, g), fold(y, g)).sum()) >= -(-NUM * int(total) // (NUM + DEN)))
             yield batch.select([0, 1]).filter(pa.array(may, pa.bool_()))
@@ -207,14 +247,22 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 def _leaves(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     """The tree of each cell: its points in order of size and label, packed into leaves of at
-    most LEAF points, each with its rectangle (the upper corner; sizes from and to)."""
+    most LEAF points, each with its rectangle (sizes and labels from and to; the upper corner
+    of the counts is their maximum). Points without one of like size in their cell are left out.
+    """
     key = points.schema["set"].dataType
-    rows = open_cells.join(points.select("set", "n", "vector"), "set").withColumn("octave", F.floor(F.log2("n")))
+    sized = open_cells.join(points.select("set", "n"), "set")
+    by_size = Window.partitionBy("token").orderBy("n", "set")
+    near = F.coalesce(F.lag("n").over(by_size) * DEN >= F.col("n") * NUM, F.lit(False)) | F.coalesce(
+        F.col("n") * DEN >= F.lead("n").over(by_size) * NUM, F.lit(False)
+    )
+    sized = settle(sized.withColumn("near", near).filter("near").select("token", "set", "label"), "sized")
+    rows = sized.join(points.select("set", "n", "vector"), "set").withColumn("octave", F.floor(F.log2("n")))
     order = [F.col(c) for c in ("token", "octave", "label", "n", "set")]
     rows = rows.repartitionByRange(width(points.sparkSession), *order).sortWithinPartitions(*order)
     schema = T.StructType(
         [T.StructField("token", T.LongType()), T.StructField("leaf", T.LongType()), T.StructField("least_n", T.LongType()), T.StructField("most_n", T.LongType())]
-        + [T.StructField("least_label", key), T.StructField("most_label", key), T.StructField("corner", T.BinaryType())]
+        + [T.StructField("least_label", key), T.StructField("most_label", key), T.StructField("groups", T.IntegerType())]
         + [T.StructField("sets", T.ArrayType(key)), T.StructField("labels", T.ArrayType(key)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("vectors", T.BinaryType())]
     )
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -229,14 +277,15 @@ def _leaves(open_cells: DataFrame, points: DataFrame) -> DataFrame:
 
         def leaf():
             nonlocal number
-            vectors = [np.frombuffer(r[4], "<u2") for r in held]
+            vectors = [as_vector(r[4], r[3]) for r in held]
             g = min(map(len, vectors))
             table = np.stack([fold(v, g) for v in vectors])
+            table = table.astype("u1" if table.max() < 256 else "<u4")
             number += 1
             labels = [r[2] for r in held]
             return {
                 "token": held[0][0], "leaf": base + number, "least_n": min(r[3] for r in held), "most_n": max(r[3] for r in held), "least_label": min(labels), "most_label": max(labels),
-                "corner": table.max(0).tobytes(), "sets": [r[1] for r in held], "labels": labels, "sizes": [r[3] for r in held], "vectors": table.tobytes(),
+                "groups": g, "sets": [r[1] for r in held], "labels": labels, "sizes": [r[3] for r in held], "vectors": table.tobytes(),
             }
 
         last = None
@@ -258,6 +307,11 @@ def _leaves(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     return rows.select("token", "set", "label", "n", "vector", "octave").mapInArrow(pack, schema)
 
 
+def _table(raw: bytes, groups: int, rows: int) -> np.ndarray:
+    """The points of a leaf, a line each."""
+    return np.frombuffer(raw, "u1" if len(raw) == groups * rows else "<u4").reshape(rows, groups).astype(np.int32)
+
+
 def _tree_join(leaves: DataFrame, pair_schema: T.StructType) -> DataFrame:
     """Pairs of different labels whose sum of coordinate minima allows a link: leaf against
     leaf of one cell, first by rectangles, then point by point."""
@@ -269,19 +323,19 @@ def _tree_join(leaves: DataFrame, pair_schema: T.StructType) -> DataFrame:
         & (F.col("most_n_") * DEN >= F.col("least_n") * NUM)
         & ((F.col("least_label") != F.col("most_label_")) | (F.col("most_label") != F.col("least_label_")))
     )
-    columns = ["leaf", "least_n", "corner", "sets", "labels", "sizes", "vectors"]
+    columns = ["leaf", "least_n", "groups", "sets", "labels", "sizes", "vectors"]
     pairs = leaves.join(left, near).select(*columns, *[f"{c}_" for c in columns])
 
     def search(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             a, b = [], []
             for x, xn, xc, xs, xl, xz, xv, y, yn, yc, ys, yl, yz, yv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                xc, yc = np.frombuffer(xc, "<u2"), np.frombuffer(yc, "<u2")
-                g = min(len(xc), len(yc))
+                p, q = _table(xv, xc, len(xs)), _table(yv, yc, len(ys))
+                g = min(p.shape[1], q.shape[1])
                 # folding keeps the upper corner an upper corner
-                if int(np.minimum(fold(xc.astype(np.int64), g), fold(yc.astype(np.int64), g)).sum()) < -(-NUM * (xn + yn) // (NUM + DEN)):
+                if int(np.minimum(fold(p.max(0), g), fold(q.max(0), g)).sum()) < -(-NUM * (xn + yn) // (NUM + DEN)):
                     continue
-                p, q = fold(np.frombuffer(xv, "<u2").reshape(len(xs), -1), g), fold(np.frombuffer(yv, "<u2").reshape(len(ys), -1), g)
+                p, q = fold(p, g), fold(q, g)
                 xl, yl, xz, yz = np.array(xl), np.array(yl), np.array(xz, np.int64), np.array(yz, np.int64)
                 for i in range(len(xs)):
                     js = np.arange(i + 1, len(ys)) if x == y else np.arange(len(ys))
@@ -320,10 +374,11 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    plain = settle(_fingerprints(docs, None), "fingerprints")
-    hot = _frequent(docs)
+    described = settle(_described(docs), "described")
+    plain = described.filter("digest is not null").select("doc_id", "n", "digest")
+    hot = _frequent(described)
     sets = settle(
-        _fingerprints(docs, hot).filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("set"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("set is not null"),
+        _prefixes(docs, hot).filter("size(prefix) > 0").groupBy("digest").agg(F.min("doc_id").alias("set"), F.first("prefix").alias("prefix")).filter("set is not null"),
         "sets",
     )
     rows = sets.select("set", F.explode("prefix").alias("token")).repartition(width(spark), "token")
@@ -333,10 +388,15 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     live = marks.filter("members > 1").groupBy("members", "mark", "mark2", "least").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight")
     cells = settle(rows.join(live, "token").select("token", "set", "weight"), "cells")
     live_sets = settle(cells.select("set").distinct(), "live")
-    points = _points(maybe_in(docs, "doc_id", live_sets))
-    if plain.groupBy("doc_id").agg(F.countDistinct("digest").alias("k")).filter("k > 1").take(1):
-        points = points.join(sets.select("set", "digest"), ["set", "digest"], "left_semi")
-    points = settle(points.dropDuplicates(["set"]) if plain.count() != plain.select("doc_id").distinct().count() else points, "points")
+    repeated = plain.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").take(1)
+
+    def unique(rows: DataFrame) -> DataFrame:
+        """One row per set, where rows share a doc_id: that of the text that the set stands for."""
+        if not repeated:
+            return rows
+        return rows.join(sets.select("set", "digest"), ["set", "digest"], "left_semi").dropDuplicates(["set"])
+
+    points = settle(unique(_points(maybe_in(docs, "doc_id", live_sets))).select("set", "n", "vector"), "points")
     pair_schema = T.StructType([T.StructField("a", docs.schema["doc_id"].dataType), T.StructField("b", docs.schema["doc_id"].dataType)])
     links = spark.createDataFrame([], pair_schema)
     labels = live_sets.select("set", F.col("set").alias("label"))
@@ -354,11 +414,11 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
             .distinct()
         )
         near = settle(_bounded(settle(star, "stars"), points), "near")
-        links = settle(links.union(_verified(near, points)), "links")
+        links = settle(links.union(_verified(near, docs, unique)), "links")
         now = _still_open(cells, links)
     near = settle(_tree_join(settle(_leaves(now.select("token", "set", "label"), points), "leaves"), pair_schema).distinct(), "near")
-    links = settle(links.union(_verified(near, points)).distinct(), "links")
-    return plain.join(sets.select("digest", "set", "n"), ["digest", "n"], "left").select("doc_id", "n", "set"), links, components(links)
+    links = settle(links.union(_verified(near, docs, unique)).distinct(), "links")
+    return plain.join(sets.select("digest", "set"), "digest", "left").select("doc_id", "n", "set"), links, components(links)
 
 
 def _still_open(cells: DataFrame, links: DataFrame) -> DataFrame:
