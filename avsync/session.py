@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,15 +19,43 @@ SETTINGS = {
     # split a skewed join side even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    # long texts and vectors: what a Python worker is given at a time
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark, os.path.dirname(os.path.abspath(__file__)))
     return spark
 
 
+def ship(spark: SparkSession, package: str) -> None:
+    """Send a package's folder to the Python workers, once per application.
+
+    The driver's own search path does not reach them. Only the driver reads the archive
+    from its disk; workers get it from the driver.
+    """
+    context = spark.sparkContext
+    name = os.path.basename(package)
+    sent = context.__dict__.setdefault("_avsync_sent", set())
+    if name in sent:
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for folder, _, files in sorted(os.walk(package)):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.join(name, os.path.relpath(full, package)))
+    path = os.path.join(tempfile.mkdtemp(prefix="avsync-"), f"{name}.zip")
+    with open(path, "wb") as out:
+        out.write(held.getvalue())
+    context.addPyFile(path)
+    sent.add(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
