@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -113,6 +113,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+_HELD: dict = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one thing at a time, so that the caches
+    of one operator do not stay while another works."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while there is room (words are bytes)."""
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avsync.llm.common import lower_raw, word_slices
+from avsync.llm.common import lower_raw, word_slices, worker_cache
 from avsync.session import settle
 
 SYMBOLS = 1 << 15
@@ -177,13 +177,13 @@ def _encode(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: n
 
     def encode(rows: Iterator[pa.RecordBatch]):
         names, counts, totals = shipped.value
-        known: dict[bytes, int] = {}
+        known = worker_cache("word keys", dict)
         for batch in rows:
             out = {c: [] for c in ("n_tokens", "symbols", "n_known", "base", "given", "rare", "rare_n")}
             for text in batch.column(0).to_pylist():
                 parts = []
                 for words in word_slices(lower_raw(text)):
-                    if len(known) > 1 << 20:
+                    if len(known) > 1 << 19:
                         known.clear()
                     for w in set(words):
                         if w not in known:

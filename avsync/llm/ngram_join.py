@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from avsync.llm.common import WordHashes, components, free_name, lower_raw, maybe_in, width, word_slices
+from avsync.llm.common import WordHashes, components, free_name, lower_raw, maybe_in, width, word_slices, worker_cache
 from avsync.session import settle
 
 WORDS = 5
@@ -103,7 +103,7 @@ def _described(docs: DataFrame) -> DataFrame:
     """
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes, held, size, kind = WordHashes(), [], 0, None
+        hashes, held, size, kind = worker_cache(WordHashes, WordHashes), [], 0, None
 
         def batch_of(ids, sizes, digests, tokens):
             columns = [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.int64())]
@@ -149,7 +149,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(hot)
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes, table = WordHashes(), shipped.value
+        hashes, table = worker_cache(WordHashes, WordHashes), shipped.value
         for batch in rows:
             digests, prefixes = [], []
             for text in batch.column(1).to_pylist():
@@ -173,7 +173,7 @@ def _points(docs: DataFrame) -> DataFrame:
     """set (the doc_id), n, digest, vector."""
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes = WordHashes()
+        hashes = worker_cache(WordHashes, WordHashes)
         for batch in rows:
             found = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +194,7 @@ def _shingled(docs: DataFrame) -> DataFrame:
     """set (the doc_id), n, digest and the shingles themselves."""
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes = WordHashes()
+        hashes = worker_cache(WordHashes, WordHashes)
         for batch in rows:
             found = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

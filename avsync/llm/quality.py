@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avsync.llm.common import free_name, word_slices
+from avsync.llm.common import free_name, word_slices, worker_cache
 
 BITS = 20
 _PIECES = regex.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
@@ -29,7 +29,7 @@ class Features:
     words without letters, of the commonest word, of words with signs) are in steps.
     """
 
-    ROOM = 1 << 19
+    ROOM = 1 << 18
 
     def __init__(self, bits: int = BITS):
         self.mask = (1 << bits) - 1
@@ -160,7 +160,7 @@ def fit(
     bits = options.get("bits", BITS)
 
     def describe(batches: Iterator[pa.RecordBatch]):
-        features = Features(bits)
+        features = worker_cache((Features, bits), lambda: Features(bits))
         for batch in batches:
             found = [np.sort(features(t)).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(found, pa.binary()), batch.column(2)], ["id", "features", "grade"])
@@ -184,7 +184,7 @@ def _with_tails(df: DataFrame, model: Ordinal, text: str) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]):
         model = shipped.value
-        features = Features(model.bits)
+        features = worker_cache((Features, model.bits), lambda: Features(model.bits))
         for batch in batches:
             scores = np.array([model.weights[np.sort(features(t))].sum() for t in batch.column(at).to_pylist()])
             tails = model.tails(scores).tolist() if len(scores) else []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avsync.llm.common import width, word_slices
+from avsync.llm.common import width, word_slices, worker_cache
 from avsync.session import new_dir, settle
 
 END = 1
@@ -51,7 +51,6 @@ class WordEncoder:
 
     ROOM = 1_200_000
     _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-    _of: dict[tuple[str, bool], WordEncoder] = {}
 
     def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,9 +63,7 @@ class WordEncoder:
     @classmethod
     def at(cls, path: str, literal: bool = False) -> WordEncoder:
         """One per Python worker, kept over tasks. ``literal``: the names of special tokens are ordinary text."""
-        if (path, literal) not in cls._of:
-            cls._of[path, literal] = cls(path, literal)
-        return cls._of[path, literal]
+        return worker_cache((cls, path, literal), lambda: cls(path, literal))
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.ids) > self.ROOM:
