@@ -60,15 +60,17 @@ def batch_summary(report: DataFrame) -> DataFrame:
 
 
 def transcript_text(segments: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Text of each video in list order, and its entry count.
+    """Text of each video in list order, and its entry count; one row per video.
 
-    A text of more than ``part_rows`` entries comes as several numbered parts, so no
-    group grows without bound; ordinary videos have part 0 only.
+    Texts are joined in runs of ``part_rows`` entries first, so what the last step holds
+    of a video is its text, which is the result, and not its rows.
     """
     part = F.floor(F.col("idx") / F.lit(part_rows)).alias("part")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"])
-    return segments.groupBy("video_id", part).agg(
-        F.array_join(texts, " ").alias("transcript_text"), F.count(F.lit(1)).alias("entry_count")
+    runs = segments.groupBy("video_id", part).agg(F.array_join(texts, " ").alias("run"), F.count(F.lit(1)).alias("n"))
+    ordered_runs = F.transform(F.array_sort(F.collect_list(F.struct("part", "run"))), lambda r: r["run"])
+    return runs.groupBy("video_id").agg(
+        F.array_join(ordered_runs, " ").alias("transcript_text"), F.sum("n").alias("entry_count")
     )
 
 

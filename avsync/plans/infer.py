@@ -38,12 +38,18 @@ def infer(rows: DataFrame, column: str, load: Loader, result: str = "result", ki
     return rows.mapInPandas(run, out)
 
 
+Provider = Callable[[list], Sequence]
+
+
 def infer_with_fallback(
-    rows: DataFrame, column: str, providers: Sequence[tuple[str, Callable[[str], str]]], kind: str = "string"
+    rows: DataFrame, column: str, providers: Sequence[tuple[str, Provider]], kind: str = "string", batch: int = BATCH
 ) -> DataFrame:
-    """Rows with value, provider and error: the first provider that does not raise wins.
+    """Rows with value, provider and error: the first provider that answers wins.
 
-    Blank texts are skipped (all three NULL). If all fail, error holds the last failure.
+    A provider is a function from a list of values to as many answers. An answer that is an
+    exception is a failure of that value; a call that raises is one of all its values. What
+    failed goes on to the next provider, again ``batch`` values at a time. Blank texts are
+    skipped (all three NULL). If all fail, error holds the last failure.
     """
     out = T.StructType(
         [
@@ -54,29 +60,36 @@ def infer_with_fallback(
         ]
     )
 
-    def one(text):
-        if text is None or not str(text).strip():
-            return None, None, None
-        last = None
-        for name, call in providers:
-            try:
-                return call(text), name, None
-            except Exception as err:  # noqa: BLE001 - any failure moves on to the next provider
-                last = f"{name}: {err}"
-        return None, None, f"all providers failed, last {last}"
+    def asked(call: Provider, values: list) -> Sequence:
+        try:
+            answers = call(values)
+        except Exception as err:  # noqa: BLE001 - any failure moves on to the next provider
+            return [err] * len(values)
+        return answers
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [one(x) for x in frame[column]]
-            yield frame.assign(
-                value=[g[0] for g in got], provider=[g[1] for g in got], error=[g[2] for g in got]
-            )
+            texts = frame[column].tolist()
+            value, provider, error = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+            left = [i for i, x in enumerate(texts) if x is not None and str(x).strip()]
+            for name, call in providers:
+                failed = []
+                for lo in range(0, len(left), batch):
+                    some = left[lo : lo + batch]
+                    for i, answer in zip(some, asked(call, [texts[i] for i in some]), strict=True):
+                        if isinstance(answer, Exception):
+                            failed.append(i)
+                            error[i] = f"all providers failed, last {name}: {answer}"
+                        else:
+                            value[i], provider[i], error[i] = answer, name, None
+                left = failed
+            yield frame.assign(value=value, provider=provider, error=error)
 
     return rows.mapInPandas(run, out)
 
 
 def batch_status(
-    inputs: DataFrame, column: str, providers: Sequence[tuple[str, Callable[[str], str]]], kind: str = "string"
+    inputs: DataFrame, column: str, providers: Sequence[tuple[str, Provider]], kind: str = "string"
 ) -> DataFrame:
     """One status row per input; a failure stays as a row with its error."""
     done = infer_with_fallback(inputs, column, providers, kind)

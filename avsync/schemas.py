@@ -1,8 +1,8 @@
 """Schemas of the stored documents and tables."""
 
-ENTRY = "struct<time string, start double, end double, duration double, text string>"
+ENTRY = "struct<seq: bigint, time: string, start: double, end: double, duration: double, text: string>"
 TRANSCRIPT = (
-    "video_id string, method string, language string, duration_seconds double, entry_count int, error string, "
+    "video_id string, part int, method string, language string, duration_seconds double, entry_count int, error string, "
     f"entries array<{ENTRY}>"
 )
 KEYFRAME_FIELDS = (
@@ -21,6 +21,7 @@ INTERVENTION = (
     "confidence: string, transcript_context: string, is_bookmarked: boolean, created_at: string>"
 )
 INTERVENTIONS = f"video_id string, total_interventions int, created_at string, interventions array<{INTERVENTION}>"
+ARTIFACT = "video_id string, id string, kind string, value string"
 BATCH_REPORT = (
     "index int, url string, video_id string, status string, keyframes int, time_sec double, error string"
 )

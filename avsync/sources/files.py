@@ -19,9 +19,11 @@ def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) ->
     """One row per entry: video_id, idx, start, end, text.
 
     The end is start + duration; a stored end is not used. Failed transcripts give no rows.
+    idx is the stored number of the entry; documents of one part need not have it.
     """
     docs = _json(spark, path, schemas.TRANSCRIPT, multi_line)
-    entries = docs.select("video_id", F.posexplode("entries").alias("idx", "e"))
+    entries = docs.select("video_id", F.posexplode("entries").alias("at", "e"))
+    entries = entries.withColumn("idx", F.coalesce("e.seq", F.col("at").cast("long")))
     start = F.coalesce("e.start", F.lit(0.0))
     return entries.select(
         "video_id",
@@ -78,20 +80,37 @@ def read_interventions(spark: SparkSession, path: str, multi_line: bool = True)
     return _json(spark, path, schemas.INTERVENTIONS, multi_line).select(F.inline("interventions"))
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Model answers: video_id and id8 from the path, the whole answer as VARIANT."""
-    raw = _whole_texts(spark, path)
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, id, kind, value) as ``write_artifacts`` stored them, one row per key."""
+    return spark.read.schema(schemas.ARTIFACT).json(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, stored: bool = False) -> DataFrame:
+    """Model answers, the whole answer as VARIANT: video_id, id8, snapshot, error (and id if ``stored``).
+
+    ``path`` names single files below video and short-id folders, or what
+    ``write_snapshots`` stored.
+    """
     snap = F.try_parse_json("value")
-    return raw.select(
-        _folder("video_id", r"([^/]+)/interventions/[^/]+/[^/]+$"),
-        _folder("id8", r"/interventions/([^/]+)/[^/]+$"),
-        snap.alias("snapshot"),
-        F.try_variant_get(snap, "$._error", "string").alias("error"),
+    value = [snap.alias("snapshot"), F.try_variant_get(snap, "$._error", "string").alias("error")]
+    if stored:
+        rows = read_artifacts(spark, path).where(F.col("kind") == "snapshot")
+        return rows.select("video_id", "id", F.substring("id", 1, 8).alias("id8"), *value)
+    return _whole_texts(spark, path).select(
+        _folder("video_id", r"([^/]+)/interventions/[^/]+/[^/]+$"), _folder("id8", r"/interventions/([^/]+)/[^/]+$"), *value
     )
 
 
-def read_explanations(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, id8, mode, text) of texts stored by video, short id and mode."""
+def read_explanations(spark: SparkSession, path: str, stored: bool = False) -> DataFrame:
+    """(video_id, id8, mode, text) of texts by video, short id and mode (and id if ``stored``).
+
+    ``path`` names single files ``<mode>.txt``, or what ``write_texts`` stored.
+    """
+    if stored:
+        rows = read_artifacts(spark, path).where(~F.col("kind").isin("snapshot", "metadata"))
+        return rows.select(
+            "video_id", "id", F.substring("id", 1, 8).alias("id8"), F.col("kind").alias("mode"), F.col("value").alias("text")
+        )
     raw = _whole_texts(spark, path)
     return raw.select(
         _folder("video_id", r"([^/]+)/interventions/[^/]+/[^/]+$"),
@@ -102,11 +121,9 @@ def read_explanations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; what ``write_by_folder`` put at the end of a text is taken off."""
+    """One row per file."""
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return raw.withColumns(
-        {"_path": F.col("_metadata.file_path"), "value": F.regexp_replace("value", "\u0000$", "")}
-    )
+    return raw.withColumn("_path", F.col("_metadata.file_path"))
 
 
 def _folder(name: str, pattern: str) -> Column:
@@ -149,4 +166,4 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     by_concept = F.from_json("value", "map<string,map<string,string>>")
     concepts = docs.select(F.posexplode(by_concept).alias("_c", "concept", "_d"))
     rows = concepts.select("_c", "concept", F.posexplode("_d").alias("_k", "domain", "explanation"))
-    return rows.select("concept", "domain", "explanation", (F.col("_c") * 10_000 + F.col("_k")).alias("ord"))
+    return rows.select("concept", "domain", "explanation", (F.col("_c").cast("long") * F.lit(1 << 32) + F.col("_k")).alias("ord"))

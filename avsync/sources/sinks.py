@@ -1,8 +1,10 @@
 """Writers of the stored documents.
 
-A document per video holds an array of its rows. Arrays are built per (video, part)
-of ``part_rows`` rows in order, so a video of any length is written without one
-group growing with it; ordinary videos have part 0 only. Totals are of the whole video.
+A document holds an array of rows of one video. Arrays are built per (video, part) of
+``part_rows`` rows in order, so a video of any length is written without one group growing
+with it; ordinary videos have part 0 only. The stored layout is: one JSON line per part,
+``part`` in each, totals and numbers inside the items those of the whole video. Readers give
+the same rows for every ``part_rows``.
 """
 
 from __future__ import annotations
@@ -149,6 +151,7 @@ def write_interventions_manifest(interventions: DataFrame, mode: str, path: str,
 def transcript_documents(segments: DataFrame, part_rows: int = PART_ROWS, method: str = "api") -> DataFrame:
     """Segments (video_id, idx, start, duration, text) as transcript documents."""
     item = F.struct(
+        F.col("idx").cast("long").alias("seq"),
         format_mmss(F.col("start")).alias("time"),
         "start",
         (F.col("start") + F.col("duration")).alias("end"),
@@ -178,18 +181,63 @@ def write_batch_report(report: DataFrame, path: str) -> None:
     write_json(report, path)
 
 
-def write_by_folder(rows: DataFrame, path: str, by: list[str]) -> None:
-    """One text file per row (value) below its folders.
+def write_artifacts(rows: DataFrame, path: str, order: str | None = None, files: int | None = None) -> None:
+    """(video_id, id, kind, value) as JSON lines in few files, rows of a video near each other.
 
-    Rows of one video go to one writer at a time, salted by the last folder, so a
-    writer holds few folders and a long video is written by many.
+    Ids are stored whole, so two ids that begin alike stay two artifacts. Of several values
+    of one key the one with the highest ``order`` is stored (without ``order`` the largest).
+    Rows are dealt by video and id, so a video of any length is written by many tasks.
     """
-    salt = F.pmod(F.xxhash64(by[-1]), F.lit(64))
-    spread = rows.select(*by, "value").repartition(*by[:1], salt).sortWithinPartitions(*by)
-    spread.write.partitionBy(*by).option("lineSep", "\u0000").text(path)
+    rows = rows.withColumn("_at", F.col(order) if order else F.lit(0))
+    last = rows.groupBy(F.col("video_id").cast("string").alias("video_id"), "id", "kind").agg(
+        F.max(F.struct("_at", "value"))["value"].alias("value")
+    )
+    spread = last.repartitionByRange(*([files] if files else []), "video_id", "id", "kind")
+    write_json(spread.sortWithinPartitions("video_id", "id", "kind"), path)
+
+
+def write_texts(texts: DataFrame, path: str, text: str = "text", order: str | None = None) -> None:
+    """Explanations (video_id, id, mode, text)."""
+    extra = [order] if order else []
+    write_artifacts(texts.select("video_id", "id", F.col("mode").alias("kind"), F.col(text).alias("value"), *extra), path, order)
+
+
+def write_snapshots(snapshots: DataFrame, path: str, answer: str = "answer", order: str | None = None) -> None:
+    """Model answers (video_id, id, answer as JSON text)."""
+    extra = [order] if order else []
+    write_artifacts(
+        snapshots.select("video_id", "id", F.lit("snapshot").alias("kind"), F.col(answer).alias("value"), *extra), path, order
+    )
 
 
-def write_artifacts(texts: DataFrame, path: str, text: str = "text") -> None:
-    """Texts below video, short id and mode folders."""
-    rows = texts.select("video_id", F.substring("id", 1, 8).alias("id8"), "mode", F.col(text).alias("value"))
-    write_by_folder(rows, path, ["video_id", "id8", "mode"])
+def write_metadata(interventions: DataFrame, path: str) -> None:
+    """One metadata object per intervention: all its columns but the video, as JSON."""
+    rest = F.struct(*[c for c in interventions.columns if c != "video_id"])
+    write_artifacts(
+        interventions.select("video_id", "id", F.lit("metadata").alias("kind"), F.to_json(rest).alias("value")), path
+    )
+
+
+def export_files(rows: DataFrame, path: str, ending: str = "txt") -> None:
+    """Stored artifacts as single files ``<video_id>/interventions/<id>/<kind>.<ending>``, exactly their value.
+
+    For viewers that want files; the store itself is ``write_artifacts``. Tasks write
+    through the file system that ``path`` names.
+    """
+    from pyarrow import fs
+
+    def write(batches):
+        import pyarrow as pa
+
+        system, base = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            names = []
+            for row in batch.to_pylist():
+                folder = f"{base}/{row['video_id']}/interventions/{row['id']}"
+                system.create_dir(folder, recursive=True)
+                names.append(f"{folder}/{row['kind']}.{ending}")
+                with system.open_output_stream(names[-1]) as out:
+                    out.write(row["value"].encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
+
+    rows.select("video_id", "id", "kind", "value").mapInArrow(write, "path string").count()

@@ -12,10 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from avsync.operators import folds
 from avsync.operators.folds import SAMPLE_MAX_GAP, SAMPLE_MIN_GAP, SAMPLE_THRESHOLD
+from avsync.session import settle
+from avsync.sources.catalog import new_rows
 
 
 def sample_rate(stream: DataFrame, seconds: float = 2.0, lateness: str = "10 minutes", order: str = "ord") -> DataFrame:
@@ -40,6 +43,24 @@ def stall_detect(stream: DataFrame, seconds: float = 30.0, lateness: str = "10 m
     )
 
 
+def sample_tail(rows: DataFrame, closed: DataFrame, seconds: float = 2.0, order: str = "ord") -> DataFrame:
+    """``sample_rate`` of the windows that a stream has not given when its input ends.
+
+    ``rows`` is the input as a table, ``closed`` what the stream gave.
+    """
+    start = F.window("ts", f"{int(seconds * 1000)} milliseconds")["start"]
+    given = closed.select("video_id", F.col("window_start").alias("_start"))
+    rest = rows.withColumn("_start", start).join(given, ["video_id", "_start"], "left_anti").drop("_start")
+    return sample_rate(rest.select(*rows.columns), seconds, order=order)
+
+
+def stall_tail(rows: DataFrame, closed: DataFrame, seconds: float = 30.0) -> DataFrame:
+    """``stall_detect`` of the runs that a stream has not given when its input ends."""
+    last = closed.groupBy("video_id").agg(F.max("last_row").alias("_last"))
+    rest = rows.join(last, "video_id", "left").where("_last IS NULL OR ts > _last").drop("_last")
+    return stall_detect(rest.select(*rows.columns), seconds)
+
+
 def stall_gaps(rows: DataFrame, seconds: float = 30.0, order: str = "ord", max_rows: float | None = None) -> DataFrame:
     """Batch form: pairs of neighbouring rows more than ``seconds`` apart."""
     from avsync.operators import ordered
@@ -50,42 +71,52 @@ def stall_gaps(rows: DataFrame, seconds: float = 30.0, order: str = "ord", max_r
     return seen.where(F.col("t") - F.col("prev_t") > seconds).select("video_id", "prev_t", "t")
 
 
-def suppress_close_stream(stream: DataFrame, gap: float = folds.REDUNDANCY_SECONDS, lateness: str = "10 minutes") -> DataFrame:
-    """Rows at least ``gap`` seconds after the last kept row of their video.
+def _arranged(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
-    Within a micro-batch rows are taken in time order. Rows older than the last kept
-    one are late: they are dropped and counted in ``late_rows`` of the next kept row.
+
+def _expire(state: GroupState, seen: pd.Timestamp, idle_ms: int) -> None:
+    at = int(seen.timestamp() * 1000) + idle_ms
+    state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+
+def suppress_close_stream(
+    stream: DataFrame, gap: float = folds.REDUNDANCY_SECONDS, lateness: str = "10 minutes", order: str = "ord", idle_ms: int = 86_400_000
+) -> DataFrame:
+    """All columns of the rows at least ``gap`` seconds after the last kept row of their video, and ``late``.
+
+    Within a micro-batch rows are taken in time order, of equal times the first by
+    ``order``. A row older than the last kept one came too late to be judged in order: it
+    is given too, with ``late`` true, for the caller to keep aside. A video whose rows
+    lie ``idle_ms`` behind the watermark is forgotten.
     """
-    video = stream.schema["video_id"].dataType.simpleString()
+    out = T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType())])
+    names = stream.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, late = state.get if state.exists else (None, 0)
-        # only distinct times can be kept: what is held per group is one number each
-        times = np.unique(np.concatenate([b["t"].to_numpy() for b in batches]))
-        if last is not None:
-            late += int((times < last).sum())
-            times = times[times >= last]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = _arranged(batches, ["t", order])
+        seen = rows["ts"].max()
+        late = rows["t"] < last if last is not None else pd.Series(False, index=rows.index)
+        if late.any():
+            yield rows[late][names].assign(late=True)
+        rows = rows[~late].drop_duplicates("t")
+        times = rows["t"].to_numpy(dtype=float)
         taken = folds._walk(times, np.full(len(times), np.nan), last, gap, 0.0) if len(times) else []
-        kept = times[taken] if len(times) else times
-        if len(kept):
-            last = float(kept[-1])
-            counts = np.zeros(len(kept), dtype=np.int64)
-            counts[0], late = late, 0
-            yield pd.DataFrame({"video_id": key[0], "t": kept, "late_rows": counts})
+        if len(taken):
+            last = float(times[taken[-1]])
+            yield rows.iloc[taken][names].assign(late=False)
         if last is not None:
-            state.update((last, late))
+            state.update((last,))
+            _expire(state, seen, idle_ms)
 
     return (
         stream.withWatermark("ts", lateness)
-        .select("video_id", "t")
         .groupBy("video_id")
-        .applyInPandasWithState(
-            step,
-            f"video_id {video}, t double, late_rows long",
-            "last double, late long",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+        .applyInPandasWithState(step, out, "last double", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -94,44 +125,89 @@ def change_point_stream(
     threshold: float = SAMPLE_THRESHOLD,
     min_gap: int = SAMPLE_MIN_GAP,
     max_gap: int = SAMPLE_MAX_GAP,
+    lateness: str = "10 minutes",
+    idle_ms: int = 86_400_000,
 ) -> DataFrame:
-    """Kept (video_id, idx) of a stream of (video_id, idx, embedding); state is the last kept row."""
+    """Kept (video_id, idx) of a stream of (video_id, idx, embedding), and ``late``; state is the last kept row.
+
+    Rows before the last kept one are given with ``late`` true. If the stream has ``ts``, a
+    video whose rows lie ``idle_ms`` behind the watermark is forgotten.
+    """
+    timed = "ts" in stream.columns
     video = stream.schema["video_id"].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_idx, last_vec = state.get if state.exists else (None, None)
-        last_vec = None if last_vec is None else np.asarray(last_vec, dtype=np.float64)
-        rows = pd.concat(list(batches)).sort_values("idx")
-        kept = []
-        for idx, vec in zip(rows["idx"], rows["embedding"], strict=True):
-            if last_idx is not None:
-                gap = idx - last_idx
-                if gap < min_gap:
-                    continue
-                if gap < max_gap and float(np.dot(last_vec, np.asarray(vec, dtype=np.float64))) >= threshold:
-                    continue
-            last_idx, last_vec = int(idx), np.asarray(vec, dtype=np.float64)
-            kept.append(last_idx)
+        rows = _arranged(batches, ["idx"])
+        seen = rows["ts"].max() if timed else None
+        if last_idx is not None:
+            late = rows["idx"] < last_idx
+            if late.any():
+                yield pd.DataFrame({"video_id": key[0], "idx": rows["idx"][late], "late": True})
+            rows = rows[~late]
+        idx = rows["idx"].to_numpy()
+        vec = np.stack(rows["embedding"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
+        kept, at = [], 0
+        if last_idx is None and len(idx):
+            kept, at = [0], 1
+            last_idx, last_vec = int(idx[0]), vec[0]
+        while at < len(idx):
+            # the next kept row is among those up to max_gap on
+            end = int(np.searchsorted(idx, last_idx + max_gap, "left")) + 1
+            near = idx[at:end] - last_idx
+            hit = (near >= max_gap) | ((near >= min_gap) & (vec[at:end] @ np.asarray(last_vec, dtype=float) < threshold))
+            if not hit.any():
+                break
+            at += int(np.argmax(hit))
+            kept.append(at)
+            last_idx, last_vec = int(idx[at]), vec[at]
+            at += 1
         if kept:
-            state.update((last_idx, [float(x) for x in last_vec]))
-            yield pd.DataFrame({"video_id": key[0], "idx": kept})
-
+            yield pd.DataFrame({"video_id": key[0], "idx": idx[kept], "late": False})
+        if last_idx is not None:
+            state.update((int(last_idx), [float(x) for x in last_vec]))
+            if timed:
+                _expire(state, seen, idle_ms)
+
+    if timed:
+        stream = stream.withWatermark("ts", lateness)
     return (
-        stream.select("video_id", F.col("idx").cast("long").alias("idx"), "embedding")
+        stream.select("video_id", F.col("idx").cast("long").alias("idx"), "embedding", *(["ts"] if timed else []))
         .groupBy("video_id")
         .applyInPandasWithState(
             step,
-            f"video_id {video}, idx long",
+            f"video_id {video}, idx long, late boolean",
             "idx long, embedding array<double>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout,
         )
     )
 
 
-def process_once(stream: DataFrame, key: str = "id", lateness: str = "1 hour") -> DataFrame:
-    """Each id once, as long as its copies come within ``lateness``."""
-    return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
+def process_once(
+    stream: DataFrame,
+    read: Callable[[], DataFrame],
+    append: Callable[[DataFrame], Any],
+    checkpoint: str,
+    key: str = "id",
+    handle: Callable[[DataFrame], Any] | None = None,
+) -> None:
+    """Handle the rows whose id is not stored yet, once each, however late a copy comes.
+
+    ``read()`` gives the stored rows, ``append(rows)`` stores new ones; ids are stored after
+    ``handle``, so a batch that stops half way is handled again and a finished one is not.
+    """
+
+    def one(batch: DataFrame, _: int) -> None:
+        fresh = settle(new_rows(batch, read(), key), "fresh")
+        if handle is not None:
+            handle(fresh)
+        append(fresh)
+
+    for_each_new(stream, checkpoint, one)
 
 
 def drain(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

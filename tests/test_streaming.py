@@ -19,11 +19,24 @@ def test_suppress_close_stream_over_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = new_dir(spark, "kept")
     state.drain(state.suppress_close_stream(stream), out, new_dir(spark, "c"))
-    got = sorted(r.t for r in spark.read.parquet(out).collect())
-    want = sorted(r.t for r in folds.suppress_close(df).collect())
+    got = sorted((r.t, r.ord) for r in spark.read.parquet(out).where("NOT late").collect())
+    want = sorted((r.t, r.ord) for r in folds.suppress_close(df).collect())
     assert got == want
 
 
+def test_late_rows_are_given_aside(spark, tmp_path):
+    schema = "video_id string, t double, ord int, ts timestamp"
+    src = str(tmp_path / "in")
+    for i, times in enumerate(([0.0, 50.0], [10.0, 52.0, 60.0])):
+        rows = [("v", t, i, f"2024-01-01 00:00:{i:02d}") for t in times]
+        df = spark.createDataFrame(rows, "video_id string, t double, ord int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        state.drain(state.suppress_close_stream(stream), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = sorted((r.t, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0.0, False), (10.0, True), (50.0, False), (60.0, False)]
+
+
 def test_change_point_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(2)
     vec = rng.normal(size=(60, 4))
@@ -50,13 +63,33 @@ def test_sampling_gaps_and_once(spark, tmp_path):
     assert sorted(r.t for r in batch.collect()) == [0.0, 2.0, 4.0, 100.0, 4000.0]
     out = new_dir(spark, "s")
     state.drain(state.sample_rate(stream(), 2.0), out, new_dir(spark, "c"))
-    # windows that the watermark has closed
-    assert sorted(r.t for r in spark.read.parquet(out).collect()) == [0.0, 2.0, 4.0, 100.0]
+    # windows that the watermark has closed, then those still open
+    closed = spark.read.parquet(out)
+    assert sorted(r.t for r in closed.collect()) == [0.0, 2.0, 4.0, 100.0]
+    assert [r.t for r in state.sample_tail(spark.read.parquet(src), closed, 2.0).collect()] == [4000.0]
+    out = new_dir(spark, "r")
+    state.drain(state.stall_detect(stream(), 30.0), out, new_dir(spark, "c"))
+    closed = spark.read.parquet(out)
+    assert sorted(r.n_rows for r in closed.collect()) == [2, 5]
+    assert [r.n_rows for r in state.stall_tail(spark.read.parquet(src), closed, 30.0).collect()] == [1]
     runs = state.stall_detect(spark.read.parquet(src), 30.0).orderBy("first_row").collect()
     assert [r.n_rows for r in runs] == [5, 2, 1]
     gaps = state.stall_gaps(df, 30.0).orderBy("t").collect()
     assert [(r.prev_t, r.t) for r in gaps] == [(4.0, 100.0), (101.0, 4000.0)]
-    out = new_dir(spark, "once")
-    twice = stream().withColumn("id", F.lit("x"))
-    state.drain(state.process_once(twice), out, new_dir(spark, "c"))
-    assert spark.read.parquet(out).count() == 1
+
+
+def test_an_id_that_comes_again_much_later_is_not_handled_again(spark, tmp_path):
+    src, stored, handled = (str(tmp_path / n) for n in ("in", "stored", "handled"))
+    schema = "id string, ts timestamp"
+    spark.createDataFrame([], schema).write.parquet(stored)
+    for day, ids in ((1, ["x", "x", "y"]), (6, ["x", "z"])):
+        rows = [(i, f"2024-01-0{day} 00:00:00") for i in ids]
+        spark.createDataFrame(rows, "id string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(src)
+        state.process_once(
+            spark.readStream.schema(schema).parquet(src),
+            lambda: spark.read.schema(schema).parquet(stored),
+            lambda df: df.write.mode("append").parquet(stored),
+            str(tmp_path / "c"),
+            handle=lambda df: df.write.mode("append").parquet(handled),
+        )
+    assert sorted(r.id for r in spark.read.parquet(handled).collect()) == ["x", "y", "z"]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from avsync.functions.text import format_mmss
+from avsync.operators.timejoin import nearest_segment
 from avsync.session import new_dir, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,8 +169,8 @@ class Tables:
     @property
     def viewer_rows(self) -> DataFrame:
         """Intervention points with the text spoken there."""
-        said = self.segments.where("idx = 0").select("video_id", F.col("text").alias("transcript_context"))
-        return self.keyframes.join(said, "video_id", "left").select(
+        said = nearest_segment(self.keyframes, self.segments).withColumn("transcript_context", F.col("seg_text"))
+        return said.select(
             "video_id",
             F.col("ord").alias("id"),
             "content_type",
@@ -227,7 +228,9 @@ CTES = {
     "viewer_rows": """SELECT k.video_id, k.ord AS id, k.content_type,
         printf('%02d:%02d', CAST(floor(k.t / 60) AS BIGINT), CAST(floor(k.t) AS BIGINT) % 60) AS timestamp_formatted,
         s.text AS transcript_context, k.frame_path
-        FROM keyframes k LEFT JOIN segments s ON s.video_id = k.video_id AND s.idx = 0""",
+        FROM keyframes k LEFT JOIN (SELECT k.ord, arg_min(s.text, (CASE WHEN s.start <= k.t AND k.t <= s."end" THEN 0 ELSE 1 END,
+        CASE WHEN s.start <= k.t AND k.t <= s."end" THEN 0.0 ELSE least(abs(s.start - k.t), abs(s."end" - k.t)) END, s.idx)) AS text
+        FROM keyframes k JOIN segments s ON s.video_id = k.video_id GROUP BY k.ord) s ON s.ord = k.ord""",
 }
 
 

@@ -24,6 +24,18 @@ def _(t):
     return rows.select("video_id", long("idx"), "start", r6("end", "end_s"), F.md5("text").alias("text"))
 
 
+@query(
+    "A1_read_transcripts_parts",
+    """SELECT CAST(video_id AS VARCHAR) AS video_id, idx, start, round("end", 6) AS end_s, md5(text) AS text FROM segments""",
+)
+def _(t):
+    # small parts change the files, not what is read
+    path = t.new_dir("transcripts")
+    sinks.write_transcript(t.segments, path, part_rows=3)
+    rows = files.read_transcripts(t.spark, path, multi_line=False)
+    return rows.select("video_id", long("idx"), "start", r6("end", "end_s"), F.md5("text").alias("text"))
+
+
 def _video_id():
     return F.regexp_extract("_path", r"video_id=([^/]+)/", 1)
 
@@ -44,18 +56,19 @@ def _(t):
 _META = """SELECT CAST(d.video_id AS VARCHAR) AS video_id, 'video ' || d.video_id AS title, duration_seconds,
     CAST((SELECT count(*) FROM keyframes k WHERE k.video_id = d.video_id) AS BIGINT) AS total_keyframes,
     (SELECT string_agg(content_type || '=' || n, '|' ORDER BY content_type) FROM (SELECT content_type, count(*) AS n FROM keyframes k
-    WHERE k.video_id = d.video_id GROUP BY 1)) AS counts FROM video_durations d"""
+    WHERE k.video_id = d.video_id GROUP BY 1)) AS counts FROM keyframe_durations d"""
+_META_ROWS = {"keyframe_durations": "SELECT video_id, CAST(floor(max(t) + 2) AS INTEGER) AS duration_seconds FROM keyframes GROUP BY video_id"}
 
 
 def _meta_written(t):
     path = t.new_dir("meta")
-    videos = t.video_durations.withColumn("title", F.concat(F.lit("video "), F.col("video_id").cast("string")))
-    ours = t.keyframes.join(videos.select("video_id"), "video_id", "left_semi")
-    sinks.write_video_meta(videos, ours, path)
+    ends = t.keyframes.groupBy("video_id").agg((F.max("t") + 2).cast("int").alias("duration_seconds"))
+    videos = ends.withColumn("title", F.concat(F.lit("video "), F.col("video_id").cast("string")))
+    sinks.write_video_meta(videos, t.keyframes, path)
     return path
 
 
-@query("A3_read_video_meta", _META)
+@query("A3_read_video_meta", _META, _META_ROWS)
 def _(t):
     meta = files.read_video_meta(t.spark, _meta_written(t), multi_line=False)
     entries = F.array_sort(F.transform(F.map_entries("content_type_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
@@ -64,10 +77,16 @@ def _(t):
     )
 
 
-@query("A11_write_video_meta", "SELECT count(*) AS files_rows, CAST(sum(n) AS BIGINT) AS frames FROM (SELECT video_id, (SELECT count(*) FROM keyframes k WHERE k.video_id = d.video_id) AS n FROM video_durations d)")
+@query(
+    "A11_write_video_meta",
+    """SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(duration_seconds AS BIGINT) AS duration_seconds,
+    printf('%02d:%02d', duration_seconds // 60, duration_seconds % 60) AS duration_formatted,
+    (SELECT count(*) FROM keyframes k WHERE k.video_id = d.video_id) AS total_keyframes FROM keyframe_durations d""",
+    _META_ROWS,
+)
 def _(t):
     raw = t.spark.read.json(_meta_written(t))
-    return raw.agg(F.count(F.lit(1)).alias("files_rows"), F.sum("total_keyframes").cast("long").alias("frames"))
+    return raw.select("video_id", long("duration_seconds"), "duration_formatted", long("total_keyframes"))
 
 
 def _points(t):
@@ -107,8 +126,8 @@ def _(t):
     c = t.read("conversations")
     answer = F.to_json(F.struct(F.col("role").alias("content_type"), F.struct(F.col("text").alias("note")).alias("visual_analysis")))
     id8 = F.substring(F.md5(F.col("turn").cast("string")), 1, 8)
-    sinks.write_by_folder(c.select(F.col("conv_id").cast("string").alias("video_id"), id8.alias("id8"), answer.alias("value")), path, ["video_id", "id8"])
-    rows = files.read_snapshots(t.spark, path)
+    sinks.write_snapshots(c.select(F.col("conv_id").alias("video_id"), id8.alias("id"), answer.alias("answer")), path)
+    rows = files.read_snapshots(t.spark, path, stored=True)
     return rows.select("video_id", "id8", F.try_variant_get("snapshot", "$.content_type", "string").alias("content_type"))
 
 
@@ -122,20 +141,39 @@ def _artifacts(t):
     rows = t.read("conversations").select(
         F.col("conv_id").cast("string").alias("video_id"), F.md5(F.col("turn").cast("string")).alias("id"), mode.alias("mode"), "text"
     )
-    sinks.write_artifacts(rows, path)
+    sinks.write_texts(rows, path)
     return path
 
 
 @query("A6_read_explanations", _TEXTS)
 def _(t):
-    rows = files.read_explanations(t.spark, _artifacts(t))
+    rows = files.read_explanations(t.spark, _artifacts(t), stored=True)
     return rows.select("video_id", "id8", "mode", F.md5("text").alias("text"))
 
 
-@query("A17_write_artifacts", "SELECT mode, count(*) AS n FROM (" + _TEXTS + ") GROUP BY mode")
+@query("A17_write_artifacts", "SELECT mode, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (" + _TEXTS.replace("md5(text) AS text", "text") + ") GROUP BY mode")
 def _(t):
-    rows = t.spark.read.text(_artifacts(t), wholetext=True)
-    return rows.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.spark.read.json(_artifacts(t))
+    return rows.groupBy(F.col("kind").alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@query(
+    "A17_write_artifacts_of_one_short_id",
+    """SELECT CAST(user_id % 100 AS VARCHAR) AS video_id, 'same-beginning-' || (event_id % 1000) AS id, event_type AS mode,
+    'text ' || max(event_id) AS text FROM events GROUP BY ALL""",
+)
+def _(t):
+    # ids that agree in their first eight letters, and several texts per key: the latest counts
+    path = t.new_dir("texts")
+    e = t.read("events").select(
+        (F.col("user_id") % 100).alias("video_id"),
+        F.concat(F.lit("same-beginning-"), (F.col("event_id") % 1000).cast("string")).alias("id"),
+        F.col("event_type").alias("mode"),
+        F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"),
+        "event_id",
+    )
+    sinks.write_texts(e, path, order="event_id")
+    return files.read_explanations(t.spark, path, stored=True).select("video_id", "id", "mode", "text")
 
 
 @query("A7_read_url_list", "SELECT url FROM pages")

@@ -69,12 +69,22 @@ def _(t):
 
 @query(
     "D6_transcript_text",
-    """SELECT video_id, 0::BIGINT AS part, md5(string_agg(text, ' ' ORDER BY idx)) AS transcript, count(*) AS entry_count
+    """SELECT video_id, md5(string_agg(text, ' ' ORDER BY idx)) AS transcript, count(*) AS entry_count
     FROM segments GROUP BY video_id""",
 )
 def _(t):
     rows = aggregates.transcript_text(t.segments)
-    return rows.select("video_id", long("part"), F.md5("transcript_text").alias("transcript"), "entry_count")
+    return rows.select("video_id", F.md5("transcript_text").alias("transcript"), "entry_count")
+
+
+@query(
+    "D6_transcript_text_parts",
+    """SELECT video_id, md5(string_agg(text, ' ' ORDER BY idx)) AS transcript, count(*) AS entry_count
+    FROM segments GROUP BY video_id""",
+)
+def _(t):
+    rows = aggregates.transcript_text(t.segments, part_rows=3)
+    return rows.select("video_id", F.md5("transcript_text").alias("transcript"), "entry_count")
 
 
 _SIM = {
