@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from avsync.functions import lexicon
-from avsync.operators import aggregates, folds, library, timejoin, vectors
+from avsync.operators import aggregates, folds, knowledge, library, timejoin, vectors
 from avsync.operators.textmatch import find_segment_by_text
 from workload.base import long, query, r6
 
@@ -211,12 +211,26 @@ def _asked(t):
 
 
 _ALIKE = "(contains(k.concept, a.concept) OR contains(a.concept, k.concept))"
+ORACLE_KB = {}
+ORACLE_KB["C15"] = f"""SELECT p_partkey, coalesce(string_agg('In ' || domain || ': ' || explanation, '; ' ORDER BY n, d), 'No direct connections') AS cross_text
+    FROM (SELECT p_partkey, domain, arg_min(explanation, n) AS explanation, min(n) AS n, min(d) AS d FROM (
+      SELECT a.p_partkey, a.n, k.domain, list_position(['math', 'physics', 'chemistry', 'economics', 'biology'], k.domain) AS d,
+      arg_min(k.explanation, (CASE WHEN k.concept = a.concept THEN 0 ELSE 1 END, k.ord)) AS explanation
+      FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS concept, unnest(range(len(string_split(p_name, ' ')))) AS n FROM part) a
+      LEFT JOIN kb k ON {_ALIKE} GROUP BY ALL) GROUP BY p_partkey, domain) GROUP BY p_partkey"""
+ORACLE_KB["C14"] = f"""SELECT c.p_partkey, coalesce(string_agg(k.domain || '=' || k.explanation, '|' ORDER BY k.ord), '') AS entries FROM (
+    SELECT a.p_partkey, arg_min(k.concept, (CASE WHEN k.concept = a.concept THEN 0 ELSE 1 END, k.ord)) AS concept
+    FROM kb_asked a LEFT JOIN kb k ON {_ALIKE} GROUP BY a.p_partkey) c LEFT JOIN kb k ON k.concept = c.concept GROUP BY c.p_partkey"""
+ORACLE_KB["C13"] = """SELECT p_partkey, coalesce(string_agg(domain, '|' ORDER BY ord), '') AS domains FROM (
+    SELECT a.p_partkey, k.domain, min(k.ord) AS ord FROM kb_asked a LEFT JOIN kb k
+    ON k.concept = a.concept OR contains(lower(k.explanation), a.concept) GROUP BY ALL) GROUP BY p_partkey"""
+ORACLE_KB["C12"] = f"""SELECT a.p_partkey, coalesce(arg_min(k.explanation, (CASE WHEN k.concept = a.concept THEN 0 ELSE 1 END, k.ord)), '') AS explanation
+    FROM kb_asked a LEFT JOIN kb k ON k.domain = a.domain AND {_ALIKE} GROUP BY a.p_partkey"""
 
 
 @query(
     "C12_kb_explanation",
-    f"""SELECT a.p_partkey, coalesce(arg_min(k.explanation, (CASE WHEN k.concept = a.concept THEN 0 ELSE 1 END, k.ord)), '') AS explanation
-    FROM kb_asked a LEFT JOIN kb k ON k.domain = a.domain AND {_ALIKE} GROUP BY a.p_partkey""",
+    ORACLE_KB["C12"],
     _KB,
 )
 def _(t):
@@ -227,9 +241,7 @@ def _(t):
 
 @query(
     "C13_kb_related_domains",
-    """SELECT p_partkey, coalesce(string_agg(domain, '|' ORDER BY ord), '') AS domains FROM (
-    SELECT a.p_partkey, k.domain, min(k.ord) AS ord FROM kb_asked a LEFT JOIN kb k
-    ON k.concept = a.concept OR contains(lower(k.explanation), a.concept) GROUP BY ALL) GROUP BY p_partkey""",
+    ORACLE_KB["C13"],
     _KB,
 )
 def _(t):
@@ -240,9 +252,7 @@ def _(t):
 
 @query(
     "C14_kb_concept_map",
-    f"""SELECT c.p_partkey, coalesce(string_agg(k.domain || '=' || k.explanation, '|' ORDER BY k.ord), '') AS entries FROM (
-    SELECT a.p_partkey, arg_min(k.concept, (CASE WHEN k.concept = a.concept THEN 0 ELSE 1 END, k.ord)) AS concept
-    FROM kb_asked a LEFT JOIN kb k ON {_ALIKE} GROUP BY a.p_partkey) c LEFT JOIN kb k ON k.concept = c.concept GROUP BY c.p_partkey""",
+    ORACLE_KB["C14"],
     _KB,
 )
 def _(t):
@@ -253,12 +263,7 @@ def _(t):
 
 @query(
     "C15_cross_domain_text",
-    f"""SELECT p_partkey, coalesce(string_agg('In ' || domain || ': ' || explanation, '; ' ORDER BY n, d), 'No direct connections') AS cross_text
-    FROM (SELECT p_partkey, domain, arg_min(explanation, n) AS explanation, min(n) AS n, min(d) AS d FROM (
-      SELECT a.p_partkey, a.n, k.domain, list_position(['math', 'physics', 'chemistry', 'economics', 'biology'], k.domain) AS d,
-      arg_min(k.explanation, (CASE WHEN k.concept = a.concept THEN 0 ELSE 1 END, k.ord)) AS explanation
-      FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS concept, unnest(range(len(string_split(p_name, ' ')))) AS n FROM part) a
-      LEFT JOIN kb k ON {_ALIKE} GROUP BY ALL) GROUP BY p_partkey, domain) GROUP BY p_partkey""",
+    ORACLE_KB["C15"],
     _KB,
 )
 def _(t):
@@ -347,3 +352,64 @@ def _(t):
         F.col("o_orderpriority").alias("text"),
     )
     return library.short_id_join(t.interventions, stored).select("id", "mode", "text")
+
+
+# --- knowledge as a table: one entry per part, stored through H6 ---------------------
+
+_TABLE = {
+    "kb": """SELECT concept, domain, arg_max(explanation, ord) AS explanation, max(ord) AS ord FROM (
+        SELECT lower(p_name) || ' ' || (p_partkey % 97) AS concept, CASE p_partkey % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'physics'
+        ELSE 'chemistry' END AS domain, p_brand || ' of ' || p_name AS explanation, p_partkey AS ord FROM part) GROUP BY concept, domain""",
+    "kb_asked": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || (p_partkey % 97) WHEN 1 THEN p_name
+        WHEN 2 THEN 'the ' || p_name || ' ' || (p_partkey % 97) || ' here' ELSE 'none' END AS concept,
+        CASE p_size % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'physics' ELSE 'chemistry' END AS domain FROM part""",
+}
+
+
+def knowledge_table(t):
+    p = t.read("part")
+    numbered = F.concat(F.upper("p_name"), F.lit(" "), (F.col("p_partkey") % 97).cast("string"))
+    added = p.select(
+        numbered.alias("concept"),
+        F.expr("CASE p_partkey % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'physics' ELSE 'chemistry' END").alias("domain"),
+        F.concat("p_brand", F.lit(" of "), "p_name").alias("explanation"),
+        F.col("p_partkey").alias("ord"),
+    )
+    return library.add_knowledge(added.where("false"), added)
+
+
+def _asked_table(t):
+    number = (F.col("p_partkey") % 97).cast("string")
+    kind = F.col("p_partkey") % 4
+    concept = (
+        F.when(kind == 0, F.concat("p_name", F.lit(" "), number))
+        .when(kind == 1, F.col("p_name"))
+        .when(kind == 2, F.concat(F.lit("the "), "p_name", F.lit(" "), number, F.lit(" here")))
+        .otherwise("none")
+    )
+    domain = F.expr("CASE p_size % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'physics' ELSE 'chemistry' END")
+    return t.read("part").select("p_partkey", concept.alias("concept"), domain.alias("domain"))
+
+
+@query("C12_kb_explanation_table", ORACLE_KB["C12"], _TABLE)
+def _(t):
+    return knowledge.explanations(_asked_table(t), knowledge_table(t)).select("p_partkey", "explanation")
+
+
+@query("C13_kb_related_domains_table", ORACLE_KB["C13"], _TABLE)
+def _(t):
+    rows = knowledge.related_domains(_asked_table(t), knowledge_table(t))
+    return rows.select("p_partkey", F.array_join("domains", "|").alias("domains"))
+
+
+@query("C14_kb_concept_map_table", ORACLE_KB["C14"], _TABLE)
+def _(t):
+    rows = knowledge.concept_maps(_asked_table(t), knowledge_table(t))
+    entries = F.transform(F.map_entries("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("p_partkey", F.array_join(entries, "|").alias("entries"))
+
+
+@query("C15_cross_domain_text_table", ORACLE_KB["C15"], _TABLE)
+def _(t):
+    rows = t.read("part").select("p_partkey", F.split("p_name", " ").alias("concepts"))
+    return knowledge.cross_domain_texts(rows, "p_partkey", "concepts", knowledge_table(t)).select("p_partkey", F.col("cross_domain").alias("cross_text"))
