@@ -245,10 +245,63 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(bound, pairs.select("a", "b").schema)
 
 
-def _leaves(open_cells: DataFrame, points: DataFrame) -> DataFrame:
-    """The tree of each cell: its points in order of size and label, packed into leaves of at
-    most LEAF points, each with its rectangle (sizes and labels from and to; the upper corner
-    of the counts is their maximum). Points without one of like size in their cell are left out.
+Point = tuple  # set, label, n, vector, cells
+
+
+class Leaf:
+    """Points of a cell, at most LEAF of them: labels, sizes and count vectors, with the rectangle round them."""
+
+    def __init__(self, points: list[Point]):
+        self.sets = [p[0] for p in points]
+        self.labels = np.array([p[1] for p in points])
+        self.sizes = np.array([p[2] for p in points], np.int64)
+        self.vectors = [as_vector(p[3], p[2]) for p in points]
+        self.cells = [p[4] for p in points]
+        self.groups = np.array([len(v) for v in self.vectors])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def table(self, groups: int) -> np.ndarray:
+        """Vectors over so few groups, a line for each point that has as many."""
+        if groups not in self.folded:
+            table = np.zeros((len(self.sets), groups), np.int32)
+            for i in np.flatnonzero(self.groups >= groups):
+                table[i] = fold(self.vectors[i], groups)
+            self.folded[groups] = table
+        return self.folded[groups]
+
+
+def matched(cell: int, x: Leaf, y: Leaf) -> Iterator[tuple]:
+    """Pairs of different labels whose sum of coordinate minima allows a link, of one leaf or of two.
+
+    A pair that shares several cells is looked at in each, and given in the first only.
+    """
+    if x is not y:
+        # the upper corners bound all sums between the leaves; folding keeps a corner a corner
+        g = int(min(x.groups.min(), y.groups.min()))
+        if int(np.minimum(x.table(g).max(0), y.table(g).max(0)).sum()) < needed(x.sizes.min() + y.sizes.min()):
+            return
+    for i in range(len(x.sets)):
+        js = np.arange(i + 1, len(y.sets)) if x is y else np.arange(len(y.sets))
+        n = x.sizes[i]
+        js = js[(y.labels[js] != x.labels[i]) & (y.sizes[js] * DEN >= n * NUM) & (n * DEN >= y.sizes[js] * NUM)]
+        if not len(js):
+            continue
+        groups = np.minimum(y.groups[js], x.groups[i])
+        for g in np.unique(groups):
+            at = js[groups == g]
+            overlap = np.minimum(fold(x.vectors[i], int(g))[None, :], y.table(int(g))[at]).sum(1)
+            for j in at[overlap >= needed(n + y.sizes[at])]:
+                if min(x.cells[i] & y.cells[j]) == cell:
+                    yield (x.sets[i], y.sets[j]) if x.sets[i] < y.sets[j] else (y.sets[j], x.sets[i])
+
+
+def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b): pairs of different labels that their cells' trees of count vectors let through.
+
+    Rows are sorted by cell, octave of size and label, and packed into leaves. A cell of one
+    leaf is done where it is packed. Larger cells, and those at the edge of a partition, which
+    may go on in the next, also give their leaves; these are joined by cell, leaf against
+    leaf, unless sizes or labels exclude it.
     """
     key = points.schema["set"].dataType
     sized = open_cells.join(points.select("set", "n"), "set")
@@ -256,15 +309,17 @@ def _leaves(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     near = F.coalesce(F.lag("n").over(by_size) * DEN >= F.col("n") * NUM, F.lit(False)) | F.coalesce(
         F.col("n") * DEN >= F.lead("n").over(by_size) * NUM, F.lit(False)
     )
+    # a point without one of like size in its cell has no partner there
     sized = settle(sized.withColumn("near", near).filter("near").select("token", "set", "label"), "sized")
-    rows = sized.join(points.select("set", "n", "vector"), "set").withColumn("octave", F.floor(F.log2("n")))
+    cells = sized.groupBy("set").agg(F.collect_list("token").alias("cells"))
+    full = points.join(cells, "set").select("set", "n", "vector", "cells")
+    rows = sized.join(full, "set").withColumn("octave", F.floor(F.log2("n")))
     order = [F.col(c) for c in ("token", "octave", "label", "n", "set")]
     rows = rows.repartitionByRange(width(points.sparkSession), *order).sortWithinPartitions(*order)
-    schema = T.StructType(
-        [T.StructField("token", T.LongType()), T.StructField("leaf", T.LongType()), T.StructField("least_n", T.LongType()), T.StructField("most_n", T.LongType())]
-        + [T.StructField("least_label", key), T.StructField("most_label", key), T.StructField("groups", T.IntegerType())]
-        + [T.StructField("sets", T.ArrayType(key)), T.StructField("labels", T.ArrayType(key)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("vectors", T.BinaryType())]
-    )
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    fields = [("a", key), ("b", key), ("token", long), ("leaf", long), ("least_n", long), ("most_n", long), ("least_label", key), ("most_label", key)]
+    fields += [("sets", T.ArrayType(key)), ("labels", T.ArrayType(key)), ("sizes", longs), ("vectors", T.ArrayType(T.BinaryType())), ("cells", T.ArrayType(longs))]
+    schema = T.StructType([T.StructField(*f) for f in fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -272,85 +327,64 @@ def _leaves(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        base, number = TaskContext.get().partitionId() << 33, 0
-        held, out = [], []
+        base, number, out = TaskContext.get().partitionId() << 33, 0, []
 
-        def leaf():
+        def close(token, members, edge):
             nonlocal number
-            vectors = [as_vector(r[4], r[3]) for r in held]
-            g = min(map(len, vectors))
-            table = np.stack([fold(v, g) for v in vectors])
-            table = table.astype("u1" if table.max() < 256 else "<u4")
-            number += 1
-            labels = [r[2] for r in held]
-            return {
-                "token": held[0][0], "leaf": base + number, "least_n": min(r[3] for r in held), "most_n": max(r[3] for r in held), "least_label": min(labels), "most_label": max(labels),
-                "groups": g, "sets": [r[1] for r in held], "labels": labels, "sizes": [r[3] for r in held], "vectors": table.tobytes(),
-            }
-
-        last = None
+            parts = [members[i : i + LEAF] for i in range(0, len(members), LEAF)]
+            for part in parts:
+                out.extend({"a": a, "b": b} for a, b in matched(token, *[Leaf(part)] * 2))
+                if edge or len(parts) > 1:
+                    number += 1
+                    sets, labels, sizes, vectors, cells = (list(c) for c in zip(*part, strict=True))
+                    out.append({
+                        "token": token, "leaf": base + number, "least_n": min(sizes), "most_n": max(sizes), "least_label": min(labels), "most_label": max(labels),
+                        "sets": sets, "labels": labels, "sizes": sizes, "vectors": vectors, "cells": [sorted(c) for c in cells],
+                    })
+
+        token, members, first = None, [], True
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and ((row[0], row[5]) != last or len(held) == LEAF):
-                    out.append(leaf())
-                    held = []
-                    if len(out) >= 256:
+                if members and row[0] != token:
+                    close(token, members, first)
+                    members, first = [], False
+                    if len(out) >= 1024:
                         yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                        out = []
-                last = (row[0], row[5])
-                held.append(row)
-        if held:
-            out.append(leaf())
+                        out.clear()
+                if len(members) == 64 * LEAF:  # what a task holds of a cell
+                    close(token, members, True)
+                    members, first = [], True
+                token = row[0]
+                members.append((*row[1:5], frozenset(row[5])))
+        if members:
+            close(token, members, True)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.select("token", "set", "label", "n", "vector", "octave").mapInArrow(pack, schema)
-
-
-def _table(raw: bytes, groups: int, rows: int) -> np.ndarray:
-    """The points of a leaf, a line each."""
-    return np.frombuffer(raw, "u1" if len(raw) == groups * rows else "<u4").reshape(rows, groups).astype(np.int32)
-
-
-def _tree_join(leaves: DataFrame, pair_schema: T.StructType) -> DataFrame:
-    """Pairs of different labels whose sum of coordinate minima allows a link: leaf against
-    leaf of one cell, first by rectangles, then point by point."""
+    packed = settle(rows.select("token", "set", "label", "n", "vector", "cells").mapInArrow(pack, schema), "packed")
+    inner = packed.filter("a is not null").select("a", "b")
+    leaves = packed.filter("leaf is not null").drop("a", "b")
     left = leaves.select(*[F.col(c).alias(f"{c}_") for c in leaves.columns])
-    near = (
+    may = (
         (F.col("token") == F.col("token_"))
-        & (F.col("leaf") <= F.col("leaf_"))
+        & (F.col("leaf") < F.col("leaf_"))
         & (F.col("most_n") * DEN >= F.col("least_n_") * NUM)
         & (F.col("most_n_") * DEN >= F.col("least_n") * NUM)
         & ((F.col("least_label") != F.col("most_label_")) | (F.col("most_label") != F.col("least_label_")))
     )
-    columns = ["leaf", "least_n", "groups", "sets", "labels", "sizes", "vectors"]
-    pairs = leaves.join(left, near).select(*columns, *[f"{c}_" for c in columns])
+    columns = ["sets", "labels", "sizes", "vectors", "cells"]
+    pairs = leaves.join(left, may).select("token", *columns, *[f"{c}_" for c in columns])
 
     def search(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            a, b = [], []
-            for x, xn, xc, xs, xl, xz, xv, y, yn, yc, ys, yl, yz, yv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p, q = _table(xv, xc, len(xs)), _table(yv, yc, len(ys))
-                g = min(p.shape[1], q.shape[1])
-                # folding keeps the upper corner an upper corner
-                if int(np.minimum(fold(p.max(0), g), fold(q.max(0), g)).sum()) < -(-NUM * (xn + yn) // (NUM + DEN)):
-                    continue
-                p, q = fold(p, g), fold(q, g)
-                xl, yl, xz, yz = np.array(xl), np.array(yl), np.array(xz, np.int64), np.array(yz, np.int64)
-                for i in range(len(xs)):
-                    js = np.arange(i + 1, len(ys)) if x == y else np.arange(len(ys))
-                    js = js[(yl[js] != xl[i]) & (yz[js] * DEN >= xz[i] * NUM) & (xz[i] * DEN >= yz[js] * NUM)]
-                    if not len(js):
-                        continue
-                    overlap = np.minimum(p[i][None, :], q[js]).sum(1, dtype=np.int64)
-                    for j in js[overlap >= needed(xz[i] + yz[js])]:
-                        first, second = sorted((xs[i], ys[j]))
-                        a.append(first)
-                        b.append(second)
+            found = []
+            for token, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = (Leaf([(*p[:4], frozenset(p[4])) for p in zip(*half, strict=True)]) for half in (both[:5], both[5:]))
+                found += matched(token, x, y)
             kind = batch.schema.field("sets").type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], kind) for k in (0, 1)], ["a", "b"])
 
-    return pairs.mapInArrow(search, pair_schema)
+    return inner.union(pairs.mapInArrow(search, inner.schema))
 
 
 # -- the join ------------------------------------------------------------------------------
@@ -416,7 +450,7 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
         near = settle(_bounded(settle(star, "stars"), points), "near")
         links = settle(links.union(_verified(near, docs, unique)), "links")
         now = _still_open(cells, links)
-    near = settle(_tree_join(settle(_leaves(now.select("token", "set", "label"), points), "leaves"), pair_schema).distinct(), "near")
+    near = settle(_tree_pairs(now.select("token", "set", "label"), points).distinct(), "near")
     links = settle(links.union(_verified(near, docs, unique)).distinct(), "links")
     return plain.join(sets.select("digest", "set"), "digest", "left").select("doc_id", "n", "set"), links, components(links)
 
