@@ -58,7 +58,7 @@ def prefix_length(n: int) -> int:
 def groups_of(n: int) -> int:
     """Groups of a count vector: a power of two, so that longer vectors fold onto shorter ones."""
     g = LEAST_GROUPS
-    while g * 4 < n:
+    while g * 2 < n:
         g *= 2
     return g
 
