@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ SAMPLE_THRESHOLD = 0.50
 SAMPLE_MIN_GAP = 1
 SAMPLE_MAX_GAP = 15
 REDUNDANT_SIMILARITY = 0.92
+TRIM_PARTS = 64
 
 
 # --- chains over (time, optional cover start) -------------------------------
@@ -184,7 +185,7 @@ def accept_chain(
 
     # one small row per chunk of a long video
     entries = tables.groupBy("video_id").applyInArrow(follow, f"video_id {video}, {CHUNK} int, entry double")
-    entered = chunked.join(F.broadcast(entries), cuts.group, "left")
+    entered = chunked.join(entries, cuts.group, "left")
     return entered.drop("_long").groupBy(*cuts.group).applyInArrow(walk, out)
 
 
@@ -196,10 +197,11 @@ def suppress_close(
     Rows with equal times are tried in ``order``: only the first of them can be kept,
     so one row per distinct time goes on.
     """
-    max_rows = row_limit(rows, max_rows=max_rows)
     rest = [c for c in rows.columns if c not in ("video_id", "t")]
     firsts = rows.groupBy("video_id", "t").agg(F.min_by(F.struct(*rest), F.struct(order)).alias("r"))
-    return accept_chain(firsts.select("video_id", "t", "r.*"), gap, max_rows=max_rows)
+    # the fold sees times only; texts and paths stay on the JVM side
+    kept = accept_chain(rows.select("video_id", "t").distinct(), gap, max_rows=max_rows)
+    return firsts.join(kept, ["video_id", "t"], "left_semi").select("video_id", "t", "r.*")
 
 
 # --- scenes -----------------------------------------------------------------
@@ -392,10 +394,12 @@ def trim_to_maximum(
     rows: DataFrame, limit: Column, score: str = "complexity", order: str = "ord", max_rows: float | None = None
 ) -> DataFrame:
     """The ``limit`` best rows of each video; equal scores go by time."""
-    ranked = rows.withColumn("_down", -F.col(score))
-    cuts = find_cuts(ranked, ["video_id"], ["_down", "t", order], max_rows)
-    ranked = ordered.scan(ranked, cuts, _rank=ordered.row_number())
-    return ranked.where(F.col("_rank") <= limit).drop("_rank", "_down")
+    # the best of each part of a video hold the best of the video: no key is ranked whole
+    by = [F.col(score).desc(), "t", order]
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64("t", order), F.lit(TRIM_PARTS)))
+    best = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("video_id", "_part").orderBy(*by))).where(F.col("_rank") <= limit)
+    ranked = best.withColumn("_rank", F.row_number().over(Window.partitionBy("video_id").orderBy(*by)))
+    return ranked.where(F.col("_rank") <= limit).drop("_rank", "_part")
 
 
 def change_point_sample(
@@ -420,8 +424,9 @@ def change_point_sample(
     def jumps(table: pa.Table, n: int) -> np.ndarray:
         """For the first n rows, how many rows on the next kept row is."""
         idx = table["idx"].to_numpy()
-        vec = np.array(table["embedding"].to_pylist(), dtype=np.float64)
         total = len(idx)
+        flat = table["embedding"].combine_chunks().flatten()
+        vec = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(total, -1)
         out = np.zeros(n, dtype=np.int64)
         rows = np.arange(n)
         for step in range(1, max_gap + 1):

@@ -49,11 +49,11 @@ class Cuts:
         if not self.any:
             return df
         here = F.struct(*[F.col(c).alias(c) for c in self.order])
-        # both tables hold two cuts per max_rows rows of long keys at most
-        rows = df.join(F.broadcast(self.coarse), list(self.keys), "left").withColumn("_long", F.col("_coarse").isNotNull())
+        # both tables hold two cuts per max_rows rows of long keys at most; Spark broadcasts them while they are small
+        rows = df.join(self.coarse, list(self.keys), "left").withColumn("_long", F.col("_coarse").isNotNull())
         run = _at_or_below(F.col("_coarse"), here, self.longest)
         rows = rows.withColumn("_run", F.when(F.col("_long"), run).otherwise(F.lit(0))).drop("_coarse")
-        rows = rows.join(F.broadcast(self.fine), [*self.keys, "_run"], "left")
+        rows = rows.join(self.fine, [*self.keys, "_run"], "left")
         number = F.col("_run") * F.lit(self.fan) + _at_or_below(F.col("_cuts"), here, self.fan)
         return rows.withColumn(CHUNK, F.when(F.col("_long"), number).otherwise(F.lit(0))).drop("_run", "_cuts")
 
@@ -109,7 +109,7 @@ def find_cuts(
     key_schema = T.StructType([narrow.schema[k] for k in keys])
     long_df = spark.createDataFrame(list(chunks), key_schema)
     fraction = min(1.0, SAMPLES_PER_CHUNK * sum(chunks.values()) / total)
-    sample = narrow.join(F.broadcast(long_df), keys, "left_semi").sample(fraction, seed=11).collect()
+    sample = narrow.join(long_df, keys, "left_semi").sample(fraction, seed=11).collect()
     by_key: dict[tuple, list[tuple]] = {}
     for r in sample:
         by_key.setdefault(tuple(r[k] for k in keys), []).append(tuple(r[c] for c in order))
@@ -214,7 +214,7 @@ def scan(df: DataFrame, cuts: Cuts, **scans: Scan) -> DataFrame:
         return rows.withColumns({n: F.col(n)["v"] for n in boxed})
 
     carried = _carry(cuts, cuts.chunked(df).where("_long"), scans, boxed)
-    rows = rows.join(F.broadcast(carried), cuts.group, "left")
+    rows = rows.join(carried, cuts.group, "left")
     out = {}
     for name, s in scans.items():
         carry = F.col(f"_c_{name}")

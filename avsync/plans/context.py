@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from avsync.functions import lexicon
@@ -25,32 +25,17 @@ def context_rows(
     """
     asked = points.select("video_id", "t", normalize_mode(F.col("mode")).alias("mode")).distinct()
     rows = window_rows(asked, segments, mode_window(F.col("mode")))
-    items = F.array_sort(F.collect_list(F.struct("start", "idx", "text")))
+    # the last topic is carried on; of rows with one key the last counts, and they stand together
+    so_far = Window.partitionBy("video_id", "t", "w").orderBy("start", "idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    topic = F.last(lexicon.topic_of(F.col("text"), topics), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("topic", F.coalesce(topic, F.lit("unknown"))).withColumn("key", F.format_string("%.1f", F.col("start")))
     grouped = rows.groupBy("video_id", "t", "w").agg(
         joined_text(rows).alias("context_text"),
         joined_text(rows, F.col("start") < F.col("t")).alias("_before"),
-        items.alias("_items"),
-    )
-    named = F.transform(
-        "_items",
-        lambda r: F.struct(
-            F.format_string("%.1f", r["start"]).alias("key"), lexicon.topic_of(r["text"], topics).alias("topic")
-        ),
-    )
-    # carry the last topic on; a later row replaces an earlier one of the same key
-    no_topics = F.lit(None).cast("array<struct<key:string,topic:string>>")
-    carried = F.aggregate(
-        named,
-        F.struct(F.lit("unknown").alias("topic"), F.coalesce(no_topics, F.array().cast("array<struct<key:string,topic:string>>")).alias("out")),
-        lambda acc, r: F.struct(
-            F.coalesce(r["topic"], acc["topic"]).alias("topic"),
-            F.concat(
-                F.filter(acc["out"], lambda o: o["key"] != r["key"]),
-                F.array(F.struct(r["key"].alias("key"), F.coalesce(r["topic"], acc["topic"]).alias("topic"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+        F.array_sort(F.collect_list(F.struct("start", "idx", "key", "topic"))).alias("_items"),
     )
+    lasts = F.filter("_items", lambda r, i: F.coalesce(F.get("_items", i + 1)["key"] != r["key"], F.lit(True)))
+    carried = F.transform(lasts, lambda r: F.struct(r["key"], r["topic"]))
     found = grouped.withColumn("previous_concepts", lexicon.concepts_in(F.col("_before"), concepts, whole_word)).select(
         "video_id",
         "t",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from avsync.functions.lexicon import Knowledge, cross_domain_text
 from avsync.functions.math_speech import linearize_math
 from avsync.functions.model_json import parse_model_json
 from avsync.functions.prompts import render_prompt
+from avsync.operators.knowledge import cross_domain_texts
 from avsync.operators.library import explanation_queue
 from avsync.operators.timejoin import nearest_segment, without_segment
 from avsync.plans.context import build_context
@@ -23,7 +27,7 @@ def prepare_explanations(
     explanations: DataFrame,
     segments: DataFrame,
     snapshots: DataFrame,
-    knowledge: Knowledge,
+    knowledge: Knowledge | DataFrame,
     templates: dict[str, str] | None = None,
     policy: str = "strict",
     max_rows: float | None = None,
@@ -33,7 +37,8 @@ def prepare_explanations(
 
     ``requests`` is (intervention_id, output_mode); ``interventions`` (id, video_id, t,
     content_type, confidence_proxy); ``snapshots`` (intervention_id, answer), the model's
-    raw text. ``use_model`` is false where only the transcript may be used.
+    raw text. ``use_model`` is false where only the transcript may be used. ``knowledge`` is
+    a table (concept, domain, explanation, ord), or a short dict.
     """
     todo = explanation_queue(requests, explanations).join(
         interventions.select(
@@ -56,9 +61,19 @@ def prepare_explanations(
     only_speech = scoring.missing_gate(missing) | scoring.mismatch_flag(
         F.col("content_type"), F.col("snapshot.text_readout")
     )
-    return seen.withColumns(
-        {"use_model": ~only_speech, "cross_domain": cross_domain_text(F.col("previous_concepts"), knowledge)}
-    ).withColumn("prompt", render_prompt(F.col("output_mode"), _fields(), templates))
+    seen = seen.withColumn("use_model", ~only_speech)
+    if isinstance(knowledge, DataFrame):
+        seen = _cross_domain(seen, knowledge)
+    else:
+        seen = seen.withColumn("cross_domain", cross_domain_text(F.col("previous_concepts"), knowledge))
+    return seen.withColumn("prompt", render_prompt(F.col("output_mode"), _fields(), templates))
+
+
+def _cross_domain(rows: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """Each different list of concepts is looked up once."""
+    rows = rows.withColumn("_list", F.coalesce(F.array_join("previous_concepts", "\u0001"), F.lit("")))
+    lists = rows.select("_list", F.col("previous_concepts").alias("concepts")).dropDuplicates(["_list"])
+    return rows.join(cross_domain_texts(lists, "_list", "concepts", knowledge), "_list", "left").drop("_list")
 
 
 def _fields() -> dict[str, Column]:
@@ -83,6 +98,23 @@ def _fields() -> dict[str, Column]:
     }
 
 
+def store_explanations(told: DataFrame, append: Callable[[DataFrame], Any]) -> None:
+    """Add written explanations (intervention_id, output_mode, text_explanation) to the stored table.
+
+    That table is what ``explanation_queue`` leaves out, so asking again finds no work.
+    """
+    folder = F.concat(F.lit("interventions/"), "intervention_id", F.lit("/"))
+    append(
+        told.select(
+            "intervention_id",
+            "text_explanation",
+            "output_mode",
+            F.concat(folder, "output_mode", F.lit(".txt")).alias("text_file_path"),
+            F.current_timestamp().alias("created_at"),
+        )
+    )
+
+
 def write_explanations(prepared: DataFrame, load: Loader) -> DataFrame:
     """(intervention_id, output_mode, text_explanation): the model's text, else the spoken one.
 

@@ -11,15 +11,20 @@ from avsync.sources.sinks import interventions_manifest_documents, manifest_docu
 
 
 def manifest_segments(
-    segments: DataFrame, snapshots: DataFrame, texts: DataFrame | None = None, reasons: DataFrame | None = None
+    segments: DataFrame,
+    snapshots: DataFrame,
+    texts: DataFrame | None = None,
+    reasons: DataFrame | None = None,
+    answers: DataFrame | None = None,
 ) -> DataFrame:
     """Every segment as a manifest row, filled from the snapshot near its start.
 
     ``texts`` (snapshot_id, text) replaces the spoken text; ``reasons`` (snapshot_id,
-    trigger_reason) comes from the interventions the snapshots belong to.
+    trigger_reason) comes from the interventions the snapshots belong to; ``answers``
+    (snapshot_id, answer) is the model's stored answer, which ``vlm_data`` holds whole.
     """
     rows = segments_with_interventions(segments, snapshots)
-    for extra in (texts, reasons):
+    for extra in (texts, reasons, answers):
         if extra is not None:
             new = [c for c in extra.columns if c != "snapshot_id"]
             rows = rows.join(extra.select("snapshot_id", *[F.col(c).alias(f"_{c}") for c in new]), "snapshot_id", "left")
@@ -35,7 +40,7 @@ def manifest_segments(
         "is_intervention",
         F.when(F.col("is_intervention"), file).alias("audio_file"),
         spoken.alias("original_transcript"),
-        F.col("snapshot_id").alias("vlm_data"),
+        F.col("_answer" if answers is not None else "snapshot_id").alias("vlm_data"),
         F.when(F.col("is_intervention"), F.coalesce(reason, F.lit("Unknown"))).alias("intervention_reason"),
     )
 

@@ -204,13 +204,13 @@ def _(t):
     )
 
 
-def prepared(t, templates=None):
+def prepared(t, templates=None, stored=None):
     snaps = t.answers.select(F.md5(F.col("event_id").cast("string")).alias("intervention_id"), "answer")
     points = t.interventions.select(
         "id", F.col("video_id").cast("long").alias("video_id"), "t", "content_type", F.col("complexity").alias("confidence_proxy")
     )
     return explain.prepare_explanations(
-        t.requests, points, t.explanations, t.segments, snaps, KNOWLEDGE, templates,
+        t.requests, points, t.explanations if stored is None else stored, t.segments, snaps, KNOWLEDGE, templates,
         concepts=list(_LEX), principles=_LEX, topics=_TOP,
     )
 
@@ -256,6 +256,25 @@ def _(t):
     return rows.select("intervention_id", "output_mode", F.md5("text_explanation").alias("told"))
 
 
+@query(
+    "J6_stored_explanations",
+    """SELECT t.intervention_id, t.output_mode, 'interventions/' || t.intervention_id || '/' || t.output_mode || '.txt' AS text_file_path,
+    0::BIGINT AS left_to_do FROM todo t""",
+    _QUEUE,
+)
+def _(t):
+    # the second run over the same requests finds everything stored
+    path = t.new_dir("explanations")
+    kept = t.explanations.select("intervention_id", "output_mode")
+    for _run in range(2):
+        told = explain.write_explanations(prepared(t, {"": "{transcript_context}"}, kept), _echo)
+        explain.store_explanations(told, lambda rows: rows.write.mode("append").parquet(path))
+        stored = t.spark.read.parquet(path)
+        kept = t.explanations.select("intervention_id", "output_mode").unionByName(stored.select("intervention_id", "output_mode"))
+    left = prepared(t, {"": "{transcript_context}"}, kept).count()
+    return stored.select("intervention_id", "output_mode", "text_file_path", F.lit(left).cast("long").alias("left_to_do"))
+
+
 @query(
     "J7_full_manifest",
     """SELECT video_id, total_segments, intervention_count, CAST(min(part) AS BIGINT) AS part FROM (SELECT s.video_id,
@@ -270,13 +289,16 @@ def _(t):
 @query(
     "J7_manifest_segments",
     """SELECT s.video_id, s.idx AS chunk_id, n.ord IS NOT NULL AS is_intervention,
-    CASE WHEN n.ord IS NOT NULL THEN printf('audio_segments/intervention_%04d.mp3', s.idx) END AS audio_file FROM segments s LEFT JOIN
-    (SELECT s.video_id, s.idx, min(n.ord) AS ord FROM segments s JOIN snapshots n ON n.video_id = s.video_id
-    AND abs(n.t - s.start) <= 30 GROUP BY ALL) n ON n.video_id = s.video_id AND n.idx = s.idx""",
+    CASE WHEN n.ord IS NOT NULL THEN printf('audio_segments/intervention_%04d.mp3', s.idx) END AS audio_file,
+    s.text AS original_transcript, a.answer AS vlm_data FROM segments s LEFT JOIN
+    (SELECT s.video_id, s.idx, arg_min(n.ord, (abs(n.t - s.start), n.ord)) AS ord FROM segments s JOIN
+    (SELECT video_id, t, max(ord) AS ord FROM snapshots GROUP BY video_id, t) n ON n.video_id = s.video_id
+    AND abs(n.t - s.start) <= 30 GROUP BY s.video_id, s.idx) n ON n.video_id = s.video_id AND n.idx = s.idx LEFT JOIN answers a ON a.event_id = n.ord""",
 )
 def _(t):
-    rows = manifest.manifest_segments(t.segments, t.snapshots)
-    return rows.select("video_id", "chunk_id", "is_intervention", "audio_file")
+    answers = t.answers.select(F.col("event_id").cast("string").alias("snapshot_id"), "answer")
+    rows = manifest.manifest_segments(t.segments, t.snapshots, answers=answers)
+    return rows.select("video_id", "chunk_id", "is_intervention", "audio_file", "original_transcript", "vlm_data")
 
 
 @query(
