@@ -56,6 +56,13 @@ def ship(spark: SparkSession, package: str) -> None:
     sent.add(name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the table is fewer files than cores, for work that costs
+    far more per row than moving it. Tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 

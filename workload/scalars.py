@@ -8,6 +8,7 @@ from avsync import fixed
 from avsync.functions import math_speech, model_json, prompts, scoring, text
 from avsync.operators import aggregates
 from avsync.sources.files import validate_segments
+from avsync.session import spread
 from workload.base import long, query, r6
 
 _id = lambda p, i: f"nullif(regexp_extract(url, '{p}', {i}), '')"
@@ -371,7 +372,8 @@ def _note():
 
 @query("B27_linearize_math", f"SELECT l_orderkey, l_partkey, l_linenumber, {_math_sql('n')} AS spoken FROM (SELECT *, {_NOTE} AS n FROM lineitem)")
 def _(t):
-    return t.read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", math_speech.linearize_math(_note()).alias("spoken"))
+    rows = spread(t.read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", _note().alias("n")))
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", math_speech.linearize_math(F.col("n")).alias("spoken"))
 
 
 @query(
@@ -383,7 +385,7 @@ def _(t):
     fields = ["text_readout", "kept", "elements"]
     element = F.create_map(F.lit("label"), F.concat(F.lit("a+"), F.col("n")))
     snap = F.struct(F.col("n").alias("text_readout"), F.col("n").alias("kept"), F.array(element).alias("elements"))
-    rows = t.read("lineitem").withColumn("n", _note())
+    rows = spread(t.read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", _note().alias("n")))
     rows = rows.withColumn("s", math_speech.linearize_snapshot(snap, fields))
     return rows.select(
         "l_orderkey", "l_partkey", "l_linenumber", "s.text_readout", "s.kept", F.col("s.elements")[0]["label"].alias("element")
