@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,6 +122,7 @@ def worker_cache(key: object, make: Callable[[], object]):
     of one operator do not stay while another works."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
         _HELD[key] = make()
     return _HELD[key]
 
@@ -128,7 +130,7 @@ def worker_cache(key: object, make: Callable[[], object]):
 class WordHashes(dict):
     """64-bit hashes of words, kept while there is room (words are bytes)."""
 
-    ROOM = 1 << 19
+    ROOM = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.ROOM:

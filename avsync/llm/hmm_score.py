@@ -183,7 +183,7 @@ def _encode(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: n
             for text in batch.column(0).to_pylist():
                 parts = []
                 for words in word_slices(lower_raw(text)):
-                    if len(known) > 1 << 19:
+                    if len(known) > 1 << 18:
                         known.clear()
                     for w in set(words):
                         if w not in known:

@@ -124,7 +124,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 held.append(tokens)
                 size += len(tokens)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield report()
                     held, size = [], 0
             yield batch_of(batch.column(0), sizes, digests, [None] * len(sizes))

@@ -29,7 +29,7 @@ class Features:
     words without letters, of the commonest word, of words with signs) are in steps.
     """
 
-    ROOM = 1 << 18
+    ROOM = 1 << 17
 
     def __init__(self, bits: int = BITS):
         self.mask = (1 << bits) - 1
