@@ -20,7 +20,7 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
     # long texts and vectors: what a Python worker is given at a time
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
