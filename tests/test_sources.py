@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from avsync.operators import textmatch
+from avsync.operators import knowledge, textmatch
+from avsync.operators.aggregates import transcript_text
 from avsync.plans import detect
 from avsync.sources import catalog, files, sinks
 
@@ -105,3 +106,40 @@ def test_detect_on_hand_rows(spark):
             ("v", 61.0, "Negative Deictic + High Complexity", "low", "next slide now, so moving on"),
             ("w", 1.0, "Unknown", "low", ""),
         ]
+
+
+def test_parts_do_not_change_what_is_read(spark, tmp_path):
+    rows = [("v", i, i * 2.0, 1.5, f"t{i}") for i in range(7)]
+    seg = spark.createDataFrame(rows, "video_id string, idx int, start double, duration double, text string")
+    for size in (3, 100):
+        path = str(tmp_path / f"p{size}")
+        sinks.write_transcript(seg, path, part_rows=size)
+        got = files.read_transcripts(spark, path, multi_line=False).orderBy("idx").collect()
+        assert [(r.idx, r.text) for r in got] == [(i, f"t{i}") for i in range(7)]
+        assert [tuple(r) for r in transcript_text(seg, part_rows=size).collect()] == [("v", " ".join(f"t{i}" for i in range(7)), 7)]
+
+
+def test_artifacts_of_one_short_id_stay_apart(spark, tmp_path):
+    rows = [("v", "abcdefgh1", "brief", "one", 1), ("v", "abcdefgh2", "brief", "two", 2), ("v", "abcdefgh2", "brief", "new\ntwo", 3)]
+    df = spark.createDataFrame(rows, "video_id string, id string, mode string, text string, at int")
+    sinks.write_texts(df, str(tmp_path / "a"), order="at")
+    got = {(r.id, r.id8, r.text) for r in files.read_explanations(spark, str(tmp_path / "a"), stored=True).collect()}
+    assert got == {("abcdefgh1", "abcdefgh", "one"), ("abcdefgh2", "abcdefgh", "new\ntwo")}
+    sinks.export_files(files.read_artifacts(spark, str(tmp_path / "a")), f"file://{tmp_path}/x")
+    assert (tmp_path / "x/v/interventions/abcdefgh2/brief.txt").read_bytes() == b"new\ntwo"
+    sinks.write_metadata(df.drop("mode", "text"), str(tmp_path / "m"))
+    assert {json.loads(r.value)["id"] for r in files.read_artifacts(spark, str(tmp_path / "m")).collect()} == {"abcdefgh1", "abcdefgh2"}
+
+
+def test_knowledge_of_a_table(spark):
+    kb = spark.createDataFrame(
+        [("ring", "math", "an algebra", 0), ("small ring", "math", "tiny", 1), ("x", "math", "a letter of ring", 2), ("ring", "art", "", 3)],
+        "concept string, domain string, explanation string, ord int")
+    asked = spark.createDataFrame(
+        [(1, " Ring", "MATH"), (2, "a small ring here", "math"), (3, "in", "math"), (4, "", "math"), (5, None, None), (6, "ring", "art")],
+        "i int, concept string, domain string")
+    got = {r.i: r.explanation for r in knowledge.explanations(asked, kb).collect()}
+    assert got == {1: "an algebra", 2: "an algebra", 3: "an algebra", 4: "", 5: "", 6: ""}
+    assert {r.i: r.domains for r in knowledge.related_domains(asked.where("i IN (1, 4)"), kb).collect()} == {1: ["math", "art"], 4: []}
+    maps = {r.i: r.entries for r in knowledge.concept_maps(asked.where("i IN (1, 2, 4)"), kb).collect()}
+    assert maps == {1: {"math": "an algebra", "art": ""}, 2: {"math": "an algebra", "art": ""}, 4: {}}
