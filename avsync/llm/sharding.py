@@ -41,11 +41,12 @@ def balanced_shards(
     total = labels.count()
     ceiling = -(-total // shards)
     most = int(ceiling * (1 + slack)) + 1
-    several = links.groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
+    # sums by link are written before they are joined: a join of plain tables splits a hot link
+    several = settle(links.groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link"), "several")
     links = settle(links.select("node", "link").join(several, "link"), "links")
     for r in range(rounds if total else 0):
         at = links.join(labels, "node")
-        counts = at.groupBy("link").agg(*[F.count(F.when(F.col("shard") == s, 1)).alias(f"n{s}") for s in range(shards)])
+        counts = settle(at.groupBy("link").agg(*[F.count(F.when(F.col("shard") == s, 1)).alias(f"n{s}") for s in range(shards)]), "counts")
         seen = at.join(counts, "link").groupBy("node", "shard").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)], F.count("*").alias("own"))
         filled = {x["shard"]: x["count"] for x in labels.groupBy("shard").count().collect()}
         room = [max(0, most - filled.get(s, 0)) for s in range(shards)]
@@ -85,7 +86,7 @@ def balanced_shards(
 def _evened(labels: DataFrame, links: DataFrame, shards: int, total: int) -> DataFrame:
     """Exact quotas: each shard's surplus, least linked rows first, fills the others' gaps."""
     at = links.join(labels, "node")
-    near = at.groupBy("link", "shard").agg(F.count("*").alias("n"))
+    near = settle(at.groupBy("link", "shard").agg(F.count("*").alias("n")), "near")
     kept = at.join(near, ["link", "shard"]).groupBy("node").agg(F.sum(F.col("n") - 1).alias("near"))
     ranked = labels.join(kept, "node", "left").select("node", "shard", F.coalesce("near", F.lit(0)).alias("near"))
     rows = numbered(settle(ranked, "ranked"), F.col("shard"), F.col("near").desc(), F.col("node"), name="at")
