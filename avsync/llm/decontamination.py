@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avsync.llm.common import free_name, word_slices
+from avsync.llm.common import free_name, word_slices, worker_cache
 
 WINDOW = 10
 #: words are runs of ASCII letters and digits (A-Z taken as a-z) and of anything beyond ASCII
@@ -299,6 +299,7 @@ def find_spans(
 
         def search(rows, shipped=shipped):
             phrases = shipped.value
+            worker_cache("decontamination", dict)  # lets go of what other operators kept
 
             def coded():
                 for batch in rows:

@@ -49,7 +49,7 @@ class WordEncoder:
     a token of its own, so such a word is learnt without it.
     """
 
-    ROOM = 700_000
+    ROOM = 500_000
     _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
     def __init__(self, path: str, literal: bool = False):
