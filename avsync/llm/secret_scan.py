@@ -14,36 +14,67 @@ from avsync.session import settle
 #: words that name a credential, before or inside a finding
 NAMES = r"(?i)(pass(wor[dt]|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)"
 #: forms that are credentials whatever stands around them
-FORMS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+)$"
+FORMS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+|-*BEGIN( [A-Z0-9]+){0,3} PRIVATE KEY( BLOCK)?-*)$"
+#: the header of a private key, over the words from its BEGIN on
+HEADER = r"^\S*?(-*BEGIN(?: [A-Z0-9]+){0,3} PRIVATE KEY(?: BLOCK)?-*)"
+#: a credential's name with its value somewhere in a word
+INSIDE = NAMES + r"[A-Za-z0-9_.-]{0,40}[\"']?[=:]+[\"'(\[{<]*[^\s\"'&,;]+"
+#: words between a credential's name and its value
+LINKS = ["=", ":", "=>", ":=", "->", "is", "was"]
+#: words without a digit are findings beside a credential's name only, shorter ones too
 LEAST_LENGTH = 8
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "changes", "case_changes", "different", "hex", "covered", "path", "mail", "number", "named", "assigned", "quoted", "key_before", "word_before"]
 
 
 def findings(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Candidates of whole texts: doc_id, word_no, word, name, value, before2, before, after.
+    """Candidates of whole texts: doc_id, word_no, word, name, value, before2, before, after, follows.
 
-    A candidate is a word (between ASCII white space) with a run of at least LEAST_LENGTH
-    characters that has a digit. ``value`` is that run without quotes, closing signs and
-    the name it is assigned to.
+    Words stand between ASCII white space. A candidate is a word with a run of at least
+    LEAST_LENGTH characters that has a digit; any value that is assigned to a credential's
+    name, in the word's beginning or inside, or follows one (``follows``: directly, or after
+    one of LINKS); and the header of a private key, at its first word. ``value`` is the run
+    without quotes, closing signs and the name it is assigned to; one word may give several.
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
     rows = df.select(F.col(doc_id).alias("doc_id"), words.alias("words"))
-    may = F.filter(
+    digits = lambda w: (F.length(w) >= LEAST_LENGTH) & w.rlike("[0-9]")
+    marked = F.filter(
         F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("word"))),
-        lambda x: (F.length(x["word"]) >= LEAST_LENGTH) & x["word"].rlike("[0-9]"),
+        lambda x: digits(x["word"]) | x["word"].rlike(NAMES) | x["word"].rlike("BEGIN$"),
     )
-    at = lambda k: F.when((F.col("c.word_no") + k >= 0) & (F.col("c.word_no") + k < F.size("words")), F.get("words", F.col("c.word_no") + k))
-    rows = rows.select("doc_id", "words", F.explode(may).alias("c")).select(
-        "doc_id",
-        F.col("c.word_no").alias("word_no"),
-        F.col("c.word").alias("word"),
-        F.coalesce(at(-2), F.lit("")).alias("before2"),
-        F.coalesce(at(-1), F.lit("")).alias("before"),
-        F.coalesce(at(1), F.lit("")).alias("after"),
+    rows = rows.select("doc_id", "words", marked.alias("marked"))
+    beside = F.transform(F.filter("marked", lambda x: x["word"].rlike(NAMES)), lambda x: x["word_no"])
+    rows = rows.select("doc_id", "words", F.transform("marked", lambda x: x["word_no"]).alias("marked"), beside.alias("beside"))
+    places = F.array_distinct(F.concat("marked", F.transform("beside", lambda i: i + 1), F.transform("beside", lambda i: i + 2)))
+    rows = rows.select("doc_id", "words", F.filter(places, lambda i: i < F.size("words")).alias("places"))
+    at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    header = lambda i: F.when(at(i).rlike("BEGIN$"), F.regexp_extract(F.array_join(F.slice("words", i + 1, 7), " "), HEADER, 1)).otherwise("")
+    place = lambda i: F.struct(
+        i.alias("word_no"), at(i).alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before"), at(i + 1).alias("after"), header(i).alias("header")
     )
+    rows = rows.select("doc_id", F.explode(F.transform("places", place)).alias("c")).select("doc_id", "c.*")
+    # a name that has its value in its own word gives none to the next
+    bare_name = lambda c: F.col(c).rlike(NAMES) & ~F.col(c).rlike(r"[=:]+[\"'(\[{<]*[^\s=:\"'(\[{<>]")
+    rows = rows.withColumn("follows", bare_name("before") | (F.col("before").isin(LINKS) & bare_name("before2")))
+    opening, closing = r"^[\"'(\[{<]*([A-Za-z_][A-Za-z0-9_.-]*[\"']?[=:]+)?[\"'(\[{<]*", r"[\"')\]}>,;.!?#*$%&|]+$"
     name = F.regexp_extract("word", r"^[\"'(\[{<]*([A-Za-z_][A-Za-z0-9_.-]*)[\"']?[=:]", 1)
-    bare = F.regexp_replace("word", r"^[\"'(\[{<]*([A-Za-z_][A-Za-z0-9_.-]*[\"']?[=:]+)?[\"'(\[{<]*|[\"')\]}>,;.!?#*$%&|]+$", "")
-    return rows.withColumn("name", name).withColumn("value", bare).filter(F.length("value") >= LEAST_LENGTH).filter(F.col("value").rlike("[0-9]"))
+    bare = F.regexp_replace("word", opening + "|" + closing, "")
+    signs = F.regexp_replace("word", opening + r"|[\"'),;]+$", "")  # a value of closing signs only
+    rows = rows.withColumn("name", name).withColumn("value", F.when(F.col("header") != "", F.col("header")).when(bare != "", bare).otherwise(signs))
+    named = F.col("name").rlike(NAMES)
+    is_value = (
+        (F.col("header") != "")
+        | (digits(F.col("word")) & digits(F.col("value")))
+        | ((named | F.col("follows")) & ~F.col("value").rlike("^[=:>-]*$") & ~F.col("value").isin(LINKS))
+    )
+    own = F.when(is_value, F.array(F.struct("name", "value"))).otherwise(F.array())
+    inner = F.transform(
+        F.regexp_extract_all("word", F.lit(INSIDE), F.lit(0)),
+        lambda m: F.struct(F.regexp_extract(m, "^[A-Za-z0-9_.-]+", 0).alias("name"), F.regexp_replace(m, r"^[A-Za-z0-9_.-]+[\"']?[=:]+[\"'(\[{<]*|" + closing, "").alias("value")),
+    )
+    values = F.concat(own, F.when(named | (F.col("header") != ""), F.array()).otherwise(F.filter(inner, lambda x: x["value"] != "")))
+    rows = rows.withColumn("found", F.explode(F.array_distinct(values)))
+    return rows.select("doc_id", "word_no", "word", "before2", "before", "after", "follows", "found.name", "found.value")
 
 
 def dictionary(df: DataFrame, text: str = "text", least_documents: int = 3) -> DataFrame:
@@ -65,7 +96,8 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     found = found.join(covered, "finding", "left")
     change = lambda of, to: F.regexp_count("value", F.lit(f"(?<={of})(?={to})"))
     letter, digit = "[A-Za-z]", "[0-9]"
-    named = F.col("name").rlike(NAMES) | F.col("before").rlike(NAMES) | (F.col("before").isin("=", ":", "=>") & F.col("before2").rlike(NAMES))
+    named = F.col("name").rlike(NAMES) | F.col("follows")
+    assigned = (F.col("name") != "") | F.col("before").isin("=", ":", "=>") | (F.col("follows") & F.col("before").rlike("[=:]$"))
     number = lambda c: F.when(c, 1.0).otherwise(0.0)
     return found.select(
         "doc_id",
@@ -87,7 +119,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         number(F.col("value").contains("@")).alias("mail"),
         number(F.col("value").rlike(r"^[0-9().+:,/\\-]+$")).alias("number"),
         number(named).alias("named"),
-        number((F.col("name") != "") | F.col("before").isin("=", ":", "=>")).alias("assigned"),
+        number(assigned).alias("assigned"),
         number(F.col("word").rlike("[\"']")).alias("quoted"),
         number(F.col("before").rlike(NAMES) | F.col("before2").rlike(NAMES)).alias("key_before"),
         number(F.col("before").rlike(r"^[A-Za-z]+[.,]?$")).alias("word_before"),
@@ -96,10 +128,14 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def labelled(found: DataFrame) -> DataFrame:
     """Findings whose nature is beyond doubt: 1 a known form, or a random value given to a
-    credential's name; 0 an address, a number with signs only, a word in a sentence."""
+    credential's name (letters only, if they change case as random ones do); 0 an address, a
+    number with signs only, a word in a sentence, beside a credential's name only one that
+    other documents have too."""
     random = (F.col("length") >= 16) & (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("others") < 0.2) & (F.col("covered") < 0.5) & (F.col("mail") == 0)
-    yes = F.col("value").rlike(FORMS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & random)
-    no = (F.col("mail") == 1) | (F.col("number") == 1) | ((F.col("assigned") == 0) & (F.col("named") == 0) & ((F.col("covered") > 0.5) | (F.col("digits") < 0.1)))
+    letters = (F.col("length") >= 16) & (F.col("case_changes") > 0.4) & (F.col("others") < 0.2) & (F.col("covered") < 0.5) & (F.col("mail") == 0)
+    yes = F.col("value").rlike(FORMS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (random | letters))
+    common = (F.col("assigned") == 0) & F.col("value").rlike("^[A-Z]?[a-z]*$") & ((F.col("covered") == 1) | (F.col("length") <= 2))
+    no = (F.col("mail") == 1) | (F.col("number") == 1) | ((F.col("assigned") == 0) & (F.col("named") == 0) & ((F.col("covered") > 0.5) | (F.col("digits") < 0.1))) | common
     return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).filter("label is not null")
 
 
@@ -116,15 +152,16 @@ def train(examples: DataFrame, most_rows: int = 20_000, trees: int = 30, depth:
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel | PipelineModel | None, least: float = 0.5) -> DataFrame:
-    """Findings with their probability and whether they count as secrets; without a model all do."""
+    """Findings with their probability and whether they count as secrets; without a model all do.
+    Known forms and key headers are secrets whatever the model says."""
     if model is None:
         return found.withColumn("probability", F.lit(1.0)).withColumn("secret", F.lit(True))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
-    return model.transform(vectors).withColumn("probability", vector_to_array("probability")[1]).withColumn("secret", F.col("probability") >= least)
+    return model.transform(vectors).withColumn("probability", F.when(F.col("value").rlike(FORMS), 1.0).otherwise(vector_to_array("probability")[1])).withColumn("secret", F.col("probability") >= least)
 
 
 def scan_secrets(df: DataFrame, examples: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """All findings of all documents: doc_id, word_no (position among the words), value_sha256, length, probability, secret.
+    """All findings of all documents: doc_id, word_no (position among the words; a word may have several values), value_sha256, length, probability, secret.
 
     ``examples`` are labelled findings (as of ``described``, with a label); without any, the
     findings whose nature is beyond doubt are used. A null or empty text has no findings; a

@@ -121,3 +121,31 @@ def test_secrets(spark, none):
     want = {(0, hash_of(key)), (1, hash_of("9f86d081884c7d659a")), (2, hash_of("0a4d55a8d778e5022fab701977c5d840bbc486d0")), (8, hash_of(key)), (9, hash_of(key)), (10, hash_of("7c211433f02071597741e6ff5a8ea34789abbf43"))}
     assert want <= secret and not {5, 6, 7} & {i for i, _ in secret}
     assert secret_scan.scan_secrets(none).count() == 0
+
+
+def test_secrets_without_digits(spark):
+    """Short and letters-only values beside a credential's name, and key headers, are findings."""
+    texts = {
+        0: ["password=CorrectHorseBattery now", "CorrectHorseBattery"],
+        1: ["the secret: qWzXpLmNkTrVbYsD here", "qWzXpLmNkTrVbYsD"],
+        2: ["pwd=abc", "abc"],
+        3: ["api_key = XyZ", "XyZ"],
+        4: ["my password is hunter ok", "hunter"],
+        5: ["x -----BEGIN RSA PRIVATE KEY----- MIIE", "-----BEGIN RSA PRIVATE KEY-----"],
+        6: ["-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"],
+        7: ['{"user":"bob","password":"CorrectHorse","n":1}', "CorrectHorse"],
+        8: ["Bearer QwErTy", "QwErTy"],
+        9: ["password=!!!!", "!!!!"],
+    }
+    plain = ["no names of any kind BEGIN here", "password=", "password =", None, "tokens"]
+    rows = [(i, t) for i, (t, _) in texts.items()] + [(100 + i, t) for i, t in enumerate(plain)]
+    got = {(r["doc_id"], r["value"]) for r in secret_scan.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, v) for i, (_, v) in texts.items()} <= got and not any(i >= 100 for i, _ in got)
+    # the forest keeps random letters and headers, and removes the words of a sentence
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    more = [(200 + i, f"password={key[i:]}{key[:i]} the token count of author words") for i in range(12)]
+    got = secret_scan.scan_secrets(spark.createDataFrame([*rows, (10, "token=aBcDXyZwQrStUvKk"), *more], "doc_id long, text string")).collect()
+    secret = {(r["doc_id"], r["value_sha256"]) for r in got if r["secret"]}
+    hash_of = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    assert {(i, hash_of(texts[i][1])) for i in (1, 5, 6)} <= secret
+    assert not {hash_of("count"), hash_of("words")} & {v for _, v in secret}
