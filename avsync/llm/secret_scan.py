@@ -19,6 +19,10 @@ FORMS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abp
 HEADER = r"^\S*?(-*BEGIN(?: [A-Z0-9]+){0,3} PRIVATE KEY(?: BLOCK)?-*)"
 #: a credential's name with its value somewhere in a word
 INSIDE = NAMES + r"[A-Za-z0-9_.-]{0,40}[\"']?[=:]+[\"'(\[{<]*[^\s\"'&,;]+"
+#: an address as a whole value
+MAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"
+#: a link that carries a password
+USER = r"://[^/\s:@]*:([^/\s@]+)@"
 #: words between a credential's name and its value
 LINKS = ["=", ":", "=>", ":=", "->", "is", "was"]
 #: words without a digit are findings beside a credential's name only, shorter ones too
@@ -32,7 +36,7 @@ def findings(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     Words stand between ASCII white space. A candidate is a word with a run of at least
     LEAST_LENGTH characters that has a digit; any value that is assigned to a credential's
     name, in the word's beginning or inside, or follows one (``follows``: directly, or after
-    one of LINKS); and the header of a private key, at its first word. ``value`` is the run
+    one of LINKS); a link with a password (USER); and the header of a private key, at its first word. ``value`` is the run
     without quotes, closing signs and the name it is assigned to; one word may give several.
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
@@ -40,7 +44,7 @@ def findings(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     digits = lambda w: (F.length(w) >= LEAST_LENGTH) & w.rlike("[0-9]")
     marked = F.filter(
         F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("word"))),
-        lambda x: digits(x["word"]) | x["word"].rlike(NAMES) | x["word"].rlike("BEGIN$"),
+        lambda x: digits(x["word"]) | x["word"].rlike(NAMES) | x["word"].rlike("BEGIN$") | x["word"].rlike(USER),
     )
     rows = rows.select("doc_id", "words", marked.alias("marked"))
     beside = F.transform(F.filter("marked", lambda x: x["word"].rlike(NAMES)), lambda x: x["word_no"])
@@ -64,6 +68,7 @@ def findings(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     named = F.col("name").rlike(NAMES)
     is_value = (
         (F.col("header") != "")
+        | F.col("word").rlike(USER)
         | (digits(F.col("word")) & digits(F.col("value")))
         | ((named | F.col("follows")) & ~F.col("value").rlike("^[=:>-]*$") & ~F.col("value").isin(LINKS))
     )
@@ -96,8 +101,9 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     found = found.join(covered, "finding", "left")
     change = lambda of, to: F.regexp_count("value", F.lit(f"(?<={of})(?={to})"))
     letter, digit = "[A-Za-z]", "[0-9]"
-    named = F.col("name").rlike(NAMES) | F.col("follows")
-    assigned = (F.col("name") != "") | F.col("before").isin("=", ":", "=>") | (F.col("follows") & F.col("before").rlike("[=:]$"))
+    user = F.regexp_extract("word", USER, 1)  # a password between user and host counts as assigned to a name
+    named = F.col("name").rlike(NAMES) | F.col("follows") | (user != "")
+    assigned = (user != "") | (F.col("name") != "") | F.col("before").isin("=", ":", "=>") | (F.col("follows") & F.col("before").rlike("[=:]$"))
     number = lambda c: F.when(c, 1.0).otherwise(0.0)
     return found.select(
         "doc_id",
@@ -105,6 +111,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         "value",
         "name",
         "before",
+        user.alias("user"),
         F.length("value").cast("double").alias("length"),
         _share(r"[^0-9]").alias("digits"),
         _share(r"[^A-Z]").alias("uppers"),
@@ -116,7 +123,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         _share(r"[^0-9a-f]").alias("hex"),
         F.least(F.lit(1.0), F.coalesce("letters", F.lit(0)) / F.length("value")).alias("covered"),
         number(F.col("value").rlike(r"[/\\]")).alias("path"),
-        number(F.col("value").contains("@")).alias("mail"),
+        number(F.col("value").rlike(MAIL) & ~named).alias("mail"),
         number(F.col("value").rlike(r"^[0-9().+:,/\\-]+$")).alias("number"),
         number(named).alias("named"),
         number(assigned).alias("assigned"),
@@ -126,17 +133,24 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """Findings whose nature is beyond doubt: 1 a known form, or a random value given to a
-    credential's name (letters only, if they change case as random ones do); 0 an address, a
-    number with signs only, a word in a sentence, beside a credential's name only one that
-    other documents have too."""
-    random = (F.col("length") >= 16) & (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("others") < 0.2) & (F.col("covered") < 0.5) & (F.col("mail") == 0)
-    letters = (F.col("length") >= 16) & (F.col("case_changes") > 0.4) & (F.col("others") < 0.2) & (F.col("covered") < 0.5) & (F.col("mail") == 0)
-    yes = F.col("value").rlike(FORMS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (random | letters))
+def sure_label() -> Column:
+    """Of findings whose nature is beyond doubt: 1 a known form, or a random value given to a
+    credential's name (letters only, if they change case as random ones do), or a password of
+    letters and digits in a link; 0 an address or a number with signs only, neither beside a
+    credential's name, a word in a sentence, beside a credential's name only one that
+    other documents have too. Null where in doubt."""
+    random = (F.col("length") >= 16) & (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("others") < 0.2) & (F.col("covered") < 0.5)
+    letters = (F.col("length") >= 16) & (F.col("case_changes") > 0.4) & (F.col("others") < 0.2) & (F.col("covered") < 0.5)
+    link = (F.length("user") >= LEAST_LENGTH) & F.col("user").rlike("[0-9]") & F.col("user").rlike("[A-Za-z]")
+    yes = F.col("value").rlike(FORMS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (random | letters)) | link
     common = (F.col("assigned") == 0) & F.col("value").rlike("^[A-Z]?[a-z]*$") & ((F.col("covered") == 1) | (F.col("length") <= 2))
-    no = (F.col("mail") == 1) | (F.col("number") == 1) | ((F.col("assigned") == 0) & (F.col("named") == 0) & ((F.col("covered") > 0.5) | (F.col("digits") < 0.1))) | common
-    return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).filter("label is not null")
+    no = (F.col("mail") == 1) | ((F.col("number") == 1) & (F.col("named") == 0)) | ((F.col("assigned") == 0) & (F.col("named") == 0) & ((F.col("covered") > 0.5) | (F.col("digits") < 0.1))) | common
+    return F.when(yes, 1.0).when(no, 0.0)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """Findings whose nature is beyond doubt, with ``sure_label`` as label."""
+    return found.withColumn("label", sure_label()).filter("label is not null")
 
 
 def train(examples: DataFrame, most_rows: int = 20_000, trees: int = 30, depth: int = 8, seed: int = 3) -> RandomForestClassificationModel | None:
@@ -152,10 +166,12 @@ def train(examples: DataFrame, most_rows: int = 20_000, trees: int = 30, depth:
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel | PipelineModel | None, least: float = 0.5) -> DataFrame:
-    """Findings with their probability and whether they count as secrets; without a model all do.
+    """Findings with their probability and whether they count as secrets; without a model
+    those do that ``sure_label`` gives 1, with probability 1, and no others.
     Known forms and key headers are secrets whatever the model says."""
     if model is None:
-        return found.withColumn("probability", F.lit(1.0)).withColumn("secret", F.lit(True))
+        sure = F.coalesce(sure_label(), F.lit(0.0))
+        return found.withColumn("probability", sure).withColumn("secret", sure == 1)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
     return model.transform(vectors).withColumn("probability", F.when(F.col("value").rlike(FORMS), 1.0).otherwise(vector_to_array("probability")[1])).withColumn("secret", F.col("probability") >= least)
 

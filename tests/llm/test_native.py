@@ -149,3 +149,26 @@ def test_secrets_without_digits(spark):
     hash_of = lambda v: hashlib.sha256(v.encode()).hexdigest()
     assert {(i, hash_of(texts[i][1])) for i in (1, 5, 6)} <= secret
     assert not {hash_of("count"), hash_of("words")} & {v for _, v in secret}
+
+
+def test_secrets_with_an_at_sign(spark):
+    """A value with @ is a certain false finding only as an address without a credential's name."""
+    secrets = ["DB_PASSWORD=p@ssw0rd1234XYZ", "postgres://admin:S3cr3tPassw0rd@db/x", "token=f3A9@kQ27xZ81mW4bT6v", "password=someone.42@mail1.example.com"]
+    rows = [(i, t) for i, t in enumerate(secrets)] + [(10, "mail someone.42@mail1.example.com today"), (11, "amqp://bob:CorrectHorse@host/x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secret_scan.described(secret_scan.findings(df), secret_scan.dictionary(df))
+    label = {r["doc_id"]: r["label"] for r in found.withColumn("label", secret_scan.sure_label()).collect()}
+    assert label[10] == 0.0 and label[1] == label[2] == 1.0 and label[0] is None and label[3] != 0.0 and 11 in label
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    more = [(20 + i, f"password={key[i:]}{key[:i]} mail a.{i}77@mail{i}.example.com or call +1555555010{i}") for i in range(10)]
+    got = secret_scan.scan_secrets(spark.createDataFrame([*rows, *more], "doc_id long, text string")).collect()
+    assert {0, 1, 2} <= {r["doc_id"] for r in got if r["secret"]} and 10 not in {r["doc_id"] for r in got if r["secret"]}
+
+
+def test_secrets_of_one_class(spark):
+    """Without a sure secret in the corpus, addresses and numbers are not taken for secrets."""
+    texts = ["mail someone.42@mail1.example.com today", "call +1 (555) 555-0100 or 10.20.30.40 now", "pwd=abc", "words abcdefgh12 words"]
+    got = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) >= 4 and not any(r["secret"] or r["probability"] for r in got)
+    only = spark.createDataFrame([(1, "password=9f86d081884c7d659a2feaa0c55ad015")], "doc_id long, text string")
+    assert [(r["secret"], r["probability"]) for r in secret_scan.scan_secrets(only).collect()] == [(True, 1.0)]
