@@ -57,9 +57,12 @@ def mix_plan(
     weights: tuple[float, ...] = WEIGHTS,
     most: int = MOST_REPEATS,
     seed: int = 17,
+    row: str | None = None,
 ) -> DataFrame:
     """How often the mix takes each document: doc_id, size, source_size, target, copies, taken.
 
+    With ``row``, a column that tells rows apart, the plan has that column first.
+
     A source's rate is target / size; each document comes floor(rate) times, plus one copy
     with probability equal to the fraction. The draws of a source are one hash-seeded start
     and equal steps along its documents in order of size (systematic sampling): each
@@ -71,8 +74,10 @@ def mix_plan(
     of size 0 are drawn like others and take no words. Rows with equal doc_id are told
     apart by a row number only while drawing. An empty table gives an empty plan.
     """
+    keys = [] if row is None else [F.col(row).alias("row")]
     sizes = settle(
         df.select(
+            *keys,
             F.col(doc_id).alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -80,7 +85,7 @@ def mix_plan(
         "sizes",
     )
     by_source = settle(targets(sizes, weights, most), "targets")
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), *([] if row is None else ["row"])]
     rows = numbered(sizes, *order, name="at")
     first = rows.groupBy("source").agg(F.min("at").alias("first"))
     info = first.join(by_source, first["source"].eqNullSafe(by_source["source"])).select(
@@ -97,16 +102,19 @@ def mix_plan(
         .withColumn("fraction", fraction)
         .withColumn("start", start)
         .withColumn("copies", (F.floor("rate") + extra).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(*([] if row is None else [F.col("row").alias(row)]), "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **plan) -> DataFrame:
-    """The documents themselves, each as often as ``mix_plan`` says. ``doc_id`` must tell rows apart."""
-    copies = mix_plan(df, text, source, doc_id, **plan).filter("copies > 0")
-    copies = copies.select(F.col("doc_id").alias(free_name(df, "_doc")), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(free_name(df, "_copies")))
-    taken = df.join(copies, df[doc_id].eqNullSafe(copies[copies.columns[0]]))
-    return taken.select(*[df[c] for c in df.columns], F.explode(copies[copies.columns[1]]).alias(free_name(df, "_copy"))).select(*df.columns)
+    """The documents themselves, each row as often as ``mix_plan`` says. Rows are told apart by
+    a number that is written with them, so ids may repeat or be null."""
+    row = free_name(df, "_row")
+    rows = settle(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = mix_plan(rows, text, source, doc_id, row=row, **plan).filter("copies > 0")
+    copies = copies.select(F.col(row).alias(free_name(df, "_doc")), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(free_name(df, "_copies")))
+    taken = rows.join(copies, rows[row] == copies[copies.columns[0]])
+    return taken.select(*[rows[c] for c in df.columns], F.explode(copies[copies.columns[1]]).alias(free_name(df, "_copy"))).select(*df.columns)
 
 
 #: the same plan as SQL text: the level by running sums over sources in order of cap / weight

@@ -480,7 +480,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay: of each component the document of smallest doc_id. Rows without doc_id stay."""
-    found = near_duplicates(df, doc_id, text)
-    gone = found.filter(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias(free_name(df, "_gone"))).distinct()
-    return df.join(gone, df[doc_id] == gone[gone.columns[0]], "left_anti")
+    """The rows that stay: of each component the row of smallest doc_id, null last.
+
+    Rows are told apart by a number that is written with them: of rows with one text, or
+    linked ones, one stays, whether their ids are equal, different or null. Rows without
+    shingles link with nothing; of those one stays for each doc_id, null being one.
+    """
+    row = free_name(df, "_row")
+    rows = settle(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, row, text).select(F.col(row).alias("row"), "n_shingles", "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"))
+    some = F.col("n_shingles") > 0
+    named = settle(ids.join(found, "row").select("row", "doc_id", F.when(some, F.col("component_id")).alias("group"), F.when(~some, F.col("doc_id")).alias("bare"), some.alias("some")), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
+    stay = named.groupBy("some", "group", "bare").agg(first).select("first.row")
+    gone = named.join(stay, "row", "left_anti").select(F.col("row").alias(free_name(rows, "_gone")))
+    return rows.join(gone, rows[row] == gone[gone.columns[0]], "left_anti").select(*[rows[c] for c in df.columns])

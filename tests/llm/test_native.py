@@ -172,3 +172,18 @@ def test_secrets_of_one_class(spark):
     assert len(got) >= 4 and not any(r["secret"] or r["probability"] for r in got)
     only = spark.createDataFrame([(1, "password=9f86d081884c7d659a2feaa0c55ad015")], "doc_id long, text string")
     assert [(r["secret"], r["probability"]) for r in secret_scan.scan_secrets(only).collect()] == [(True, 1.0)]
+
+
+def test_mixing_of_repeated_and_missing_ids(spark):
+    """Rows that share an id, or have none, come as often as the plan says, not by pairs."""
+    rows = [(None, f"w{i} " * 5, "a") for i in range(40)] + [(7, "same words here", "b")] * 30 + [(i, f"v{i} " * 9, None) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix_plan(df).collect()
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    got = mixed.collect()
+    assert len(got) == sum(r["copies"] for r in plan)
+    wanted, taken = Counter(), Counter(r["doc_id"] for r in got)
+    for r in plan:
+        wanted[r["doc_id"]] += r["copies"]
+    assert taken == +wanted and max(Counter(r["text"] for r in got if r["doc_id"] is None).values()) <= 3

@@ -70,6 +70,20 @@ def test_ngram_join_borders(spark):
     assert 1 < len(set(want.values())) < len(texts)
 
 
+def test_one_of_each_row(spark):
+    """One row stays of equal or linked texts, whatever their ids."""
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [(5, " ".join(base)), (5, " ".join(base)), (None, " ".join(base)), (9, near), (None, "only here without an id"), (None, "only here without an id")]
+    rows += [(3, "one text of id three"), (3, "quite another text of the id"), (1, ""), (1, None), (2, None), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stay = ngram_join.one_of_each(df)
+    assert stay.columns == df.columns
+    got = [(r["doc_id"], (r["text"] or "").strip()) for r in stay.collect()]
+    want = [(5, " ".join(base)), (None, "only here without an id"), (3, "one text of id three"), (3, "quite another text of the id"), (1, ""), (2, ""), (None, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_ngram_join_without_leaders(spark):
     """The tree alone finds every link."""
     rng = random.Random(2)
