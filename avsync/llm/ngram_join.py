@@ -391,7 +391,7 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their class of equal sets, the links found, and the component of each class.
+    """Documents with their class of equal sets, links that connect the components, and the component of each class.
 
     1. Equal sets become one class, named by its smallest doc_id.
     2. Classes are dealt to cells by the shingles of their prefix: any two linked classes
@@ -403,8 +403,10 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
        matched by rectangles, points by the sum of coordinate minima; pairs of one component
        are never looked at. What survives is verified by the sets.
 
-    So links inside a component that is one already need not be found; no two linked
-    documents end in different components.
+    The links given are a subset that connects the components, not all pairs of the join:
+    links inside a component that is one already are not looked for, so neither their number
+    nor a document's partners can be read from them. No two linked documents end in
+    different components.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
