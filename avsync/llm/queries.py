@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, secret_scan, separator_scan, sharding, token_output
+from avsync.llm import conversation_repair, decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, secret_scan, separator_scan, sharding, token_output
 from avsync.llm.common import documents, table
 from avsync.session import new_dir
 
@@ -87,3 +87,11 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, folder))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, folder, "conversations"))
+
+
+ORACLE["op11_conversation_repair"] = conversation_repair.SQL
