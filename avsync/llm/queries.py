@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import conversation_repair, decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, secret_scan, separator_scan, sharding, token_output
+from avsync.llm import conversation_repair, decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, secret_scan, separator_scan, sharding, spelling, token_output
 from avsync.llm.common import documents, table
 from avsync.session import new_dir
 
@@ -95,3 +95,11 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op11_conversation_repair"] = conversation_repair.SQL
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder))
+
+
+ORACLE["op13_spelling_variants"] = spelling.SQL
