@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avsync.llm import conversation_repair, decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, secret_scan, separator_scan, sharding, spelling, token_output
+from avsync.llm import circulant_minhash, conversation_repair, decontamination, exact_dedup, hmm_score, mixing, ngram_join, quality, secret_scan, separator_scan, sharding, spelling, token_output
 from avsync.llm.common import documents, table
 from avsync.session import new_dir
 
@@ -103,3 +103,11 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op13_spelling_variants"] = spelling.SQL
+
+
+@query
+def op12_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return circulant_minhash.near_duplicates(documents(spark, folder))
+
+
+ORACLE["op12_circulant_minhash"] = circulant_minhash.SQL
