@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from avsync.operators import folds
@@ -187,6 +188,185 @@ def change_point_stream(
     )
 
 
+# --- folds over streams that come out of order -------------------------------
+
+
+def _plain(value: Any) -> Any:
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    return value.item() if isinstance(value, np.generic) else None if value is pd.NaT else value
+
+
+class OrderedFold(StatefulProcessor):
+    """Holds the rows of a video back until no earlier one can come, and folds them in order.
+
+    Rows wait in a list state, to which new ones are only added. A timer per video wakes it when
+    its earliest row is due; then all rows that are due are taken in the order of ``by`` and given to
+    ``fold(last, rows)``, which returns (kept rows, last). ``last`` is all that stays of rows
+    that are done. A row older than what is already done comes out with ``late`` true. A
+    video without rows in waiting is forgotten ``idle_us`` after its last one.
+    """
+
+    def __init__(self, given: list[str], names: list[str], held: T.StructType, last: T.StructType, by: list[str], fold: Callable, hold_us: int, idle_us: int):
+        self.given, self.names, self.held, self.last, self.by, self.fold = given, names, held, last, by, fold
+        self.hold_us, self.idle_us = hold_us, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.held)
+        self.kept = handle.getValueState("last", self.last)
+        self.done = handle.getValueState("done", "through long, newest long, wake long")
+
+    def _wake(self, at_us: int, wake: int | None, mark: int) -> int:
+        """When the next timer fires; an earlier one that is still set does as well."""
+        at = at_us // 1000 + 1
+        if wake is None or at < wake or wake <= mark:
+            self.handle.registerTimer(at)
+            return at
+        return wake
+
+    def _advance(self, timer_values: Any, fresh: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        # the watermark lies two holds behind the newest row, so rows are due one hold behind it
+        mark = timer_values.getCurrentWatermarkInMs()
+        due = mark * 1000 + self.hold_us if mark > 0 else -(1 << 62)  # 0: no watermark yet
+        through, newest, wake = self.done.get() if self.done.exists() else (None, None, None)
+        if fresh is not None:
+            newest = max(int(fresh["_us"].max()), newest if newest is not None else -(1 << 62))
+            if through is not None:
+                late = fresh["_us"] <= through
+                if late.any():
+                    yield fresh[late][self.names].assign(late=True)
+                fresh = fresh[~late]
+            if len(fresh):
+                self.rows.appendList([tuple(map(_plain, r)) for r in fresh[self.held.names].itertuples(index=False)])
+                wake = self._wake(int(fresh["_us"].min()) - self.hold_us, wake, mark)
+            self.done.update((through, newest, wake))
+            return  # timers of this micro-batch come after its rows
+        if newest is None:
+            return
+        waiting = pd.DataFrame(list(self.rows.get()) if self.rows.exists() else [], columns=self.held.names)
+        if not len(waiting):
+            if mark * 1000 > newest + self.idle_us:
+                for state in (self.rows, self.kept, self.done):
+                    state.clear()
+            else:
+                self.done.update((through, newest, self._wake(newest + self.idle_us, None, mark)))
+            return
+        ready = waiting["_us"] <= due
+        if ready.any():
+            last = self.kept.get() if self.kept.exists() else None
+            kept, last = self.fold(last, waiting[ready].sort_values(self.by, kind="stable", ignore_index=True))
+            if last is not None:
+                self.kept.update(last)
+            through = due
+            if len(kept):
+                yield kept[self.names].assign(late=False)
+            self.rows.clear()
+            waiting = waiting[~ready]
+            if len(waiting):
+                self.rows.put([tuple(map(_plain, r)) for r in waiting.itertuples(index=False)])
+        at = int(waiting["_us"].min()) - self.hold_us if len(waiting) else newest + self.idle_us
+        self.done.update((through, newest, self._wake(at, None, mark)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # names are set anew: those with a leading underscore do not come through
+        yield from self._advance(timerValues, pd.concat(list(rows), ignore_index=True).set_axis(self.given, axis=1))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._advance(timerValues, None)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(stream: DataFrame, by: list[str], last: T.StructType, fold: Callable, hold: float, idle: float) -> DataFrame:
+    spark = stream.sparkSession
+    # list states and timers are kept by this store only
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.withWatermark("ts", f"{int(2000 * hold)} milliseconds").withColumn("_us", F.unix_micros("ts"))
+    held = T.StructType([f for f in rows.schema.fields if f.name != "ts"])  # _us says it
+    names = [n for n in rows.columns if n != "ts"]
+    out = T.StructType([rows.schema[n] for n in names] + [T.StructField("late", T.BooleanType())])
+    fold_of = OrderedFold(rows.columns, names, held, last, by, fold, int(hold * 1_000_000), int(idle * 1_000_000))
+    folded = rows.groupBy("video_id").transformWithStateInPandas(fold_of, out, "Append", "EventTime")
+    return folded.withColumn("ts", F.timestamp_micros("_us")).select(*stream.columns, "late")
+
+
+def suppress_close_ordered(
+    stream: DataFrame, gap: float = folds.REDUNDANCY_SECONDS, hold: float = 600.0, order: str = "ord", idle: float = 86_400.0
+) -> DataFrame:
+    """``suppress_close`` of a stream whose rows come out of order by up to ``hold`` seconds of ``ts``.
+
+    ``ts`` must grow with ``t``. All columns of the kept rows come out, as soon as the newest
+    row of any video is ``hold`` seconds on; rows that come later than that have ``late`` true,
+    and those later than twice that are dropped by the stream's watermark. Rows still held when
+    an input ends come from ``suppress_close_tail``.
+    """
+
+    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple | None]:
+        at = last[0] if last else None
+        rows = rows.drop_duplicates("t") if at is None else rows[rows["t"] >= at].drop_duplicates("t")
+        times = rows["t"].to_numpy(dtype=float)
+        taken = folds._walk(times, np.full(len(times), np.nan), at, gap, 0.0) if len(times) else []
+        kept = rows.iloc[taken]
+        return kept, (float(times[taken[-1]]),) if len(taken) else last
+
+    return _ordered(stream, ["t", order], T.StructType([T.StructField("t", T.DoubleType())]), fold, hold, idle)
+
+
+def change_point_ordered(
+    stream: DataFrame,
+    threshold: float = SAMPLE_THRESHOLD,
+    min_gap: int = SAMPLE_MIN_GAP,
+    max_gap: int = SAMPLE_MAX_GAP,
+    hold: float = 600.0,
+    idle: float = 86_400.0,
+) -> DataFrame:
+    """``change_point_sample`` of a stream (video_id, ts, idx, embedding) that comes out of order by
+    up to ``hold`` seconds of ``ts``, which must grow with ``idx``: (video_id, ts, idx, embedding, late).
+
+    Late rows and the end of an input as in ``suppress_close_ordered``; the rest comes from
+    ``change_point_tail``.
+    """
+
+    def fold(last: tuple | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple | None]:
+        last_idx, last_vec = last or (None, None)
+        idx = rows["idx"].to_numpy()
+        vec = [np.asarray(v, dtype=float) for v in rows["embedding"]]
+        kept = []
+        for at in range(len(rows)):
+            gap = None if last_idx is None else idx[at] - last_idx
+            if gap is None or gap >= max_gap or (gap >= min_gap and float(vec[at] @ np.asarray(last_vec, dtype=float)) < threshold):
+                kept.append(at)
+                last_idx, last_vec = int(idx[at]), vec[at]
+        return rows.iloc[kept], None if last_idx is None else (last_idx, [float(x) for x in last_vec])
+
+    rows = stream.select("video_id", "ts", F.col("idx").cast("long").alias("idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+    last = T.StructType([T.StructField("idx", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    return _ordered(rows, ["idx"], last, fold, hold, idle)
+
+
+def _from_last(rows: DataFrame, closed: DataFrame, place: str) -> DataFrame:
+    """The rows of each video from its last kept one on, which the fold keeps again."""
+    last = closed.where("NOT late").groupBy("video_id").agg(F.max(place).alias("_last"))
+    return rows.join(last, "video_id", "left").where(f"_last IS NULL OR {place} >= _last")
+
+
+def suppress_close_tail(rows: DataFrame, closed: DataFrame, gap: float = folds.REDUNDANCY_SECONDS, order: str = "ord") -> DataFrame:
+    """What ``suppress_close_ordered`` still holds when its input, ``rows``, ends; ``closed`` is what it gave."""
+    kept = folds.suppress_close(_from_last(rows, closed, "t"), gap, order)
+    return kept.where("_last IS NULL OR t > _last").select(*rows.columns)
+
+
+def change_point_tail(
+    rows: DataFrame, closed: DataFrame, threshold: float = SAMPLE_THRESHOLD, min_gap: int = SAMPLE_MIN_GAP, max_gap: int = SAMPLE_MAX_GAP
+) -> DataFrame:
+    """(video_id, idx) that ``change_point_ordered`` still holds when its input ends."""
+    left = _from_last(rows, closed, "idx")
+    kept = folds.change_point_sample(left, threshold, min_gap, max_gap)
+    return kept.join(closed.where("NOT late").select("video_id", "idx"), ["video_id", "idx"], "left_anti")
+
+
 def process_once(
     stream: DataFrame,
     read: Callable[[], DataFrame],

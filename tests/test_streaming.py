@@ -93,3 +93,47 @@ def test_an_id_that_comes_again_much_later_is_not_handled_again(spark, tmp_path)
             handle=lambda df: df.write.mode("append").parquet(handled),
         )
     assert sorted(r.id for r in spark.read.parquet(handled).collect()) == ["x", "y", "z"]
+
+
+def _files(spark, src, parts, schema):
+    """One file after another, so that a stream takes them in this order."""
+    for rows in parts:
+        df = spark.createDataFrame(rows, schema.replace("ts timestamp", "ts double")).withColumn("ts", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+        df.coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), spark.read.schema(schema).parquet(src)
+
+
+def test_ordered_folds_of_files_in_reverse(spark, tmp_path):
+    """Files come newest first; the stream gives what it can be sure of, the tail the rest."""
+    rng = np.random.default_rng(4)
+    schema = "video_id string, ts timestamp, t double, ord int, idx int, embedding array<double>"
+    base, parts = 1e6, []
+    vec = rng.normal(size=(2, 60, 3))
+    for k in (2, 1, 0):
+        parts.append([(v, base + i, float(i), i, i, [float(x) for x in vec[int(v == "b")][i]]) for v in "ab" for i in range(20 * k, 20 * k + 20)])
+    parts.append([("c", base + 130, 130.0, 0, 0, [1.0, 0.0, 0.0])])  # moves the watermark on
+    parts.append([("c", base + 131, 131.0, 1, 1, [1.0, 0.0, 0.0])])
+    stream, rows = _files(spark, str(tmp_path / "in"), parts, schema)
+    for name, fold, tail, batch in (
+        ("s", lambda s: state.suppress_close_ordered(s, 4.5, hold=60.0), lambda r, c: state.suppress_close_tail(r, c, 4.5), lambda r: folds.suppress_close(r, 4.5)),
+        ("c", lambda s: state.change_point_ordered(s, 0.0, 2, hold=60.0), lambda r, c: state.change_point_tail(r, c, 0.0, 2), lambda r: folds.change_point_sample(r, 0.0, 2)),
+    ):
+        out = str(tmp_path / name)
+        state.drain(fold(stream), out, new_dir(spark, "c"))
+        closed = spark.read.parquet(out)
+        place = "t" if name == "s" else "idx"
+        given = {(r.video_id, r[place]) for r in closed.where("NOT late").collect()}
+        rest = {(r.video_id, r[place]) for r in tail(rows, closed).collect()}
+        assert closed.where("late").count() == 0
+        assert {v for v, _ in given} == {"a", "b"} and not given & rest
+        assert given | rest == {(r.video_id, r[place]) for r in batch(rows).collect()}
+
+
+def test_ordered_fold_gives_late_rows_aside(spark, tmp_path):
+    schema = "video_id string, ts timestamp, t double, ord int"
+    base = 1e6
+    parts = [[("v", base + t, t, int(t))] for t in (0.0, 50.0, 68.0, 90.0, 95.0, 60.0, 130.0, 131.0)]
+    stream, _ = _files(spark, str(tmp_path / "in"), parts, schema)
+    state.drain(state.suppress_close_ordered(stream, 10.0, hold=20.0), str(tmp_path / "out"), new_dir(spark, "c"))
+    got = sorted((r.t, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0.0, False), (50.0, False), (60.0, True), (68.0, False), (90.0, False)]

@@ -409,21 +409,42 @@ def _(t):
     )
 
 
+def out_of_order(t, rows, name, files=6):
+    """Rows as a stream of several files by slices of time, each second file before the first: 1, 0, 3, 2, ..."""
+    path = t.new_dir(f"{name}-files")
+    rows = settle(rows.withColumn("slice", F.least(F.lit(files - 1), F.floor((F.unix_seconds("ts") - START) / (SPAN / files)))), name)
+    for k in range(files):
+        rows.where(F.col("slice") == (k ^ 1)).drop("slice").repartition(PARTS).write.mode("append").parquet(path)
+    rows = rows.drop("slice")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", PARTS).parquet(path), rows
+
+
+START = 86_400  # a stream's watermark begins at 0
+SPAN = 104  # seconds that the timelines of keyframes and frames last
+PARTS = 4  # files of a slice, read together
+
+
 @query("I3_suppress_close_stream", "SELECT video_id, t, q.ord, round(k.complexity, 6) AS complexity FROM kept JOIN qualifying q USING (video_id, t) JOIN keyframes k ON k.ord = q.ord", _F1)
 def _(t):
-    rows = drained(t, state.suppress_close_stream(timed(t.stream("events"))), "kept").where("NOT late")
-    return rows.select("video_id", "t", "ord", r6("complexity", "complexity"))
+    stream, rows = out_of_order(t, timed(t.read("events")).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long") + START * 1_000_000)), "keyframes")
+    closed = drained(t, state.suppress_close_ordered(stream, hold=36.0), "kept")
+    kept = closed.where("NOT late").drop("late").unionByName(state.suppress_close_tail(rows, closed))
+    return kept.select("video_id", "t", "ord", r6("complexity", "complexity"))
 
 
 @query("I4_change_point_stream", "SELECT video_id, idx FROM sampled WHERE kept", _F4)
 def _(t):
-    e = in_order(t, "embeddings", "vec_id")
-    rows = e.select(
+    e = t.read("embeddings")
+    frames = e.select(
         F.floor(F.col("vec_id") / 50).alias("video_id"),
+        F.timestamp_seconds((F.col("vec_id") % 50) * 2 + START).alias("ts"),
         (F.col("vec_id") % 50).alias("idx"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    return drained(t, state.change_point_stream(rows, -0.1, 2), "changes").where("NOT late").select("video_id", "idx")
+    stream, rows = out_of_order(t, frames, "frames")
+    closed = drained(t, state.change_point_ordered(stream, -0.1, 2, hold=36.0), "changes")
+    kept = closed.where("NOT late").select("video_id", "idx")
+    return kept.unionByName(state.change_point_tail(rows, closed, -0.1, 2))
 
 
 @query("I5_process_once", "SELECT user_id AS id, count(*) AS handled FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
