@@ -126,7 +126,7 @@ def accept_chain(
     names = out.names
     if "cover" not in items.columns:
         items = items.withColumn("cover", F.lit(None).cast("double"))
-    cuts = find_cuts(items, ["video_id"], ["t"], max_rows, min_width=2 * max(gap, cover_gap))
+    cuts = find_cuts(items, ["video_id"], ["t"], max_rows, min_width=2 * max(gap, cover_gap)).looked()
 
     def numbers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return table["t"].to_numpy(), table["cover"].to_numpy(zero_copy_only=False).astype(float)
@@ -293,13 +293,13 @@ def fill_to_minimum(
     cand = candidates.withColumn("_down", -F.col("complexity")).select("video_id", "t", order, "_down")
     chosen = chosen.select("video_id", "t", order, "target_min")
     spots = cand.select("video_id", "t").unionByName(chosen.where("t IS NOT NULL").select("video_id", "t"))
-    cuts = find_cuts(spots, ["video_id"], ["t"], max_rows, min_width=4 * spacing)
+    cuts = find_cuts(spots, ["video_id"], ["t"], max_rows, min_width=4 * spacing).looked()
     if not cuts.any:
         return _fill(chosen, cand, spacing, order)
     # who is taken depends on near rows only; the number wanted just ends the list early
     need = chosen.groupBy("video_id").agg((F.max("target_min") - F.count("t")).alias("_need"))
     taken = _take_apart(chosen.where("t IS NOT NULL"), cand, spacing, order, cuts)
-    ranks = find_cuts(taken, ["video_id"], ["_down", "t", order], max_rows)
+    ranks = find_cuts(taken, ["video_id"], ["_down", "t", order], max_rows).looked()
     ranked = ordered.scan(taken, ranks, _rank=ordered.row_number()).join(need, "video_id")
     return ranked.where(F.col("_rank") <= F.col("_need")).select("video_id", "t", order)
 
@@ -419,7 +419,7 @@ def change_point_sample(
     video = frames.schema["video_id"].dataType.simpleString()
     idx_type = frames.schema["idx"].dataType.simpleString()
     keys = frames.select("video_id", "idx")
-    cuts = find_cuts(keys, ["video_id"], ["idx"], max_rows)
+    cuts = find_cuts(keys, ["video_id"], ["idx"], max_rows).looked()
 
     def jumps(table: pa.Table, n: int) -> np.ndarray:
         """For the first n rows, how many rows on the next kept row is."""

@@ -4,58 +4,68 @@ A window partitioned by ``video_id`` puts a whole video into one task. When a ke
 holds more than ``max_rows`` rows it is cut, in order, into chunks of about half
 that size; windows then run per (key, chunk) and a table with one row per chunk
 carries the missing value across the cuts. Results equal the plain window's.
+
+Cuts come from a quantile sketch per key, in one aggregate with the keys' counts. They
+are a DataFrame that is joined, so building a scan runs no job and brings nothing to the
+driver; where no key is long the joins are with empty tables, which Spark drops at run time.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from avsync.session import settle
 
 MAX_ROWS = 1_000_000
-SAMPLES_PER_CHUNK = 8
-FAN = 256  # cut points a row is compared with at a time
+POINTS = 1023  # quantiles in a sketch: a key is cut into 1,024 chunks at most
+ACCURACY = 20_000  # a chunk's share of its key is right to 1 in so many
 CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Cut points inside long keys; ``coarse`` is None when no key is long.
+    """Cut points inside long keys.
 
-    ``coarse`` has one row per long key with every FAN-th cut, ``fine`` one per run of
-    FAN cuts, so a row never carries a long array.
+    ``table`` has (keys, _cuts) for long keys only, sorted values of the first order column;
+    it is None when no key can be long.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    coarse: DataFrame | None = None
-    fine: DataFrame | None = None
-    fan: int = FAN
-    longest: int = 0
+    table: DataFrame | None = None
 
     @property
     def any(self) -> bool:
-        return self.coarse is not None
+        return self.table is not None
 
     @property
     def group(self) -> list[str]:
         return [*self.keys, CHUNK] if self.any else list(self.keys)
 
+    def looked(self) -> Cuts:
+        """With the table written, or without one if no key is long; for steps whose plans differ by that."""
+        if not self.any:
+            return self
+        table = settle(self.table, "cuts")
+        return replace(self, table=None if table.isEmpty() else table)
+
     def chunked(self, df: DataFrame) -> DataFrame:
         """Add the chunk number of each row (no column when nothing is cut)."""
         if not self.any:
             return df
-        here = F.struct(*[F.col(c).alias(c) for c in self.order])
-        # both tables hold two cuts per max_rows rows of long keys at most; Spark broadcasts them while they are small
-        rows = df.join(self.coarse, list(self.keys), "left").withColumn("_long", F.col("_coarse").isNotNull())
-        run = _at_or_below(F.col("_coarse"), here, self.longest)
-        rows = rows.withColumn("_run", F.when(F.col("_long"), run).otherwise(F.lit(0))).drop("_coarse")
-        rows = rows.join(self.fine, [*self.keys, "_run"], "left")
-        number = F.col("_run") * F.lit(self.fan) + _at_or_below(F.col("_cuts"), here, self.fan)
-        return rows.withColumn(CHUNK, F.when(F.col("_long"), number).otherwise(F.lit(0))).drop("_run", "_cuts")
+        rows = df.join(self.table, list(self.keys), "left").withColumn("_long", F.col("_cuts").isNotNull())
+        return rows.withColumn(CHUNK, F.when(F.col("_long"), self._number()).otherwise(F.lit(0))).drop("_cuts")
+
+    def of_long_keys(self, df: DataFrame) -> DataFrame:
+        """The rows of long keys with their chunk numbers."""
+        return df.join(self.table, list(self.keys)).withColumn(CHUNK, self._number()).drop("_cuts")
+
+    def _number(self) -> Column:
+        return _at_or_below(F.col("_cuts"), F.col(self.order[0]), POINTS)
 
 
 def _at_or_below(cuts: Column, here: Column, longest: int) -> Column:
@@ -89,59 +99,23 @@ def row_limit(*tables: DataFrame, keys: list[str] | None = None, max_rows: float
 def find_cuts(
     df: DataFrame, keys: list[str], order: list[str], max_rows: float | None = None, min_width: float = 0.0
 ) -> Cuts:
-    """Find the long keys and sampled cut points in them.
+    """Cut points in keys of more than ``max_rows`` rows, as a plan; no job runs.
 
-    ``order`` columns are ascending and not NULL. Rows of equal order stay in one chunk.
-    The driver receives one row per long key and a bounded sample, never a group.
-    ``min_width`` keeps that distance between cuts on the first order column.
+    ``order`` columns are ascending and not NULL, the first one a number or time. Rows that
+    are equal in it stay in one chunk. ``min_width`` keeps that distance between cuts.
     """
     max_rows = max_rows or MAX_ROWS
-    plain = Cuts(tuple(keys), tuple(order))
     if max_rows == math.inf:
-        return plain
-    narrow = df.select(*keys, *[c for c in order if c not in keys])
-    long_keys = narrow.groupBy(*keys).count().where(F.col("count") > max_rows).collect()
-    if not long_keys:
-        return plain
-    spark = df.sparkSession
-    chunks = {tuple(r[k] for k in keys): math.ceil(2 * r["count"] / max_rows) for r in long_keys}
-    total = sum(r["count"] for r in long_keys)
-    key_schema = T.StructType([narrow.schema[k] for k in keys])
-    long_df = spark.createDataFrame(list(chunks), key_schema)
-    fraction = min(1.0, SAMPLES_PER_CHUNK * sum(chunks.values()) / total)
-    sample = narrow.join(long_df, keys, "left_semi").sample(fraction, seed=11).collect()
-    by_key: dict[tuple, list[tuple]] = {}
-    for r in sample:
-        by_key.setdefault(tuple(r[k] for k in keys), []).append(tuple(r[c] for c in order))
-    rows = []
-    for key, seen in by_key.items():
-        seen = sorted(set(seen))
-        n = min(chunks[key], len(seen))
-        picked: list[tuple] = []
-        for i in range(1, n):
-            cut = seen[i * len(seen) // n]
-            if not picked or (cut > picked[-1] and (not min_width or cut[0] - picked[-1][0] >= min_width)):
-                picked.append(cut)
-        if picked:
-            rows.append((*key, picked))
-    if not rows:
-        return plain
-    cut_type = T.ArrayType(T.StructType([T.StructField(c, narrow.schema[c].dataType) for c in order]))
-    coarse = [(*key, picked[FAN::FAN]) for *key, picked in rows]
-    fine = [
-        (*key, i // FAN, picked[i : i + FAN]) for *key, picked in rows for i in range(0, len(picked), FAN)
-    ]
-    return Cuts(
-        tuple(keys),
-        tuple(order),
-        spark.createDataFrame(coarse, T.StructType([*key_schema.fields, T.StructField("_coarse", cut_type)])),
-        spark.createDataFrame(
-            fine,
-            T.StructType([*key_schema.fields, T.StructField("_run", T.IntegerType()), T.StructField("_cuts", cut_type)]),
-        ),
-        FAN,
-        max(len(c[-1]) for c in coarse),
-    )
+        return Cuts(tuple(keys), tuple(order))
+    sketch = F.percentile_approx(order[0], [i / (POINTS + 1) for i in range(1, POINTS + 1)], ACCURACY)
+    seen = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), sketch.alias("_points")).where(F.col("_n") > max_rows)
+    wanted = F.least(F.lit(POINTS), F.ceil(2 * F.col("_n") / max_rows).cast("int") - 1)
+    places = F.transform(F.sequence(F.lit(1), wanted), lambda i: F.get("_points", F.floor(i * (POINTS + 1) / (wanted + 1)).cast("int") - 1))
+    picked = F.array_distinct(places)
+    if min_width:
+        apart = lambda kept, x: F.when((F.size(kept) > 0) & (x - F.element_at(kept, -1) < min_width), kept).otherwise(F.concat(kept, F.array(x)))
+        picked = F.aggregate(picked, F.slice("_points", 1, 0), apart)
+    return Cuts(tuple(keys), tuple(order), seen.select(*keys, picked.alias("_cuts")))
 
 
 @dataclass(frozen=True)
@@ -213,7 +187,7 @@ def scan(df: DataFrame, cuts: Cuts, **scans: Scan) -> DataFrame:
     if not cuts.any:
         return rows.withColumns({n: F.col(n)["v"] for n in boxed})
 
-    carried = _carry(cuts, cuts.chunked(df).where("_long"), scans, boxed)
+    carried = _carry(cuts, cuts.of_long_keys(df), scans, boxed)
     rows = rows.join(carried, cuts.group, "left")
     out = {}
     for name, s in scans.items():

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avsync.operators import ordered
-from avsync.operators.ordered import find_cuts, max_so_far, next_min, row_limit
+from avsync.operators.ordered import find_cuts, max_so_far, next_min
 
 MATCH_WINDOW = 30.0
 SNAPSHOT_WINDOW = 30.0
@@ -49,7 +49,6 @@ def match_times(
     has begun by t it is the answer. If it has not, no segment holds t as long as starts
     rise with idx; where they do not, those times go through ``_sweep``.
     """
-    max_rows = row_limit(times, segments, segments, max_rows=max_rows)
     seg = segments.select("video_id", F.col("idx").cast("long").alias("idx"), "start", "end")
     ends = (
         seg.select("video_id", "idx", "start", F.explode(F.array("start", "end")).alias("t"), "end")
@@ -116,7 +115,7 @@ def _sweep(times: DataFrame, seg: DataFrame, max_rows: float | None) -> DataFram
     marks = times.unionByName(seg.select("video_id", F.col("start").alias("t"))).unionByName(
         seg.select("video_id", F.col("end").alias("t"))
     )
-    cuts = find_cuts(marks.distinct(), ["video_id"], ["t"], max_rows)
+    cuts = find_cuts(marks.distinct(), ["video_id"], ["t"], max_rows).looked()
     if cuts.any:
         times = cuts.chunked(times).drop("_long")
         first = cuts.chunked(seg.withColumn("t", F.col("start"))).withColumnRenamed(ordered.CHUNK, "_a")
@@ -182,7 +181,6 @@ def nearest_row(
 
     ``others`` is (video_id, t, order, value); on equal distance the lower ``order`` wins.
     """
-    max_rows = row_limit(points, others, max_rows=max_rows)
     spots = others.groupBy("video_id", "t").agg(F.min(F.struct(order, F.col(value).alias("v"))).alias("spot"))
     asked = points.select("video_id", "t").where("t IS NOT NULL").distinct().withColumn("asked", F.lit(True))
     line = spots.unionByName(asked, allowMissingColumns=True)

@@ -56,7 +56,7 @@ def test_borders_and_chains(spark, rounds):
     rows = [*texts.items(), (3, texts[3]), (None, texts[4]), (None, None), (900, "one two three four five six"), (900, texts[39])]
     rows += [(950, "one two three four five six"), (951, "solo"), (952, "SOLO"), (953, "a b c d e f g h i j k"), (954, "a b c d e f g h i j k l")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("r"), "n": F.lit(1), "label": F.lit(2), "signature": F.lit(3)}).repartition(3)
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in cm.near_duplicates(df, rounds=rounds).collect()}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in cm.near_duplicates(df, rounds=rounds, block=4, facing=8).collect()}
     assert {g for g in got if g[0] is not None and g[0] < 900} == {(i, len(s), want[i]) for i, s in sets.items()}
     assert {g for g in got if g[0] is None} == {(None, len(sets[4]), want[4]), (None, 0, None)}
     assert {(900, 5, 900), (900, len(sets[39]), want[39]), (950, 5, 900), (951, 1, 951), (952, 1, 951), (954, 11, 953)} <= got
