@@ -230,8 +230,11 @@ def window_rows(
 ) -> DataFrame:
     """Segments that overlap [t - w, t + w], one row per (video_id, t, w, segment).
 
-    Points at one time with one width are looked up once. Both sides meet in time
-    buckets, each pair only in its first shared bucket, so the rows made are the result.
+    Points at one time with one width are looked up once. A segment overlaps a window if it
+    begins inside it, or holds the window's beginning; the two exclude each other. Both are
+    a point in an interval: intervals lie on the few dyadic cells that make them up (two per
+    doubling of their length, however long), points in each cell above them of a size that
+    the video's intervals use. So each pair meets once and the rows made are the result.
     """
     w = window if isinstance(window, Column) else F.lit(float(window))
     asked = (
@@ -240,24 +243,42 @@ def window_rows(
         .withColumn("lo", F.col("t") - F.col("w"))
         .withColumn("hi", F.col("t") + F.col("w"))
     )
-    asked = _bucketed(asked, "lo", "hi", bucket)
-    held = _bucketed(
-        segments.select("video_id", "idx", "start", "end", "text").where("start <= end"), "start", "end", bucket
+    held = segments.select("video_id", "idx", "start", "end", "text").where("start <= end")
+    out = ["video_id", "t", "w", "idx", "start", "end", "text"]
+    begun = _in_cells(held, "start", asked, "lo", "hi", bucket).where("start >= lo AND start <= hi")
+    open_then = _in_cells(asked, "lo", held, "start", "end", bucket).where("start < lo AND end >= lo")
+    return begun.select(*out).unionByName(open_then.select(*out))
+
+
+def dyadic_cells(lo: str, hi: str, bucket: float) -> Column:
+    """(level, cell) of the dyadic cells that make up the buckets from ``lo`` to ``hi``; a cell of a
+    level is two of the level below."""
+    first, last = f"CAST(floor({lo} / {float(bucket)!r}D) AS BIGINT)", f"CAST(floor({hi} / {float(bucket)!r}D) AS BIGINT)"
+    kind = "array<struct<level:int,cell:bigint>>"
+    low, high = "CASE WHEN pmod(a.lo, 2) = 1 THEN 1 ELSE 0 END", "CASE WHEN pmod(a.hi, 2) = 0 AND a.lo < a.hi + pmod(a.lo + 1, 2) THEN 1 ELSE 0 END"
+    return F.expr(
+        f"""aggregate(
+            sequence(0, CAST(ceil(log2(greatest({last} - {first}, 0) + 1)) AS INT) + 1),
+            named_struct('lo', {first}, 'hi', {last}, 'cells', CAST(array() AS {kind})),
+            (a, k) -> CASE WHEN a.lo > a.hi THEN a ELSE named_struct(
+                'lo', shiftright(a.lo + {low}, 1),
+                'hi', shiftright(a.hi - {high}, 1),
+                'cells', concat(a.cells,
+                    CASE WHEN {low} = 1 THEN array(named_struct('level', k, 'cell', a.lo)) ELSE CAST(array() AS {kind}) END,
+                    CASE WHEN {high} = 1 THEN array(named_struct('level', k, 'cell', a.hi)) ELSE CAST(array() AS {kind}) END)) END,
+            a -> a.cells)"""
     )
-    hit = (
-        (F.col("a.video_id") == F.col("s.video_id"))
-        & (F.col("a._bucket") == F.col("s._bucket"))
-        & (F.col("s.start") <= F.col("a.hi"))
-        & (F.col("s.end") >= F.col("a.lo"))
-        & (F.col("a._bucket") == F.greatest("a._first", "s._first"))
-    )
-    return asked.alias("a").join(held.alias("s"), hit).select("a.video_id", "a.t", "a.w", "s.idx", "s.start", "s.end", "s.text")
 
 
-def _bucketed(df: DataFrame, lo: str, hi: str, bucket: float) -> DataFrame:
-    first = F.floor(F.col(lo) / F.lit(float(bucket)))
-    last = F.floor(F.col(hi) / F.lit(float(bucket)))
-    return df.withColumn("_first", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
+def _in_cells(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, bucket: float) -> DataFrame:
+    """Points (rows with ``at``) beside the spans of their video one of whose cells they lie in."""
+    celled = spans.select("*", F.explode(dyadic_cells(lo, hi, bucket)).alias("c")).select(*spans.columns, "c.level", "c.cell")
+    # 64 levels at most; few videos have more than the lowest ones
+    levels = celled.groupBy("video_id").agg(F.collect_set("level").alias("_levels"))
+    place = F.floor(F.col(at) / F.lit(float(bucket))).cast("long")
+    placed = points.join(levels, "video_id").select(*points.columns, F.explode("_levels").alias("level"), place.alias("cell"))
+    placed = placed.withColumn("cell", F.expr("shiftright(cell, level)"))
+    return placed.join(celled, ["video_id", "level", "cell"])
 
 
 def joined_text(rows: DataFrame, when: Column | None = None) -> Column:

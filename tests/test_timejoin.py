@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from avsync.operators import timejoin
 
@@ -92,3 +93,26 @@ def test_window_rows_equal_naive_join(spark):
             if s[1] <= s[2] and s[1] <= t + w and s[2] >= t - w
         )
         assert got == want
+
+
+def test_dyadic_cells_make_up_their_interval(spark):
+    rng = random.Random(2)
+    pairs = [(a, a + rng.choice([0, 1, 2, 7, 100, 4000])) for a in (rng.randint(-3000, 3000) for _ in range(60))]
+    df = spark.createDataFrame([(a * 60.0 + 1, b * 60.0 + 59) for a, b in pairs], "lo double, hi double")
+    for (a, b), row in zip(pairs, df.select(timejoin.dyadic_cells("lo", "hi", 60.0).alias("cells")).collect(), strict=True):
+        held = [x for c in row["cells"] for x in range(c["cell"] << c["level"], (c["cell"] + 1) << c["level"])]
+        assert sorted(held) == list(range(a, b + 1)) and len(row["cells"]) <= 2 * (b - a + 2).bit_length()
+    long = spark.createDataFrame([(0.0, 6e7)], "lo double, hi double")
+    assert len(long.select(timejoin.dyadic_cells("lo", "hi", 60.0).alias("cells")).collect()[0]["cells"]) < 60
+
+
+def test_window_rows_equal_loops(spark):
+    rng = random.Random(3)
+    segments = [(v, i, s, s + rng.choice([-1.0, 0.0, 5.0, 61.0, 600.0, 1e6]), f"{v}{i}") for v in "ab" for i, s in enumerate(rng.uniform(-500, 5000) for _ in range(40))]
+    points = [(v, round(rng.uniform(-600, 6000), 1)) for v in "abc" for _ in range(30)] + [("a", segments[0][2]), ("a", None)]
+    width = lambda t: 0.0 if t % 3 < 1 else 45.0 if t % 3 < 2 else 700.0
+    df = spark.createDataFrame([(v, t, None if t is None else width(t)) for v, t in points], "video_id string, t double, w double")
+    seg = spark.createDataFrame(segments, "video_id string, idx int, start double, end double, text string")
+    got = sorted((r.video_id, r.t, r.idx) for r in timejoin.window_rows(df, seg, F.col("w")).collect())
+    want = sorted({(v, t, i) for v, t in points if t is not None for u, i, s, e, _ in segments if u == v and s <= e and s <= t + width(t) and e >= t - width(t)})
+    assert got == want
