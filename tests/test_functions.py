@@ -156,3 +156,32 @@ def test_prompts(spark):
     known, odd = one(spark, prompts.render_vision_prompt(F.lit("graph"), fallback="unknown"),
                      prompts.render_vision_prompt(F.lit("odd"), fallback="unknown"))
     assert prompts.VISION_DIRECTIVES["graph"] in known and prompts.VISION_DIRECTIVES["unknown"] in odd
+
+
+def test_prototypes_of_any_number(spark):
+    """Means and negatives from all prototypes, in one pass or in many."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from avsync.operators.vectors import prototype_classify
+
+    rng = np.random.default_rng(3)
+    protos = [(f"c{k % 7}", k, k % 7 >= 5, [float(x) for x in rng.normal(size=4)]) for k in range(300)]
+    frames = [(i, None if i == 3 else [float(x) for x in rng.normal(size=4)]) for i in range(80)]
+    p = spark.createDataFrame(protos, "category string, prompt_no int, is_negative boolean, embedding array<double>").repartition(3)
+    f = spark.createDataFrame(frames, "ord int, embedding array<double>")
+    means = {c: np.mean([e for n, _, neg, e in protos if n == c and not neg], axis=0) for c in {n for n, _, neg, _ in protos if not neg}}
+    want = {}
+    for i, e in frames:
+        if e is None:
+            want[i] = (None, None, None)
+            continue
+        best = max(sorted(means), key=lambda c: np.dot(e, means[c]))
+        worst = max(np.dot(e, v) for _, _, neg, v in protos if neg)
+        top = np.dot(e, means[best])
+        want[i] = (True, best, round(top, 9)) if top > worst else (False, "non-educational", round(worst, 9))
+    for sent in (1 << 20, 2000):
+        got = prototype_classify(f, p, sent_bytes=sent).select("ord", "is_educational", "label", F.round("confidence", 9)).collect()
+        assert {r[0]: tuple(r[1:]) for r in got} == want
+    none = prototype_classify(f, p.where("is_negative")).where("is_educational").count()
+    assert none == 0

@@ -272,13 +272,19 @@ def _(t):
     )
 
 
+PROMPTS = 3
+
+
 def prototypes(t):
-    """Three lowest vec_id per label; labels 8 and 9 are the negatives."""
+    """The prompts of each label; labels 8 and 9 are the negatives.
+
+    A category has ``PROMPTS`` prompts, its lowest vec_id: that is the size of a prompt list
+    and a parameter of this workload. Spark keeps so many rows per label before the shuffle.
+    """
     from pyspark.sql import Window
 
     e = t.read("embeddings")
-    # a limit per label: Spark keeps three rows per label before the shuffle
-    ranked = e.withColumn("prompt_no", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("prompt_no <= 3")
+    ranked = e.withColumn("prompt_no", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("prompt_no") <= PROMPTS)
     return ranked.select(
         F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
         "prompt_no",
@@ -288,8 +294,8 @@ def prototypes(t):
 
 
 PROTOTYPE_SQL = {
-    "protos": """SELECT label, vec_id AS pid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-        QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3""",
+    "protos": f"""SELECT label, vec_id AS pid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= {PROMPTS}""",
     "proto_scores": """SELECT f.ord, p.label, avg(list_inner_product(f.embedding, p.e)) AS mean_s,
         max(list_inner_product(f.embedding, p.e)) AS max_s FROM frames f, protos p GROUP BY f.ord, p.label""",
     "classified": """SELECT ord, arg_max(label, mean_s) FILTER (label < 8) AS best, max(mean_s) FILTER (label < 8) AS top,
