@@ -5,12 +5,13 @@ Streams carry (video_id, ts timestamp, t double, ...). State per video is one sm
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -390,6 +391,44 @@ def process_once(
     for_each_new(stream, checkpoint, one)
 
 
+def process_once_into(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: str = "id",
+    handle: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """``process_once`` whose results and handled ids are one commit: exactly once, wherever it stops.
+
+    ``handle`` turns the fresh rows into result rows that keep the key column; they are
+    written to ``path`` below the run and batch that made them, in one overwriting write.
+    That folder is also the table of handled ids. A micro-batch that stopped half way is
+    made again with the same number: it does not see its own unfinished folder and writes
+    over it, so nothing is missing and nothing stands twice. Read results with ``once_rows``.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    kind = stream.schema[key].dataType.simpleString()
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        stored = once_rows(batch.sparkSession, path, f"{key} {kind}, run string, batch long")
+        others = stored.where((F.col("run") != run) | (F.col("batch") < batch_id)).select(key)
+        fresh = new_rows(batch, others, key)
+        made = handle(fresh) if handle is not None else fresh
+        made.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.select(key).schema).write.mode("overwrite").parquet(f"{path}/run=none/batch=0")
+    for_each_new(stream, checkpoint, one)
+
+
+def once_rows(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """What ``process_once_into`` has stored, with run and batch; give the schema while that may be nothing."""
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        return reader.schema(schema).parquet(path)
+    return reader.option("mergeSchema", "true").parquet(path)
+
+
 def drain(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a stream over what is there now into Parquet files, then stop."""
     query = (

@@ -1,6 +1,7 @@
 """Streams give the batch result, over one or several micro-batches."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from avsync.operators import folds
@@ -137,3 +138,32 @@ def test_ordered_fold_gives_late_rows_aside(spark, tmp_path):
     state.drain(state.suppress_close_ordered(stream, 10.0, hold=20.0), str(tmp_path / "out"), new_dir(spark, "c"))
     got = sorted((r.t, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0.0, False), (50.0, False), (60.0, True), (68.0, False), (90.0, False)]
+
+
+def test_a_batch_that_stops_half_way_is_made_again_whole(spark, tmp_path):
+    """The second of three batches fails while its results are written; ids of all batches are handled once."""
+    src, path, checkpoint, flag = (str(tmp_path / n) for n in ("in", "out", "c", "failed"))
+    schema = "id string, ts timestamp"
+    for ids in (["a", "b", "b"], ["b", "c", "d"], ["a", "d", "e"]):
+        spark.createDataFrame([(i,) for i in ids], "id string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+
+    def handle(rows):
+        def work(batches):
+            import os
+
+            for batch in batches:
+                if "d" in batch["id"].tolist() and not os.path.exists(flag):
+                    open(flag, "w").close()
+                    raise RuntimeError("stopped")
+                yield batch
+
+        return rows.select("id").mapInPandas(work, "id string")
+
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    with pytest.raises(Exception, match="stopped"):
+        state.process_once_into(stream(), path, checkpoint, handle=handle)
+    for _ in range(2):  # the stopped run goes on; a further one finds nothing to do
+        state.process_once_into(stream(), path, checkpoint, handle=handle)
+    assert sorted(r.id for r in state.once_rows(spark, path).collect()) == ["a", "b", "c", "d", "e"]
+    state.process_once_into(stream(), path, str(tmp_path / "other"), handle=handle)  # another run over the same input
+    assert state.once_rows(spark, path).count() == 5

@@ -450,19 +450,7 @@ def _(t):
 @query("I5_process_once", "SELECT user_id AS id, count(*) AS handled FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def _(t):
     # users come again in every file; the second run over the same input finds all of them stored
-    stored, handled = t.new_dir("stored"), t.new_dir("handled")
-    schema = t.read("events").select(F.col("user_id").alias("id")).schema
-    t.spark.createDataFrame([], schema).write.parquet(stored)
-
-    def append(rows):
-        rows.select("id").write.mode("append").parquet(stored)
-
+    path = t.new_dir("once")
     for _run in range(2):
-        state.process_once(
-            in_order(t, "events", "ts").select(F.col("user_id").alias("id"), "ts"),
-            lambda: t.spark.read.schema(schema).parquet(stored),
-            append,
-            t.new_dir("once-checkpoint"),
-            handle=lambda rows: rows.write.mode("append").parquet(handled),
-        )
-    return t.spark.read.parquet(handled).groupBy("id").agg(F.count(F.lit(1)).alias("handled"))
+        state.process_once_into(in_order(t, "events", "ts").select(F.col("user_id").alias("id"), "ts"), path, t.new_dir("once-checkpoint"))
+    return state.once_rows(t.spark, path).groupBy("id").agg(F.count(F.lit(1)).alias("handled"))
