@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from avsync.llm.common import WordHashes, components, free_name, lower_raw, maybe_in, word_slices, worker_cache
+from avsync.llm.common import WordHashes, components, free_name, lower_raw, maybe_in, width, word_slices, worker_cache
 from avsync.session import settle
 
 SIZE = 2  # words of a shingle
@@ -29,9 +29,11 @@ NUM, DEN = 80, 100
 #: bands of six coordinates: a pair at the threshold shares none of 40 with a chance of 5 in a million
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
-#: least equal coordinates of a linked pair: six standard deviations below the mean at the threshold
-LEAST_EQUAL = int(COORDINATES * NUM / DEN - 6 * (COORDINATES * NUM / DEN * (1 - NUM / DEN)) ** 0.5)
+#: least equal coordinates of a linked pair: 4.5 standard deviations below the mean at the threshold, a
+#: chance of 3 in a million for one pair, like that of the bands
+LEAST_EQUAL = int(COORDINATES * NUM / DEN - 4.5 * (COORDINATES * NUM / DEN * (1 - NUM / DEN)) ** 0.5)
 PIECE = 1 << 15
+BLOCK, FACING = 256, 4096  # signatures that a task compares at a time
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 FIRST, SECOND, SHORT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -139,48 +141,106 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return settle(told.select("a", "b", "t_a", "t_b").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def _open(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """key, node, n, label and the key's first member, for keys with members of several components."""
+def _open(members: DataFrame, found: DataFrame | None, turn: int = 0) -> DataFrame:
+    """band, key, node, n, label and a first member, for keys with members of several components.
+
+    The first member is one of the key's least component, by a hash that differs between turns.
+    """
     at = members.withColumn("label", F.col("node")) if found is None else members.join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    at = settle(at.select("key", "node", "n", "label"), "at")
-    mixed = at.groupBy("key").agg(F.min(F.struct("label", "node", "n")).alias("first"), F.max("label").alias("last")).filter("first.label < last")
+    at = settle(at.select("band", "key", "node", "n", "label"), "at")
+    draw = F.xxhash64("node", F.lit(turn)).alias("draw")
+    mixed = at.groupBy("key").agg(F.min(F.struct("label", draw, "node", "n")).alias("first"), F.max("label").alias("last")).filter("first.label < last")
     return settle(at.join(mixed.select("key", "first"), "key"), "open")
 
 
-def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _crossed(left: DataFrame, reps: DataFrame, block: int = BLOCK, facing: int = FACING) -> DataFrame:
+    """Pairs (a, b) of one key and different components with like signatures, each pair once.
+
+    Members that are not of the key's least component are dealt to blocks, and so are all its
+    members; a task compares one block with another, whatever the key's size. A pair that
+    shares several keys is given in the first of its bands only.
+    """
+    rows = left.join(reps.select("node", "signature"), "node").withColumn("other", F.col("label") != F.col("first.label"))
+    sizes = left.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("label") != F.col("first.label")).alias("k"))
+    sizes = sizes.select("key", F.ceil(F.col("k") / block).cast("int").alias("xs"), F.ceil(F.col("m") / facing).cast("int").alias("ys"))
+    rows = settle(rows.join(sizes, "key"), "sides")
+    spread = lambda n, of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)) if n is None else F.pmod(F.xxhash64("node", F.lit(n)), F.col(of)).cast("int")
+    columns = ["key", "band", "x", "y", "other", "node", "n", "label", "signature"]
+    asking = rows.filter("other").withColumn("x", spread(1, "xs")).withColumn("y", spread(None, "ys")).select(*columns)
+    asked = rows.withColumn("other", F.lit(False)).withColumn("y", spread(2, "ys")).withColumn("x", spread(None, "xs")).select(*columns)
+    dealt = asking.union(asked).repartition(width(left.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def compared(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        part = pa.Table.from_batches(group)
+        band = part.column("band")[0].as_py()
+        other, node, n, label = (part.column(c).to_numpy() for c in ("other", "node", "n", "label"))
+        signed = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        y = np.flatnonzero(~other)
+        a, b = [node[:0]], [node[:0]]
+        for i in np.flatnonzero(other):
+            fits = y[(label[y] < label[i]) & (np.minimum(n[y], n[i]) * DEN >= np.maximum(n[y], n[i]) * NUM)]
+            same = signed[fits] == signed[i]
+            fits, same = fits[like := same.sum(axis=1) >= LEAST_EQUAL], same[like]
+            fits = fits[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            a.append(node[fits])
+            b.append(np.full(len(fits), node[i]))
+        return np.concatenate(a), np.concatenate(b)
+
+    def compare(batches: Iterator[pa.RecordBatch]):
+        key, group = None, []
+        for batch in batches:
+            places = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y")])
+            edges = (np.flatnonzero((np.diff(places) != 0).any(axis=0)) + 1).tolist()
+            for at, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if at == end:
+                    continue
+                now = tuple(places[:, at])
+                if now != key and group:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in compared(group)], ["a", "b"])
+                    group = []
+                key = now
+                group.append(batch.slice(at, end - at))
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in compared(group)], ["a", "b"])
+
+    return dealt.select("key", "x", "y", "band", "other", "node", "n", "label", "signature").mapInArrow(compare, "a long, b long")
+
+
+def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, block: int = BLOCK, facing: int = FACING) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, found): described rows, classes of equal sets (digest, node, least doc_id),
     and component of each class with a link (node, component).
 
-    In a round every class is compared with one leader: the least one of the least component
-    among its bands. What is left is compared in full: in each band members of different
-    components, so that no candidate is left out. Links inside a component are not looked for.
+    In a round each class is compared with a few leaders: in the first with one, the least of
+    its bands, and then with one per band, drawn from the band's least component. So a large
+    group of near copies needs pairs in number of its rows. What is left is compared in full,
+    so that no candidate is left out. Links inside a component are not looked for.
     """
     rows = described(df, doc_id, text)
     classes = settle(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
     reps = settle(rows.select("row", "n", "signature").join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"), "reps")
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", ROWS * k + 1, ROWS)) for k in range(BANDS)])
-    bands = reps.select("node", "n", F.explode(keys).alias("key"))
+    bands = reps.select("node", "n", F.posexplode(keys).alias("band", "key"))
     shared = settle(bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "shared")
     members = settle(maybe_in(bands, "key", shared).join(shared, "key"), "members")
     links = tried = found = None
     like = F.least("n", "first.n") * DEN >= F.greatest("n", "first.n") * NUM
-    for _ in range(rounds):
-        wishes = _open(members, found).filter((F.col("label") != F.col("first.label")) & like).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    for turn in range(rounds):
+        wishes = _open(members, found, turn).filter((F.col("label") != F.col("first.label")) & like).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+        wishes = wishes.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn == 0 else wishes.distinct()
         if tried is not None:
             wishes = wishes.join(tried, ["a", "b"], "left_anti")
-        wishes = settle(wishes.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "wishes")
+        wishes = settle(wishes, "wishes")
         if wishes.isEmpty():
             break
+        tried = wishes if tried is None else tried.union(wishes)
         more = verified(wishes, reps, rows)
+        if more.isEmpty():
+            break
         links = more if links is None else links.union(more)
-        tried = wishes if tried is None else tried.union(wishes)
         found = components(links)
-    left = _open(members, found)
-    other = left.filter(F.col("label") != F.col("first.label")).select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    fits = (F.col("label") < F.col("label_b")) & (F.least("n", "n_b") * DEN >= F.greatest("n", "n_b") * NUM)
-    pairs = left.join(other, "key").filter(fits).select(F.col("node").alias("a"), "b").distinct()
+    pairs = _crossed(_open(members, found), reps, block, facing)
     if tried is not None:
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
     pairs = settle(pairs, "pairs")
     if not pairs.isEmpty():
         more = verified(pairs, reps, rows)
@@ -191,7 +251,7 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     return rows, classes, found
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, block: int = BLOCK, facing: int = FACING) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case; a row's set
@@ -203,7 +263,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     but nulls has a null one and its rows are kept. Other columns are not read. Empty tables
     give no rows. Shingles and sets are told apart by 64 and 128-bit hashes.
     """
-    rows, classes, found = link_classes(df, doc_id, text, rounds)
+    rows, classes, found = link_classes(df, doc_id, text, rounds, block, facing)
     named = classes.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
     named = settle(named, "named")
     top = named.groupBy("component").agg(F.min("least").alias("component_id"))
