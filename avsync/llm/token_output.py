@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,15 @@ class WordEncoder:
     word goes through the library once while there is room to remember it. Words are kept in
     lower case, as the normaliser would make them, except near the marks of special tokens,
     which are told apart by case. A comma or full stop after an ASCII letter or digit begins
-    a token of its own, so such a word is learnt without it.
+    a token of its own, so such a word is known by the word without it.
+
+    Arrow splits texts and numbers their different words; only those are looked up one by
+    one, the rest is gathering by number. New words go through the library some thousands at
+    a time, kept apart by a special token, so that one list of ids comes back for all.
     """
 
-    ROOM = 500_000
+    ROOM = 400_000  # words of one half; there are two
+    AT_ONCE = 1 << 21  # bytes of text whose words are numbered together
     _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
     def __init__(self, path: str, literal: bool = False):
@@ -59,48 +65,97 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        special = sorted(
+            (number, token.content)
+            for number, token in self.tokenizer.get_added_tokens_decoder().items()
+            if token.special and not (token.normalized or token.single_word or token.lstrip or token.rstrip)
+            and token.content.startswith("<|") and token.content.endswith("|>")
+        )
+        self.apart = None if literal or not special else special[-1]
 
     @classmethod
     def at(cls, path: str, literal: bool = False) -> WordEncoder:
         """One per Python worker, kept over tasks. ``literal``: the names of special tokens are ordinary text."""
         return worker_cache((cls, path, literal), lambda: cls(path, literal))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word by the tokenizer itself."""
+        if self.apart and len(words) > 1 and not any(b"<|" in w for w in words):
+            number, mark = self.apart
+            text = mark.join([w.decode() for w in words])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == number) * 4
+            if len(cuts) == len(words) - 1:
+                raw = ids.tobytes()
+                return [raw[i:j] for i, j in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words (one may be empty)."""
         if len(self.ids) > self.ROOM:
-            # short words come again more often
-            self.ids = {w: x for w, x in self.ids.items() if len(w) <= 10}
-            if len(self.ids) > self.ROOM // 2:
-                self.ids.clear()
-        new = words.difference(self.ids)
-        ended = {w for w in new if w[-1] in b",." and len(w) > 1 and w[-2] in self._ALNUM}
-        plain = list(((new - ended) | {w[:-1] for w in ended} | {b",", b"."}).difference(self.ids))
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.ids[word] = np.array(e.ids, "<u4").tobytes()
-        for word in ended:
-            self.ids[word] = self.ids[word[:-1]] + self.ids[word[-1:]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without an end id."""
-        raws = [(t or "").encode("utf-8") for t in texts]
-        raws = [r if b"<|" in r else r.lower() for r in raws]
-        if sum(map(len, raws)) <= 4 << 20:
-            lists = [r.split() for r in raws]
-            self._learn(set().union(*lists))
-            get = self.ids.__getitem__
-            return [b"".join(map(get, words)) for words in lists]
-        out = []
-        for raw in raws:
-            parts = []
-            for words in word_slices(raw):
-                self._learn(set(words))
-                parts.append(b"".join(map(self.ids.__getitem__, words)))
-            out.append(b"".join(parts))
+            # words that come again move to the new half, the rest go with the old one
+            self.older, self.ids = self.ids, {}
+        ids, older = self.ids, self.older
+        out = list(map(ids.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        stems = []
+        for i in missing:
+            w = words[i]
+            stems.append(w[:-1] if len(w) > 1 and w[-1] in b",." and w[-2] in self._ALNUM else w)
+        unknown = {*stems, b",", b"."}.difference(ids)
+        again = unknown.intersection(older)
+        ids.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = list(unknown.difference(again))
+        odd = [w for w in new if b"<|" in w]
+        plain = [w for w in new if b"<|" not in w] if odd else new
+        for some in (plain, odd):
+            for i in range(0, len(some), 4096):
+                part = some[i : i + 4096]
+                ids.update(zip(part, self._library(part), strict=True))
+        for i, stem in zip(missing, stems, strict=True):
+            w = words[i]
+            out[i] = ids[stem] if len(stem) == len(w) else ids[stem] + ids[w[-1:]]
         return out
 
+    def _together(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of some texts, together not much longer than ``AT_ONCE``."""
+        held = pa.array(raws, pa.large_binary())
+        lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(raws), held.buffers()))
+        words = lists.flatten().dictionary_encode()
+        known = self._of(words.dictionary.cast(pa.large_binary()).to_pylist())
+        which = words.indices.to_numpy(zero_copy_only=False)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        lengths = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
+        each = lengths[which]
+        ends = np.cumsum(each, dtype=np.int32)
+        ids = flat[np.repeat(begins[which] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        at = np.concatenate([[0], ends])[lists.offsets.to_numpy()].astype(np.int64) * 4
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-def _encoded(rows: Iterator[pa.RecordBatch], path: str, text: int, step: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without an end id."""
+        out: list[bytes] = []
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            raw = (text or "").encode("utf-8")
+            raw = raw if b"<|" in raw else raw.lower()
+            if held and size + len(raw) > self.AT_ONCE:
+                out += self._together(held)
+                held, size = [], 0
+            if len(raw) > self.AT_ONCE:
+                out.append(b"".join(self._together([b" ".join(words)])[0] for words in word_slices(raw, self.AT_ONCE)))
+            else:
+                held.append(raw)
+                size += len(raw)
+        return out + self._together(held) if held else out
+
+
+def _encoded(rows: Iterator[pa.RecordBatch], path: str, text: int, step: int = 512) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     encoder = WordEncoder.at(path)
     for batch in rows:
         for i in range(0, batch.num_rows, step):
