@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,11 +124,21 @@ def worker_cache(key: object, make: Callable[[], object]):
     of one operator do not stay while another works."""
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between stages, beside those of the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only the GNU library has it
+        pass
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while there is room (words are bytes)."""
 

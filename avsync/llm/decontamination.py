@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -270,8 +270,9 @@ def find_spans(
     item_id: str = "item_id",
     item_text: str = "text",
     block_items: int = 20_000,
-    shard_words: int = 1 << 20,
+    shard_words: int = 1 << 19,
     length: int = WINDOW,
+    finish: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], T.StructType] | None = None,
 ) -> DataFrame:
     """All columns of ``df`` and a last one, a struct ``_found``: n_words, runs (word positions from, to), items.
 
@@ -281,6 +282,8 @@ def find_spans(
     them; with several blocks the text is passed as often, and runs and items are joined.
     No row moves. A null or empty text has no words; null items neither. An item without id
     hits words and is not listed. If ``df`` has a column ``_found``, the new one is called otherwise.
+    ``finish`` (a function of whole batches and the schema that it gives) is applied in the
+    tasks of the last block, so that no second Python worker stands beside the index.
     """
     found_type = T.StructType(
         [
@@ -294,10 +297,14 @@ def find_spans(
 
     arrow = to_arrow_type(found_type)
     at = df.columns.index(text)
-    for block in _blocks(items, item_id, item_text, block_items) if items.take(1) else [[]]:
+    blocks = _blocks(items, item_id, item_text, block_items) if items.take(1) else iter([[]])
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         shipped = df.sparkSession.sparkContext.broadcast(Phrases(block, length))
+        final, schema = finish if finish and after is None else (lambda batch: batch, out.schema)
 
-        def search(rows, shipped=shipped):
+        def search(rows, shipped=shipped, final=final):
             phrases = shipped.value
             worker_cache("decontamination", dict)  # lets go of what other operators kept
 
@@ -324,14 +331,15 @@ def find_spans(
                 results = _shards(coded(), phrases, shard_words, phrases.table.shape[1] - 1)
             for (batch, _), *rest in results:
                 if current is not None and batch is not current:
-                    yield close(current, done)
+                    yield final(close(current, done))
                     done = []
                 current = batch
                 done.append(rest)
             if current is not None:
-                yield close(current, done)
+                yield final(close(current, done))
 
-        out = out.mapInArrow(search, out.schema)
+        out = out.mapInArrow(search, schema)
+        block = after
     return out
 
 
@@ -378,21 +386,19 @@ def remove_spans(df: DataFrame, items: DataFrame, text: str = "text", drop_empti
 
     ``drop_emptied``: rows that had words and have none left go; rows without words stay.
     """
-    found = find_spans(df, items, text=text, **options)
-    if drop_emptied:
-        here = found[found.columns[-1]]
-        one = F.element_at(here["runs"], 1)
-        found = found.filter((F.size(here["runs"]) == 0) | (one["begin"] > 0) | (one["end"] < here["n_words"]))
     at, last = df.columns.index(text), len(df.columns)
 
-    def clean(rows):
-        for batch in rows:
-            spans = batch.column(last).to_pylist()
-            texts = [cut(t, [(r["begin"], r["end"]) for r in s["runs"]]) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-            field = batch.schema.field(at)
-            yield batch.set_column(at, field, pa.array(texts, field.type)).select(range(last))
+    def clean(batch):
+        spans = batch.column(last).to_pylist()
+        texts = [cut(t.as_py(), [(r["begin"], r["end"]) for r in s["runs"]]) if s["runs"] else t.as_py() for t, s in zip(batch.column(at), spans, strict=True)]
+        field = batch.schema.field(at)
+        out = batch.set_column(at, field, pa.array(texts, field.type)).select(range(last))
+        if drop_emptied:
+            rest = [not s["runs"] or s["runs"][0]["begin"] > 0 or s["runs"][0]["end"] < s["n_words"] for s in spans]
+            out = out.filter(pa.array(rest, pa.bool_()))
+        return out
 
-    return found.mapInArrow(clean, df.schema)
+    return find_spans(df, items, text=text, finish=(clean, df.schema), **options)
 
 
 SQL = f"""
