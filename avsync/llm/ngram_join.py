@@ -69,13 +69,26 @@ def count_vector(tokens: np.ndarray) -> bytes:
     One byte a group, or four where a count needs them.
     """
     g = groups_of(len(tokens))
-    counts = np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return _written(np.bincount((tokens & np.uint64(g - 1)).astype(np.int64), minlength=g))
+
+
+def _written(counts: np.ndarray) -> bytes:
     return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
 
 
-def as_vector(raw: bytes, n: int) -> np.ndarray:
-    """The count vector of a set of ``n`` shingles, wide enough to add up."""
-    return np.frombuffer(raw, "u1" if len(raw) == groups_of(n) else "<u4").astype(np.int32)
+def as_vector(raw: bytes, groups: int) -> np.ndarray:
+    """A written count vector over so many groups, wide enough to add up."""
+    return np.frombuffer(raw, "u1" if len(raw) == groups else "<u4").astype(np.int32)
+
+
+def corner_groups(n: int) -> int:
+    """Groups of the folded vector that goes along with a point into every cell: an eighth."""
+    return max(LEAST_GROUPS, groups_of(n) // 8)
+
+
+def corner_vector(vector: bytes, n: int) -> bytes:
+    """The count vector folded to ``corner_groups``: its sums of minima bound those of the whole one."""
+    return _written(fold(as_vector(vector, groups_of(n)), corner_groups(n)))
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -95,8 +108,8 @@ def needed(total: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """One pass that gives two kinds of rows: doc_id, n, digest of each document, and token, n
-    of shingles that a task saw again and again (with the number of all it saw, once).
+    """One pass that gives two kinds of rows: doc_id, n, digest, count vector and folded count
+    vector of each document, and token, n of shingles that a task saw again and again (with the number of all it saw, once).
 
     Each task counts a few million shingles at a time; what it misses only makes the order
     of shingles less good.
@@ -105,8 +118,9 @@ def _described(docs: DataFrame) -> DataFrame:
     def describe(rows: Iterator[pa.RecordBatch]):
         hashes, held, size, kind = worker_cache(WordHashes, WordHashes), [], 0, None
 
-        def batch_of(ids, sizes, digests, tokens):
-            columns = [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.int64())]
+        def batch_of(ids, sizes, digests, tokens, vectors=None, corners=None):
+            points = [pa.array(v or [None] * len(sizes), pa.binary()) for v in (vectors, corners)]
+            columns = [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.int64()), *points]
             return pa.RecordBatch.from_arrays(columns, names)
 
         def report():
@@ -117,22 +131,25 @@ def _described(docs: DataFrame) -> DataFrame:
 
         for batch in rows:
             kind = batch.schema.field(0).type
-            sizes, digests = [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingles(text, hashes)
+            sizes, digests, vectors = [], [], []
+            for text in batch.column(1):
+                tokens = shingles(text.as_py(), hashes)
                 sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                vectors.append(count_vector(tokens))
                 held.append(tokens)
                 size += len(tokens)
                 if size > 1 << 20:
                     yield report()
                     held, size = [], 0
-            yield batch_of(batch.column(0), sizes, digests, [None] * len(sizes))
+            corners = [corner_vector(v, n) for v, n in zip(vectors, sizes, strict=True)]
+            yield batch_of(batch.column(0), sizes, digests, [None] * len(sizes), vectors, corners)
         if size:
             yield report()
 
-    names = ["doc_id", "n", "digest", "token"]
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("token", T.LongType())])
+    names = ["doc_id", "n", "digest", "token", "vector", "corner"]
+    kinds = [T.LongType(), T.BinaryType(), T.LongType(), T.BinaryType(), T.BinaryType()]
+    schema = T.StructType([docs.schema["doc_id"], *map(T.StructField, names[1:], kinds)])
     return docs.select("doc_id", "text").mapInArrow(describe, schema)
 
 
@@ -169,27 +186,6 @@ def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(describe, T.StructType(fields))
 
 
-def _points(docs: DataFrame) -> DataFrame:
-    """set (the doc_id), n, digest, vector."""
-
-    def describe(rows: Iterator[pa.RecordBatch]):
-        hashes = worker_cache(WordHashes, WordHashes)
-        for batch in rows:
-            found = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(t) for t in found], pa.int64()),
-                    pa.array([hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in found], pa.binary()),
-                    pa.array([count_vector(t) for t in found], pa.binary()),
-                ],
-                ["set", "n", "digest", "vector"],
-            )
-
-    schema = T.StructType([T.StructField("set", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("vector", T.BinaryType())])
-    return docs.select("doc_id", "text").mapInArrow(describe, schema)
-
-
 def _shingled(docs: DataFrame) -> DataFrame:
     """set (the doc_id), n, digest and the shingles themselves."""
 
@@ -236,7 +232,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for batch in rows:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             may = []
-            vectors = [[as_vector(v, k) for v, k in zip(batch.column(4 + i).to_pylist(), batch.column(2 + i).to_pylist(), strict=True)] for i in (0, 1)]
+            vectors = [[as_vector(v, groups_of(k)) for v, k in zip(batch.column(4 + i).to_pylist(), batch.column(2 + i).to_pylist(), strict=True)] for i in (0, 1)]
             for total, x, y in zip(n, *vectors, strict=True):
                 g = min(len(x), len(y))
                 may.append(int(np.minimum(fold(x, g), fold(y, g)).sum()) >= -(-NUM * int(total) // (NUM + DEN)))
@@ -245,18 +241,17 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(bound, pairs.select("a", "b").schema)
 
 
-Point = tuple  # set, label, n, vector, cells
+Point = tuple  # set, label, n, corner
 
 
 class Leaf:
-    """Points of a cell, at most LEAF of them: labels, sizes and count vectors, with the rectangle round them."""
+    """Points of a cell, at most LEAF of them: labels, sizes and folded count vectors, with the rectangle round them."""
 
     def __init__(self, points: list[Point]):
         self.sets = [p[0] for p in points]
         self.labels = np.array([p[1] for p in points])
         self.sizes = np.array([p[2] for p in points], np.int64)
-        self.vectors = [as_vector(p[3], p[2]) for p in points]
-        self.cells = [p[4] for p in points]
+        self.vectors = [as_vector(p[3], corner_groups(p[2])) for p in points]
         self.groups = np.array([len(v) for v in self.vectors])
         self.folded: dict[int, np.ndarray] = {}
 
@@ -270,11 +265,8 @@ class Leaf:
         return self.folded[groups]
 
 
-def matched(cell: int, x: Leaf, y: Leaf) -> Iterator[tuple]:
-    """Pairs of different labels whose sum of coordinate minima allows a link, of one leaf or of two.
-
-    A pair that shares several cells is looked at in each, and given in the first only.
-    """
+def matched(x: Leaf, y: Leaf) -> Iterator[tuple]:
+    """Pairs of different labels whose sum of coordinate minima allows a link, of one leaf or of two."""
     if x is not y:
         # the upper corners bound all sums between the leaves; folding keeps a corner a corner
         g = int(min(x.groups.min(), y.groups.min()))
@@ -291,8 +283,7 @@ def matched(cell: int, x: Leaf, y: Leaf) -> Iterator[tuple]:
             at = js[groups == g]
             overlap = np.minimum(fold(x.vectors[i], int(g))[None, :], y.table(int(g))[at]).sum(1)
             for j in at[overlap >= needed(n + y.sizes[at])]:
-                if min(x.cells[i] & y.cells[j]) == cell:
-                    yield (x.sets[i], y.sets[j]) if x.sets[i] < y.sets[j] else (y.sets[j], x.sets[i])
+                yield (x.sets[i], y.sets[j]) if x.sets[i] < y.sets[j] else (y.sets[j], x.sets[i])
 
 
 def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
@@ -301,7 +292,8 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     Rows are sorted by cell, octave of size and label, and packed into leaves. A cell of one
     leaf is done where it is packed. Larger cells, and those at the edge of a partition, which
     may go on in the next, also give their leaves; these are joined by cell, leaf against
-    leaf, unless sizes or labels exclude it.
+    leaf, unless sizes or labels exclude it. A row of a cell holds the folded vector only; a
+    pair may come from several cells and is then judged once, by the whole vectors.
     """
     key = points.schema["set"].dataType
     sized = open_cells.join(points.select("set", "n"), "set")
@@ -311,14 +303,12 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     )
     # a point without one of like size in its cell has no partner there
     sized = settle(sized.withColumn("near", near).filter("near").select("token", "set", "label"), "sized")
-    cells = sized.groupBy("set").agg(F.collect_list("token").alias("cells"))
-    full = points.join(cells, "set").select("set", "n", "vector", "cells")
-    rows = sized.join(full, "set").withColumn("octave", F.floor(F.log2("n")))
+    rows = sized.join(points.select("set", "n", "corner"), "set").withColumn("octave", F.floor(F.log2("n")))
     order = [F.col(c) for c in ("token", "octave", "label", "n", "set")]
     rows = rows.repartitionByRange(width(points.sparkSession), *order).sortWithinPartitions(*order)
     long, longs = T.LongType(), T.ArrayType(T.LongType())
     fields = [("a", key), ("b", key), ("token", long), ("leaf", long), ("least_n", long), ("most_n", long), ("least_label", key), ("most_label", key)]
-    fields += [("sets", T.ArrayType(key)), ("labels", T.ArrayType(key)), ("sizes", longs), ("vectors", T.ArrayType(T.BinaryType())), ("cells", T.ArrayType(longs))]
+    fields += [("sets", T.ArrayType(key)), ("labels", T.ArrayType(key)), ("sizes", longs), ("corners", T.ArrayType(T.BinaryType()))]
     schema = T.StructType([T.StructField(*f) for f in fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -333,13 +323,13 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
             nonlocal number
             parts = [members[i : i + LEAF] for i in range(0, len(members), LEAF)]
             for part in parts:
-                out.extend({"a": a, "b": b} for a, b in matched(token, *[Leaf(part)] * 2))
+                out.extend({"a": a, "b": b} for a, b in matched(*[Leaf(part)] * 2))
                 if edge or len(parts) > 1:
                     number += 1
-                    sets, labels, sizes, vectors, cells = (list(c) for c in zip(*part, strict=True))
+                    sets, labels, sizes, corners = (list(c) for c in zip(*part, strict=True))
                     out.append({
                         "token": token, "leaf": base + number, "least_n": min(sizes), "most_n": max(sizes), "least_label": min(labels), "most_label": max(labels),
-                        "sets": sets, "labels": labels, "sizes": sizes, "vectors": vectors, "cells": [sorted(c) for c in cells],
+                        "sets": sets, "labels": labels, "sizes": sizes, "corners": corners,
                     })
 
         token, members, first = None, [], True
@@ -355,13 +345,13 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
                     close(token, members, True)
                     members, first = [], True
                 token = row[0]
-                members.append((*row[1:5], frozenset(row[5])))
+                members.append(row[1:])
         if members:
             close(token, members, True)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    packed = settle(rows.select("token", "set", "label", "n", "vector", "cells").mapInArrow(pack, schema), "packed")
+    packed = settle(rows.select("token", "set", "label", "n", "corner").mapInArrow(pack, schema), "packed")
     inner = packed.filter("a is not null").select("a", "b")
     leaves = packed.filter("leaf is not null").drop("a", "b")
     left = leaves.select(*[F.col(c).alias(f"{c}_") for c in leaves.columns])
@@ -372,19 +362,20 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
         & (F.col("most_n_") * DEN >= F.col("least_n") * NUM)
         & ((F.col("least_label") != F.col("most_label_")) | (F.col("most_label") != F.col("least_label_")))
     )
-    columns = ["sets", "labels", "sizes", "vectors", "cells"]
-    pairs = leaves.join(left, may).select("token", *columns, *[f"{c}_" for c in columns])
+    columns = ["sets", "labels", "sizes", "corners"]
+    pairs = leaves.join(left, may).select(*columns, *[f"{c}_" for c in columns])
 
     def search(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             found = []
-            for token, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (Leaf([(*p[:4], frozenset(p[4])) for p in zip(*half, strict=True)]) for half in (both[:5], both[5:]))
-                found += matched(token, x, y)
+            for both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = (Leaf(list(zip(*half, strict=True))) for half in (both[:4], both[4:]))
+                found += matched(x, y)
             kind = batch.schema.field("sets").type.value_type
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], kind) for k in (0, 1)], ["a", "b"])
 
-    return inner.union(pairs.mapInArrow(search, inner.schema))
+    found = inner.union(pairs.mapInArrow(search, inner.schema))
+    return _bounded(settle(found.distinct(), "met"), points)
 
 
 # -- the join ------------------------------------------------------------------------------
@@ -406,18 +397,21 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     The links given are a subset that connects the components, not all pairs of the join:
     links inside a component that is one already are not looked for, so neither their number
     nor a document's partners can be read from them. No two linked documents end in
-    different components.
+    different components. The doc_id tells rows of different texts apart and is not null;
+    ``near_duplicates`` and ``one_of_each`` number the rows where it does not.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     described = settle(_described(docs), "described")
     plain = described.filter("digest is not null").select("doc_id", "n", "digest")
     hot = _frequent(described)
+    names = settle(plain.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("set")).select("set").filter("set is not null"), "names")
     sets = settle(
-        _prefixes(docs, hot).filter("size(prefix) > 0").groupBy("digest").agg(F.min("doc_id").alias("set"), F.first("prefix").alias("prefix")).filter("set is not null"),
+        _prefixes(maybe_in(docs, "doc_id", names), hot).filter("size(prefix) > 0").groupBy("digest").agg(F.min("doc_id").alias("set"), F.first("prefix").alias("prefix")).filter("set is not null"),
         "sets",
     )
-    rows = sets.select("set", F.explode("prefix").alias("token")).repartition(width(spark), "token")
+    # the filter is there for both readers of the rows, which then share one shuffle
+    rows = sets.select("set", F.explode("prefix").alias("token")).filter("token is not null").repartition(width(spark), "token")
     marks = rows.groupBy("token").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("set")).alias("mark"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("mark2"), F.min("set").alias("least")
     )
@@ -432,7 +426,8 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
             return rows
         return rows.join(sets.select("set", "digest"), ["set", "digest"], "left_semi").dropDuplicates(["set"])
 
-    points = settle(unique(_points(maybe_in(docs, "doc_id", live_sets))).select("set", "n", "vector"), "points")
+    told = described.filter("digest is not null").select(F.col("doc_id").alias("set"), "n", "digest", "vector", "corner")
+    points = settle(unique(maybe_in(told, "set", live_sets)).select("set", "n", "vector", "corner"), "points")
     pair_schema = T.StructType([T.StructField("a", docs.schema["doc_id"].dataType), T.StructField("b", docs.schema["doc_id"].dataType)])
     links = spark.createDataFrame([], pair_schema)
     labels = live_sets.select("set", F.col("set").alias("label"))
@@ -452,7 +447,7 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
         near = settle(_bounded(settle(star, "stars"), points), "near")
         links = settle(links.union(_verified(near, docs, unique)), "links")
         now = _still_open(cells, links)
-    near = settle(_tree_pairs(now.select("token", "set", "label"), points).distinct(), "near")
+    near = settle(_tree_pairs(now.select("token", "set", "label"), points), "near")
     links = settle(links.union(_verified(near, docs, unique)).distinct(), "links")
     return plain.join(sets.select("digest", "set"), "digest", "left").select("doc_id", "n", "set"), links, components(links)
 
@@ -472,10 +467,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Words stand between ASCII white space, A-Z as a-z; shingles have five; two documents
     link when 100 * |A and B| >= 75 * |A or B|. A null or empty text has no shingles and
-    links with nothing, nor does a row without doc_id name a component. Rows of one doc_id
-    with one text are one document in several rows; with different texts each text counts.
+    links with nothing. Where doc_ids repeat or are null, the rows are numbered and linked by
+    their numbers: each text of one doc_id has its own links, and a row without doc_id links
+    others without naming a component (null, if no row of it has a doc_id).
     Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
     """
+    shared = df.groupBy(F.col(doc_id).alias("id")).agg(F.count("*").alias("k")).filter("k > 1 or id is null")
+    if shared.take(1):
+        number = F.monotonically_increasing_id().alias("row")
+        rows = settle(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), number), "rows")
+        classes, _, found = link_classes(rows, "row", "text")
+        named = classes.withColumnRenamed("doc_id", "row").join(found, classes["set"] == found["node"], "left")
+        named = settle(named.select("row", "n", F.coalesce("component", "set").alias("group")).join(rows.select("row", "doc_id"), "row"), "numbered")
+        least = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+        out = named.join(least, "group", "left")
+        return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     classes, _, found = link_classes(df, doc_id, text)
     named = classes.join(found, classes["set"] == found["node"], "left")
     return named.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "set", "doc_id").alias("component_id"))

@@ -101,6 +101,32 @@ def test_ngram_join_without_leaders(spark):
     assert {r["doc_id"]: name.get(r["set"], r["set"]) for r in classes.collect()} == want
 
 
+def test_ngram_join_texts_of_one_id(spark):
+    """Each text of a repeated id has its links, and a row without id links its neighbours."""
+    a, c, e = ([f"{k}{j}" for j in range(60)] for k in "ace")
+    near = lambda w: " ".join([*w[:-1], "x"])
+    further = " ".join(["y", "z", "u", *e[3:]])
+    rows = [(1, " ".join(a)), (1, " ".join(c)), (2, near(a)), (3, near(c)), (7, " ".join(["q", *e[1:]])), (None, " ".join(e)), (8, further), (None, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.near_duplicates(df).collect())
+    ends = [("1", 56, "1"), ("1", 56, "1"), ("2", 56, "1"), ("3", 56, "1"), ("7", 56, "7"), ("None", 56, "7"), ("8", 56, "7"), ("None", 0, "None"), ("4", 0, "4")]
+    assert got == sorted(ends)
+
+
+def test_corner_vectors_bound():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 300, 3000):
+        both = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 62, n // 9).astype(np.uint64)])) for _ in range(2))
+        whole = [ngram_join.as_vector(ngram_join.count_vector(s), ngram_join.groups_of(len(s))) for s in (x, y)]
+        folded = [ngram_join.as_vector(ngram_join.corner_vector(ngram_join.count_vector(s), len(s)), ngram_join.corner_groups(len(s))) for s in (x, y)]
+        sums = []
+        for v, w in (whole, folded):
+            g = min(len(v), len(w))
+            sums.append(int(np.minimum(ngram_join.fold(v, g), ngram_join.fold(w, g)).sum()))
+        assert len(np.intersect1d(x, y)) <= sums[0] <= sums[1]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
