@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from avsync.llm.common import WordHashes, components, free_name, lower_raw, maybe_in, width, word_slices, worker_cache
+from avsync.llm.common import components, free_name, give_back, lower_raw, maybe_in, width
 from avsync.session import settle
 
 WORDS = 5
@@ -32,13 +34,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+SLICE = 1 << 17  # bytes of a text whose words are hashed together
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BREAK = re.compile(rb"[ \t-\r]")
+_CODES = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[0])  # a 64-bit number for each byte
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, in 64-bit arithmetic."""
+    return tuple(_power_row(base, 2 * SLICE) for base in (int(_ODD[4]), pow(int(_ODD[4]), -1, 1 << 64)))
+
+
+def _power_row(base: int, n: int) -> np.ndarray:
+    row = np.full(n, base, np.uint64)
+    row[0] = 1
+    return np.multiply.accumulate(row)
+
+
+def _hashed(raw: bytes) -> np.ndarray:
+    """Polynomial hashes of the words of a slice, as differences of running sums over its bytes."""
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.diff((~_SPACE[b]).view(np.int8), prepend=0, append=0)
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers()
+    if len(b) > len(up):  # a word longer than a slice
+        up, down = (_power_row(int(row[1]), len(b)) for row in (up, down))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_CODES[b] * up[: len(b)], out=sums[1:])
+    return _mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _ODD[1])
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space, in order, without a Python object for a word."""
+    parts, at = [], 0
+    while at < len(raw):
+        stop = _BREAK.search(raw, at + SLICE)
+        end = stop.start() if stop else len(raw)
+        parts.append(_hashed(raw[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, ascending (of at least one)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The different shingles of a whole text as ascending 64-bit hashes.
 
     Fewer words than a shingle has: the whole sequence is one. No words: none.
     """
-    raw = lower_raw(text)
-    h = np.concatenate([hashes.of(w) for w in word_slices(raw)])
+    h = word_hashes(lower_raw(text))
     if not len(h):
         return h
     m = min(words, len(h))
@@ -47,7 +96,7 @@ def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.nda
         s = np.full(n, m, np.uint64)
         for j in range(m):
             s = s * _ODD[4] + h[j : j + n] * _ODD[j % 5]
-    return np.unique(_mix(s))
+    return distinct(_mix(s))
 
 
 def prefix_length(n: int) -> int:
@@ -116,7 +165,8 @@ def _described(docs: DataFrame) -> DataFrame:
     """
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes, held, size, kind = worker_cache(WordHashes, WordHashes), [], 0, None
+        held, size, kind = [], 0, None
+        give_back()
 
         def batch_of(ids, sizes, digests, tokens, vectors=None, corners=None):
             points = [pa.array(v or [None] * len(sizes), pa.binary()) for v in (vectors, corners)]
@@ -133,7 +183,7 @@ def _described(docs: DataFrame) -> DataFrame:
             kind = batch.schema.field(0).type
             sizes, digests, vectors = [], [], []
             for text in batch.column(1):
-                tokens = shingles(text.as_py(), hashes)
+                tokens = shingles(text.as_py())
                 sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 vectors.append(count_vector(tokens))
@@ -166,11 +216,11 @@ def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(hot)
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes, table = worker_cache(WordHashes, WordHashes), shipped.value
+        table = shipped.value
         for batch in rows:
             digests, prefixes = [], []
             for text in batch.column(1).to_pylist():
-                tokens = shingles(text, hashes)
+                tokens = shingles(text)
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 k = prefix_length(len(tokens)) if len(tokens) else 0
                 first = tokens[:k]
@@ -190,9 +240,8 @@ def _shingled(docs: DataFrame) -> DataFrame:
     """set (the doc_id), n, digest and the shingles themselves."""
 
     def describe(rows: Iterator[pa.RecordBatch]):
-        hashes = worker_cache(WordHashes, WordHashes)
         for batch in rows:
-            found = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

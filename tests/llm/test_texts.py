@@ -113,6 +113,24 @@ def test_ngram_join_texts_of_one_id(spark):
     assert got == sorted(ends)
 
 
+def test_word_hashes(monkeypatch):
+    """A word has one hash wherever it stands, and others have others, across borders of slices too."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcé日") for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["a" * 300, "b" * 300]
+    words = [rng.choice(pool) for _ in range(5000)]
+    raw = "".join(w + rng.choice([" ", "\t", "\n \r", "\x0b\x0c"]) for w in words).encode()
+    whole = ngram_join.word_hashes(raw)
+    pairs = set(zip(words, whole.tolist(), strict=True))
+    assert len(pairs) == len(set(words)) == len(set(whole.tolist()))
+    monkeypatch.setattr(ngram_join, "SLICE", 100)
+    ngram_join._powers.cache_clear()
+    assert (ngram_join.word_hashes(raw) == whole).all()
+    ngram_join._powers.cache_clear()
+    assert len(ngram_join.word_hashes(b"")) == len(ngram_join.word_hashes(b" \n")) == 0
+    x = np.array([3, 1, 3, 2], np.uint64)
+    assert ngram_join.distinct(x).tolist() == [1, 2, 3]
+
+
 def test_corner_vectors_bound():
     rng = np.random.default_rng(3)
     for n in (1, 40, 300, 3000):
