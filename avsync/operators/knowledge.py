@@ -2,7 +2,8 @@
 
 Concepts are looked up once each. Equal names meet by an equality join; a name inside
 another one meets it by a shared gram, and the pair is then verified, so no entry is held
-against every row. The order of entries is ``ord``.
+against every row. The order of entries is ``ord``. Rows that an explode makes are
+more than Spark's size check knows of, so no side of these joins is sent whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ def _norm(word: str) -> Column:
     return F.lower(strip(F.coalesce(F.col(word), F.lit(""))))
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
 def _pieces(text: Column, size: Column) -> Column:
     """All pieces of that many letters; the text must have so many."""
     return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size))
@@ -44,11 +49,11 @@ def inside(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> Data
     asked = needles.select(F.col(needle)).distinct().where(F.col(needle) != "").select(needle, F.explode(F.array_distinct(own)).alias("_gram"))
     # a gram that no text has counts as the rarest: then there is no pair
     rarest = (
-        asked.join(often, "_gram", "left")
+        _meet(asked, often, "_gram", "left")
         .groupBy(needle)
         .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     )
-    return rarest.join(index, "_gram").where(F.contains(text, needle)).select(needle, text)
+    return _meet(rarest, index, "_gram").where(F.contains(text, needle)).select(needle, text)
 
 
 def _alike(asked: DataFrame, knowledge: DataFrame) -> DataFrame:
@@ -66,8 +71,7 @@ def explanations(asked: DataFrame, knowledge: DataFrame) -> DataFrame:
     keys = rows.select("_c", "_d").distinct()
     entries = knowledge.where("explanation != ''").select(F.col("concept").alias("_k"), F.col("domain").alias("_d"), "explanation", "ord")
     found = (
-        keys.join(_alike(keys, knowledge), "_c")
-        .join(entries, ["_k", "_d"])
+        _meet(_meet(keys, _alike(keys, knowledge), "_c"), entries, ["_k", "_d"])
         .groupBy("_c", "_d")
         .agg(F.min_by("explanation", F.struct(F.col("_k") != F.col("_c"), "ord")).alias("explanation"))
     )
@@ -83,8 +87,8 @@ def related_domains(asked: DataFrame, knowledge: DataFrame) -> DataFrame:
     """``asked`` (concept, ...) with ``domains``: of the concept itself and of entries that mention it, by order."""
     rows = asked.withColumn("_c", _norm("concept"))
     entries = knowledge.withColumn("_text", F.lower("explanation"))
-    mention = inside(rows, "_c", entries, "_text").join(entries.select("_text", "domain", "ord"), "_text")
-    same = rows.select("_c").distinct().join(entries.select(F.col("concept").alias("_c"), "domain", "ord"), "_c")
+    mention = _meet(inside(rows, "_c", entries, "_text"), entries.select("_text", "domain", "ord"), "_text")
+    same = _meet(rows.select("_c").distinct(), entries.select(F.col("concept").alias("_c"), "domain", "ord"), "_c")
     # one row per domain, so that a list is no longer than the domains
     hits = mention.select("_c", "domain", "ord").union(same.select("_c", "domain", "ord")).groupBy("_c", "domain").agg(F.min("ord").alias("ord"))
     lists = hits.groupBy("_c").agg(_first_seen(F.collect_list(F.struct("ord", F.col("domain").alias("v")))).alias("domains"))
@@ -96,24 +100,38 @@ def concept_maps(asked: DataFrame, knowledge: DataFrame) -> DataFrame:
     rows = asked.withColumn("_c", _norm("concept"))
     first = knowledge.groupBy(F.col("concept").alias("_k")).agg(F.min("ord").alias("_first"))
     chosen = (
-        _alike(rows, knowledge).join(first, "_k").groupBy("_c").agg(F.min_by("_k", F.struct(F.col("_k") != F.col("_c"), "_first")).alias("_k"))
+        _meet(_alike(rows, knowledge), first, "_k").groupBy("_c").agg(F.min_by("_k", F.struct(F.col("_k") != F.col("_c"), "_first")).alias("_k"))
     )
     entries = F.array_sort(F.collect_list(F.struct("ord", "domain", "explanation")))
     maps = knowledge.groupBy(F.col("concept").alias("_k")).agg(
         F.map_from_entries(F.transform(entries, lambda e: F.struct(e["domain"], e["explanation"]))).alias("entries")
     )
-    found = chosen.join(maps, "_k").select("_c", "entries")
+    found = _meet(chosen, maps, "_k").select("_c", "entries")
     none = F.create_map().cast("map<string,string>")
     return rows.join(found, "_c", "left").withColumn("entries", F.coalesce("entries", none)).drop("_c")
 
 
 def cross_domain_texts(rows: DataFrame, key: str, concepts: str, knowledge: DataFrame, domains: list[str] | None = None) -> DataFrame:
-    """(key, cross_domain): 'In <domain>: <text>' for the first concept that has one, per domain, joined by '; '."""
+    """(key, cross_domain): 'In <domain>: <text>' for the first concept that has one, per domain, joined by '; '.
+
+    A concept is looked up once for all domains; rows meet one list per concept.
+    """
     names = fixed.DOMAINS if domains is None else domains
-    listed = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(d).alias("domain")) for i, d in enumerate(names)])
-    asked = rows.select(key, F.posexplode(concepts).alias("n", "concept")).select(key, "n", "concept", F.inline(listed))
-    told = explanations(asked, knowledge).where("explanation != ''")
-    best = told.groupBy(key, "domain", "at").agg(F.min(F.struct("n", "explanation")).alias("b"))
+    lowered = lambda d: F.lower(strip(F.coalesce(F.lit(d), F.lit(""))))
+    listed = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(d).alias("domain"), lowered(d).alias("d")) for i, d in enumerate(names)])
+    asked = rows.select(key, F.posexplode(concepts).alias("n", "concept")).select(key, "n", _norm("concept").alias("_c"))
+    of_names = F.explode(F.filter(listed, lambda x: x["d"] == F.col("domain")))
+    entries = knowledge.where("explanation != ''").select(F.col("concept").alias("_k"), "explanation", "ord", of_names.alias("_l"))
+    told = (
+        _meet(_alike(asked, knowledge), entries.select("_k", "explanation", "ord", "_l.at", "_l.domain"), "_k")
+        .groupBy("_c", "at", "domain")
+        .agg(F.min_by("explanation", F.struct(F.col("_k") != F.col("_c"), "ord")).alias("explanation"))
+        .groupBy("_c")
+        .agg(F.collect_list(F.struct("at", "domain", "explanation")).alias("_told"))
+    )
+    # a left join: only the lists, never the exploded rows, may be sent whole, and by their measured size
+    met = asked.join(told, "_c", "left").select(key, "n", F.inline_outer("_told")).where("domain IS NOT NULL")
+    best = met.groupBy(key, "domain", "at").agg(F.min(F.struct("n", "explanation")).alias("b"))
     item = F.struct(F.col("b.n").alias("n"), "at", F.concat(F.lit("In "), "domain", F.lit(": "), "b.explanation").alias("v"))
     joined = best.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["v"]), "; ").alias("cross_domain")

@@ -143,3 +143,17 @@ def test_knowledge_of_a_table(spark):
     assert {r.i: r.domains for r in knowledge.related_domains(asked.where("i IN (1, 4)"), kb).collect()} == {1: ["math", "art"], 4: []}
     maps = {r.i: r.entries for r in knowledge.concept_maps(asked.where("i IN (1, 2, 4)"), kb).collect()}
     assert maps == {1: {"math": "an algebra", "art": ""}, 2: {"math": "an algebra", "art": ""}, 4: {}}
+
+
+def test_exploded_concepts_are_never_sent_whole(spark, tmp_path):
+    # a small file of many rows: to Spark's size check each side looks as if it could be sent to all tasks
+    rows = spark.range(400).selectExpr("id", "array('red', 'blue', concat('odd', id)) AS concepts")
+    rows.write.parquet(str(tmp_path / "rows"))
+    entries = [("red ring", "math", "a ring", 0), ("red", "physics", "long waves", 1), ("blue", "math", "", 2), ("blue sky", "biology", "air", 3),
+               ("odd7", "chemistry", "seven", 4)]
+    spark.createDataFrame(entries, "concept string, domain string, explanation string, ord long").write.parquet(str(tmp_path / "kb"))
+    told = knowledge.cross_domain_texts(spark.read.parquet(str(tmp_path / "rows")), "id", "concepts", spark.read.parquet(str(tmp_path / "kb")))
+    assert "BroadcastExchange" not in told._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.cross_domain for r in told.collect()}
+    base = "In math: a ring; In physics: long waves; In biology: air"
+    assert got == {i: f"{base}; In chemistry: seven" if str(i).startswith("7") else base for i in range(400)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from avsync.functions import lexicon
 from avsync.operators import aggregates, folds, knowledge, library, timejoin, vectors
 from avsync.operators.textmatch import find_segment_by_text
+from avsync.session import spread
 from workload.base import long, query, r6
 
 _DIST = "least(abs(s.start - k.t), abs(s.\"end\" - k.t))"
@@ -417,5 +418,5 @@ def _(t):
 
 @query("C15_cross_domain_text_table", ORACLE_KB["C15"], _TABLE)
 def _(t):
-    rows = t.read("part").select("p_partkey", F.split("p_name", " ").alias("concepts"))
+    rows = spread(t.read("part").select("p_partkey", "p_name")).select("p_partkey", F.split("p_name", " ").alias("concepts"))
     return knowledge.cross_domain_texts(rows, "p_partkey", "concepts", knowledge_table(t)).select("p_partkey", F.col("cross_domain").alias("cross_text"))
