@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from avsync import fixed
 from avsync.functions.scoring import words
-from avsync.functions.text import first_case, strip
+from avsync.functions.text import bound, first_case, strip
 
 MAX_ENTRIES = 10_000
 
@@ -66,56 +66,75 @@ def _norm(word: Column) -> Column:
     return F.lower(strip(word))
 
 
+def _given(word: Column) -> Column:
+    return F.coalesce(word, F.lit("")) != ""
+
+
 def _alike(entry: Column, concept: Column) -> Column:
     return F.contains(entry["concept"], concept) | F.contains(concept, entry["concept"])
 
 
+def _told(alike: Column, concept: Column, domain: Column) -> Column:
+    """Text of the concept in the domain, else of the first alike entry there; '' without one."""
+    here = F.filter(alike, lambda e: e["domain"] == domain)
+    texts = lambda h: (F.get(F.filter(h, lambda e: e["concept"] == concept), F.lit(0))["text"], F.get(h, F.lit(0))["text"])
+    return bound(here, lambda h: F.coalesce(*texts(h), F.lit("")))
+
+
+def _told_entries(concept: Column, knowledge: Knowledge) -> Column:
+    """Entries with a text whose concept holds or is held by the given one; the same name is among them."""
+    return F.filter(knowledge_entries(knowledge), lambda e: (e["text"] != "") & _alike(e, concept))
+
+
 def kb_explanation(concept: Column, domain: Column, knowledge: Knowledge) -> Column:
     """Text of (concept, domain), else of the first entry whose concept holds or is held by it; else ''."""
-    c, d = _norm(concept), _norm(domain)
-    given = (F.coalesce(concept, F.lit("")) != "") & (F.coalesce(domain, F.lit("")) != "")
-    here = F.filter(knowledge_entries(knowledge), lambda e: (e["domain"] == d) & (e["text"] != ""))
-    exact = F.get(F.filter(here, lambda e: e["concept"] == c), F.lit(0))["text"]
-    near = F.get(F.filter(here, lambda e: _alike(e, c)), F.lit(0))["text"]
-    return F.when(given, F.coalesce(exact, near, F.lit(""))).otherwise("")
+    asked = F.struct(_norm(concept).alias("c"), _norm(domain).alias("d"))
+    text = bound(asked, lambda a: _told(_told_entries(a["c"], knowledge), a["c"], a["d"]))
+    return F.when(_given(concept) & _given(domain), text).otherwise("")
 
 
 def kb_related_domains(concept: Column, knowledge: Knowledge) -> Column:
     """Domains of the concept itself and of entries that mention it, in order, each once."""
-    c = _norm(concept)
-    hits = F.filter(
-        knowledge_entries(knowledge), lambda e: (e["concept"] == c) | F.contains(F.lower(e["text"]), c)
+    entries = knowledge_entries(knowledge)
+    hits = bound(
+        _norm(concept),
+        lambda c: F.filter(entries, lambda e: (e["concept"] == c) | F.contains(F.lower(e["text"]), c)),
     )
-    return F.when(
-        F.coalesce(concept, F.lit("")) != "", F.array_distinct(F.transform(hits, lambda e: e["domain"]))
-    ).otherwise(words([]))
+    return F.when(_given(concept), F.array_distinct(F.transform(hits, lambda e: e["domain"]))).otherwise(words([]))
 
 
 def kb_concept_map(concept: Column, knowledge: Knowledge) -> Column:
     """Domain to text of the concept, else of the first similar one; empty if there is none."""
-    c = _norm(concept)
     entries = knowledge_entries(knowledge)
-    exact = F.filter(entries, lambda e: e["concept"] == c)
-    near = F.get(F.filter(entries, lambda e: _alike(e, c)), F.lit(0))["concept"]
-    chosen = F.when(F.size(exact) > 0, exact).otherwise(F.filter(entries, lambda e: e["concept"] == near))
-    chosen = F.when(F.coalesce(concept, F.lit("")) != "", chosen).otherwise(F.filter(entries, lambda e: F.lit(False)))
-    return F.map_from_entries(F.transform(chosen, lambda e: F.struct(e["domain"], e["text"])))
+
+    def name(c: Column) -> Column:
+        near = F.get(F.filter(entries, lambda e: _alike(e, c)), F.lit(0))["concept"]
+        return F.when(F.exists(entries, lambda e: e["concept"] == c), c).otherwise(near)
+
+    chosen = F.when(_given(concept), bound(_norm(concept), name))
+    items = bound(chosen, lambda n: F.filter(entries, lambda e: e["concept"] == n))
+    return F.map_from_entries(F.transform(items, lambda e: F.struct(e["domain"], e["text"])))
 
 
 def cross_domain_text(concepts: Column, knowledge: Knowledge, domains: list[str] | None = None) -> Column:
-    """'In <domain>: <text>' for the first concept that has one, per domain, joined by '; '."""
-    names = words(fixed.DOMAINS if domains is None else domains)
-    found = F.flatten(
-        F.transform(
-            concepts,
-            lambda c: F.transform(
-                names, lambda d: F.struct(d.alias("domain"), kb_explanation(c, d, knowledge).alias("text"))
-            ),
-        )
-    )
-    found = F.filter(found, lambda e: e["text"] != "")
-    first = F.filter(
-        found, lambda e, i: ~F.exists(F.slice(found, F.lit(1), i), lambda p: p["domain"] == e["domain"])
-    )
-    joined = F.array_join(F.transform(first, lambda e: F.concat(F.lit("In "), e["domain"], F.lit(": "), e["text"])), "; ")
+    """'In <domain>: <text>' for the first concept that has one, per domain, joined by '; '.
+
+    Concepts are gone through once; each is held against the entries once, and asked only
+    about the domains that no concept before it had.
+    """
+    listed = dict.fromkeys(fixed.DOMAINS if domains is None else domains)
+    names = F.array(*[F.struct(F.lit(d).alias("domain"), _norm(F.lit(d)).alias("d")) for d in listed if d])
+    none = F.array().cast("array<struct<domain:string,text:string>>")
+
+    def told(done: Column, c: Column) -> Column:
+        left = F.filter(names, lambda n: ~F.exists(done, lambda e: e["domain"] == n["domain"]))
+        texts = lambda alike: F.transform(left, lambda n: F.struct(n["domain"].alias("domain"), _told(alike, c, n["d"]).alias("text")))
+        return F.filter(bound(_told_entries(c, knowledge), texts), lambda e: e["text"] != "")
+
+    def step(done: Column, concept: Column) -> Column:
+        more = bound(_norm(concept), lambda c: F.concat(done, told(done, c)))
+        return F.when(_given(concept), more).otherwise(done)
+
+    found = F.aggregate(concepts, none, step) if any(listed) else none
+    joined = F.array_join(F.transform(found, lambda e: F.concat(F.lit("In "), e["domain"], F.lit(": "), e["text"])), "; ")
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit("No direct connections"))

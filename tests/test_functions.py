@@ -1,5 +1,7 @@
 """Column functions on hand-made rows."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from avsync import fixed
@@ -145,6 +147,17 @@ def test_lexicon(spark):
     assert got[8] == "In math: line; In biology: the derivative grows; In physics: speed" and got[9] == "No direct connections"
 
 
+def test_lookups_of_many_concepts_go_through_them_once(spark):
+    kb = {f"w{i}": {d: f"{d[0]}{i}" for d in fixed.DOMAINS} for i in range(40)}
+    asked = [F.lit(f" W{i} ") for i in range(39, -1, -1)] + [F.lit(""), F.lit(None).cast("string"), F.lit("no")]
+    df = spark.range(0, 40, 1, 1).select(F.array(*asked, F.col("id").cast("string")).alias("c"), F.lit("W7").alias("w"))
+    begun = time.monotonic()
+    got = df.select(lexicon.cross_domain_text(F.col("c"), kb).alias("x"), lexicon.kb_concept_map(F.col("w"), kb).alias("m")).collect()
+    assert time.monotonic() - begun < 60  # hours where every look-up is made again for every look-up
+    assert {r.x for r in got} == {"; ".join(f"In {d}: {d[0]}39" for d in fixed.DOMAINS)}
+    assert got[0].m == {d: f"{d[0]}7" for d in fixed.DOMAINS}
+
+
 def test_prompts(spark):
     none = F.array().cast("array<string>")
     fields = {n: F.lit(n) for n in ("visual_analysis", "structural_description", "conceptual_hints", "transcript_context",

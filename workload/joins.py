@@ -204,7 +204,7 @@ _KB = {
 
 
 def _asked(t):
-    return t.read("part").select(
+    return spread(t.read("part").select("p_partkey", "p_name", "p_size")).select(
         "p_partkey",
         F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("concept"),
         F.expr("CASE p_size % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'physics' ELSE 'chemistry' END").alias("domain"),
@@ -268,7 +268,7 @@ def _(t):
     _KB,
 )
 def _(t):
-    return t.read("part").select(
+    return spread(t.read("part").select("p_partkey", "p_name")).select(
         "p_partkey", lexicon.cross_domain_text(F.split("p_name", " "), KNOWLEDGE).alias("cross_text")
     )
 
