@@ -89,6 +89,17 @@ def test_find_segment_by_text(spark):
     assert got == want
 
 
+def test_only_grams_looked_up_are_moved(spark):
+    texts = [" ".join(f"word{i}of{j}" for j in range(400)) for i in range(20)]
+    held = spark.createDataFrame([("v", 1, i, 12, 1, x) for i, x in enumerate(texts)], "video_id string, _vid long, idx long, _k int, _w int, _text string")
+    heads = spark.createDataFrame([("v", 1, 12, 1, "word3of399 x"[:10] + "ab"), ("v", 1, 12, 1, "word7of12 wo")], "video_id string, _vid long, _k int, _w int, _head string")
+    shapes = textmatch._with_marks(heads, "_head")
+    wanted = spark.sparkContext.broadcast(textmatch._filter_of(shapes))
+    marked = textmatch._with_marks(held, "_text", wanted)
+    assert marked.count() < 100 and textmatch._with_marks(held, "_text").count() > 50_000
+    assert [(r.idx, r._pos) for r in marked.join(shapes, "_hash").select("idx", marked["_pos"]).collect()] == [(7, texts[7].index("word7of12 wo"))]
+
+
 def test_detect_on_hand_rows(spark):
     seg = spark.createDataFrame(
         [("v", 0, 0.0, 4.0, "look at this"), ("v", 1, 4.0, 8.0, "uh"), ("v", 2, 60.0, 61.0, "next slide now, so moving on")],
