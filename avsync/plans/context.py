@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from avsync.functions import lexicon
@@ -18,10 +20,12 @@ def context_rows(
     principles: dict[str, list[str]] | None = None,
     topics: dict[str, list[str]] | None = None,
     whole_word: bool = False,
+    of_concepts: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Context of each distinct (video_id, t, mode): texts within the mode's window of t.
 
     Concepts come from rows that start before t; topics are carried on within the window.
+    ``of_concepts`` adds columns that are worked out from the concepts, once per context.
     """
     asked = points.select("video_id", "t", normalize_mode(F.col("mode")).alias("mode")).distinct()
     rows = window_rows(asked, segments, mode_window(F.col("mode")))
@@ -56,7 +60,7 @@ def context_rows(
         F.coalesce("related_principles", none).alias("related_principles"),
         F.coalesce("topic_timeline", F.create_map().cast("map<string,string>")).alias("topic_timeline"),
         F.col("w").alias("window_size"),
-    )
+    ).withColumns({name: make(F.col("previous_concepts")) for name, make in (of_concepts or {}).items()})
 
 
 def build_context(

@@ -52,6 +52,8 @@ def prepare_explanations(
     spoken = nearest_segment(todo, segments, max_rows).withColumn("transcript_context", F.coalesce("seg_text", F.lit("")))
     spoken = without_segment(spoken).withColumn("mode", F.col("output_mode"))
     # read by the text match, by the context and by the answers
+    if not isinstance(knowledge, DataFrame):
+        lexicons["of_concepts"] = {"cross_domain": lambda concepts: cross_domain_text(concepts, knowledge)}
     context = build_context(settle(spoken, "spoken"), segments, **lexicons)
     snap = parse_model_json(F.col("answer"), policy, F.col("content_type"))
     seen = context.join(snapshots, "intervention_id", "left").withColumn("snapshot", snap).drop("answer")
@@ -65,7 +67,7 @@ def prepare_explanations(
     if isinstance(knowledge, DataFrame):
         seen = _cross_domain(seen, knowledge)
     else:
-        seen = seen.withColumn("cross_domain", cross_domain_text(F.col("previous_concepts"), knowledge))
+        seen = seen.withColumn("cross_domain", F.coalesce("cross_domain", cross_domain_text(F.col("previous_concepts"), knowledge)))
     return seen.withColumn("prompt", render_prompt(F.col("output_mode"), _fields(), templates))
 
 
