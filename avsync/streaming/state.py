@@ -6,6 +6,7 @@ Streams carry (video_id, ts timestamp, t double, ...). State per video is one sm
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -192,29 +193,36 @@ def change_point_stream(
 # --- folds over streams that come out of order -------------------------------
 
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, np.ndarray):
-        return value.tolist()
-    return value.item() if isinstance(value, np.generic) else None if value is pd.NaT else value
+PACK = 4096  # rows of an entry of the list state
+
+
+def _packed(rows: pd.DataFrame) -> list[tuple]:
+    """Rows as a few entries of a list state: one entry a row costs far more than its fold."""
+    return [(pickle.dumps(rows.iloc[at : at + PACK], protocol=5),) for at in range(0, len(rows), PACK)]
+
+
+def _unpacked(entries: Iterator[tuple], names: list[str]) -> pd.DataFrame:
+    frames = [pickle.loads(entry[0]) for entry in entries]
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame([], columns=names)
 
 
 class OrderedFold(StatefulProcessor):
     """Holds the rows of a video back until no earlier one can come, and folds them in order.
 
-    Rows wait in a list state, to which new ones are only added. A timer per video wakes it when
+    Rows wait in a list state, some thousands an entry, to which new ones are only added. A timer per video wakes it when
     its earliest row is due; then all rows that are due are taken in the order of ``by`` and given to
     ``fold(last, rows)``, which returns (kept rows, last). ``last`` is all that stays of rows
     that are done. A row older than what is already done comes out with ``late`` true. A
     video without rows in waiting is forgotten ``idle_us`` after its last one.
     """
 
-    def __init__(self, given: list[str], names: list[str], held: T.StructType, last: T.StructType, by: list[str], fold: Callable, hold_us: int, idle_us: int):
-        self.given, self.names, self.held, self.last, self.by, self.fold = given, names, held, last, by, fold
+    def __init__(self, given: list[str], names: list[str], last: T.StructType, by: list[str], fold: Callable, hold_us: int, idle_us: int):
+        self.given, self.names, self.last, self.by, self.fold = given, names, last, by, fold
         self.hold_us, self.idle_us = hold_us, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.held)
+        self.rows = handle.getListState("rows", "packed binary")
         self.kept = handle.getValueState("last", self.last)
         self.done = handle.getValueState("done", "through long, newest long, wake long")
 
@@ -239,13 +247,13 @@ class OrderedFold(StatefulProcessor):
                     yield fresh[late][self.names].assign(late=True)
                 fresh = fresh[~late]
             if len(fresh):
-                self.rows.appendList([tuple(map(_plain, r)) for r in fresh[self.held.names].itertuples(index=False)])
+                self.rows.appendList(_packed(fresh[self.names]))
                 wake = self._wake(int(fresh["_us"].min()) - self.hold_us, wake, mark)
             self.done.update((through, newest, wake))
             return  # timers of this micro-batch come after its rows
         if newest is None:
             return
-        waiting = pd.DataFrame(list(self.rows.get()) if self.rows.exists() else [], columns=self.held.names)
+        waiting = _unpacked(self.rows.get() if self.rows.exists() else iter(()), self.names)
         if not len(waiting):
             if mark * 1000 > newest + self.idle_us:
                 for state in (self.rows, self.kept, self.done):
@@ -265,7 +273,7 @@ class OrderedFold(StatefulProcessor):
             self.rows.clear()
             waiting = waiting[~ready]
             if len(waiting):
-                self.rows.put([tuple(map(_plain, r)) for r in waiting.itertuples(index=False)])
+                self.rows.put(_packed(waiting))
         at = int(waiting["_us"].min()) - self.hold_us if len(waiting) else newest + self.idle_us
         self.done.update((through, newest, self._wake(at, None, mark)))
 
@@ -285,10 +293,9 @@ def _ordered(stream: DataFrame, by: list[str], last: T.StructType, fold: Callabl
     # list states and timers are kept by this store only
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = stream.withWatermark("ts", f"{int(2000 * hold)} milliseconds").withColumn("_us", F.unix_micros("ts"))
-    held = T.StructType([f for f in rows.schema.fields if f.name != "ts"])  # _us says it
-    names = [n for n in rows.columns if n != "ts"]
+    names = [n for n in rows.columns if n != "ts"]  # _us says it
     out = T.StructType([rows.schema[n] for n in names] + [T.StructField("late", T.BooleanType())])
-    fold_of = OrderedFold(rows.columns, names, held, last, by, fold, int(hold * 1_000_000), int(idle * 1_000_000))
+    fold_of = OrderedFold(rows.columns, names, last, by, fold, int(hold * 1_000_000), int(idle * 1_000_000))
     folded = rows.groupBy("video_id").transformWithStateInPandas(fold_of, out, "Append", "EventTime")
     return folded.withColumn("ts", F.timestamp_micros("_us")).select(*stream.columns, "late")
 
