@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from avsync import fixed
-from avsync.functions.text import SPACE, bound, strip
+from avsync.functions.text import bound
 
 # (?d): a dot stops at \n only; (?U): digits, spaces and word edges of all scripts
 FLAGS = "(?dU)"
+#: runs of white space that are not one plain space already
+LOOSE_SPACE = r"(?U)[^\S ]\s*| \s+"
 
 
 def rules() -> list[tuple[str, str, bool]]:
@@ -32,10 +37,12 @@ def _touched() -> str:
     return rf"{FLAGS}[{''.join(re.escape(m) for m in sorted(marks))}]|\b(?:{words})\b|{phrases}"
 
 
-def _where_seen(text: Column, mark: str, find: str, put: str) -> Column:
-    """Replace a pattern in texts that hold ``mark``, without which it cannot match."""
-    put = re.sub(r"\\(\d)", r"$\1", put)
-    return bound(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, find, put)).otherwise(t))
+def _where(seen: Callable[[Column], Column], text: Column, rule: Callable[[Column], Column]) -> Column:
+    return bound(text, lambda t: F.when(seen(t), rule(t)).otherwise(t))
+
+
+def _put(text: Column, find: str, put: str) -> Column:
+    return F.regexp_replace(text, find, re.sub(r"\\(\d)", r"$\1", put))
 
 
 def _mark(pattern: str) -> str:
@@ -43,23 +50,48 @@ def _mark(pattern: str) -> str:
     return next(m for m in ("∫", "/", "_", "^", "(") if m in pattern.replace("[^", "").replace(r"\(", "("))
 
 
-def _chain(text: Column, spaced: bool, ascii_only: bool) -> Column:
-    """All rules in order; an ASCII text skips the rules for other symbols, and needs no Unicode classes."""
+def _steps(spaced: bool, ascii_only: bool) -> Iterator[tuple[str, str, Callable[[Column], Column]]]:
+    """(mark, exact mark, rule) in order: without the marks a rule changes nothing.
+
+    Neighbours of one mark are tried together. Words share the mark '' and are told by their exact ones.
+    """
     flags = "" if ascii_only else FLAGS
-    out = text
     for find, put in fixed.MATH_PATTERNS:
         if not ascii_only or find.isascii():
-            out = _where_seen(out, _mark(find), flags + find, put)
+            yield _mark(find), _mark(find), partial(_put, find=flags + find, put=put)
     for symbol, spoken in fixed.MATH_SYMBOLS:
         if ascii_only and not symbol.isascii():
             continue
         if symbol.isalpha():
-            out = _where_seen(out, symbol, rf"{flags}\b{symbol}\b", spoken)
+            yield symbol if len(symbol) == 1 else "", symbol, partial(_put, find=rf"{flags}\b{symbol}\b", put=spoken)
         else:
-            out = F.replace(out, F.lit(symbol), F.lit(spoken))
-    out = _where_seen(out, "(", flags + fixed.MATH_CALL[0], fixed.MATH_CALL[1])
+            first = next((m for m in ("^", "(") if m in symbol), symbol)
+            yield first, first, partial(F.replace, search=F.lit(symbol), replace=F.lit(spoken))
+    yield "(", "(", partial(_put, find=flags + fixed.MATH_CALL[0], put=fixed.MATH_CALL[1])
     for find, put in fixed.MATH_OPERATORS:
-        out = F.replace(out, F.lit(find), F.lit(f" {put} " if spaced and len(find) == 1 else put))
+        said = F.lit(f" {put} " if spaced and len(find) == 1 else put)
+        yield find if len(find) == 1 else "plus", find, partial(F.replace, search=F.lit(find), replace=said)
+
+
+def _chain(text: Column, spaced: bool, ascii_only: bool) -> Column:
+    """All rules in order; an ASCII text skips the rules for other symbols, and needs no Unicode classes."""
+
+    def all_of(rules: list, t: Column) -> Column:
+        return reduce(lambda x, step: step[2](x), rules, t)
+
+    def words(rules: list, t: Column) -> Column:
+        return reduce(lambda x, step: _where(lambda y: F.contains(y, F.lit(step[1])), x, step[2]), rules, t)
+
+    out = text
+    for mark, rules in groupby(_steps(spaced, ascii_only), lambda step: step[0]):
+        rules = list(rules)
+        if not mark:
+            some = "|".join(word for _, word, _ in rules)
+            out = _where(lambda t, some=some: t.rlike(some), out, partial(words, rules))
+        elif mark == "e" or (len(rules) == 1 and rules[0][2].func is F.replace):
+            out = all_of(rules, out)  # most texts hold an e; a replacement looks for its mark itself
+        else:
+            out = _where(lambda t, mark=mark: F.contains(t, F.lit(mark)), out, partial(all_of, rules))
     return out
 
 
@@ -75,7 +107,7 @@ def linearize_math(text: Column, spaced: bool = False) -> Column:
             .when(F.length(t) == F.octet_length(t), _chain(t, spaced, True))
             .otherwise(_chain(t, spaced, False))
         )
-        tidy = strip(F.regexp_replace(spoken, SPACE, " "))
+        tidy = F.trim(F.regexp_replace(spoken, LOOSE_SPACE, " "))
         # only a blank text has nothing left
         return F.when(t.isNull(), "").otherwise(bound(tidy, lambda y: F.when(y == "", t).otherwise(y)))
 
