@@ -116,6 +116,80 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+# -- sets by the evenness of hashed groups ------------------------------------------------
+
+
+def odd_bits(n: int) -> int:
+    """Bits of the bitmap of a set: a power of two, two to four for each member, or one to two
+    in sets of over 256, whose bits that meet by chance are nearer to their mean."""
+    bits = 128
+    while bits < min(2 * n, max(512, n)):
+        bits *= 2
+    return bits
+
+
+def odd_bitmap(members: np.ndarray) -> bytes:
+    """Which hashed groups hold an odd number of the set's members (64-bit hashes).
+
+    A member that only one of two sets has changes one bit, so the bits in which two bitmaps
+    differ are never more than the members that the sets do not share.
+    """
+    bits = odd_bits(len(members))
+    counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def as_odd(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8")
+
+
+def fold_odd(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap over fewer groups, in ``size`` numbers of 64 bits (along the last axis)."""
+    while bitmap.shape[-1] > size:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] ^ bitmap[..., half:]
+    return bitmap
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of members that two sets do not share, by bitmaps of one size (along the last axis)."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def odd_between(x: bytes, y: bytes) -> int:
+    """``apart`` of two written bitmaps of any sizes."""
+    x, y = as_odd(x), as_odd(y)
+    size = min(len(x), len(y))
+    return int(apart(fold_odd(x, size), fold_odd(y, size)))
+
+
+class OddTable:
+    """Bitmaps of many sets, folded to a size when it is asked for."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.bitmaps = [as_odd(raw) for raw in bitmaps]
+        self.sizes = np.array([len(b) for b in self.bitmaps])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def of(self, size: int) -> np.ndarray:
+        """A line for each set whose bitmap is of that size or larger; the others are zero."""
+        if size not in self.folded:
+            table = np.zeros((len(self.bitmaps), size), np.uint64)
+            for i in np.flatnonzero(self.sizes >= size):
+                table[i] = fold_odd(self.bitmaps[i], size)
+            self.folded[size] = table
+        return self.folded[size]
+
+    def apart(self, other: OddTable, i: int, js: np.ndarray) -> np.ndarray:
+        """``apart`` of set i of another table and those of this one numbered js."""
+        out = np.zeros(len(js), np.int64)
+        sizes = np.minimum(self.sizes[js], other.sizes[i])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            out[at] = apart(self.of(int(size))[js[at]], fold_odd(other.bitmaps[i], int(size)))
+        return out
+
+
 _HELD: dict = {}
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from avsync.llm.common import components, free_name, give_back, lower_raw, maybe_in, width
+from avsync.llm.common import OddTable, components, free_name, give_back, lower_raw, maybe_in, odd_between, odd_bitmap, width
 from avsync.session import settle
 
 WORDS = 5
@@ -153,12 +153,17 @@ def needed(total: np.ndarray) -> np.ndarray:
     return -(-NUM * total // (NUM + DEN))
 
 
+def allowed(total: np.ndarray) -> np.ndarray:
+    """The most shingles that only one of two linked sets has, of sizes that sum to ``total``."""
+    return total - 2 * needed(total)
+
+
 # -- rows for documents ------------------------------------------------------------------
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """One pass that gives two kinds of rows: doc_id, n, digest, count vector and folded count
-    vector of each document, and token, n of shingles that a task saw again and again (with the number of all it saw, once).
+    """One pass that gives two kinds of rows: doc_id, n, digest, folded count
+    vector and bitmap (``odd_bitmap``) of each document, and token, n of shingles that a task saw again and again (with the number of all it saw, once).
 
     Each task counts a few million shingles at a time; what it misses only makes the order
     of shingles less good.
@@ -168,8 +173,8 @@ def _described(docs: DataFrame) -> DataFrame:
         held, size, kind = [], 0, None
         give_back()
 
-        def batch_of(ids, sizes, digests, tokens, vectors=None, corners=None):
-            points = [pa.array(v or [None] * len(sizes), pa.binary()) for v in (vectors, corners)]
+        def batch_of(ids, sizes, digests, tokens, corners=None, odds=None):
+            points = [pa.array(v or [None] * len(sizes), pa.binary()) for v in (corners, odds)]
             columns = [pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.int64()), *points]
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -181,23 +186,23 @@ def _described(docs: DataFrame) -> DataFrame:
 
         for batch in rows:
             kind = batch.schema.field(0).type
-            sizes, digests, vectors = [], [], []
+            sizes, digests, corners, odds = [], [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py())
                 sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                vectors.append(count_vector(tokens))
+                corners.append(corner_vector(count_vector(tokens), len(tokens)))
+                odds.append(odd_bitmap(tokens))
                 held.append(tokens)
                 size += len(tokens)
                 if size > 1 << 20:
                     yield report()
                     held, size = [], 0
-            corners = [corner_vector(v, n) for v, n in zip(vectors, sizes, strict=True)]
-            yield batch_of(batch.column(0), sizes, digests, [None] * len(sizes), vectors, corners)
+            yield batch_of(batch.column(0), sizes, digests, [None] * len(sizes), corners, odds)
         if size:
             yield report()
 
-    names = ["doc_id", "n", "digest", "token", "vector", "corner"]
+    names = ["doc_id", "n", "digest", "token", "corner", "odd"]
     kinds = [T.LongType(), T.BinaryType(), T.LongType(), T.BinaryType(), T.BinaryType()]
     schema = T.StructType([docs.schema["doc_id"], *map(T.StructField, names[1:], kinds)])
     return docs.select("doc_id", "text").mapInArrow(describe, schema)
@@ -271,30 +276,40 @@ def _verified(pairs: DataFrame, docs: DataFrame, unique: Callable[[DataFrame], D
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that may be linked by their sizes and count vectors."""
-    small = points.select("set", "n", "vector")
-    left = small.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-    right = small.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-    sized = pairs.select("a", "b").join(left, "a").join(right, "b").filter("least(na, nb) * 4 >= greatest(na, nb) * 3")
+    """Those pairs (a, b) that may be linked by their sizes and bitmaps."""
+    told = lambda x, column: points.select(F.col("set").alias(x), F.col(column).alias(f"{column[0]}{x}"))
+    # sizes alone first: pairs that they exclude never carry a bitmap through a shuffle
+    sized = pairs.select("a", "b").join(told("a", "n"), "a").join(told("b", "n"), "b").filter("least(na, nb) * 4 >= greatest(na, nb) * 3")
+    sized = sized.join(told("a", "odd"), "a").join(told("b", "odd"), "b")
 
     def bound(rows: Iterator[pa.RecordBatch]):
         for batch in rows:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            may = []
-            vectors = [[as_vector(v, groups_of(k)) for v, k in zip(batch.column(4 + i).to_pylist(), batch.column(2 + i).to_pylist(), strict=True)] for i in (0, 1)]
-            for total, x, y in zip(n, *vectors, strict=True):
-                g = min(len(x), len(y))
-                may.append(int(np.minimum(fold(x, g), fold(y, g)).sum()) >= -(-NUM * int(total) // (NUM + DEN)))
-            yield batch.select([0, 1]).filter(pa.array(may, pa.bool_()))
+            unlike = [odd_between(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            may = np.array(unlike, np.int64) <= allowed(batch.column(2).to_numpy() + batch.column(3).to_numpy())
+            yield batch.select([0, 1]).filter(pa.array(may))
+
+    return sized.select("a", "b", "na", "nb", "oa", "ob").mapInArrow(bound, pairs.select("a", "b").schema)
+
+
+class Seen(set):
+    """Pairs that a task has given, kept while there is room: most pairs come from many cells."""
+
+    ROOM = 1 << 16
 
-    return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(bound, pairs.select("a", "b").schema)
+    def new(self, pairs: Iterator[tuple]) -> Iterator[tuple]:
+        for pair in pairs:
+            if pair not in self:
+                if len(self) >= self.ROOM:
+                    self.clear()
+                self.add(pair)
+                yield pair
 
 
-Point = tuple  # set, label, n, corner
+Point = tuple  # set, label, n, corner, odd
 
 
 class Leaf:
-    """Points of a cell, at most LEAF of them: labels, sizes and folded count vectors, with the rectangle round them."""
+    """Points of a cell, at most LEAF of them: labels, sizes, bitmaps and folded count vectors, with the rectangle round them."""
 
     def __init__(self, points: list[Point]):
         self.sets = [p[0] for p in points]
@@ -303,6 +318,7 @@ class Leaf:
         self.vectors = [as_vector(p[3], corner_groups(p[2])) for p in points]
         self.groups = np.array([len(v) for v in self.vectors])
         self.folded: dict[int, np.ndarray] = {}
+        self.odd = OddTable([p[4] for p in points])
 
     def table(self, groups: int) -> np.ndarray:
         """Vectors over so few groups, a line for each point that has as many."""
@@ -315,7 +331,7 @@ class Leaf:
 
 
 def matched(x: Leaf, y: Leaf) -> Iterator[tuple]:
-    """Pairs of different labels whose sum of coordinate minima allows a link, of one leaf or of two."""
+    """Pairs of different labels whose bitmaps and sum of coordinate minima allow a link, of one leaf or of two."""
     if x is not y:
         # the upper corners bound all sums between the leaves; folding keeps a corner a corner
         g = int(min(x.groups.min(), y.groups.min()))
@@ -325,6 +341,7 @@ def matched(x: Leaf, y: Leaf) -> Iterator[tuple]:
         js = np.arange(i + 1, len(y.sets)) if x is y else np.arange(len(y.sets))
         n = x.sizes[i]
         js = js[(y.labels[js] != x.labels[i]) & (y.sizes[js] * DEN >= n * NUM) & (n * DEN >= y.sizes[js] * NUM)]
+        js = js[y.odd.apart(x.odd, i, js) <= allowed(n + y.sizes[js])]
         if not len(js):
             continue
         groups = np.minimum(y.groups[js], x.groups[i])
@@ -341,8 +358,9 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     Rows are sorted by cell, octave of size and label, and packed into leaves. A cell of one
     leaf is done where it is packed. Larger cells, and those at the edge of a partition, which
     may go on in the next, also give their leaves; these are joined by cell, leaf against
-    leaf, unless sizes or labels exclude it. A row of a cell holds the folded vector only; a
-    pair may come from several cells and is then judged once, by the whole vectors.
+    leaf, unless sizes or labels exclude it. A row of a cell holds the bitmap and the folded vector
+    only. The rectangles exclude leaves, the bitmaps points: of pairs just below the threshold they
+    leave few, so that the pairs of a large group of like texts do not all become rows.
     """
     key = points.schema["set"].dataType
     sized = open_cells.join(points.select("set", "n"), "set")
@@ -352,12 +370,12 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     )
     # a point without one of like size in its cell has no partner there
     sized = settle(sized.withColumn("near", near).filter("near").select("token", "set", "label"), "sized")
-    rows = sized.join(points.select("set", "n", "corner"), "set").withColumn("octave", F.floor(F.log2("n")))
+    rows = sized.join(points.select("set", "n", "corner", "odd"), "set").withColumn("octave", F.floor(F.log2("n")))
     order = [F.col(c) for c in ("token", "octave", "label", "n", "set")]
     rows = rows.repartitionByRange(width(points.sparkSession), *order).sortWithinPartitions(*order)
     long, longs = T.LongType(), T.ArrayType(T.LongType())
     fields = [("a", key), ("b", key), ("token", long), ("leaf", long), ("least_n", long), ("most_n", long), ("least_label", key), ("most_label", key)]
-    fields += [("sets", T.ArrayType(key)), ("labels", T.ArrayType(key)), ("sizes", longs), ("corners", T.ArrayType(T.BinaryType()))]
+    fields += [("sets", T.ArrayType(key)), ("labels", T.ArrayType(key)), ("sizes", longs), ("corners", T.ArrayType(T.BinaryType())), ("odds", T.ArrayType(T.BinaryType()))]
     schema = T.StructType([T.StructField(*f) for f in fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -366,19 +384,19 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        base, number, out = TaskContext.get().partitionId() << 33, 0, []
+        base, number, out, seen = TaskContext.get().partitionId() << 33, 0, [], Seen()
 
         def close(token, members, edge):
             nonlocal number
             parts = [members[i : i + LEAF] for i in range(0, len(members), LEAF)]
             for part in parts:
-                out.extend({"a": a, "b": b} for a, b in matched(*[Leaf(part)] * 2))
+                out.extend({"a": a, "b": b} for a, b in seen.new(matched(*[Leaf(part)] * 2)))
                 if edge or len(parts) > 1:
                     number += 1
-                    sets, labels, sizes, corners = (list(c) for c in zip(*part, strict=True))
+                    sets, labels, sizes, corners, odds = (list(c) for c in zip(*part, strict=True))
                     out.append({
                         "token": token, "leaf": base + number, "least_n": min(sizes), "most_n": max(sizes), "least_label": min(labels), "most_label": max(labels),
-                        "sets": sets, "labels": labels, "sizes": sizes, "corners": corners,
+                        "sets": sets, "labels": labels, "sizes": sizes, "corners": corners, "odds": odds,
                     })
 
         token, members, first = None, [], True
@@ -400,7 +418,7 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    packed = settle(rows.select("token", "set", "label", "n", "corner").mapInArrow(pack, schema), "packed")
+    packed = settle(rows.select("token", "set", "label", "n", "corner", "odd").mapInArrow(pack, schema), "packed")
     inner = packed.filter("a is not null").select("a", "b")
     leaves = packed.filter("leaf is not null").drop("a", "b")
     left = leaves.select(*[F.col(c).alias(f"{c}_") for c in leaves.columns])
@@ -411,20 +429,21 @@ def _tree_pairs(open_cells: DataFrame, points: DataFrame) -> DataFrame:
         & (F.col("most_n_") * DEN >= F.col("least_n") * NUM)
         & ((F.col("least_label") != F.col("most_label_")) | (F.col("most_label") != F.col("least_label_")))
     )
-    columns = ["sets", "labels", "sizes", "corners"]
+    columns = ["sets", "labels", "sizes", "corners", "odds"]
     pairs = leaves.join(left, may).select(*columns, *[f"{c}_" for c in columns])
 
     def search(batches: Iterator[pa.RecordBatch]):
+        seen = Seen()
         for batch in batches:
             found = []
             for both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (Leaf(list(zip(*half, strict=True))) for half in (both[:4], both[4:]))
-                found += matched(x, y)
+                x, y = (Leaf(list(zip(*half, strict=True))) for half in (both[:5], both[5:]))
+                found += seen.new(matched(x, y))
             kind = batch.schema.field("sets").type.value_type
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], kind) for k in (0, 1)], ["a", "b"])
 
     found = inner.union(pairs.mapInArrow(search, inner.schema))
-    return _bounded(settle(found.distinct(), "met"), points)
+    return found.distinct()
 
 
 # -- the join ------------------------------------------------------------------------------
@@ -438,10 +457,10 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
        share a cell. Very frequent shingles come last in the order, so few classes meet in a
        cell only because of a common passage. Cells with the same members are one.
     3. A few rounds link members of a cell with a leader of it: a linear number of pairs,
-       bounded by count vectors and verified by the sets. They join dense groups.
+       bounded by bitmaps and verified by the sets. They join dense groups.
     4. Cells that still hold several components get an R-tree of count vectors; leaves are
-       matched by rectangles, points by the sum of coordinate minima; pairs of one component
-       are never looked at. What survives is verified by the sets.
+       matched by rectangles, points by bitmaps and the sum of coordinate minima; pairs of one
+       component are never looked at. What survives is verified by the sets.
 
     The links given are a subset that connects the components, not all pairs of the join:
     links inside a component that is one already are not looked for, so neither their number
@@ -475,8 +494,8 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
             return rows
         return rows.join(sets.select("set", "digest"), ["set", "digest"], "left_semi").dropDuplicates(["set"])
 
-    told = described.filter("digest is not null").select(F.col("doc_id").alias("set"), "n", "digest", "vector", "corner")
-    points = settle(unique(maybe_in(told, "set", live_sets)).select("set", "n", "vector", "corner"), "points")
+    told = described.filter("digest is not null").select(F.col("doc_id").alias("set"), "n", "digest", "corner", "odd")
+    points = settle(unique(maybe_in(told, "set", live_sets)).drop("digest"), "points")
     pair_schema = T.StructType([T.StructField("a", docs.schema["doc_id"].dataType), T.StructField("b", docs.schema["doc_id"].dataType)])
     links = spark.createDataFrame([], pair_schema)
     labels = live_sets.select("set", F.col("set").alias("label"))

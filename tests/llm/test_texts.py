@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from avsync.llm import decontamination as deco
 from avsync.llm import ngram_join, separator_scan, token_output
-from avsync.llm.common import components
+from avsync.llm.common import OddTable, components, odd_between, odd_bitmap
 from avsync.session import new_dir
 
 
@@ -145,6 +145,42 @@ def test_corner_vectors_bound():
         assert len(np.intersect1d(x, y)) <= sums[0] <= sums[1]
 
 
+def test_odd_bitmaps_bound():
+    """Bitmaps never differ in more bits than sets in members, and tell sets apart that are just too far apart."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for n in (1, 40, 300, 3000, 40000):
+        for own, other in ((n // 9, n // 9), (0, n // 3), (n // 4, n // 4)):
+            both = draw(n)
+            x, y = np.unique(np.concatenate([both, draw(own)])), np.unique(np.concatenate([both, draw(other)]))
+            unshared, total = len(np.setxor1d(x, y)), len(x) + len(y)
+            bits = odd_between(odd_bitmap(x), odd_bitmap(y))
+            assert bits <= unshared
+            table = OddTable([odd_bitmap(s) for s in (x, y)])
+            assert table.apart(table, 0, np.array([0, 1])).tolist() == [0, bits]
+            linked = ngram_join.DEN * len(np.intersect1d(x, y)) >= ngram_join.NUM * len(np.union1d(x, y))
+            assert linked == (unshared <= ngram_join.allowed(total))
+            if n >= 300 and own == n // 4:
+                assert bits > ngram_join.allowed(total)
+
+
+def test_ngram_join_pairs_below_threshold(spark):
+    """Texts with a long common passage, too short to link them: the tree does not give all their pairs."""
+    base = " ".join(f"b{k}" for k in range(150))
+    rows = [(i, " ".join([base, *(f"v{i}x{k}" for k in range(50))])) for i in range(200)]
+    rows += [(900 + i, f"{rows[i][1]} y") for i in range(3)]
+    points = []
+    for i, t in rows:
+        s = ngram_join.shingles(t)
+        points.append((i, len(s), ngram_join.corner_vector(ngram_join.count_vector(s), len(s)), odd_bitmap(s)))
+    points = spark.createDataFrame(points, "set long, n long, corner binary, odd binary")
+    cells = spark.createDataFrame([(7, i, i) for i, _ in rows], "token long, set long, label long")
+    pairs = {tuple(r) for r in ngram_join._tree_pairs(cells, points).collect()}
+    assert {(i, 900 + i) for i in range(3)} <= pairs and len(pairs) < len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 900 for i, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
