@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from avsync.llm.common import WordHashes, components, free_name, lower_raw, maybe_in, width, word_slices, worker_cache
+from avsync.llm.common import OddTable, WordHashes, components, free_name, lower_raw, maybe_in, odd_between, odd_bitmap, width, word_slices, worker_cache
 from avsync.session import settle
 
 SIZE = 2  # words of a shingle
@@ -87,13 +87,18 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def allowed(total: np.ndarray) -> np.ndarray:
+    """The most shingles that only one of two linked sets has, of sizes that sum to ``total``."""
+    return total - 2 * -(-NUM * total // (NUM + DEN))
+
+
 # -- Spark ---------------------------------------------------------------------------------------------
 
 
 def described(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, text, n, digest and signature of every row, from one reading of the texts."""
+    """row, doc_id, text, n, digest, signature and bitmap (``odd_bitmap``) of every row, from one reading of the texts."""
     given = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([*given.schema.fields, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
+    schema = T.StructType([*given.schema.fields, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("odd", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def describe(batches: Iterator[pa.RecordBatch]):
@@ -102,23 +107,25 @@ def described(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py()) for t in part.column(2)]
                 signed = signatures(sets)
-                more = [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([r.tobytes() for r in signed], pa.binary())]
+                more = [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([r.tobytes() for r in signed], pa.binary()), pa.array([odd_bitmap(s) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], schema=arrow)
 
     return settle(given.mapInArrow(describe, schema), "described")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: sizes and signatures first, then the whole sets."""
-    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
+    """The pairs (a, b) that are linked: sizes, signatures and bitmaps first, then the whole sets."""
+    side = lambda x: reps.select(F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}_{x}") for c in ("n", "signature", "odd")])
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM)
 
     def likely(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (batch.column(2), batch.column(3)))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_EQUAL))
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            unlike = np.array([odd_between(*both) for both in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(((x == y).sum(axis=1) >= LEAST_EQUAL) & (unlike <= allowed(total))))
 
-    near = settle(near.select("a", "b", "s_a", "s_b").mapInArrow(likely, "a long, b long"), "likely")
+    near = settle(near.select("a", "b", "s_a", "s_b", "n_a", "n_b", "o_a", "o_b").mapInArrow(likely, "a long, b long"), "likely")
     texts = settle(maybe_in(rows.select("row", "text"), "row", near.select("a").union(near.select("b"))), "texts")
     told = near.join(texts.select(F.col("row").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("row").alias("a"), F.col("text").alias("t_a")), "a")
 
@@ -154,18 +161,20 @@ def _open(members: DataFrame, found: DataFrame | None, turn: int = 0) -> DataFra
 
 
 def _crossed(left: DataFrame, reps: DataFrame, block: int = BLOCK, facing: int = FACING) -> DataFrame:
-    """Pairs (a, b) of one key and different components with like signatures, each pair once.
+    """Pairs (a, b) of one key and different components with like signatures and bitmaps, each pair once.
 
     Members that are not of the key's least component are dealt to blocks, and so are all its
     members; a task compares one block with another, whatever the key's size. A pair that
-    shares several keys is given in the first of its bands only.
+    shares several keys is given in the first of its bands only. The bitmaps bound the
+    shingles that two sets do not share, so of the many pairs of a large group that the
+    signatures take for links but are none, few become rows.
     """
-    rows = left.join(reps.select("node", "signature"), "node").withColumn("other", F.col("label") != F.col("first.label"))
+    rows = left.join(reps.select("node", "signature", "odd"), "node").withColumn("other", F.col("label") != F.col("first.label"))
     sizes = left.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("label") != F.col("first.label")).alias("k"))
     sizes = sizes.select("key", F.ceil(F.col("k") / block).cast("int").alias("xs"), F.ceil(F.col("m") / facing).cast("int").alias("ys"))
     rows = settle(rows.join(sizes, "key"), "sides")
     spread = lambda n, of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)) if n is None else F.pmod(F.xxhash64("node", F.lit(n)), F.col(of)).cast("int")
-    columns = ["key", "band", "x", "y", "other", "node", "n", "label", "signature"]
+    columns = ["key", "band", "x", "y", "other", "node", "n", "label", "signature", "odd"]
     asking = rows.filter("other").withColumn("x", spread(1, "xs")).withColumn("y", spread(None, "ys")).select(*columns)
     asked = rows.withColumn("other", F.lit(False)).withColumn("y", spread(2, "ys")).withColumn("x", spread(None, "xs")).select(*columns)
     dealt = asking.union(asked).repartition(width(left.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
@@ -175,6 +184,7 @@ def _crossed(left: DataFrame, reps: DataFrame, block: int = BLOCK, facing: int =
         band = part.column("band")[0].as_py()
         other, node, n, label = (part.column(c).to_numpy() for c in ("other", "node", "n", "label"))
         signed = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        odd = OddTable(part.column("odd").to_pylist())
         y = np.flatnonzero(~other)
         a, b = [node[:0]], [node[:0]]
         for i in np.flatnonzero(other):
@@ -182,6 +192,7 @@ def _crossed(left: DataFrame, reps: DataFrame, block: int = BLOCK, facing: int =
             same = signed[fits] == signed[i]
             fits, same = fits[like := same.sum(axis=1) >= LEAST_EQUAL], same[like]
             fits = fits[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            fits = fits[odd.apart(odd, i, fits) <= allowed(n[fits] + n[i])]
             a.append(node[fits])
             b.append(np.full(len(fits), node[i]))
         return np.concatenate(a), np.concatenate(b)
@@ -203,7 +214,7 @@ def _crossed(left: DataFrame, reps: DataFrame, block: int = BLOCK, facing: int =
         if group:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in compared(group)], ["a", "b"])
 
-    return dealt.select("key", "x", "y", "band", "other", "node", "n", "label", "signature").mapInArrow(compare, "a long, b long")
+    return dealt.select("key", "x", "y", "band", "other", "node", "n", "label", "signature", "odd").mapInArrow(compare, "a long, b long")
 
 
 def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, block: int = BLOCK, facing: int = FACING) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -217,7 +228,7 @@ def link_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", roun
     """
     rows = described(df, doc_id, text)
     classes = settle(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
-    reps = settle(rows.select("row", "n", "signature").join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"), "reps")
+    reps = settle(rows.select("row", "n", "signature", "odd").join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"), "reps")
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", ROWS * k + 1, ROWS)) for k in range(BANDS)])
     bands = reps.select("node", "n", F.posexplode(keys).alias("band", "key"))
     shared = settle(bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "shared")

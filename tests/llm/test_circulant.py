@@ -106,3 +106,15 @@ def test_large_group_of_near_copies(spark):
     want = plain({i: pair_set(t) for i, t in rows})
     got = {r["doc_id"]: r["component_id"] for r in cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_pairs_below_threshold(spark, monkeypatch):
+    """Texts that are alike in three quarters: their signatures mostly let them pass, their bitmaps do not."""
+    base = " ".join(f"b{k}" for k in range(150))
+    rows = [(i, " ".join([base, *(f"v{i}x{k}" for k in range(25))])) for i in range(100)]
+    rows += [(900 + i, f"{rows[i][1]} y") for i in range(3)]
+    given, whole = [], cm.verified
+    monkeypatch.setattr(cm, "verified", lambda pairs, *rest: given.append(pairs.count()) or whole(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).collect()}
+    assert got == plain({i: pair_set(t) for i, t in rows}) == {i: i % 900 for i, _ in rows}
+    assert 3 <= sum(given) < 600
