@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,17 +229,49 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def word_slices(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words between ASCII white space, of a slice at a time: a very long text never
-    stands in memory as one list of words."""
+AT_ONCE = 1 << 21  # bytes of text whose words are numbered together
+
+
+def slices(raw: bytes, size: int = AT_ONCE) -> Iterator[list[bytes]]:
+    """Parts of a text, each a list of its own, cut at ASCII white space."""
     at = 0
     while len(raw) - at > size:
         end = at + size
         while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        yield raw[at:end].split()
+        yield [raw[at:end]]
         at = end
-    yield raw[at:].split()
+    yield [raw[at:]]
+
+
+def word_slices(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words between ASCII white space, of a slice at a time: a very long text never
+    stands in memory as one list of words."""
+    for part in slices(raw, size):
+        yield part[0].split()
+
+
+def together(raws: Iterator[bytes], size: int = AT_ONCE) -> Iterator[list[bytes]]:
+    """Texts in order, some at a time; one longer than ``size`` stands alone."""
+    held, n = [], 0
+    for raw in raws:
+        if held and n + len(raw) > size:
+            yield held
+            held, n = [], 0
+        held.append(raw)
+        n += len(raw)
+    if held:
+        yield held
+
+
+def numbered_words(raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different words of some texts (one may be empty), which of them stands at each place, and
+    where each text's words end. A text's first and last word may be the empty one."""
+    held = pa.array(raws, pa.large_binary())
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(raws), held.buffers()))
+    words = lists.flatten().dictionary_encode()
+    different = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    return different, words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[1:]
 
 
 def lower_raw(text: str | None) -> bytes:

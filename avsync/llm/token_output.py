@@ -14,21 +14,31 @@ any file system and a lost executor costs no more than its task:
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avsync.llm.common import width, word_slices, worker_cache
+from avsync.llm.common import AT_ONCE, numbered_words, width, word_slices, worker_cache
 from avsync.session import new_dir, settle
 
+#: letters whose lower case is one letter and whose normal form is themselves, then ASCII signs that begin no contraction or special token
+_LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]*)")
+#: the splitting under which a run of letters is a piece of its own, and a run of signs after it another
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: the letter that the byte-level alphabet writes for each byte
+_BYTE_LEVEL = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted({*range(256)}.difference(_SHOWN)))}
+
 END = 1
 DICTIONARY_BYTES = 112_640
 PACK_BYTES = 4 << 20
@@ -49,13 +59,17 @@ class WordEncoder:
     which are told apart by case. A comma or full stop after an ASCII letter or digit begins
     a token of its own, so such a word is known by the word without it.
 
+    Where the tokenizer is of a known kind (``_plain_letters``), letters and the signs after them
+    are looked up apart, and words of letters go to its model directly, past the normaliser and the
+    splitting, which leave them as they are and cost more than the merges.
+
     Arrow splits texts and numbers their different words; only those are looked up one by
     one, the rest is gathering by number. New words go through the library some thousands at
     a time, kept apart by a special token, so that one list of ids comes back for all.
     """
 
     ROOM = 400_000  # words of one half; there are two
-    AT_ONCE = 1 << 21  # bytes of text whose words are numbered together
+    AT_ONCE = AT_ONCE
     _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
     def __init__(self, path: str, literal: bool = False):
@@ -73,6 +87,36 @@ class WordEncoder:
             and token.content.startswith("<|") and token.content.endswith("|>")
         )
         self.apart = None if literal or not special else special[-1]
+        self.model = self.tokenizer.model if self._plain_letters() else None
+
+    def _plain_letters(self) -> bool:
+        """Whether normaliser and splitting do no more to a lower-case word of ``_LETTERS`` than tell letters from signs."""
+        told = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        normal, split = told(self.tokenizer.normalizer), told(self.tokenizer.pre_tokenizer)
+        steps = [(x["type"], x.get("pattern")) for x in normal.get("normalizers", [normal])]
+        parts = split.get("pretokenizers", [{}, {}])
+        return (
+            type(self.tokenizer.model).__name__ == "BPE"
+            and steps == [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)]
+            and len(parts) == 2
+            and (parts[0].get("pattern"), parts[0].get("behavior"), parts[0].get("invert")) == ({"Regex": _PIECES}, "Removed", True)
+            and (parts[1].get("type"), parts[1].get("add_prefix_space"), parts[1].get("use_regex")) == ("ByteLevel", False, False)
+        )
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters by the tokenizer's model."""
+        tokenize = self.model.tokenize
+        out = []
+        for w in words:
+            w = w if w.isascii() else w.decode().lower().encode()
+            out.append(array("I", [t.id for t in tokenize(w.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes())
+        return out
+
+    def _stem(self, w: bytes) -> int:
+        """How much of a word is looked up alone, the rest (signs) being looked up apart."""
+        if self.model and (m := _LETTERS.fullmatch(w)):
+            return m.end(1)
+        return len(w) - 1 if len(w) > 1 and w[-1] in b",." and w[-2] in self._ALNUM else len(w)
 
     @classmethod
     def at(cls, path: str, literal: bool = False) -> WordEncoder:
@@ -100,39 +144,38 @@ class WordEncoder:
         ids, older = self.ids, self.older
         out = list(map(ids.get, words))
         missing = [i for i, x in enumerate(out) if x is None]
-        stems = []
-        for i in missing:
-            w = words[i]
-            stems.append(w[:-1] if len(w) > 1 and w[-1] in b",." and w[-2] in self._ALNUM else w)
-        unknown = {*stems, b",", b"."}.difference(ids)
+        cuts = [self._stem(words[i]) for i in missing]
+        stems = [words[i][:k] for i, k in zip(missing, cuts, strict=True)]
+        tails = [words[i][k:] for i, k in zip(missing, cuts, strict=True)]
+        unknown = {*stems, *tails, b""}.difference(ids)
         again = unknown.intersection(older)
         ids.update(zip(again, map(older.__getitem__, again), strict=True))
         new = list(unknown.difference(again))
+        if self.model:
+            letters = [w for w in new if (m := _LETTERS.fullmatch(w)) and m.end(1) == len(w)]
+            ids.update(zip(letters, self._merged(letters), strict=True))
+            new = list({*new}.difference(letters))
         odd = [w for w in new if b"<|" in w]
         plain = [w for w in new if b"<|" not in w] if odd else new
         for some in (plain, odd):
             for i in range(0, len(some), 4096):
                 part = some[i : i + 4096]
                 ids.update(zip(part, self._library(part), strict=True))
-        for i, stem in zip(missing, stems, strict=True):
-            w = words[i]
-            out[i] = ids[stem] if len(stem) == len(w) else ids[stem] + ids[w[-1:]]
+        for i, stem, tail in zip(missing, stems, tails, strict=True):
+            out[i] = ids[stem] + ids[tail]
         return out
 
     def _together(self, raws: list[bytes]) -> list[bytes]:
         """The ids of some texts, together not much longer than ``AT_ONCE``."""
-        held = pa.array(raws, pa.large_binary())
-        lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(raws), held.buffers()))
-        words = lists.flatten().dictionary_encode()
-        known = self._of(words.dictionary.cast(pa.large_binary()).to_pylist())
-        which = words.indices.to_numpy(zero_copy_only=False)
+        words, which, stops = numbered_words(raws)
+        known = self._of(words)
         flat = np.frombuffer(b"".join(known), "<u4")
         lengths = np.fromiter(map(len, known), np.int32, len(known)) // 4
         begins = np.cumsum(lengths, dtype=np.int32) - lengths
         each = lengths[which]
         ends = np.cumsum(each, dtype=np.int32)
         ids = flat[np.repeat(begins[which] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        at = np.concatenate([[0], ends])[lists.offsets.to_numpy()].astype(np.int64) * 4
+        at = np.concatenate([[0], ends])[[0, *stops]].astype(np.int64) * 4
         raw = ids.tobytes()
         return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 

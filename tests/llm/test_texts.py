@@ -295,3 +295,16 @@ def test_separator_scan(spark, odd, odd_rows, none):
     assert separator_scan.token_counts(none, new_dir(spark, "flat")).count() == 0
     marked = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     assert separator_scan.token_counts(marked, new_dir(spark, "flat")).count() == 1
+
+
+def test_letters_pass_the_splitting_by():
+    encoder = token_output.WordEncoder(token_output.default_tokenizer())
+    asked = []
+    library = encoder._library
+    encoder._library = lambda words: asked.extend(words) or library(words)
+    texts = ["Forananatea été,*** zuß. ÀÉÎ-Þÿ, été it's they'll' a'b abc123, naïve×÷x cafe\u0301 İSTANBUL ab<|endoftext|>c d<e f|g &&& ... x.y"]
+    texts += [f"{chr(c)}q{chr(c)}, q{chr(c)}'s {chr(c)}.{chr(c)}" for c in range(1, 0x250)]
+    got = encoder.encode(texts)
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == whole
+    assert not {b"forananatea", "été".encode(), "zuß".encode(), "été,***".encode()}.intersection(asked)
