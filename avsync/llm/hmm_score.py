@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from avsync.llm.common import lower_raw, word_slices, worker_cache
+from avsync.llm.common import lower_raw, numbered_words, slices, together, word_slices, worker_cache
 from avsync.session import settle
 
 SYMBOLS = 1 << 15
@@ -74,49 +74,65 @@ def log_likelihood(model: Markov, texts: list[np.ndarray]) -> np.ndarray:
     order = np.argsort([-len(t) for t in texts], kind="stable")
     flat, begins, _ = time_major([texts[i] for i in order])
     total = np.zeros(len(texts))
+    ones = np.ones((len(model.start), 1))
     alpha = None
     for t in range(len(begins) - 1):
-        e = model.emit[flat[begins[t] : begins[t + 1]]]
+        e = np.take(model.emit, flat[begins[t] : begins[t + 1]], axis=0)
         alpha = model.start * e if alpha is None else (alpha[: len(e)] @ model.step) * e
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        total[: len(e)] += np.log10(scale)
+        scale = alpha @ ones
+        alpha /= scale
+        total[: len(e)] += np.log10(scale[:, 0])
     out = np.empty(len(texts))
     out[order] = total
     return out
 
 
-def expected_counts(model: Markov, pieces: list[np.ndarray], begin: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts (start, step, emit) of the pieces, and their log10 likelihood."""
+def expected_counts(
+    model: Markov, pieces: list[np.ndarray], begin: list[bool], room: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, step, emit) of the pieces, and their log10 likelihood.
+
+    ``room`` (two, symbols at least, states) is written over; who has many calls to make saves
+    the system's work for fresh memory.
+    """
     order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
     flat, begins, _ = time_major([pieces[i] for i in order])
     states = len(model.start)
-    e = model.emit[flat]
-    alpha = np.empty_like(e)
-    scale = np.empty(len(flat))
+    if room is None:
+        room = np.empty((2, len(flat), states))
+    e, alpha = room[:, : len(flat)]
+    np.take(model.emit, flat, axis=0, out=e, mode="clip")
+    scale = np.empty((len(flat), 1))
+    ones = np.ones((states, 1))
     before = None
     for t in range(len(begins) - 1):
         now = slice(begins[t], begins[t + 1])
-        n = begins[t + 1] - begins[t]
-        a = model.start * e[now] if before is None else (before[:n] @ model.step) * e[now]
-        s = a.sum(1)
-        a /= s[:, None]
-        alpha[now], scale[now], before = a, s, a
+        a = alpha[now]
+        if before is None:
+            np.multiply(model.start, e[now], out=a)
+        else:
+            np.matmul(before[: len(a)], model.step, out=a)
+            a *= e[now]
+        a /= np.matmul(a, ones, out=scale[now])
+        before = a
     pairs = np.zeros((states, states))
     onward = None  # emission times beta over scale, of the step after
     back = model.step.T.copy()
+    e /= scale
     for t in range(len(begins) - 2, -1, -1):
-        now = slice(begins[t], begins[t + 1])
-        beta = np.ones((begins[t + 1] - begins[t], states))
+        now = e[begins[t] : begins[t + 1]]
         if onward is not None:
-            n = len(onward)
-            pairs += alpha[begins[t] : begins[t] + n].T @ onward
-            beta[:n] = onward @ back
-        onward = e[now] * beta / scale[now][:, None]
-        alpha[now] *= beta  # from here on the chance of each state
+            of_each = alpha[begins[t] : begins[t] + len(onward)]
+            pairs += of_each.T @ onward
+            beta = onward @ back  # one where a piece ends
+            now[: len(beta)] *= beta
+            of_each *= beta  # from here on the chance of each state
+        onward = now
     is_begin = np.array([begin[i] for i in order], bool)
     start = alpha[: begins[1]][is_begin].sum(0) if len(begins) > 1 else np.zeros(states)
-    emit = np.stack([np.bincount(flat, alpha[:, k], len(model.emit)) for k in range(states)], 1)
+    by_state = e.reshape(states, -1)
+    by_state[:] = alpha.T
+    emit = np.stack([np.bincount(flat, chance, len(model.emit)) for chance in by_state], 1)
     return start, model.step * pairs, emit, float(np.log10(scale).sum())
 
 
@@ -173,43 +189,62 @@ def _encode(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: n
     """Per row: n_tokens, symbols, the parts of the scores that frequent words give, and the rare words with their counts."""
     shipped = docs.sparkSession.sparkContext.broadcast((*frequent, buckets))
     low = np.log10(all_tokens + words_known + 1) if all_tokens else 0.0
-    end_count = int(frequent[1][np.searchsorted(frequent[0], word_key(b"\n"))]) if word_key(b"\n") in frequent[0] else None
+    end_key = word_key(b"\n")
+    end_count = int(frequent[1][np.searchsorted(frequent[0], end_key)]) if end_key in frequent[0] else None
 
-    def encode(rows: Iterator[pa.RecordBatch]):
+    def tell(out, raws):
+        """Add what some texts, together not much longer than ``AT_ONCE``, or one longer text give."""
         names, counts, totals = shipped.value
         known = worker_cache("word keys", dict)
+        keys, which, ends = [], [], None
+        for part in slices(raws[0]) if len(raws) == 1 else [raws]:
+            words, at, ends = numbered_words(part)
+            if len(known) > 1 << 18:
+                known.clear()
+            new = [w for w in words if w not in known]
+            known.update(zip(new, map(word_key, new), strict=True))
+            which.append(at + sum(map(len, keys)))
+            keys.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        # each different key once, ascending; an empty word stands at a text's edge and is none
+        empty = word_key(b"")
+        keys, rank = np.unique(np.concatenate([*keys, [end_key, empty]]), return_inverse=True)
+        which = np.concatenate(which)
+        ends = [len(which)] if len(raws) == 1 else ends
+        ranks = rank[which]
+        end, none = rank[-2], rank[-1]
+        at = np.minimum(np.searchsorted(names, keys), max(0, len(names) - 1))
+        found = names[at] == keys if len(names) else np.zeros(len(keys), bool)
+        c = np.where(found, counts[at], 0) if len(names) else np.zeros(len(keys), np.int64)
+        symbol = (keys & (SYMBOLS - 1)).astype("<u2")
+        plain = np.log10(c + 1) - low
+        inside = np.where(keys == end_key, 0.0, np.log10(c + 1) - np.log10(totals[symbol] + 1))
+        begin = 0
+        for stop in ends:
+            of_text = ranks[begin:stop]
+            of_text = of_text[of_text != none]
+            begin = stop
+            symbols = np.append(symbol[of_text], np.array([END], "<u2"))
+            if end_count is not None:
+                of_text = np.append(of_text, end)
+            here, n = np.unique(of_text, return_counts=True)
+            usual = found[here]
+            often, times = here[usual], n[usual]
+            rare, rare_n = keys[here[~usual]], n[~usual]
+            if end_count is None:  # no text to learn from
+                rare, rare_n = np.append(rare, end_key), np.append(rare_n, 1)
+            out["n_tokens"].append(len(symbols))
+            out["symbols"].append(symbols.tobytes())
+            out["n_known"].append(int(times.sum()))
+            out["base"].append(float((times * plain[often]).sum()))
+            out["given"].append(float((times * inside[often]).sum()))
+            out["rare"].append(rare)
+            out["rare_n"].append(rare_n)
+
+    def encode(rows: Iterator[pa.RecordBatch]):
         for batch in rows:
             out = {c: [] for c in ("n_tokens", "symbols", "n_known", "base", "given", "rare", "rare_n")}
-            for text in batch.column(0).to_pylist():
-                parts = []
-                for words in word_slices(lower_raw(text)):
-                    if len(known) > 1 << 18:
-                        known.clear()
-                    for w in set(words):
-                        if w not in known:
-                            known[w] = word_key(w)
-                    parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-                keys = np.concatenate(parts)
-                symbols = np.append(keys & (SYMBOLS - 1), END).astype("<u2")
-                if end_count is not None:
-                    keys = np.append(keys, word_key(b"\n"))
-                here, n = np.unique(keys, return_counts=True)
-                at = np.minimum(np.searchsorted(names, here), max(0, len(names) - 1))
-                found = names[at] == here if len(names) else np.zeros(len(here), bool)
-                c = counts[at][found] if len(names) else np.zeros(0, np.int64)
-                times = n[found]
-                is_end = here[found] == word_key(b"\n")
-                of_bucket = totals[here[found] & (SYMBOLS - 1)]
-                rare, rare_n = here[~found], n[~found]
-                if end_count is None:  # no text to learn from
-                    rare, rare_n = np.append(rare, word_key(b"\n")), np.append(rare_n, 1)
-                out["n_tokens"].append(len(symbols))
-                out["symbols"].append(symbols.tobytes())
-                out["n_known"].append(int(times.sum()))
-                out["base"].append(float((times * (np.log10(c + 1) - low)).sum()))
-                out["given"].append(float(np.where(is_end, 0.0, times * (np.log10(c + 1) - np.log10(of_bucket + 1))).sum()))
-                out["rare"].append(rare)
-                out["rare_n"].append(rare_n)
+            for raws in together(map(lower_raw, batch.column(0).to_pylist())):
+                tell(out, raws)
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             arrays = [*batch.columns[1:], *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], *out])
@@ -230,11 +265,11 @@ def _round(texts: DataFrame, model: Markov) -> tuple[np.ndarray, np.ndarray, np.
     def count(rows: Iterator[pa.RecordBatch]):
         model = shipped.value
         start, step, emit, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS + 1, states)), 0.0
-        pieces, begin, size = [], [], 0
+        pieces, begin, size, room = [], [], 0, np.empty((2, BATCH + PIECE, states))
 
         def add():
             nonlocal start, step, emit, likelihood
-            a, b, c, d = expected_counts(model, pieces, begin)
+            a, b, c, d = expected_counts(model, pieces, begin, room)
             start, step, emit, likelihood = start + a, step + b, emit + c, likelihood + d
 
         for batch in rows:

@@ -165,3 +165,24 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in seen[3]} <= {r["doc_id"] for r in seen[2]}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in seen[3])
+
+
+def test_counts_in_used_room():
+    rng = np.random.default_rng(3)
+    weights = rng.integers(1, 50, hmm_score.SYMBOLS + 1).astype(float)
+    model = hmm_score.first_guess(weights, 3)
+    pieces = [rng.integers(0, 40, n) for n in (1, 7, 30, 2, 2)]
+    room = np.full((2, 60, 3), np.nan)
+    want = hmm_score.expected_counts(model, pieces, [True] * 4 + [False])
+    for _ in range(2):
+        got = hmm_score.expected_counts(model, pieces, [True] * 4 + [False], room)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+    assert np.isclose(got[2].sum(), sum(map(len, pieces))) and np.isclose(got[3], hmm_score.log_likelihood(model, pieces).sum())
+
+
+def test_edges_of_texts_are_no_words(spark):
+    texts = [" b  a ", "a b", "\x0ba\x0cb\x1f", None, " ", " ".join(["a", "b"] * 700_000) + " "]
+    got = hmm_score.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=0).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len((t or "").encode().split()) + 1 for i, t in enumerate(texts)}
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[3]["base_score"] == by_id[4]["base_score"] and by_id[0]["n_known"] == by_id[1]["n_known"]
