@@ -86,14 +86,37 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -
     ``bits`` bits (8 MB), which is what is broadcast. No row whose key is there is lost; a
     join that follows sorts out the rest, which are few unless the ids fill the filter.
     """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    bitmaps = (
-        ids.select(at(F.col(ids.columns[0])).alias("__at"))
-        .groupBy(F.floor(F.col("__at") / BLOCK_BITS).alias("__block"))
-        .agg(F.bitmap_construct_agg(F.col("__at") % BLOCK_BITS).alias("__bitmap"))
-    )
-    asked = df.withColumn("__at", at(F.col(key))).withColumn("__block", F.floor(F.col("__at") / BLOCK_BITS))
-    return asked.join(F.broadcast(bitmaps), "__block").filter(bit_set(F.col("__bitmap"), F.col("__at") % BLOCK_BITS)).select(*df.columns)
+    asked = df.withColumn("__at", _place(F.col(key), bits)).withColumn("__block", F.floor(F.col("__at") / BLOCK_BITS))
+    found = asked.join(F.broadcast(_bitmaps(ids, bits)), "__block")
+    return found.filter(bit_set(F.col("__bitmap"), F.col("__at") % BLOCK_BITS)).select(*df.columns)
+
+
+def _place(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def _bitmaps(ids: DataFrame, bits: int) -> DataFrame:
+    """The bits set for the first column of ``ids``, in blocks."""
+    at = ids.select(_place(F.col(ids.columns[0]), bits).alias("__at"))
+    return at.groupBy(F.floor(F.col("__at") / BLOCK_BITS).alias("__block")).agg(F.bitmap_construct_agg(F.col("__at") % BLOCK_BITS).alias("__bitmap"))
+
+
+def only_in(df: DataFrame, key: str, ids: DataFrame, others: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key, never null, is among ``ids``; those of all other rows are ``others`` (first columns).
+
+    Two one-bit filters of at most ``bits`` bits are what is broadcast. A row that the filter
+    of the others excludes stays where it is; only rows that both let through go to a join, so
+    wide rows are not shuffled, however many there are.
+    """
+    asked = df.withColumn("__at", _place(F.col(key), bits)).withColumn("__block", F.floor(F.col("__at") / BLOCK_BITS))
+    kinds = {}
+    for kind, some in (("__in", ids), ("__out", others)):
+        bitmaps = _bitmaps(some, bits).withColumnRenamed("__bitmap", kind)
+        asked = asked.join(F.broadcast(bitmaps), "__block", "left")
+        kinds[kind] = F.coalesce(bit_set(F.col(kind), F.col("__at") % BLOCK_BITS), F.lit(False))
+    sure = asked.filter(kinds["__in"] & ~kinds["__out"]).select(*df.columns)
+    unsure = asked.filter(kinds["__in"] & kinds["__out"]).select(*df.columns)
+    return sure.union(unsure.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_semi").select(*df.columns))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from avsync.llm.common import OddTable, components, free_name, give_back, lower_raw, maybe_in, odd_between, odd_bitmap, width
-from avsync.session import settle
+from avsync.llm.common import OddTable, components, free_name, give_back, lower_raw, maybe_in, odd_between, odd_bitmap, only_in, width
+from avsync.session import passing, settle
 
 WORDS = 5
 #: similarity 3/4 as whole numbers: linked when DEN * |A and B| >= NUM * |A or B|
@@ -564,11 +564,13 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     row = free_name(df, "_row")
     rows = settle(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, row, text).select(F.col(row).alias("row"), "n_shingles", "component_id")
-    ids = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"))
     some = F.col("n_shingles") > 0
-    named = settle(ids.join(found, "row").select("row", "doc_id", F.when(some, F.col("component_id")).alias("group"), F.when(~some, F.col("doc_id")).alias("bare"), some.alias("some")), "named")
+    with passing(df.sparkSession):
+        found = near_duplicates(rows, row, text).select(F.col(row).alias("row"), "n_shingles", "component_id")
+        ids = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"))
+        named = ids.join(found, "row").select("row", "doc_id", F.when(some, F.col("component_id")).alias("group"), F.when(~some, F.col("doc_id")).alias("bare"), some.alias("some"))
+        named = settle(named, "named", lasting=True)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
-    stay = named.groupBy("some", "group", "bare").agg(first).select("first.row")
-    gone = named.join(stay, "row", "left_anti").select(F.col("row").alias(free_name(rows, "_gone")))
-    return rows.join(gone, rows[row] == gone[gone.columns[0]], "left_anti").select(*[rows[c] for c in df.columns])
+    stay = settle(named.groupBy("some", "group", "bare").agg(first).select("first.row"), "stay")
+    gone = named.join(stay, "row", "left_anti").select("row")
+    return only_in(rows, row, stay, gone).select(*df.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from avsync.llm.common import free_name, word_slices, worker_cache
+from avsync.llm.common import free_name, give_back, word_slices, worker_cache
 
 BITS = 20
 _PIECES = regex.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
@@ -166,11 +166,17 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(found, pa.binary()), batch.column(2)], ["id", "features", "grade"])
 
     got = rows.select("__id", "__text", "__grade").mapInArrow(describe, "id string, features binary, grade int").toArrow()
-    lists = [np.frombuffer(x, "<i4").astype(np.int64) for x in got.column("features").to_pylist()]
+    # views of the Arrow buffers: the driver holds the lists once
+    lists = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("features")]
     grades = np.array(got.column("grade").to_pylist(), np.int64)
     ids = got.column("id").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], grades[i], len(lists[i])))
-    return fit_ordinal([lists[i] for i in order], grades[order] if len(ids) else grades, **options)
+    lists = [lists[i] for i in order]
+    del got
+    model = fit_ordinal(lists, grades[order] if len(ids) else grades, **options)
+    del lists
+    give_back()  # the driver's memory is needed by what follows
+    return model
 
 
 def _with_tails(df: DataFrame, model: Ordinal, text: str) -> DataFrame:

@@ -7,6 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,11 +86,33 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/avsync/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted at the end, but those that are said to last.
+
+    What goes on from here may read lasting tables only.
+    """
+    paths: list[str] = []
+    before = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(before)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settle(df: DataFrame, name: str = "step", lasting: bool = False) -> DataFrame:
     """Write a table that several later steps read, and go on from the file.
 
     It lies in the shared folder, so a lost executor does not bring the work back.
     """
     path = new_dir(df.sparkSession, name)
+    if (paths := _PASSING.get()) is not None and not lasting:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

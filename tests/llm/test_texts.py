@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from avsync.llm import decontamination as deco
 from avsync.llm import ngram_join, separator_scan, token_output
-from avsync.llm.common import OddTable, components, odd_between, odd_bitmap
+from avsync.llm.common import OddTable, components, odd_between, odd_bitmap, only_in
 from avsync.session import new_dir
 
 
@@ -308,3 +308,20 @@ def test_letters_pass_the_splitting_by():
     whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == whole
     assert not {b"forananatea", "été".encode(), "zuß".encode(), "été,***".encode()}.intersection(asked)
+
+
+def test_one_of_each_leaves_little_behind(odd, tmp_path, monkeypatch):
+    monkeypatch.setattr("avsync.session.shared_dir", lambda spark: f"file://{tmp_path}")
+    stay = ngram_join.one_of_each(odd)
+    assert {p.name.split("-")[0] for p in (tmp_path / "avsync").iterdir()} == {"rows", "named", "stay"}
+    assert stay.count() == len({r["doc_id"] for r in stay.collect()}) > 0
+
+
+def test_only_in_with_a_full_filter(spark):
+    rows = spark.range(4000).withColumn("text", F.lit("x"))
+    ids = rows.select(F.col("id").alias("k")).filter("k % 3 = 0")
+    for bits in (32_768, 1 << 26):  # in the small one many keys share a bit
+        got = only_in(rows, "id", ids, rows.select("id").filter("id % 3 > 0"), bits)
+        assert got.columns == ["id", "text"] and sorted(r["id"] for r in got.collect()) == list(range(0, 4000, 3))
+    assert only_in(rows, "id", ids.limit(0), rows.select("id")).count() == 0
+    assert only_in(rows, "id", rows.select("id"), ids.limit(0)).count() == 4000
